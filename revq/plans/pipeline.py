@@ -1,0 +1,35 @@
+"""The batch pipeline as one lazy plan: documents -> reviews -> mentions.
+
+``reviews`` is the store after a de-duplicating load into an empty store,
+with the rows marked processed carrying the rule classifier's labels. The
+classification is a narrow projection over the deduplicated rows (no join).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revq.operators.classify import classify_rules
+from revq.operators.dedup import first_per_key
+from revq.operators.mentions import theme_mentions
+from revq.sources.fixtures import reviews_in
+
+
+def classify_processed(store: DataFrame) -> DataFrame:
+    """Labels only on rows with ``processed = 1``; NULL labels elsewhere."""
+    c = classify_rules(store)
+    done = F.col("processed") == 1
+    return (
+        c.withColumn("sentiment", F.when(done, F.col("sentiment")))
+        .withColumn("themes", F.when(done, F.col("themes")))
+        .withColumn("confidence", F.when(done, F.col("confidence")))
+    )
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_processed(first_per_key(reviews_in(spark, sf_dir)))
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return theme_mentions(reviews(spark, sf_dir))
