@@ -37,7 +37,7 @@ def clean_date_text(raw: ColumnOrName) -> Column:
 def parse_review_date(raw: ColumnOrName) -> Column:
     """DATE or NULL. ``try_to_date`` keeps ANSI mode from raising."""
     s = clean_date_text(raw)
-    return F.coalesce(*[F.try_to_date(s, F.lit(p)) for p in DATE_PATTERNS])
+    return F.coalesce(*[F.try_to_date(s, p) for p in DATE_PATTERNS])
 
 
 def normalize_date(raw: ColumnOrName) -> Column:

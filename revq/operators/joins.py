@@ -23,8 +23,16 @@ def join_dimension(
     dim: DataFrame,
     on: str | list[str],
     how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS,
+    max_rows: int | None = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """``fact JOIN dim``; the dimension is broadcast when it is proven small."""
+    """``fact JOIN dim``; the dimension is broadcast when it is proven small.
+
+    ``max_rows=None`` skips the eager check for a dimension derived inside the
+    same plan: AQE then decides from the measured size of its shuffle
+    (``spark.sql.adaptive.autoBroadcastJoinThreshold``), which is the same
+    guard applied at run time without a second job.
+    """
+    if max_rows is None:
+        return fact.join(dim, on, how)
     d = F.broadcast(dim) if fits_broadcast(dim, max_rows) else dim
     return fact.join(d, on, how)

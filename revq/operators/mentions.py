@@ -31,9 +31,12 @@ MENTION_COLS = [
 
 def theme_mentions(reviews: DataFrame) -> DataFrame:
     """One row per (processed review, theme position); themes stripped."""
-    r = reviews.filter((F.col("processed") == 1) & F.col("themes").isNotNull())
-    m = r.select(*MENTION_COLS, F.posexplode("themes").alias("pos", "theme"))
-    return m.withColumn("theme", py_strip("theme"))
+    # posexplode_outer + a NULL filter gives the same rows as posexplode, but
+    # keeps the optimizer from inferring ``size(themes) > 0`` and pushing a
+    # copy of the whole classification expression below the projection.
+    r = reviews.filter(F.col("processed") == 1)
+    m = r.select(*MENTION_COLS, F.posexplode_outer("themes").alias("pos", "theme"))
+    return m.filter(F.col("theme").isNotNull()).withColumn("theme", py_strip("theme"))
 
 
 def filter_mentions(

@@ -45,7 +45,7 @@ def product_summary(reviews: DataFrame, products: DataFrame) -> DataFrame:
         F.count_if(F.col("sentiment") == "Negative").alias("negative"),
         F.count_if(F.col("sentiment") == "Neutral").alias("neutral"),
     )
-    j = join_dimension(products, agg, "product_id", "left")
+    j = join_dimension(products, agg, "product_id", "left", max_rows=None)
     zero = F.lit(0).cast("long")
     total = F.coalesce("total_reviews", zero)
     avg = F.when(F.col("rated_reviews") > 0, F.col("rating_sum") / F.col("rated_reviews"))
@@ -80,7 +80,7 @@ def top_theme_for(trends_by_product: DataFrame, products: DataFrame, sentiment_c
         .filter("_rn = 1")
         .select("product_id", F.col("theme").alias(out))
     )
-    return join_dimension(products.select("product_id"), best, "product_id", "left").select(
+    return join_dimension(products.select("product_id"), best, "product_id", "left", max_rows=None).select(
         "product_id", F.coalesce(out, F.lit("N/A")).alias(out)
     )
 

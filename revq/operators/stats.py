@@ -75,7 +75,7 @@ def products_dim(reviews: DataFrame) -> DataFrame:
 def stats_named(reviews: DataFrame, products: DataFrame) -> DataFrame:
     """Counts per product with the display name; name defaults to the id."""
     c = count_by(reviews, "product_id")
-    j = join_dimension(c, products, "product_id", "left")
+    j = join_dimension(c, products, "product_id", "left", max_rows=None)
     return j.select("product_id", F.coalesce("name", "product_id").alias("name"), "cnt")
 
 

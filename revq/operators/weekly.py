@@ -114,8 +114,8 @@ def weekly_product(
             ).alias("top_themes")
         )
     )
-    base = join_dimension(products, vol, "product_id", "left")
-    out = join_dimension(base, top, "product_id", "left")
+    base = join_dimension(products, vol, "product_id", "left", max_rows=None)
+    out = join_dimension(base, top, "product_id", "left", max_rows=None)
     return out.select(
         "product_id",
         "name",

@@ -20,7 +20,7 @@ from revq.plans import oracle as O
 from revq.plans.oracle import AS_OF, FRESH_AS_OF, PRODUCT, SINCE, pct, trends_sql, with_base
 from revq.plans.pipeline import mentions as _mentions
 from revq.plans.pipeline import reviews as _reviews
-from revq.sources.fixtures import table
+from revq.sources.fixtures import reviews_in, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,7 +45,9 @@ def _trends(spark, sf, by=None):
 
 
 def _products(spark, sf):
-    return S.products_dim(_reviews(spark, sf))
+    """Products seen in the batch = products of the store (every product has
+    a first row); read from the narrow batch columns, not the deduped store."""
+    return S.products_dim(reviews_in(spark, sf))
 
 
 # ---------------------------------------------------------------- theme trends
@@ -175,7 +177,7 @@ def q_stats_pct(spark, sf):
 )
 def q_stats_named(spark, sf):
     r = _reviews(spark, sf)
-    return S.stats_named(r, S.products_dim(r))
+    return S.stats_named(r, _products(spark, sf))
 
 
 INGEST_LOG_SQL = """ilog AS (
@@ -253,7 +255,7 @@ PRODUCT_SUMMARY_SQL = f"""psum AS (
 )
 def q_product_summary(spark, sf):
     r = _reviews(spark, sf)
-    return R.product_summary(r, S.products_dim(r))
+    return R.product_summary(r, _products(spark, sf))
 
 
 TOP_SQL = f"""tp AS ({trends_sql(by='product_id')}),
@@ -269,7 +271,7 @@ topc AS (
 @register("top_complaint_praise", with_base("SELECT product_id, top_complaint, top_praise FROM topc", TOP_SQL))
 def q_top_complaint_praise(spark, sf):
     r = _reviews(spark, sf)
-    return R.top_complaint_praise(_trends(spark, sf, by=["product_id"]), S.products_dim(r))
+    return R.top_complaint_praise(_trends(spark, sf, by=["product_id"]), _products(spark, sf))
 
 
 @register(
@@ -282,7 +284,7 @@ def q_top_complaint_praise(spark, sf):
 )
 def q_exec_summary(spark, sf):
     r = _reviews(spark, sf)
-    p = S.products_dim(r)
+    p = _products(spark, sf)
     return R.exec_summary(r, _trends(spark, sf, by=["product_id"]), p)
 
 
@@ -441,7 +443,7 @@ def q_weekly_spikes_intended(spark, sf):
 )
 def q_weekly_product(spark, sf):
     r = _reviews(spark, sf)
-    return W.weekly_product(r, _mentions(spark, sf), S.products_dim(r), AS_OF)
+    return W.weekly_product(r, _mentions(spark, sf), _products(spark, sf), AS_OF)
 
 
 @register(
@@ -457,3 +459,559 @@ def q_weekly_product(spark, sf):
 )
 def q_weekly_series(spark, sf):
     return W.weekly_series(table(spark, sf, "events"))
+
+
+# ===================================================================== ingest
+from revq.functions.classify import match_blob, rating_confidence, rating_sentiment, theme_hits  # noqa: E402
+from revq.functions.dates import normalize_date, parse_review_date  # noqa: E402
+from revq.functions.keys import clean_title, parse_rating, review_key, url_tail  # noqa: E402
+from revq.operators import adhoc as A  # noqa: E402
+from revq.operators import ingest as I  # noqa: E402
+from revq.operators.classify import apply_analysis, classify_batch, classify_rules, run_tally  # noqa: E402
+from revq.operators.dedup import dedup_append, first_per_key  # noqa: E402
+from revq.plans.oracle import LOAD_SPLIT, CONF_SQL, SENT_SQL  # noqa: E402
+from revq.schema import KEYWORD_THEMES, keywords_by_theme  # noqa: E402
+from revq.sources import html as H  # noqa: E402
+
+
+def _split_loads(spark, sf):
+    """Two loads of the batch by ingest time: the first builds the store, the
+    second is appended against it (every row is read in one of the loads)."""
+    b = reviews_in(spark, sf)
+    cut = F.lit(LOAD_SPLIT).cast("timestamp_ntz")
+    store = first_per_key(b.filter(F.col("ingested_at") < cut))
+    batch2 = b.filter(F.col("ingested_at") >= cut)
+    return store, batch2
+
+
+LOADS_SQL = f"""s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY arrival_seq) AS rn
+                     FROM reviews_in WHERE ingested_at < TIMESTAMP '{LOAD_SPLIT}' AND review_id IS NOT NULL) t WHERE rn = 1),
+b2 AS (SELECT * FROM reviews_in WHERE ingested_at >= TIMESTAMP '{LOAD_SPLIT}'),
+acc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY arrival_seq) AS rn
+                       FROM b2 WHERE review_id IS NOT NULL) t
+        WHERE rn = 1 AND review_id NOT IN (SELECT review_id FROM s1))"""
+
+
+@register("dedup_append", with_base("SELECT review_id, arrival_seq, product_id FROM acc", LOADS_SQL))
+def q_dedup_append(spark, sf):
+    store, batch2 = _split_loads(spark, sf)
+    return dedup_append(batch2, store).select("review_id", "arrival_seq", "product_id")
+
+
+@register(
+    "ingest_summary",
+    with_base(
+        """SELECT a.product_id, a.source, a.attempted, coalesce(n.new_count, 0) AS new_count,
+                  a.attempted - coalesce(n.new_count, 0) AS skipped_count, t.total_in_db
+           FROM (SELECT product_id, source, count(*) AS attempted FROM b2 GROUP BY 1, 2) a
+           LEFT JOIN (SELECT product_id, source, count(*) AS new_count FROM acc GROUP BY 1, 2) n
+             ON a.product_id = n.product_id AND a.source = n.source
+           LEFT JOIN (SELECT product_id, count(*) AS total_in_db FROM
+                        (SELECT product_id FROM s1 UNION ALL SELECT product_id FROM acc) u GROUP BY 1) t
+             ON a.product_id = t.product_id""",
+        LOADS_SQL,
+    ),
+)
+def q_ingest_summary(spark, sf):
+    store, batch2 = _split_loads(spark, sf)
+    return I.ingest_summary(batch2, store).select(
+        "product_id", "source", "attempted", "new_count", "skipped_count", "total_in_db"
+    )
+
+
+@register(
+    "overlap_proof",
+    with_base(
+        """SELECT attempted, new_count, already_stored,
+                  attempted - new_count - already_stored - null_keys AS in_batch_duplicates, null_keys
+           FROM (SELECT count(*) AS attempted, count(*) FILTER (WHERE review_id IS NULL) AS null_keys,
+                        (SELECT count(*) FROM acc) AS new_count,
+                        (SELECT count(*) FROM b2 WHERE review_id IN (SELECT review_id FROM s1)) AS already_stored
+                 FROM b2) t""",
+        LOADS_SQL,
+    ),
+)
+def q_overlap_proof(spark, sf):
+    store, batch2 = _split_loads(spark, sf)
+    return I.overlap_proof(batch2, store)
+
+
+@register(
+    "normalize_reviews",
+    with_base(
+        "SELECT md5(concat(reviewer_id, date, product_id)) AS review_id, product_id, lower(source) AS source, "
+        "rating, date, reviewer_id FROM reviews_in WHERE text <> ''"
+    ),
+)
+def q_normalize_reviews(spark, sf):
+    b = reviews_in(spark, sf).drop("review_id")
+    return I.normalize_reviews(b).select("review_id", "product_id", "source", "rating", "date", "reviewer_id")
+
+
+@register(
+    "scan_product",
+    with_base(f"SELECT review_id, arrival_seq, rating, date FROM reviews WHERE product_id = '{PRODUCT}'"),
+)
+def q_scan_product(spark, sf):
+    return _reviews(spark, sf).filter(F.col("product_id") == PRODUCT).select("review_id", "arrival_seq", "rating", "date")
+
+
+@register("unprocessed", with_base("SELECT review_id, product_id, arrival_seq FROM reviews WHERE processed = 0"))
+def q_unprocessed(spark, sf):
+    return _reviews(spark, sf).filter(F.col("processed") == 0).select("review_id", "product_id", "arrival_seq")
+
+
+RUNLOG_SQL = """rl AS (
+  SELECT run_date, product_id, source, source_new,
+         sum(source_new) OVER (PARTITION BY run_date, product_id) AS product_new,
+         sum(source_new) OVER (PARTITION BY run_date) AS total_new
+  FROM (SELECT CAST(ingested_at AS DATE) AS run_date, product_id, source, count(*) AS source_new
+        FROM reviews GROUP BY 1, 2, 3) a),
+rt AS (SELECT run_date, CAST(sum(total_new) OVER (ORDER BY run_date) AS BIGINT) AS total_in_db
+       FROM (SELECT DISTINCT run_date, total_new FROM rl) b)"""
+
+
+@register(
+    "delta_log_entry",
+    with_base(
+        "SELECT rl.run_date, product_id, source, source_new, CAST(product_new AS BIGINT) AS product_new, "
+        "CAST(total_new AS BIGINT) AS total_new, total_in_db FROM rl JOIN rt ON rl.run_date = rt.run_date",
+        RUNLOG_SQL,
+    ),
+)
+def q_delta_log_entry(spark, sf):
+    return I.flatten_run_log(I.run_log(_reviews(spark, sf)))
+
+
+@register("delta_log_flat")
+def q_delta_log_flat(spark, sf):
+    """Round trip through the JSON sink: write the run log, read it back."""
+    from revq.session import scratch_dir
+
+    path = scratch_dir(spark, "runlog")
+    I.write_run_log(I.run_log(_reviews(spark, sf)), path)
+    back = I.read_run_log(spark, path)
+    return I.flatten_run_log(back.select("run_date", "total_new", "total_in_db", "products"))
+
+
+# ============================================================= classification
+@register(
+    "rating_sentiment",
+    with_base(f"SELECT review_id, rating, {SENT_SQL} AS sentiment, CAST({CONF_SQL} AS DOUBLE) AS confidence FROM store"),
+)
+def q_rating_sentiment(spark, sf):
+    s = first_per_key(reviews_in(spark, sf))
+    return s.select("review_id", "rating", rating_sentiment("rating").alias("sentiment"), rating_confidence("rating").alias("confidence"))
+
+
+@register(
+    "keyword_themes",
+    with_base(
+        f"SELECT review_id, array_to_string({O._themes_sql()}, '|') AS themes_label, "
+        "CAST(len(h) AS INTEGER) AS n_hits FROM hits"
+    ),
+)
+def q_keyword_themes(spark, sf):
+    s = first_per_key(reviews_in(spark, sf))
+    c = classify_rules(s.withColumn("_b", match_blob("text", "title")).withColumn("_h", theme_hits("_b")).drop("_b"))
+    return c.select("review_id", F.array_join("themes", "|").alias("themes_label"), F.size("_h").alias("n_hits"))
+
+
+def _kw_values() -> str:
+    return ", ".join(f"({O._lit(k)}, {O._lit(t)})" for k, t in KEYWORD_THEMES)
+
+
+@register(
+    "keyword_hits",
+    with_base(
+        f"""SELECT k.keyword, k.theme, count(*) AS n_reviews
+            FROM hits h JOIN (VALUES {_kw_values()}) AS k(keyword, theme) ON contains(h.b, k.keyword)
+            GROUP BY k.keyword, k.theme"""
+    ),
+)
+def q_keyword_hits(spark, sf):
+    """Per keyword, reviews whose text contains it (J5). The 37 keywords are
+    an in-expression array, so this is a filter + explode, not a join."""
+    s = first_per_key(reviews_in(spark, sf)).select(match_blob("text", "title").alias("b"))
+    kws = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(t).alias("theme")) for k, t in KEYWORD_THEMES])
+    hit = s.select(F.explode(F.filter(kws, lambda x: F.col("b").contains(x["keyword"]))).alias("k"))
+    return hit.groupBy("k.keyword", "k.theme").agg(F.count(F.lit(1)).alias("n_reviews"))
+
+
+CLASSIFY_SQL = f"""cb AS (
+  SELECT review_id, {SENT_SQL} AS sentiment, {O._themes_sql()} AS themes, CAST({CONF_SQL} AS DOUBLE) AS confidence
+  FROM hits WHERE processed = 0)"""
+
+
+@register(
+    "classify_batch",
+    with_base("SELECT review_id, sentiment, array_to_string(themes, '|') AS themes_label, confidence FROM cb", CLASSIFY_SQL),
+)
+def q_classify_batch(spark, sf):
+    un = _reviews(spark, sf).filter(F.col("processed") == 0)
+    a = classify_batch(un)
+    return a.select("review_id", "sentiment", F.array_join("themes", "|").alias("themes_label"), "confidence")
+
+
+@register(
+    "run_tally",
+    with_base(
+        """SELECT 'processed' AS kind, 'all' AS label, count(*) AS cnt FROM cb
+           UNION ALL SELECT 'sentiment', sentiment, count(*) FROM cb GROUP BY sentiment
+           UNION ALL SELECT 'theme', t, count(*) FROM (SELECT unnest(themes) AS t FROM cb) u GROUP BY t""",
+        CLASSIFY_SQL,
+    ),
+)
+def q_run_tally(spark, sf):
+    un = _reviews(spark, sf).filter(F.col("processed") == 0)
+    return run_tally(classify_batch(un))
+
+
+def _ww_sql() -> str:
+    parts = []
+    for theme, kws in keywords_by_theme():
+        alt = "|".join(kws)
+        parts.append(f"CASE WHEN regexp_matches(b, '(^|[^a-z0-9_])({alt})([^a-z0-9_]|$)') THEN {O._lit(theme)} END")
+    return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
+
+
+UPSERT_SQL = f"""ww AS (SELECT review_id, {SENT_SQL} AS sentiment, {O._themes_sql('w')} AS themes
+                        FROM (SELECT *, {_ww_sql()} AS w FROM hits WHERE ingested_at >= TIMESTAMP '{LOAD_SPLIT}') x),
+latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ver DESC) AS rn FROM (
+      SELECT review_id, sentiment, themes, 1 AS ver FROM reviews WHERE processed = 1
+      UNION ALL SELECT review_id, sentiment, themes, 2 AS ver FROM ww) u) v WHERE rn = 1)"""
+
+
+@register(
+    "analysis_upsert",
+    with_base(
+        """SELECT s.review_id, l.sentiment, array_to_string(l.themes, '|') AS themes_label,
+                  CASE WHEN l.sentiment IS NOT NULL THEN 1 ELSE 0 END AS processed
+           FROM store s LEFT JOIN latest l ON s.review_id = l.review_id""",
+        UPSERT_SQL,
+    ),
+)
+def q_analysis_upsert(spark, sf):
+    """Two analysis runs appended; the later one re-labels recent reviews with
+    whole-word keyword rules; the view resolves the latest label per key."""
+    r = _reviews(spark, sf)
+    run1 = classify_batch(r.filter(F.col("processed") == 1), analyzed_at=F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))
+    recent = r.filter(F.col("ingested_at") >= F.lit(LOAD_SPLIT).cast("timestamp_ntz"))
+    ww = classify_rules(recent.select("review_id", "title", "text", "rating"), whole_word=True)
+    run2 = ww.select(
+        "review_id", "sentiment", "themes", "confidence",
+        F.lit("keyword_rules_whole_word").alias("classifier"),
+        F.lit("2024-03-02 00:00:00").cast("timestamp_ntz").alias("analyzed_at"),
+    )
+    raw = r.drop("sentiment", "themes", "confidence", "processed")
+    v = apply_analysis(raw, run1.unionByName(run2))
+    return v.select("review_id", "sentiment", F.array_join("themes", "|").alias("themes_label"), "processed")
+
+
+@register(
+    "themes_json_roundtrip",
+    with_base("SELECT review_id, CAST(to_json(themes) AS VARCHAR) AS themes_json, true AS roundtrip_ok FROM reviews WHERE processed = 1"),
+)
+def q_themes_json_roundtrip(spark, sf):
+    r = _reviews(spark, sf).filter(F.col("processed") == 1)
+    j = r.select("review_id", "themes", F.to_json("themes").alias("themes_json"))
+    back = F.from_json("themes_json", "array<string>")
+    return j.select("review_id", "themes_json", (back == F.col("themes")).alias("roundtrip_ok"))
+
+
+@register(
+    "theme_contains",
+    with_base(
+        "SELECT product_id, count(*) AS cnt FROM reviews WHERE processed = 1 "
+        "AND len(list_filter(themes, lambda t: contains(lower(t), 'quality'))) > 0 GROUP BY product_id"
+    ),
+)
+def q_theme_contains(spark, sf):
+    r = _reviews(spark, sf).filter((F.col("processed") == 1) & A.theme_fragment("Quality"))
+    return r.groupBy("product_id").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+# ================================================================= templates
+def _frag_sql(frag: str) -> str:
+    return f"len(list_filter(themes, lambda t: contains(lower(t), '{frag.lower()}'))) > 0"
+
+
+@register(
+    "q_theme_by_sentiment",
+    with_base(
+        f"""SELECT sentiment, count(*) AS review_count, round(avg(rating), 1) AS avg_rating FROM reviews
+            WHERE product_id = '{PRODUCT}' AND {_frag_sql('ANC')} AND processed = 1 GROUP BY sentiment"""
+    ),
+)
+def q_theme_by_sentiment(spark, sf):
+    return A.theme_sentiment_for(_reviews(spark, sf), PRODUCT, "ANC")
+
+
+@register(
+    "q_complaints_by_product",
+    with_base(
+        f"""SELECT product_id, count(*) AS complaints FROM reviews
+            WHERE sentiment = 'Negative' AND {_frag_sql('Call')} AND processed = 1 GROUP BY product_id"""
+    ),
+)
+def q_complaints_by_product(spark, sf):
+    return A.complaints_by_product(_reviews(spark, sf), "Call")
+
+
+@register(
+    "one_star_reasons",
+    with_base(
+        """SELECT array_to_string(themes, ', ') AS themes_label, count(*) AS "count" FROM reviews
+           WHERE rating = 1 AND processed = 1 AND themes IS NOT NULL
+           GROUP BY themes ORDER BY "count" DESC, themes_label LIMIT 3"""
+    ),
+)
+def q_one_star_reasons(spark, sf):
+    return A.one_star_reasons(_reviews(spark, sf))
+
+
+@register(
+    "q_praise_by_product",
+    with_base(
+        f"""SELECT product_id, count(*) AS positive_mentions, round(avg(rating), 1) AS avg_rating FROM reviews
+            WHERE {_frag_sql('Comfort')} AND sentiment = 'Positive' AND processed = 1 GROUP BY product_id"""
+    ),
+)
+def q_praise_by_product(spark, sf):
+    return A.praise_by_product(_reviews(spark, sf), "Comfort")
+
+
+@register("q_total_reviews", with_base('SELECT count(*) AS "count" FROM reviews'))
+def q_total_reviews(spark, sf):
+    return A.total_reviews(_reviews(spark, sf))
+
+
+ADHOC_TEXT = (
+    "SELECT product_id, sentiment, COUNT(*) AS cnt, ROUND(AVG(rating), 1) AS avg_rating "
+    "FROM reviews WHERE processed = 1 GROUP BY product_id, sentiment;"
+)
+
+
+@register("adhoc_select", with_base(ADHOC_TEXT.rstrip(";")))
+def q_adhoc_select(spark, sf):
+    return A.adhoc_select(spark, ADHOC_TEXT, {"reviews": _reviews(spark, sf)})
+
+
+def _route_sql() -> str:
+    arms = []
+    for name, all_of, any_of in A.ROUTES:
+        c = " AND ".join(f"contains(lower(text), {O._lit(s)})" for s in all_of)
+        if any_of:
+            c += " AND (" + " OR ".join(f"contains(lower(text), {O._lit(s)})" for s in any_of) + ")"
+        arms.append(f"WHEN {c} THEN {O._lit(name)}")
+    return "CASE " + " ".join(arms) + f" ELSE {O._lit(A.DEFAULT_ROUTE)} END"
+
+
+@register(
+    "route_questions",
+    f"SELECT conv_id, turn, {_route_sql()} AS template FROM conversations WHERE role = 'user'",
+)
+def q_route_questions(spark, sf):
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    return A.route_questions(c).select("conv_id", "turn", "template")
+
+
+ANSWER_PARAMS = {"product_id": PRODUCT, "anc_fragment": "ANC", "complaint_fragment": "Call", "praise_fragment": "Comfort"}
+
+
+@register("answer_lines")
+def q_answer_lines(spark, sf):
+    """Routed user turns joined to the grounded answer of their template."""
+    c = A.route_questions(table(spark, sf, "conversations").filter(F.col("role") == "user"))
+    answers = A.answer_lines(_reviews(spark, sf), ANSWER_PARAMS)
+    return c.select("conv_id", "turn", "template").join(F.broadcast(answers), "template", "left")
+
+
+# ============================================================ cleaning rules
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",
+          "September", "October", "November", "December"]
+
+
+def _raw_dates(store):
+    d = F.col("date").try_cast("date")
+    day, mon, yr = F.dayofmonth(d), F.month(d), F.year(d)
+    full = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), mon)
+    abbr = F.substring(full, 1, 3)
+    dd = F.lpad(day.cast("string"), 2, "0")
+    mm = F.lpad(mon.cast("string"), 2, "0")
+    v = F.col("arrival_seq") % 10
+    forms = [
+        F.format_string("%d %s %d", day, full, yr),
+        F.format_string("%d %s %d", day, abbr, yr),
+        F.format_string("%s %d, %d", full, day, yr),
+        F.format_string("%s %s, %d", abbr, dd, yr),
+        F.format_string("%s-%s-%d", dd, mm, yr),
+        F.format_string("%s/%s/%d", dd, mm, yr),
+        F.format_string("Reviewed in India on %d %s %d", day, full, yr),
+        F.format_string("Certified Buyer, %s, %d", abbr, yr),
+        F.format_string("Reviewed in the United States on %s %d, %d", full, day, yr),
+        F.format_string("%d %s %s", day, full, F.substring(yr.cast("string"), 3, 2)),
+    ]
+    expr = None
+    for i, f in enumerate(forms):
+        expr = F.when(v == i, f) if expr is None else expr.when(v == i, f)
+    return store.select("arrival_seq", "date", expr.alias("raw"))
+
+
+def _raw_dates_sql() -> str:
+    months = "[" + ", ".join(O._lit(m) for m in MONTHS) + "]"
+    full = f"({months})[month(d)]"
+    abbr = f"substr({full}, 1, 3)"
+    day, yr = "CAST(day(d) AS VARCHAR)", "CAST(year(d) AS VARCHAR)"
+    dd, mm = "lpad(CAST(day(d) AS VARCHAR), 2, '0')", "lpad(CAST(month(d) AS VARCHAR), 2, '0')"
+    forms = [
+        f"concat({day}, ' ', {full}, ' ', {yr})",
+        f"concat({day}, ' ', {abbr}, ' ', {yr})",
+        f"concat({full}, ' ', {day}, ', ', {yr})",
+        f"concat({abbr}, ' ', {dd}, ', ', {yr})",
+        f"concat({dd}, '-', {mm}, '-', {yr})",
+        f"concat({dd}, '/', {mm}, '/', {yr})",
+        f"concat('Reviewed in India on ', {day}, ' ', {full}, ' ', {yr})",
+        f"concat('Certified Buyer, ', {abbr}, ', ', {yr})",
+        f"concat('Reviewed in the United States on ', {full}, ' ', {day}, ', ', {yr})",
+        f"concat({day}, ' ', {full}, ' ', substr({yr}, 3, 2))",
+    ]
+    arms = " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms))
+    return f"CASE arrival_seq % 10 {arms} END"
+
+
+@register(
+    "parse_date",
+    with_base(
+        f"""SELECT arrival_seq, raw,
+                   CASE WHEN v IN (8, 9) THEN raw WHEN v = 7 THEN strftime(date_trunc('month', d), '%Y-%m-%d')
+                        ELSE strftime(d, '%Y-%m-%d') END AS normalized,
+                   CASE WHEN v IN (8, 9) THEN NULL WHEN v = 7 THEN CAST(date_trunc('month', d) AS DATE) ELSE d END AS review_date
+            FROM (SELECT arrival_seq, d, arrival_seq % 10 AS v, {_raw_dates_sql()} AS raw
+                  FROM (SELECT arrival_seq, CAST(date AS DATE) AS d FROM store) s) t"""
+    ),
+)
+def q_parse_date(spark, sf):
+    """Raw review-date strings in the ten layouts a marketplace page shows,
+    rendered from each stored review's date, then normalised (H1)."""
+    s = first_per_key(reviews_in(spark, sf))
+    raw = _raw_dates(s)
+    return raw.select("arrival_seq", "raw", normalize_date("raw").alias("normalized"), parse_review_date("raw").alias("review_date"))
+
+
+@register(
+    "review_key",
+    with_base(
+        "SELECT review_id, md5(concat(reviewer_id, date, product_id)) AS key_plain, "
+        "md5(concat_ws(chr(31), reviewer_id, date, product_id, lower(source))) AS key_strict FROM reviews_in"
+    ),
+)
+def q_review_key(spark, sf):
+    b = reviews_in(spark, sf)
+    return b.select(
+        "review_id",
+        review_key("reviewer_id", "date", "product_id").alias("key_plain"),
+        review_key("reviewer_id", "date", "product_id", "source", strict=True).alias("key_strict"),
+    )
+
+
+@register(
+    "parse_rating",
+    with_base(
+        """SELECT arrival_seq, star_text, CASE WHEN v IN (3, 4) THEN NULL ELSE r END AS rating_parsed
+           FROM (SELECT arrival_seq, arrival_seq % 5 AS v, CAST(coalesce(rating, 0) AS INTEGER) AS r,
+                        CASE arrival_seq % 5
+                          WHEN 0 THEN concat(CAST(coalesce(rating, 0) AS VARCHAR), '.0 out of 5 stars')
+                          WHEN 1 THEN concat(CAST(coalesce(rating, 0) AS VARCHAR), '.5 out of 5 stars')
+                          WHEN 2 THEN CAST(coalesce(rating, 0) AS VARCHAR)
+                          WHEN 3 THEN 'abc out of 5 stars'
+                          ELSE '' END AS star_text
+                 FROM store) t"""
+    ),
+)
+def q_parse_rating(spark, sf):
+    """Star labels rendered from each stored rating in five shapes, parsed back (H3)."""
+    s = first_per_key(reviews_in(spark, sf))
+    r = F.coalesce("rating", F.lit(0)).cast("string")
+    v = F.col("arrival_seq") % 5
+    star = (
+        F.when(v == 0, F.concat(r, F.lit(".0 out of 5 stars")))
+        .when(v == 1, F.concat(r, F.lit(".5 out of 5 stars")))
+        .when(v == 2, r)
+        .when(v == 3, F.lit("abc out of 5 stars"))
+        .otherwise(F.lit(""))
+    )
+    t = s.select("arrival_seq", star.alias("star_text"))
+    return t.withColumn("rating_parsed", parse_rating("star_text"))
+
+
+@register(
+    "clean_title",
+    with_base(
+        """SELECT arrival_seq, title_raw, regexp_replace(title_raw, '^\\d+\\.?\\d*\\s+out of \\d+ stars\\s*', '') AS title_clean
+           FROM (SELECT arrival_seq, CASE arrival_seq % 3
+                   WHEN 0 THEN concat(CAST(coalesce(rating, 0) AS VARCHAR), '.0 out of 5 stars ', title)
+                   WHEN 1 THEN concat(CAST(coalesce(rating, 0) AS VARCHAR), ' out of 5 stars', title)
+                   ELSE title END AS title_raw FROM store) t"""
+    ),
+)
+def q_clean_title(spark, sf):
+    s = first_per_key(reviews_in(spark, sf))
+    r = F.coalesce("rating", F.lit(0)).cast("string")
+    v = F.col("arrival_seq") % 3
+    raw = (
+        F.when(v == 0, F.concat(r, F.lit(".0 out of 5 stars "), "title"))
+        .when(v == 1, F.concat(r, F.lit(" out of 5 stars"), "title"))
+        .otherwise(F.col("title"))
+    )
+    t = s.select("arrival_seq", raw.alias("title_raw"))
+    return t.withColumn("title_clean", clean_title("title_raw"))
+
+
+@register(
+    "url_tail",
+    "SELECT page_id, url, split_part(string_split(url, '/')[-1], '?', 1) AS tail FROM pages",
+)
+def q_url_tail(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url", url_tail("url").alias("tail"))
+
+
+@register(
+    "crawl_frontier",
+    """SELECT listing, p AS page_no, concat(listing, '?page=', CAST(p AS VARCHAR)) AS page_url
+       FROM (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS listing FROM pages) l, range(1, 11) r(p)""",
+)
+def q_crawl_frontier(spark, sf):
+    return H.crawl_frontier(table(spark, sf, "pages").select("url"))
+
+
+@register(
+    "page_cutoff",
+    """SELECT page_id, listing, page_no, fetched, n_reviews FROM (
+         SELECT *, min(CASE WHEN fetched AND n_reviews = 0 THEN page_no END) OVER (PARTITION BY listing) AS first_empty
+         FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS listing,
+                      CASE WHEN regexp_extract(url, '[?&](?:page|pageNumber)=(\\d+)', 1) = '' THEN 1
+                           ELSE CAST(regexp_extract(url, '[?&](?:page|pageNumber)=(\\d+)', 1) AS INTEGER) END AS page_no,
+                      html IS NOT NULL AS fetched,
+                      coalesce(CAST((length(html) - length(replace(html, '<article', ''))) // 8 AS BIGINT), 0) AS n_reviews
+               FROM pages) a) b
+       WHERE fetched AND (first_empty IS NULL OR page_no < first_empty)""",
+)
+def q_page_cutoff(spark, sf):
+    return H.page_cutoff(H.page_listing(table(spark, sf, "pages")))
+
+
+@register("extract_reviews_html")
+def q_extract_reviews_html(spark, sf):
+    """Review rows parsed from every crawled page (article rule set)."""
+    p = table(spark, sf, "pages").withColumn("source", F.lit("article"))
+    return H.extract_reviews(p).select("page_id", "pos", "product_id", "review_id", "rating", "title", "date", "reviewer_id", F.length("text").alias("text_chars"))
+
+
+@register("sample_rows")
+def q_sample_rows(spark, sf, k: int = 10, seed: int = 42):
+    """A seeded sample of k stored reviews (the limit is the feature);
+    hash order instead of rand() so reruns and retries give the same rows."""
+    r = _reviews(spark, sf)
+    return r.orderBy(F.xxhash64("review_id", F.lit(seed))).limit(k).select("review_id", "product_id", "rating", "sentiment")
