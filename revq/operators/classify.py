@@ -113,3 +113,25 @@ def top_new_theme(analysis: DataFrame) -> DataFrame:
     )
     w = Window.orderBy(F.desc("cnt"), "theme")
     return t.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def batch_align(assign: DataFrame, answers: DataFrame) -> DataFrame:
+    """Align batched model answers to reviews by key, not by position.
+
+    ``assign``: (batch_id, pos, review_id) — which review sat at which
+    position of which call; ``answers``: (batch_id, raw) — the call's JSON
+    array. Elements are exploded with their position and joined back on
+    (batch_id, pos): a missing answer or an unreadable batch gives the
+    fallback label, surplus answers are dropped, nothing shifts into the
+    next batch.
+    """
+    from revq.functions.labels import answer_elements
+
+    el = answers.select("batch_id", F.posexplode_outer(answer_elements("raw")).alias("pos", "elem"))
+    el = el.filter(F.col("pos").isNotNull()).select("batch_id", "pos", sanitize_answer("elem").alias("a"))
+    j = assign.join(el, ["batch_id", "pos"], "left")
+    fb = sanitize_answer(F.lit("not json"))  # the fallback struct
+    a = F.coalesce(F.col("a"), fb)
+    return j.select("batch_id", "pos", "review_id", a.alias("a")).select(
+        "batch_id", "pos", "review_id", "a.sentiment", "a.themes", "a.confidence", "a.fallback"
+    )

@@ -1015,3 +1015,171 @@ def q_sample_rows(spark, sf, k: int = 10, seed: int = 42):
     hash order instead of rand() so reruns and retries give the same rows."""
     r = _reviews(spark, sf)
     return r.orderBy(F.xxhash64("review_id", F.lit(seed))).limit(k).select("review_id", "product_id", "rating", "sentiment")
+
+
+# ============================================================ model answers
+def _labels_raw(labels):
+    """Model-style answers rendered from the ``labels`` table in twelve
+    shapes (clean, fenced, bad sentiment, foreign themes, missing / null /
+    string themes, string / bad / out-of-range confidence, array, prose)."""
+    s = F.when(F.col("quality") == 1, F.lit("Positive")).otherwise(F.lit("Negative"))
+    t = F.when(F.col("toxic") == 1, F.lit('["Call Quality"]')).otherwise(F.lit('["Sound Quality","Comfort & Fit"]'))
+    v = F.col("doc_id") % 12
+
+    def obj(sent, themes, conf):
+        parts = []
+        if sent is not None:
+            parts.append(F.concat(F.lit('"sentiment":"'), sent, F.lit('"')))
+        if themes is not None:
+            parts.append(F.concat(F.lit('"themes":'), themes))
+        if conf is not None:
+            parts.append(F.concat(F.lit('"confidence":'), conf))
+        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+    base = obj(s, t, F.lit("0.9"))
+    forms = [
+        base,
+        F.concat(F.lit("```json\n"), base, F.lit("\n```")),
+        obj(F.lit("Mixed"), t, F.lit("0.9")),
+        obj(s, F.lit('["Sound","Comfort & Fit","Bogus"]'), F.lit("0.9")),
+        obj(s, None, F.lit("0.9")),
+        obj(s, F.lit("null"), F.lit("0.9")),
+        obj(s, F.lit('"Call Quality"'), F.lit("0.9")),
+        obj(s, t, F.lit('"0.9"')),
+        obj(s, t, F.lit('"abc"')),
+        obj(s, t, F.lit("7")),
+        F.concat(F.lit("["), obj(s, None, None), F.lit("]")),
+        F.concat(F.lit("Sentiment: "), s),
+    ]
+    expr = None
+    for i, f in enumerate(forms):
+        expr = F.when(v == i, f) if expr is None else expr.when(v == i, f)
+    return labels.select("doc_id", expr.alias("raw"))
+
+
+@register(
+    "sanitize_labels",
+    """SELECT doc_id,
+              CASE WHEN fb THEN 'Neutral' WHEN v = 2 THEN 'Neutral' ELSE s END AS sentiment,
+              CASE WHEN fb THEN 'Sound Quality'
+                   WHEN v = 3 THEN 'Comfort & Fit'
+                   WHEN v IN (4, 6) THEN 'Sound Quality' ELSE t END AS themes_label,
+              CAST(CASE WHEN fb THEN 0.1 WHEN v = 9 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence,
+              fb AS fallback
+       FROM (SELECT doc_id, doc_id % 12 AS v, v IN (5, 8, 10, 11) AS fb,
+                    CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS s,
+                    CASE WHEN toxic = 1 THEN 'Call Quality' ELSE 'Sound Quality|Comfort & Fit' END AS t
+             FROM labels) x""",
+)
+def q_sanitize_labels(spark, sf):
+    from revq.functions.labels import sanitize_answer
+
+    raw = _labels_raw(table(spark, sf, "labels"))
+    a = raw.select("doc_id", sanitize_answer("raw").alias("a"))
+    return a.select(
+        "doc_id",
+        "a.sentiment",
+        F.array_join("a.themes", "|").alias("themes_label"),
+        "a.confidence",
+        "a.fallback",
+    )
+
+
+BATCH = 10
+
+
+@register(
+    "batch_align",
+    with_base(
+        f"""SELECT review_id,
+                  CASE WHEN fb THEN 'Neutral' ELSE sentiment END AS sentiment,
+                  array_to_string(CASE WHEN fb THEN ['Sound Quality'] ELSE themes END, '|') AS themes_label,
+                  CAST(CASE WHEN fb THEN 0.1 ELSE confidence END AS DOUBLE) AS confidence,
+                  fb AS fallback
+           FROM (SELECT *, (batch_id % 4 = 3) OR (batch_id % 4 = 1 AND pos = n - 1) AS fb FROM (
+                   SELECT review_id, sentiment, themes, confidence, arrival_seq // {BATCH} AS batch_id,
+                          row_number() OVER (PARTITION BY arrival_seq // {BATCH} ORDER BY arrival_seq) - 1 AS pos,
+                          count(*) OVER (PARTITION BY arrival_seq // {BATCH}) AS n
+                   FROM reviews WHERE processed = 1) a) b"""
+    ),
+)
+def q_batch_align(spark, sf):
+    """Reviews sent to a model {BATCH} per call; the calls' answers come back
+    exact, one short, one long or broken (by call id); alignment by key."""
+    from pyspark.sql.window import Window as Wn
+
+    from revq.operators.classify import batch_align
+
+    r = _reviews(spark, sf).filter(F.col("processed") == 1)
+    bid = F.floor(F.col("arrival_seq") / BATCH).cast("long")
+    w = Wn.partitionBy("batch_id").orderBy("arrival_seq")
+    assign = r.select("review_id", "arrival_seq", "sentiment", "themes", "confidence", bid.alias("batch_id")).withColumn(
+        "pos", F.row_number().over(w) - 1
+    )
+    item = F.to_json(F.struct("sentiment", "themes", "confidence"))
+    calls = assign.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("j")))).alias("items"))
+    js = F.transform("items", lambda x: x["j"])
+    v = F.col("batch_id") % 4
+    short = F.slice(js, 1, F.greatest(F.size(js) - 1, F.lit(0)))
+    extra = F.concat(js, F.array(F.lit('{"sentiment":"Positive","themes":["Sound Quality"],"confidence":0.5}')))
+    arr = lambda a: F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
+    full = arr(js)
+    raw = (
+        F.when(v == 0, full)
+        .when(v == 1, arr(short))
+        .when(v == 2, arr(extra))
+        .otherwise(F.regexp_replace(full, r"\]$", ""))  # unterminated array
+    )
+    answers = calls.select("batch_id", raw.alias("raw"))
+    out = batch_align(assign.select("batch_id", "pos", "review_id"), answers)
+    return out.select(
+        "review_id", "sentiment", F.array_join("themes", "|").alias("themes_label"), "confidence", "fallback"
+    )
+
+
+# ================================================================ streaming
+DELIVERIES = 4
+
+
+def _stream_store(spark, sf, classify: bool):
+    """Land the batch as consecutive arrival ranges (arrival order is the
+    insert order of the store) and run the incremental ingest after each
+    delivery; returns the stream's store and analysis folders."""
+    from revq.session import scratch_dir
+    from revq.streaming.ingest import ReviewStream
+
+    base = scratch_dir(spark, "stream")
+    b = reviews_in(spark, sf)
+    lo, hi = b.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    step = (hi - lo) // DELIVERIES + 1
+    rs = ReviewStream(
+        landing=f"{base}/landing",
+        store=f"{base}/store",
+        checkpoint=f"{base}/checkpoint",
+        schema=b.schema,
+        analysis=f"{base}/analysis" if classify else None,
+        classify_filter="processed = 1",
+    )
+    for k in range(DELIVERIES):
+        seq = F.col("arrival_seq")
+        part = b.filter((seq >= lo + k * step) & (seq < lo + (k + 1) * step))
+        part.write.mode("append").parquet(rs.landing)
+        rs.run_available(spark)
+    return rs
+
+
+@register("stream_ingest", with_base("SELECT review_id, arrival_seq, product_id FROM store"))
+def q_stream_ingest(spark, sf):
+    """Incremental ingest equals the batch store."""
+    rs = _stream_store(spark, sf, classify=False)
+    return rs.stored(spark).select("review_id", "arrival_seq", "product_id")
+
+
+@register(
+    "stream_classify",
+    with_base("SELECT review_id, sentiment, array_to_string(themes, '|') AS themes_label FROM reviews WHERE processed = 1"),
+)
+def q_stream_classify(spark, sf):
+    """Rows accepted by each run are classified in the same micro-batch."""
+    rs = _stream_store(spark, sf, classify=True)
+    return rs.analysed(spark).select("review_id", "sentiment", F.array_join("themes", "|").alias("themes_label"))
