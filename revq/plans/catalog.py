@@ -1183,3 +1183,20 @@ def q_stream_classify(spark, sf):
     """Rows accepted by each run are classified in the same micro-batch."""
     rs = _stream_store(spark, sf, classify=True)
     return rs.analysed(spark).select("review_id", "sentiment", F.array_join("themes", "|").alias("themes_label"))
+
+
+# ================================================================== reports
+@register("report_lines")
+def q_report_lines(spark, sf):
+    """K9: the global action report as ordered lines."""
+    from revq.plans.reports import global_report_lines
+
+    return global_report_lines(_reviews(spark, sf), _mentions(spark, sf), _products(spark, sf), QUOTE_PRODUCT)
+
+
+@register("weekly_report_lines")
+def q_weekly_report_lines(spark, sf):
+    """K7/K8: the weekly change report as ordered lines."""
+    from revq.plans.reports import weekly_report_lines
+
+    return weekly_report_lines(_reviews(spark, sf), _mentions(spark, sf), _products(spark, sf), AS_OF)
