@@ -20,6 +20,7 @@ from revq.plans import oracle as O
 from revq.plans.oracle import AS_OF, FRESH_AS_OF, PRODUCT, SINCE, pct, trends_sql, with_base
 from revq.plans.pipeline import mentions as _mentions
 from revq.plans.pipeline import reviews as _reviews
+from revq.plans.pipeline import store as _store
 from revq.sources.fixtures import reviews_in, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -612,7 +613,7 @@ def q_rating_sentiment(spark, sf):
     ),
 )
 def q_keyword_themes(spark, sf):
-    s = first_per_key(reviews_in(spark, sf))
+    s = _store(spark, sf)
     c = classify_rules(s.withColumn("_b", match_blob("text", "title")).withColumn("_h", theme_hits("_b")).drop("_b"))
     return c.select("review_id", F.array_join("themes", "|").alias("themes_label"), F.size("_h").alias("n_hits"))
 
@@ -632,7 +633,7 @@ def _kw_values() -> str:
 def q_keyword_hits(spark, sf):
     """Per keyword, reviews whose text contains it (J5). The 37 keywords are
     an in-expression array, so this is a filter + explode, not a join."""
-    s = first_per_key(reviews_in(spark, sf)).select(match_blob("text", "title").alias("b"))
+    s = _store(spark, sf).select(match_blob("text", "title").alias("b"))
     kws = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(t).alias("theme")) for k, t in KEYWORD_THEMES])
     hit = s.select(F.explode(F.filter(kws, lambda x: F.col("b").contains(x["keyword"]))).alias("k"))
     return hit.groupBy("k.keyword", "k.theme").agg(F.count(F.lit(1)).alias("n_reviews"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from revq.operators.classify import classify_rules
 from revq.operators.dedup import first_per_key
 from revq.operators.mentions import theme_mentions
-from revq.sources.fixtures import reviews_in
+from revq.sources.fixtures import reviews_in, spread
 
 
 def classify_processed(store: DataFrame) -> DataFrame:
@@ -27,8 +27,20 @@ def classify_processed(store: DataFrame) -> DataFrame:
     )
 
 
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First row per key of the batch (the store after one load), spread for
+    the text rules that follow."""
+    return spread(first_per_key(reviews_in(spark, sf_dir)), "arrival_seq")
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_processed(first_per_key(reviews_in(spark, sf_dir)))
+    """The store: first row per key, classified where processed.
+
+    The dedup keys are aggregated from the narrow batch columns; only the
+    surviving rows are spread (when the scan yields fewer partitions than
+    cores) before the CPU-heavy text rules.
+    """
+    return classify_processed(store(spark, sf_dir))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,14 +28,14 @@ def reviews_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, date (raw text), source, ingested_at (TIMESTAMP_NTZ), processed.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
-    return from_documents(spread(d, "doc_id"))
+    return from_documents(d)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a text-heavy input that arrives in fewer partitions than
-    the cluster has cores (e.g. one large row group), so the CPU-bound text
-    rules downstream run in parallel. On a large input (many files, many
-    splits) this is a no-op: no extra shuffle is added.
+    """Hash-spread a text-heavy relation that sits in fewer partitions than
+    the cluster has cores (e.g. one large row group read by one task), so the
+    CPU-bound text rules downstream run in parallel. On a large input (many
+    files, many splits) this is a no-op: no extra shuffle is added.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
