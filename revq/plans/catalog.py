@@ -1201,3 +1201,25 @@ def q_weekly_report_lines(spark, sf):
     from revq.plans.reports import weekly_report_lines
 
     return weekly_report_lines(_reviews(spark, sf), _mentions(spark, sf), _products(spark, sf), AS_OF)
+
+
+# ============================================================ stored tables
+@register(
+    "store_roundtrip",
+    with_base("SELECT review_id, product_id, sentiment, array_to_string(themes, '|') AS themes_label, processed FROM reviews"),
+)
+def q_store_roundtrip(spark, sf):
+    """Two loads through the persistent store (split at the load date), then
+    one analysis run over the processed rows; the view equals the in-memory
+    pipeline."""
+    from revq.session import scratch_dir
+    from revq.sources.store import ReviewStore
+
+    st = ReviewStore(spark, scratch_dir(spark, "store"))
+    b = reviews_in(spark, sf)
+    cut = F.lit(LOAD_SPLIT).cast("timestamp_ntz")
+    st.append(b.filter(F.col("ingested_at") < cut), 1, "2024-02-01 00:00:00")
+    st.append(b.filter(F.col("ingested_at") >= cut), 2, "2024-03-01 00:00:00")
+    st.analyse(1, predicate="processed = 1")
+    v = st.reviews()
+    return v.select("review_id", "product_id", "sentiment", F.array_join("themes", "|").alias("themes_label"), "processed")
