@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from revq.operators import report as R
 from revq.operators import stats as S
 from revq.operators import weekly as W
-from revq.operators.mentions import filter_mentions, theme_sentiment, theme_trends, theme_by_source
+from revq.operators.mentions import filter_mentions, theme_by_source, theme_mentions, theme_sentiment, theme_trends
 from revq.plans import oracle as O
 from revq.plans.oracle import AS_OF, FRESH_AS_OF, PRODUCT, SINCE, pct, trends_sql, with_base
 from revq.plans.pipeline import mentions as _mentions
 from revq.plans.pipeline import reviews as _reviews
 from revq.plans.pipeline import store as _store
+from revq.plans.pipeline import materialized_reviews as _mat
 from revq.sources.fixtures import reviews_in, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,8 +272,7 @@ topc AS (
 
 @register("top_complaint_praise", with_base("SELECT product_id, top_complaint, top_praise FROM topc", TOP_SQL))
 def q_top_complaint_praise(spark, sf):
-    r = _reviews(spark, sf)
-    return R.top_complaint_praise(_trends(spark, sf, by=["product_id"]), _products(spark, sf))
+    return R.top_complaint_praise(theme_trends(theme_mentions(_mat(spark, sf)), by=["product_id"]), _products(spark, sf))
 
 
 @register(
@@ -284,9 +284,8 @@ def q_top_complaint_praise(spark, sf):
     ),
 )
 def q_exec_summary(spark, sf):
-    r = _reviews(spark, sf)
-    p = _products(spark, sf)
-    return R.exec_summary(r, _trends(spark, sf, by=["product_id"]), p)
+    r = _mat(spark, sf)
+    return R.exec_summary(r, theme_trends(theme_mentions(r), by=["product_id"]), _products(spark, sf))
 
 
 QUOTES_SQL = """quotes AS (
@@ -301,8 +300,8 @@ QUOTES_SQL = """quotes AS (
 
 @register("sample_quotes", with_base("SELECT product_id, theme, sentiment, quote FROM quotes", QUOTES_SQL))
 def q_sample_quotes(spark, sf):
-    r = _reviews(spark, sf)
-    return R.first_quotes(_mentions(spark, sf), r, ["product_id"])
+    r = _mat(spark, sf, with_text=True)
+    return R.first_quotes(theme_mentions(r), r, ["product_id"])
 
 
 QUOTE_PRODUCT = "prod_0"
@@ -321,8 +320,8 @@ QUOTE_PRODUCT = "prod_0"
     ),
 )
 def q_critical_issues(spark, sf):
-    r = _reviews(spark, sf)
-    m = _mentions(spark, sf)
+    r = _mat(spark, sf, with_text=True)
+    m = theme_mentions(r)
     quotes = R.first_quotes(m, r, ["product_id"])
     return R.critical_issues(theme_trends(m), quotes, QUOTE_PRODUCT)
 
@@ -416,12 +415,12 @@ def _spikes_sql(mode: str) -> str:
 
 @register("weekly_spikes", _spikes_sql("observed"))
 def q_weekly_spikes(spark, sf):
-    return W.weekly_spikes(_mentions(spark, sf), AS_OF, mode="observed")
+    return W.weekly_spikes(theme_mentions(_mat(spark, sf)), AS_OF, mode="observed")
 
 
 @register("weekly_spikes_intended", _spikes_sql("intended"))
 def q_weekly_spikes_intended(spark, sf):
-    return W.weekly_spikes(_mentions(spark, sf), AS_OF, mode="intended")
+    return W.weekly_spikes(theme_mentions(_mat(spark, sf)), AS_OF, mode="intended")
 
 
 @register(
@@ -443,8 +442,8 @@ def q_weekly_spikes_intended(spark, sf):
     ),
 )
 def q_weekly_product(spark, sf):
-    r = _reviews(spark, sf)
-    return W.weekly_product(r, _mentions(spark, sf), _products(spark, sf), AS_OF)
+    r = _mat(spark, sf)
+    return W.weekly_product(r, theme_mentions(r), _products(spark, sf), AS_OF)
 
 
 @register(
@@ -1192,7 +1191,8 @@ def q_report_lines(spark, sf):
     """K9: the global action report as ordered lines."""
     from revq.plans.reports import global_report_lines
 
-    return global_report_lines(_reviews(spark, sf), _mentions(spark, sf), _products(spark, sf), QUOTE_PRODUCT)
+    r = _mat(spark, sf, with_text=True)
+    return global_report_lines(r, theme_mentions(r), _products(spark, sf), QUOTE_PRODUCT)
 
 
 @register("weekly_report_lines")
@@ -1200,7 +1200,8 @@ def q_weekly_report_lines(spark, sf):
     """K7/K8: the weekly change report as ordered lines."""
     from revq.plans.reports import weekly_report_lines
 
-    return weekly_report_lines(_reviews(spark, sf), _mentions(spark, sf), _products(spark, sf), AS_OF)
+    r = _mat(spark, sf)
+    return weekly_report_lines(r, theme_mentions(r), _products(spark, sf), AS_OF)
 
 
 # ============================================================ stored tables

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from revq.operators.classify import classify_rules
 from revq.operators.dedup import first_per_key
 from revq.operators.mentions import theme_mentions
-from revq.sources.fixtures import reviews_in, spread
+from revq.sources.fixtures import reviews_in, scan_partitions, spread
 
 
 def classify_processed(store: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def classify_processed(store: DataFrame) -> DataFrame:
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row per key of the batch (the store after one load), spread for
     the text rules that follow."""
-    return spread(first_per_key(reviews_in(spark, sf_dir)), "arrival_seq")
+    batch = reviews_in(spark, sf_dir)
+    return spread(first_per_key(batch), "arrival_seq", scan_partitions(batch))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,3 +46,26 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return theme_mentions(reviews(spark, sf_dir))
+
+
+# columns the report sections need; text only where quotes are rendered
+REPORT_COLS = [
+    "arrival_seq", "review_id", "product_id", "source", "rating", "date",
+    "ingested_at", "processed", "sentiment", "themes",
+]
+
+
+def materialized_reviews(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """The classified store written once to the shared checkpoint folder.
+
+    Queries that read the store in several branches (summary + trends +
+    dimension, this week + last week, every report section) reuse it instead
+    of re-reading and re-classifying the text per branch. ``checkpoint`` is
+    reliable (files under ``spark.checkpoint.dir``), so the lineage is cut and
+    a lost executor does not force the text pipeline to rerun.
+    """
+    from revq.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    cols = REPORT_COLS + (["text"] if with_text else [])
+    return reviews(spark, sf_dir).select(*cols).checkpoint(eager=True)

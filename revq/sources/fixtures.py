@@ -31,18 +31,28 @@ def reviews_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_documents(d)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, input_partitions: int | None = None) -> DataFrame:
     """Hash-spread a text-heavy relation that sits in fewer partitions than
     the cluster has cores (e.g. one large row group read by one task), so the
     CPU-bound text rules downstream run in parallel. On a large input (many
     files, many splits) this is a no-op: no extra shuffle is added.
+
+    Pass ``input_partitions`` (taken from a scan-only plan) when ``df`` has
+    exchanges: asking an adaptive plan for its partitions would run its
+    shuffle stages ahead of the query.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    have = input_partitions if input_partitions is not None else df.rdd.getNumPartitions()
+    if have >= want:
         return df
     return df.repartition(want, key)
 
 
+def scan_partitions(df: DataFrame) -> int:
+    """Partitions of a scan-only plan (planning only, no job)."""
+    return df.rdd.getNumPartitions()
+
+
 def from_documents(d: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     b = F.when(doc % 10 >= 7, doc - 7).otherwise(doc)
