@@ -8,8 +8,10 @@ becomes three append-only tables under one folder:
 * ``review_analysis`` analysis rows; the latest per ``review_id`` wins;
 * ``ingestion_log`` one row per (load, product).
 
-A load writes only its own ``load=<id>`` folders with overwrite and reads
-the store without them, so re-running a failed load is idempotent.
+A load writes only its own ``load=<id>`` folders and reads the store
+without them. A folder with ``_SUCCESS`` is committed: re-running that load
+is a no-op; a folder without it (a failed attempt) is overwritten. So a load
+can be retried after any executor or driver loss without duplicating rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def committed(spark: SparkSession, folder: str) -> bool:
+    return _exists(spark, f"{folder}/_SUCCESS")
+
+
 @dataclass
 class ReviewStore:
     spark: SparkSession
@@ -54,10 +60,14 @@ class ReviewStore:
 
     def append(self, batch: DataFrame, load: int, run_ts: str) -> DataFrame:
         """De-duplicating append of one load; returns the ingestion-log rows."""
-        stored = self.raw(exclude_load=load)
-        accepted = dedup_append(batch, stored)
         out = f"{self.raw_path}/load={load}"
-        accepted.write.mode("overwrite").partitionBy("product_id").parquet(out)
+        log_out = f"{self.log_path}/load={load}"
+        if committed(self.spark, out) and committed(self.spark, log_out):
+            return self.spark.read.parquet(log_out)
+        if not committed(self.spark, out):
+            stored = self.raw(exclude_load=load)
+            accepted = dedup_append(batch, stored)
+            accepted.write.mode("overwrite").partitionBy("product_id").parquet(out)
         new = self.spark.read.parquet(out).groupBy("product_id").agg(F.count(F.lit(1)).alias("new_reviews"))
         total = self.raw().groupBy("product_id").agg(F.count(F.lit(1)).alias("total_reviews"))
         log = new.join(total, "product_id", "right").select(
@@ -66,12 +76,15 @@ class ReviewStore:
             F.coalesce("new_reviews", F.lit(0)).cast("long").alias("new_reviews"),
             "total_reviews",
         )
-        log.write.mode("overwrite").parquet(f"{self.log_path}/load={load}")
-        return self.spark.read.parquet(f"{self.log_path}/load={load}")
+        log.write.mode("overwrite").parquet(log_out)
+        return self.spark.read.parquet(log_out)
 
     def analyse(self, load: int, predicate: str | None = None, scorer=None) -> None:
         """Classify the reviews that have no analysis yet (optionally a subset
         by predicate) and append the rows (W3)."""
+        out = f"{self.analysis_path}/load={load}"
+        if committed(self.spark, out):
+            return
         raw = self.raw()
         if _exists(self.spark, self.analysis_path):
             done = self.spark.read.parquet(self.analysis_path).filter(F.col("load") != load).select("review_id")
@@ -79,7 +92,7 @@ class ReviewStore:
         if predicate:
             raw = raw.filter(predicate)
         a = classify_batch(raw, scorer=scorer)
-        a.write.mode("overwrite").parquet(f"{self.analysis_path}/load={load}")
+        a.write.mode("overwrite").parquet(out)
 
     def reviews(self) -> DataFrame:
         """The ``reviews`` view: raw LEFT JOIN latest analysis."""

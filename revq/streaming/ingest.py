@@ -7,9 +7,10 @@ weekly re-ingest. Each micro-batch (``foreachBatch``):
 
 1. de-duplicates against everything ever stored (``dedup_append``: the
    unbounded key memory lives in the store table, not in state);
-2. writes the accepted rows to ``store/epoch=<id>`` with overwrite, so a
-   retried epoch replaces its own output instead of appending twice (the
-   store read excludes the epoch being written);
+2. writes the accepted rows to ``store/epoch=<id>``; a replayed epoch whose
+   folder is committed (``_SUCCESS``) is skipped, a partial one is
+   overwritten, and the store read excludes the epoch being written, so an
+   epoch retried after a failure never appends twice;
 3. optionally classifies the accepted rows and writes
    ``analysis/epoch=<id>`` the same way.
 
@@ -52,12 +53,15 @@ class ReviewStream:
         return s.filter(F.col("epoch") != exclude_epoch)
 
     def _batch(self, df: DataFrame, epoch_id: int) -> None:
+        from revq.sources.store import committed
+
         spark = df.sparkSession
-        store = self._store_df(spark, epoch_id)
-        accepted = dedup_append(df, store)
         out = f"{self.store}/epoch={epoch_id}"
-        accepted.write.mode("overwrite").parquet(out)
-        if self.analysis is not None:
+        if not committed(spark, out):  # a replayed epoch that already committed is skipped
+            store = self._store_df(spark, epoch_id)
+            accepted = dedup_append(df, store)
+            accepted.write.mode("overwrite").parquet(out)
+        if self.analysis is not None and not committed(spark, f"{self.analysis}/epoch={epoch_id}"):
             acc = spark.read.parquet(out)
             if self.classify_filter:
                 acc = acc.filter(self.classify_filter)
