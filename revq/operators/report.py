@@ -205,3 +205,18 @@ def theme_table(trends: DataFrame) -> DataFrame:
         "avg_rating",
         "first_seen",
     )
+
+
+def exec_summary_long(summary: DataFrame) -> DataFrame:
+    """The executive table as (metric, product_id, value) — one row per
+    cell. Long form keeps the schema fixed however many products exist; a
+    display layer pivots it."""
+    return summary.select(
+        "product_id",
+        F.expr(
+            "stack(5, 'total_reviews', cast(total_reviews as string), "
+            "'avg_rating', concat(cast(avg_rating as string), '/5'), "
+            "'positive_pct', concat(cast(positive_pct as string), '%'), "
+            "'top_complaint', top_complaint, 'top_praise', top_praise) as (metric, value)"
+        ),
+    )

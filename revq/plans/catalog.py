@@ -288,6 +288,24 @@ def q_exec_summary(spark, sf):
     return R.exec_summary(r, theme_trends(theme_mentions(r), by=["product_id"]), _products(spark, sf))
 
 
+@register(
+    "exec_summary_long",
+    with_base(
+        """SELECT metric, product_id, value FROM (
+             SELECT 'total_reviews' AS metric, s.product_id, CAST(s.total_reviews AS VARCHAR) AS value FROM psum s
+             UNION ALL SELECT 'avg_rating', s.product_id, concat(CAST(s.avg_rating AS VARCHAR), '/5') FROM psum s
+             UNION ALL SELECT 'positive_pct', s.product_id, concat(CAST(s.positive_pct AS VARCHAR), '%') FROM psum s
+             UNION ALL SELECT 'top_complaint', t.product_id, t.top_complaint FROM topc t
+             UNION ALL SELECT 'top_praise', t.product_id, t.top_praise FROM topc t) u""",
+        PRODUCT_SUMMARY_SQL + ",\n" + TOP_SQL,
+    ),
+)
+def q_exec_summary_long(spark, sf):
+    r = _mat(spark, sf)
+    s = R.exec_summary(r, theme_trends(theme_mentions(r), by=["product_id"]), _products(spark, sf))
+    return R.exec_summary_long(s).select("metric", "product_id", "value")
+
+
 QUOTES_SQL = """quotes AS (
   SELECT f.product_id, f.theme, f.sentiment,
          CASE WHEN r.text IS NOT NULL AND r.text <> ''

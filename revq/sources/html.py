@@ -10,6 +10,7 @@ keys, cut-off, frontier) is Column expressions.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revq.functions.dates import normalize_date
-from revq.functions.keys import clean_title, parse_rating, review_key, url_base, url_page_no, url_tail
+from revq.functions.keys import ASIN_RE, clean_title, parse_rating, review_key, url_base, url_page_no, url_tail
 
 # --- fixed values: selector rule sets ---------------------------------------
 # Each selector: (tag, attribute, kind, value); kind is "eq" (one token or
@@ -64,6 +65,15 @@ RULES = {"amazon": MARKETPLACE_A, "flipkart": MARKETPLACE_B, "article": ARTICLE}
 ANONYMOUS = "anonymous"
 # --- end of fixed values ---------------------------------------------------
 
+# The page parser runs in Python workers. Ship this module's code with the
+# task (by value) so executors do not need the package installed.
+try:
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # older cloudpickle: rely on --py-files
+    pass
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIP_TEXT = {"script", "style", "template"}
 CLOSES_P = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "nav", "header", "footer"}
@@ -294,11 +304,35 @@ def page_cutoff(listing: DataFrame) -> DataFrame:
     ).drop("first_empty")
 
 
+def page_url(url: F.Column, page: F.Column) -> F.Column:
+    """URL of review page ``page`` for a listing URL.
+
+    * a product URL with a 10-character product code (``/dp/<code>``):
+      the reviews listing of that code on the same origin, ``pageNumber=n``;
+    * a reviews URL that already carries ``pageNumber=``: the number replaced;
+    * a reviews URL (``product-reviews``) without it: ``pageNumber=n`` added;
+    * anything else: query dropped, ``?page=n`` added.
+    """
+    origin = F.regexp_extract(url, r"^([a-z]+://[^/]+)", 1)
+    code = F.regexp_extract(url, ASIN_RE, 1)
+    n = page.cast("string")
+    sep = F.when(url.contains("?"), F.lit("&")).otherwise(F.lit("?"))
+    return (
+        F.when(
+            ~url.contains("product-reviews") & (code != ""),
+            F.concat(origin, F.lit("/product-reviews/"), code, F.lit("?pageNumber="), n),
+        )
+        .when(url.rlike(r"pageNumber=\d+"), F.regexp_replace(url, r"pageNumber=\d+", F.concat(F.lit("pageNumber="), n)))
+        .when(url.contains("product-reviews"), F.concat(url, sep, F.lit("pageNumber="), n))
+        .otherwise(F.concat(F.regexp_replace(url, r"\?.*$", ""), F.lit("?page="), n))
+    )
+
+
 def crawl_frontier(pages: DataFrame, max_pages: int = 10) -> DataFrame:
-    """Page URLs 1..max_pages for every listing (S4, marketplace-B form:
-    strip the query, add ``?page=n``)."""
+    """Page URLs 1..max_pages for every listing (S4). A listing is a URL
+    without query or fragment; the per-page URL follows ``page_url``."""
     base = pages.select(url_base("url").alias("listing")).distinct()
     return base.select(
         "listing",
         F.explode(F.sequence(F.lit(1), F.lit(max_pages))).alias("page_no"),
-    ).withColumn("page_url", F.format_string("%s?page=%d", "listing", "page_no"))
+    ).withColumn("page_url", page_url(F.col("listing"), F.col("page_no")))

@@ -63,3 +63,23 @@ def test_router(spark):
     )
     got = [r.template for r in route_questions(qs).collect()]
     assert got == ["theme_by_sentiment", "complaints_by_product", "one_star_reasons", "praise_by_product", "total_reviews", "total_reviews"]
+
+
+def test_page_urls(spark):
+    from pyspark.sql import functions as F
+
+    from revq.sources.html import page_url
+
+    rows = [
+        ("https://shop.example/Some-Buds/dp/B0ABCDEFGH/ref=x?th=1",),
+        ("https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=4&sort=new",),
+        ("https://shop.example/product-reviews/B0ABCDEFGH",),
+        ("https://b.example/item/reviews?pid=7&page=9",),
+    ]
+    got = [r[0] for r in spark.createDataFrame(rows, "u string").select(page_url(F.col("u"), F.lit(2))).collect()]
+    assert got == [
+        "https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=2",
+        "https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=2&sort=new",
+        "https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=2",
+        "https://b.example/item/reviews?page=2",
+    ]
