@@ -105,14 +105,15 @@ def first_quotes(mentions: DataFrame, text_source: DataFrame, by: list[str]) ->
 
     One grouped pass: ``min(arrival_seq)`` per group (hash aggregate), then
     the text is fetched by key. The group table has at most
-    products x themes x sentiments rows; AQE turns the fetch into a
-    broadcast join once that size is measured.
+    products x themes x sentiments rows and every key exists in the store,
+    so the fetch is an inner join that broadcasts the group table after its
+    size is checked; the text side is streamed, never shuffled.
     """
     firsts = mentions.filter(F.col("sentiment").isNotNull()).groupBy(*by, "theme", "sentiment").agg(
         F.min("arrival_seq").alias("arrival_seq")
     )
     texts = text_source.select("arrival_seq", "text")
-    j = firsts.join(texts, "arrival_seq", "left")
+    j = join_dimension(texts, firsts, "arrival_seq", "inner", max_rows=1_000_000)
     q = F.when(
         F.col("text").isNotNull() & (F.col("text") != ""), truncate("text", QUOTE_CHARS)
     ).otherwise(F.lit(NO_QUOTE))
