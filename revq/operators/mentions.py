@@ -98,3 +98,10 @@ def theme_sentiment(mentions: DataFrame, by: list[str] | None = None) -> DataFra
 def theme_by_source(mentions: DataFrame) -> DataFrame:
     """Theme x source counts, for claims tagged '(source, n=X)' (Z7)."""
     return mentions.groupBy("theme", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def themes_from_json(col: str = "themes_json") -> F.Column:
+    """ARRAY<STRING> from stored JSON text; NULL, '' and invalid JSON give NULL
+    (such rows are skipped by ``theme_mentions``, as the reference does)."""
+    c = F.col(col)
+    return F.when(c.isNotNull() & (c != ""), F.from_json(c, "array<string>"))

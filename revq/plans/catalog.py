@@ -78,6 +78,43 @@ def q_theme_trends_since(spark, sf):
     return theme_trends(m).select(*TREND_COLS.split(", "))
 
 
+@register(
+    "theme_trends_since_intended",
+    with_base(
+        f"SELECT {TREND_COLS} FROM ({trends_sql(src='m2')}) t",
+        f"m2 AS (SELECT * FROM mentions WHERE TRY_CAST(date AS DATE) >= DATE '{SINCE}')",
+    ),
+)
+def q_theme_trends_since_intended(spark, sf):
+    m = filter_mentions(_mentions(spark, sf), since=SINCE, mode="intended")
+    return theme_trends(m).select(*TREND_COLS.split(", "))
+
+
+@register(
+    "theme_trends_json",
+    with_base(
+        f"SELECT {TREND_COLS} FROM ({trends_sql(src='mj')}) t",
+        "mj AS (SELECT * FROM mentions WHERE arrival_seq % 13 NOT IN (5, 7, 11))",
+    ),
+)
+def q_theme_trends_json(spark, sf):
+    """Themes stored as JSON text, as the reference keeps them; some rows hold
+    '', invalid JSON or NULL (by arrival) and are skipped."""
+    from revq.operators.mentions import themes_from_json
+
+    r = _reviews(spark, sf)
+    v = F.col("arrival_seq") % 13
+    js = (
+        F.when(v == 5, F.lit(""))
+        .when(v == 7, F.lit("[not json"))
+        .when(v == 11, F.lit(None).cast("string"))
+        .otherwise(F.to_json("themes"))
+    )
+    stored = r.withColumn("themes_json", js).drop("themes")
+    back = stored.withColumn("themes", themes_from_json("themes_json"))
+    return theme_trends(theme_mentions(back)).select(*TREND_COLS.split(", "))
+
+
 @register(
     "theme_sentiment",
     with_base(
