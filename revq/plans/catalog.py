@@ -397,7 +397,7 @@ def _top_sql(col: str, k: int, cols: str, drop_zero: bool = True) -> str:
     order = f"{col} DESC, mentions DESC, first_seen" if col != "mentions" else "mentions DESC, first_seen"
     return with_base(
         f"""SELECT {cols} FROM (
-              SELECT *, row_number() OVER (ORDER BY {order}) AS rank
+              SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank
               FROM ({trends_sql()}) t ORDER BY {order} LIMIT {k}) x {where}"""
     )
 
@@ -419,7 +419,7 @@ def q_faq(spark, sf):
 
 def _escalation_sql(cond: str, k: int) -> str:
     return with_base(
-        f"""SELECT row_number() OVER (ORDER BY cnt DESC, themes_label) AS rank, themes_label, cnt FROM (
+        f"""SELECT CAST(row_number() OVER (ORDER BY cnt DESC, themes_label) AS INTEGER) AS rank, themes_label, cnt FROM (
               SELECT array_to_string(themes, ', ') AS themes_label, count(*) AS cnt
               FROM reviews WHERE {cond} AND processed = 1 AND themes IS NOT NULL
               GROUP BY themes ORDER BY cnt DESC, themes_label LIMIT {k}) t"""
@@ -1034,7 +1034,7 @@ def q_url_tail(spark, sf):
 
 @register(
     "crawl_frontier",
-    """SELECT listing, p AS page_no, concat(listing, '?page=', CAST(p AS VARCHAR)) AS page_url
+    """SELECT listing, CAST(p AS INTEGER) AS page_no, concat(listing, '?page=', CAST(p AS VARCHAR)) AS page_url
        FROM (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS listing FROM pages) l, range(1, 11) r(p)""",
 )
 def q_crawl_frontier(spark, sf):
