@@ -1,4 +1,4 @@
-"""The batch pipeline as one lazy plan: documents -> reviews -> mentions.
+"""The batch plan as one lazy DataFrame chain: documents -> reviews -> mentions.
 
 ``reviews`` is the store after a de-duplicating load into an empty store,
 with the rows marked processed carrying the rule classifier's labels. The
@@ -62,7 +62,7 @@ def materialized_reviews(spark: SparkSession, sf_dir: str, with_text: bool = Fal
     dimension, this week + last week, every report section) reuse it instead
     of re-reading and re-classifying the text per branch. ``checkpoint`` is
     reliable (files under ``spark.checkpoint.dir``), so the lineage is cut and
-    a lost executor does not force the text pipeline to rerun.
+    a lost executor does not force the text rules to rerun.
     """
     from revq.session import ensure_checkpoint_dir
 

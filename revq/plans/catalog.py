@@ -18,10 +18,10 @@ from revq.operators import weekly as W
 from revq.operators.mentions import filter_mentions, theme_by_source, theme_mentions, theme_sentiment, theme_trends
 from revq.plans import oracle as O
 from revq.plans.oracle import AS_OF, FRESH_AS_OF, PRODUCT, SINCE, pct, trends_sql, with_base
-from revq.plans.pipeline import mentions as _mentions
-from revq.plans.pipeline import reviews as _reviews
-from revq.plans.pipeline import store as _store
-from revq.plans.pipeline import materialized_reviews as _mat
+from revq.plans.base import mentions as _mentions
+from revq.plans.base import reviews as _reviews
+from revq.plans.base import store as _store
+from revq.plans.base import materialized_reviews as _mat
 from revq.sources.fixtures import reviews_in, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1267,7 +1267,7 @@ def q_weekly_report_lines(spark, sf):
 def q_store_roundtrip(spark, sf):
     """Two loads through the persistent store (split at the load date), then
     one analysis run over the processed rows; the view equals the in-memory
-    pipeline."""
+    in-memory plan."""
     from revq.session import scratch_dir
     from revq.sources.store import ReviewStore
 
