@@ -121,10 +121,16 @@ def first_quotes(mentions: DataFrame, text_source: DataFrame, by: list[str]) ->
 
 
 def quote_for(quotes: DataFrame, rows: DataFrame, sentiment: str, product_id: str | None) -> DataFrame:
-    """Attach the quote of (theme, sentiment[, product]) to ``rows``; fallback text."""
+    """Attach the quote of (theme, sentiment[, product]) to ``rows``; fallback text.
+
+    observed: quotes per product, one fixed ``product_id`` picked;
+    intended: ``product_id=None`` with global quotes (``first_quotes(by=[])``).
+    """
     q = quotes.filter(F.col("sentiment") == sentiment)
     if product_id is not None:
         q = q.filter(F.col("product_id") == product_id).drop("product_id")
+    elif "product_id" in q.columns:
+        raise ValueError("without a quote product, pass global quotes: first_quotes(..., by=[])")
     q = q.select("theme", "quote")
     return rows.join(q, "theme", "left").withColumn("quote", F.coalesce("quote", F.lit(NO_QUOTE)))
 

@@ -850,7 +850,9 @@ ADHOC_TEXT = (
 
 @register("adhoc_select", with_base(ADHOC_TEXT.rstrip(";")))
 def q_adhoc_select(spark, sf):
-    return A.adhoc_select(spark, ADHOC_TEXT, {"reviews": _reviews(spark, sf)})
+    r = _reviews(spark, sf)
+    views = {"reviews": r, "theme_mentions": theme_mentions(r), "ingestion_log": S.ingestion_log(r)}
+    return A.adhoc_select(spark, ADHOC_TEXT, views)
 
 
 def _route_sql() -> str:
@@ -1255,8 +1257,8 @@ def q_weekly_report_lines(spark, sf):
     """K7/K8: the weekly change report as ordered lines."""
     from revq.plans.reports import weekly_report_lines
 
-    r = _mat(spark, sf)
-    return weekly_report_lines(r, theme_mentions(r), _products(spark, sf), AS_OF)
+    r = _mat(spark, sf, with_text=True)
+    return weekly_report_lines(r, theme_mentions(r), _products(spark, sf), AS_OF, quote_product=QUOTE_PRODUCT)
 
 
 # ============================================================ stored tables

@@ -34,7 +34,7 @@ def global_report_lines(reviews: DataFrame, mentions: DataFrame, products: DataF
     spark = reviews.sparkSession
     trends = theme_trends(mentions)
     by_product = theme_trends(mentions, by=["product_id"])
-    quotes = R.first_quotes(mentions, reviews, ["product_id"])
+    quotes = R.first_quotes(mentions, reviews, ["product_id"] if quote_product else [])
     ov = S.stats_overview(reviews)
     ext = R.date_extent(reviews)
     # two one-row aggregates side by side
@@ -106,16 +106,37 @@ def global_report_lines(reviews: DataFrame, mentions: DataFrame, products: DataF
     return out
 
 
-def weekly_report_lines(reviews: DataFrame, mentions: DataFrame, products: DataFrame, as_of: str, mode: str = "observed") -> DataFrame:
+def weekly_report_lines(
+    reviews: DataFrame,
+    mentions: DataFrame,
+    products: DataFrame,
+    as_of: str,
+    mode: str = "observed",
+    quote_product: str | None = None,
+) -> DataFrame:
+    """K7/K8 document. Spike lines carry a negative evidence quote; observed
+    mode takes it from one fixed product and for DOWN spikes too, as the
+    reference does (the quote needs ``text`` in ``reviews``)."""
     spark = reviews.sparkSession
     vol = W.weekly_volume(reviews, as_of)
     spikes = W.weekly_spikes(mentions, as_of, mode=mode).filter(F.col("alert").isNotNull())
+    if "text" in reviews.columns:
+        quotes = R.first_quotes(mentions, reviews, ["product_id"] if quote_product else [])
+        spikes = R.quote_for(quotes, spikes, "Negative", quote_product)
+    else:
+        spikes = spikes.withColumn("quote", F.lit(R.NO_QUOTE))
     prod = W.weekly_product(reviews, mentions, products, as_of)
+    action = F.when(F.col("alert") == "UP", F.lit("investigate the cause and prioritise a fix")).otherwise(
+        F.lit("keep monitoring; the trend is improving")
+    )
     spike_line = F.when(
         F.col("alert") == "NEW TREND",
-        F.format_string("**%s - NEW TREND (%d mentions)**", "theme", "this_count"),
+        F.format_string("**%s - NEW TREND (%d mentions)** - not seen last week; monitor", "theme", "this_count"),
     ).otherwise(
-        F.format_string("**%s - %s %d%%** (previous %d, this week %d)", "theme", "alert", F.abs("change_pct"), "prev_count", "this_count")
+        F.format_string(
+            "**%s - %s %d%%** (previous %d, this week %d)\n- Key review: \"%s\"\n- Action: %s",
+            "theme", "alert", F.abs("change_pct"), "prev_count", "this_count", "quote", action,
+        )
     )
     parts = [
         _numbered(vol, 0, [F.lit(1)], F.format_string("# Weekly change report - week of %s\nNew reviews this week: %d | vs last week: %s", "since", "this_week", "change_label")),

@@ -68,3 +68,17 @@ def test_weekly_spikes_rules(spark):
     # observed: the previous window has no upper bound, so it contains this week
     obs = {r.theme: r for r in weekly_spikes(m, "2024-02-27", mode="observed").collect()}
     assert obs["C"].prev_count == 3 and obs["C"].alert is None
+
+
+def test_quotes_observed_and_intended(spark):
+    rows = [
+        (1, "a", "p1", "s", 1, "Negative", "2024-01-01", None, 0, "Call Quality"),
+        (2, "b", "p0", "s", 1, "Negative", "2024-01-01", None, 0, "Call Quality"),
+    ]
+    m = spark.createDataFrame(rows, MENTION_SCHEMA)
+    texts = spark.createDataFrame([(1, "first overall"), (2, "x" * 200)], "arrival_seq long, text string")
+    t = theme_trends(m)
+    obs = R.critical_issues(t, R.first_quotes(m, texts, ["product_id"]), "p0").first()
+    assert obs.quote == "x" * 150 + "…"  # fixed product p0, truncated with an ellipsis
+    intended = R.critical_issues(t, R.first_quotes(m, texts, []), None).collect()
+    assert [r.quote for r in intended] == ["first overall"]  # one row, first arrival overall
