@@ -48,8 +48,3 @@ def signed_pct_label(pct: ColumnOrName) -> Column:
     """'+12%' / '-5%' / '+0%'."""
     p = _c(pct)
     return F.concat(F.when(p >= 0, F.lit("+")).otherwise(F.lit("")), p.cast("string"), F.lit("%"))
-
-
-def fmt_number(x: ColumnOrName) -> Column:
-    """Python-style str() of a rounded double: 2.0 -> '2.0', 2.75 -> '2.75'."""
-    return _c(x).cast("string")
