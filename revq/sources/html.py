@@ -241,10 +241,17 @@ def _extract_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def extract_raw(pages: DataFrame) -> DataFrame:
-    """One row per review container; pages of unknown source give nothing."""
+    """One row per review container; pages of unknown source give nothing.
+
+    Pages are spread over the cluster first when the scan yields fewer
+    partitions than cores, so the Python parse runs in parallel.
+    """
+    from revq.sources.fixtures import spread
+
     if "source" not in pages.columns:
         pages = pages.withColumn("source", F.lit("article"))
-    return pages.select("page_id", "url", "html", "source").mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+    p = spread(pages.select("page_id", "url", "html", "source"), "page_id")
+    return p.mapInPandas(_extract_batches, EXTRACT_SCHEMA)
 
 
 def extract_reviews(pages: DataFrame, product_id=None) -> DataFrame:
