@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revq.functions.dates import normalize_date
+from revq.functions.text import py_strip
 from revq.functions.keys import ASIN_RE, clean_title, parse_rating, review_key, url_base, url_page_no, url_tail
 
 # --- fixed values: selector rule sets ---------------------------------------
@@ -35,6 +36,8 @@ MARKETPLACE_A = {
     "author_link": [("a", "class", "re", "author")],
     "author_name": [("span", "class", "eq", "a-profile-name")],
     "drop": [],
+    "strip_star_title": True,
+    "rating_first_token": True,
 }
 MARKETPLACE_B = {
     "containers": [
@@ -210,6 +213,8 @@ def extract_page(html: str, rules: dict) -> list[dict]:
         out.append(
             {
                 "pos": i,
+                "strip_star_title": bool(rules.get("strip_star_title")),
+                "rating_first_token": bool(rules.get("rating_first_token")),
                 "star_text": star.text() if star is not None else None,
                 "title": title.text() if title is not None else "",
                 "text": body,
@@ -222,7 +227,8 @@ def extract_page(html: str, rules: dict) -> list[dict]:
 
 
 EXTRACT_SCHEMA = (
-    "page_id long, url string, source string, pos int, star_text string, title string, "
+    "page_id long, url string, source string, pos int, strip_star_title boolean, rating_first_token boolean, "
+    "star_text string, title string, "
     "text string, raw_date string, author string, author_kind string"
 )
 
@@ -260,7 +266,13 @@ def extract_reviews(pages: DataFrame, product_id=None) -> DataFrame:
     (tail of the author link, else the profile name, else 'anonymous'),
     review key. ``product_id`` defaults to the listing URL (no query)."""
     raw = extract_raw(pages)
-    rating = F.when(F.col("star_text").isNull(), F.lit(0)).otherwise(parse_rating("star_text"))
+    whole = py_strip("star_text").try_cast("double")
+    whole_int = F.when(F.isnan(whole) | (F.abs(whole) == float("inf")), F.lit(None)).otherwise(whole.cast("int"))
+    rating = (
+        F.when(F.col("star_text").isNull(), F.lit(0))
+        .when(F.col("rating_first_token"), parse_rating("star_text"))
+        .otherwise(whole_int)
+    )
     reviewer = F.when(F.col("author_kind") == "link", url_tail("author")).otherwise(F.col("author"))
     prod = F.lit(product_id) if isinstance(product_id, str) else (product_id if product_id is not None else url_base("url"))
     typed = raw.select(
@@ -270,7 +282,7 @@ def extract_reviews(pages: DataFrame, product_id=None) -> DataFrame:
         prod.alias("product_id"),
         "source",
         rating.alias("rating"),
-        clean_title("title").alias("title"),
+        F.when(F.col("strip_star_title"), clean_title("title")).otherwise(F.col("title")).alias("title"),
         "text",
         normalize_date("raw_date").alias("date"),
         reviewer.alias("reviewer_id"),

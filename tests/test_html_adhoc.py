@@ -83,3 +83,15 @@ def test_page_urls(spark):
         "https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=2",
         "https://b.example/item/reviews?page=2",
     ]
+
+
+def test_star_title_cleanup_only_for_marketplace_a(spark):
+    page_b = PAGE_B.replace('<p class="z9E0IG">Okay</p>', '<p class="z9E0IG">5 out of 5 stars Okay</p>')
+    pages = spark.createDataFrame([(3, "https://b.example/p", page_b, "flipkart")], "page_id long, url string, html string, source string")
+    assert [r.title for r in extract_reviews(pages).collect()] == ["5 out of 5 stars Okay"]
+
+
+def test_rating_whole_text_for_marketplace_b(spark):
+    page_b = PAGE_B.replace('<div class="XQDdHH">3</div>', '<div class="XQDdHH">4 stars</div>')
+    pages = spark.createDataFrame([(4, "https://b.example/p", page_b, "flipkart")], "page_id long, url string, html string, source string")
+    assert extract_reviews(pages).count() == 0  # int(float("4 stars")) fails: the review is dropped
