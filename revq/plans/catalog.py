@@ -857,7 +857,7 @@ def q_adhoc_select(spark, sf):
 
 def _route_sql() -> str:
     arms = []
-    for name, all_of, any_of in A.ROUTES:
+    for name, all_of, any_of in A.routes("product 1"):
         c = " AND ".join(f"contains(lower(text), {O._lit(s)})" for s in all_of)
         if any_of:
             c += " AND (" + " OR ".join(f"contains(lower(text), {O._lit(s)})" for s in any_of) + ")"
