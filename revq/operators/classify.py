@@ -135,3 +135,24 @@ def batch_align(assign: DataFrame, answers: DataFrame) -> DataFrame:
     return j.select("batch_id", "pos", "review_id", a.alias("a")).select(
         "batch_id", "pos", "review_id", "a.sentiment", "a.themes", "a.confidence", "a.fallback"
     )
+
+
+def unprocessed(
+    reviews: DataFrame,
+    analysis: DataFrame | None = None,
+    product_id: str | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """Reviews still to analyse.
+
+    With an ``analysis`` table this is a ``left_anti`` join on the key (both
+    sides key-unique after ``latest_analysis``); otherwise the ``processed``
+    flag. ``limit`` (the reference's work cap) is optional and, unlike the
+    reference, ordered by arrival so the cut is deterministic.
+    """
+    r = reviews if product_id is None else reviews.filter(F.col("product_id") == product_id)
+    if analysis is not None:
+        r = r.join(latest_analysis(analysis).select("review_id"), "review_id", "left_anti")
+    else:
+        r = r.filter(F.col("processed") == 0)
+    return r.orderBy("arrival_seq").limit(limit) if limit is not None else r

@@ -431,6 +431,20 @@ def q_escalation(spark, sf):
     return R.escalation_patterns(_reviews(spark, sf))
 
 
+@register(
+    "escalation_patterns_canonical",
+    with_base(
+        """SELECT CAST(row_number() OVER (ORDER BY cnt DESC, themes_label) AS INTEGER) AS rank, themes_label, cnt FROM (
+              SELECT array_to_string(list_sort(themes), ', ') AS themes_label, count(*) AS cnt
+              FROM reviews WHERE rating <= 2 AND processed = 1 AND themes IS NOT NULL
+              GROUP BY list_sort(themes) ORDER BY cnt DESC, themes_label LIMIT 5) t"""
+    ),
+)
+def q_escalation_canonical(spark, sf):
+    """A13 with order-insensitive theme sets (the same set is one group)."""
+    return R.escalation_patterns(_reviews(spark, sf), canonical=True)
+
+
 # ---------------------------------------------------------------------- weekly
 SINCE_W, PREV_W = W.week_bounds(AS_OF)
 
@@ -613,7 +627,9 @@ def q_scan_product(spark, sf):
 
 @register("unprocessed", with_base("SELECT review_id, product_id, arrival_seq FROM reviews WHERE processed = 0"))
 def q_unprocessed(spark, sf):
-    return _reviews(spark, sf).filter(F.col("processed") == 0).select("review_id", "product_id", "arrival_seq")
+    from revq.operators.classify import unprocessed
+
+    return unprocessed(_reviews(spark, sf)).select("review_id", "product_id", "arrival_seq")
 
 
 RUNLOG_SQL = """rl AS (
