@@ -898,6 +898,8 @@ def q_answer_lines(spark, sf):
     """Routed user turns joined to the grounded answer of their template."""
     c = A.route_questions(table(spark, sf, "conversations").filter(F.col("role") == "user"))
     answers = A.answer_lines(_reviews(spark, sf), ANSWER_PARAMS)
+    # answers has at most one row per template (5 one-row aggregates): a
+    # bound fixed by construction, so the broadcast needs no size check
     return c.select("conv_id", "turn", "template").join(F.broadcast(answers), "template", "left")
 
 
