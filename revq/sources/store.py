@@ -39,6 +39,25 @@ def committed(spark: SparkSession, folder: str) -> bool:
 class ReviewStore:
     spark: SparkSession
     root: str
+    # keep a copy of the stored keys bucketed by review_id (external table in
+    # the store folder); the anti join of the next load then reads the keys
+    # already partitioned by review_id and only the batch side is shuffled
+    key_buckets: int | None = None
+    key_table: str | None = None
+
+    def __post_init__(self):
+        if self.key_buckets:
+            import hashlib
+
+            self.key_table = self.key_table or "revq_keys_" + hashlib.md5(self.root.encode()).hexdigest()[:12]
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {self.key_table} (review_id STRING) USING parquet "
+                f"CLUSTERED BY (review_id) INTO {self.key_buckets} BUCKETS LOCATION '{self.keys_path}'"
+            )
+
+    @property
+    def keys_path(self) -> str:
+        return f"{self.root}/review_keys"
 
     @property
     def raw_path(self) -> str:
@@ -66,8 +85,13 @@ class ReviewStore:
             return self.spark.read.parquet(log_out)
         if not committed(self.spark, out):
             stored = self.raw(exclude_load=load)
+            if self.key_buckets and stored is not None:
+                stored = self.spark.table(self.key_table)
             accepted = dedup_append(batch, stored)
             accepted.write.mode("overwrite").partitionBy("product_id").parquet(out)
+            if self.key_buckets:
+                # keys of this load only; a replayed load skips this branch
+                self.spark.read.parquet(out).select("review_id").write.mode("append").insertInto(self.key_table)
         new = self.spark.read.parquet(out).groupBy("product_id").agg(F.count(F.lit(1)).alias("new_reviews"))
         total = self.raw().groupBy("product_id").agg(F.count(F.lit(1)).alias("total_reviews"))
         log = new.join(total, "product_id", "right").select(

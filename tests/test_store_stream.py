@@ -49,3 +49,24 @@ def test_stream_equals_batch(spark):
     want = sorted((r.review_id, r.arrival_seq) for r in first_per_key(b).collect())
     assert got == want
     assert sorted(r.review_id for r in rs.analysed(spark).collect()) == ["a", "b", "d"]
+
+
+def test_bucketed_keys_avoid_store_shuffle(spark):
+    from revq.operators.dedup import dedup_append
+
+    st = ReviewStore(spark, tempfile.mkdtemp(prefix="revq-bstore-"), key_buckets=8)
+    b = _rows(spark)
+    st.append(b.filter("arrival_seq <= 3"), 1, "2024-01-01 00:00:00")
+    st.append(b.filter("arrival_seq > 3"), 2, "2024-01-08 00:00:00")
+    assert sorted((r.review_id, r.arrival_seq) for r in st.raw().collect()) == [("a", 1), ("b", 2), ("c", 4), ("d", 6)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = dedup_append(b, spark.table(st.key_table))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = [l for l in plan.split("\n") if l.strip()]
+    i = next(k for k, l in enumerate(lines) if st.key_table in l and "FileScan" in l)
+    assert "Bucketed: true" in lines[i]
+    assert "Exchange" not in lines[i - 1]  # the key side is not shuffled
