@@ -47,9 +47,16 @@ def _scalar_literal(body: Column, key: str, pattern: str) -> Column:
     return body.rlike(r'"' + key + r'"\s*:\s*(' + pattern + ")")
 
 
+def quote_non_finite(body: Column) -> Column:
+    """Python's JSON reader accepts bare NaN / Infinity / -Infinity values;
+    quote them so Spark's reader accepts the object and the number is read
+    by ``try_cast`` (which understands those spellings)."""
+    return F.regexp_replace(body, r":\s*(-?Infinity|NaN)(\s*[,}\]])", ':"$1"$2')
+
+
 def sanitize_answer(raw: ColumnOrName) -> Column:
     """STRUCT<sentiment, themes ARRAY<STRING>, confidence DOUBLE, fallback BOOLEAN>."""
-    body = strip_fence(raw)
+    body = quote_non_finite(strip_fence(raw))
     keys = F.json_object_keys(body)
     p = F.from_json(body, FIELDS)
     has_themes = F.array_contains(keys, "themes")

@@ -97,6 +97,8 @@ def test_sanitize_answers(spark):
         ('{"confidence":7}', ("Neutral", ["Sound Quality"], 1.0, False)),
         ('[{"sentiment":"Positive"}]', ("Neutral", ["Sound Quality"], 0.1, True)),
         ("not json", ("Neutral", ["Sound Quality"], 0.1, True)),
+        ('{"confidence": NaN}', ("Neutral", ["Sound Quality"], 1.0, False)),
+        ('{"confidence": -Infinity, "sentiment": "Positive"}', ("Positive", ["Sound Quality"], 0.0, False)),
     ]
     got = _one(spark, [(c[0],) for c in cases], "raw string", sanitize_answer("raw"))
     assert [tuple(g) for g in got] == [c[1] for c in cases]
