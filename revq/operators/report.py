@@ -227,3 +227,12 @@ def exec_summary_long(summary: DataFrame) -> DataFrame:
             "'top_complaint', top_complaint, 'top_praise', top_praise) as (metric, value)"
         ),
     )
+
+
+def exec_summary_wide(long: DataFrame, product_ids: list[str]) -> DataFrame:
+    """J7 display form: one row per metric, one column per product.
+
+    The product list is passed in (from the product dimension), so the pivot
+    needs no extra job to discover values and the schema is known up front.
+    """
+    return long.groupBy("metric").pivot("product_id", product_ids).agg(F.first("value"))

@@ -343,6 +343,28 @@ def q_exec_summary_long(spark, sf):
     return R.exec_summary_long(s).select("metric", "product_id", "value")
 
 
+FIXTURE_PRODUCTS = ['prod_0', 'prod_1', 'prod_2', 'prod_3']
+
+
+@register(
+    "exec_summary_wide",
+    with_base(
+        """SELECT metric, max(CASE WHEN product_id = 'prod_0' THEN value END) AS prod_0, max(CASE WHEN product_id = 'prod_1' THEN value END) AS prod_1, max(CASE WHEN product_id = 'prod_2' THEN value END) AS prod_2, max(CASE WHEN product_id = 'prod_3' THEN value END) AS prod_3 FROM (
+             SELECT 'total_reviews' AS metric, s.product_id, CAST(s.total_reviews AS VARCHAR) AS value FROM psum s
+             UNION ALL SELECT 'avg_rating', s.product_id, concat(CAST(s.avg_rating AS VARCHAR), '/5') FROM psum s
+             UNION ALL SELECT 'positive_pct', s.product_id, concat(CAST(s.positive_pct AS VARCHAR), '%') FROM psum s
+             UNION ALL SELECT 'top_complaint', t.product_id, t.top_complaint FROM topc t
+             UNION ALL SELECT 'top_praise', t.product_id, t.top_praise FROM topc t) u GROUP BY metric""",
+        PRODUCT_SUMMARY_SQL + ",\n" + TOP_SQL,
+    ),
+)
+def q_exec_summary_wide(spark, sf):
+    """The two-column summary table of the reference, one column per product
+    (the fixture's products are the four derived ids)."""
+    long = q_exec_summary_long(spark, sf)
+    return R.exec_summary_wide(long, FIXTURE_PRODUCTS)
+
+
 QUOTES_SQL = """quotes AS (
   SELECT f.product_id, f.theme, f.sentiment,
          CASE WHEN r.text IS NOT NULL AND r.text <> ''
