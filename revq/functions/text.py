@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ColumnOrName = Column | str
+from revq.schema import ELLIPSIS
 
-ELLIPSIS = "…"
+ColumnOrName = Column | str
 
 
 def _c(x: ColumnOrName) -> Column:

@@ -13,10 +13,8 @@ from pyspark.sql.window import Window
 
 from revq.functions.text import safe_pct, truncate
 from revq.operators.joins import join_dimension
-from revq.schema import CRITICAL_NEG_SHARE, WIN_POS_SHARE
+from revq.schema import CRITICAL_NEG_SHARE, NO_QUOTE, NO_VALUE, QUOTE_CHARS, WIN_POS_SHARE
 
-NO_QUOTE = "No matching review found."
-QUOTE_CHARS = 150
 
 
 def trend_order() -> list:
@@ -81,7 +79,7 @@ def top_theme_for(trends_by_product: DataFrame, products: DataFrame, sentiment_c
         .select("product_id", F.col("theme").alias(out))
     )
     return join_dimension(products.select("product_id"), best, "product_id", "left", max_rows=None).select(
-        "product_id", F.coalesce(out, F.lit("N/A")).alias(out)
+        "product_id", F.coalesce(out, F.lit(NO_VALUE)).alias(out)
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from revq.functions.text import signed_pct_label
 from revq.operators.joins import join_dimension
 from revq.operators.mentions import filter_mentions, theme_trends
-from revq.schema import NEW_TREND_MIN, SPIKE_PCT
+from revq.schema import NEW_TREND_MIN, NO_PREVIOUS_WEEK, NO_THEMES_YET, SPIKE_PCT
 
 
 def week_bounds(as_of: str, since: str | None = None) -> tuple[str, str]:
@@ -50,7 +50,7 @@ def weekly_volume(reviews: DataFrame, as_of: str, since: str | None = None) -> D
         "this_week",
         "prev_week",
         chg.alias("change_pct"),
-        F.when(chg.isNull(), F.lit("N/A (no previous week data)"))
+        F.when(chg.isNull(), F.lit(NO_PREVIOUS_WEEK))
         .otherwise(signed_pct_label(chg))
         .alias("change_label"),
     )
@@ -121,7 +121,7 @@ def weekly_product(
         "name",
         F.coalesce("new_reviews", F.lit(0).cast("long")).alias("new_reviews"),
         F.coalesce(F.bround("_avg", 1), F.lit(0.0)).alias("avg_rating"),
-        F.coalesce("top_themes", F.lit("No analysed data yet")).alias("top_themes"),
+        F.coalesce("top_themes", F.lit(NO_THEMES_YET)).alias("top_themes"),
     )
 
 

@@ -17,6 +17,7 @@ from revq.operators import report as R
 from revq.operators import stats as S
 from revq.operators import weekly as W
 from revq.operators.mentions import theme_trends
+from revq.schema import NO_VALUE
 
 
 def _numbered(df: DataFrame, section: int, order: list, line: F.Column) -> DataFrame:
@@ -45,7 +46,7 @@ def global_report_lines(reviews: DataFrame, mentions: DataFrame, products: DataF
             head,
             0,
             [F.lit(1)],
-            F.format_string("Total reviews: %d | Period: %s to %s", "total_reviews", F.coalesce("earliest", F.lit("N/A")), F.coalesce("latest", F.lit("N/A"))),
+            F.format_string("Total reviews: %d | Period: %s to %s", "total_reviews", F.coalesce("earliest", F.lit(NO_VALUE)), F.coalesce("latest", F.lit(NO_VALUE))),
         ),
         _title(1, "## Executive summary\n| Product | Reviews | Avg rating | Positive % | Top complaint | Top praise |", spark),
         _numbered(

@@ -84,6 +84,14 @@ CRITICAL_NEG_SHARE = 0.10
 WIN_POS_SHARE = 0.20
 SPIKE_PCT = 20
 NEW_TREND_MIN = 3
+
+# report texts and cuts
+NO_VALUE = "N/A"
+NO_QUOTE = "No matching review found."
+NO_PREVIOUS_WEEK = "N/A (no previous week data)"
+NO_THEMES_YET = "No analysed data yet"
+QUOTE_CHARS = 150
+ELLIPSIS = "…"
 # --- end of fixed values -----------------------------------------------------
 
 
