@@ -1201,7 +1201,7 @@ BATCH = 10
     ),
 )
 def q_batch_align(spark, sf):
-    """Reviews sent to a model {BATCH} per call; the calls' answers come back
+    """Reviews sent to a model ten per call; the calls' answers come back
     exact, one short, one long or broken (by call id); alignment by key."""
     from pyspark.sql.window import Window as Wn
 
