@@ -1,0 +1,77 @@
+import hashlib
+import re
+
+from conftest import SCHEMA
+
+from revq.llm import secrets
+from revq.llm.queries import op4_secret_scan
+
+KEY = "AKIA" + "A1B2C3D4E5F6G7H8"
+HEX = "0123456789abcdef01234567"
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base(text):
+    text = text or ""
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in spans).encode()).hexdigest()
+
+
+def check(rows, texts):
+    want = sorted(texts, key=repr)
+    got = sorted(((r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in rows), key=repr)
+    count = lambda s, k: sum(x[2] == k for x in s)
+    assert got == sorted(((i, digest(b := base(t)), count(b, "assign"), count(b, "access"), count(b, "hex")) for i, t in want), key=repr)
+
+
+def test_matches_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = op4_secret_scan(spark, "/root/testdata/sf0.01").collect()
+    check(rows, [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()])
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 20
+
+
+CASES = [
+    (1, f"password = 'hunter22' TOKEN:abc secret=token:abcdefgh api_key==xyz123 apikey:\"{HEX}\""),
+    (2, f"ü€😀 {KEY} {KEY}X AKIA AKIASHORT {HEX}{HEX} 123abc"),
+    (3, "user=alice pwd=topp4 https://db.example.com/x"),
+    (4, "user=alice " + "far " * 200 + "pwd=topp4"),
+    (5, "see https://example.com and user=bob"),
+    (6, None), (7, ""), (8, "token=" + "a" * 50_000), (9, "secret=" * 3000), (9, "secret=" * 3000), (None, "passwd: abcdef"), (None, None),
+    (10, "Paſſword=abcdefg toKen=abcdefg"),
+]
+
+
+def table(spark, rows=CASES):
+    return spark.createDataFrame([(i, t, None, None, None, *["x"] * 9) for i, t in rows], SCHEMA)
+
+
+def test_cases(spark, empty, odd):
+    found = secrets.scan(table(spark))
+    from pyspark.sql import functions as F
+
+    base_items = F.filter("items", lambda x: x["kind"].isin(*secrets.BASE))
+    rows = found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined_spans(base_items), 256).alias("base_sha256")).collect()
+    check(rows, CASES)
+    kinds = {r.doc_id: [x.kind for x in r["items"]] for r in found.collect()}
+    assert kinds[3] == ["weak_id", "weak_secret", "endpoint"]  # parts of one credential, near each other
+    assert kinds[4] == [] and kinds[5] == []  # too far apart; no secret
+    assert secrets.scan(empty).count() == 0 and secrets.scan(odd).count() == odd.count()
+
+
+def test_stage(spark, empty):
+    left = secrets.without_secrets(table(spark))
+    assert left.columns == [f.name for f in SCHEMA]
+    assert sorted(map(repr, (r.doc_id for r in left.collect()))) == sorted(map(repr, [4, 5, 6, 7, 10, None]))
+    assert secrets.without_secrets(empty).count() == 0
+
+
+def test_no_python_in_plan(spark):
+    plan = op4_secret_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
