@@ -167,8 +167,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n_ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
     cuts = sorted(set(docs.select("doc_id").approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.5 / n_ranges)))
-    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_id", outputCol="rng", handleInvalid="keep")
-    rows = split.transform(rows.withColumn("_id", F.col("doc_id").cast("double")))
+    rows = rows.withColumn("_id", F.col("doc_id").cast("double")).withColumn("rng", F.lit(0))
+    if cuts:
+        split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_id", outputCol="rng", handleInvalid="keep")
+        rows = split.transform(rows.drop("rng"))
     rng = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("rng").cast("int"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("x"))
     rows = rows.select("doc_id", "text", rng.alias("rng"))

@@ -127,8 +127,9 @@ def licenses_of(text: str | None) -> list[tuple[str, float, int, int]]:
     for name, form in FORMS.items():
         own = set(form) & CUES
         here = [i for i in cues if words[i] in own]
-        for group in _stretches(here, words, form):
-            a, b = max(0, group[0] - len(form)), min(len(words), group[-1] + len(form) + 1)
+        groups = _stretches(here, words, form)
+        for before, group, after in zip([[-1], *groups], groups, [*groups[1:], [len(words)]], strict=False):
+            a, b = max(before[-1] + 1, group[0] - len(form)), min(after[0], group[-1] + len(form) + 1)
             pairs = align(words[a:b], form)
             cover = len(pairs) / len(form)
             if cover >= COVER:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import group_edges, list_column, runs, texts_of, written
+from revq.llm.common import fresh, group_edges, list_column, runs, texts_of, written
 from revq.llm.components import components
 from revq.llm.words import U64, blocks, mix, owners, shingle_sets
 
@@ -290,6 +290,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     any doc_id all rows stay, and so do rows without words.
     """
     verdict = near_duplicates(docs)
-    gone = verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    (ref,) = fresh(docs, "ref")
+    gone = verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(ref)).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col(ref), "left_anti")
     return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import WORD, written
+from revq.llm.common import WORD, fresh, written
 
 WEIGHTS = (3, 1, 2)  # fixed
 EPOCHS = 2  # fixed: a document is taken at most twice
@@ -129,7 +129,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them (0, 1 or 2 times); columns as they came."""
-    taken = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("_times"))
-    taken = taken.groupBy("_id").agg(F.max("_times").alias("_times"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    ref, times, copy = fresh(docs, "ref", "times", "copy")
+    taken = mix(docs).filter("taken > 0").select(F.col("doc_id").alias(ref), F.expr("cast(taken div size as int)").alias(times))
+    taken = taken.groupBy(ref).agg(F.max(times).alias(times))
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(ref)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -28,7 +28,7 @@ from revq.llm.rules import count_block
 from revq.llm.words import blocks, owners, word_hashes
 
 MAX_ROWS = 40_000
-BINS, TREES, DEPTH, RATE, L2, MIN_HESS = 64, 48, 4, 0.2, 1.0, 3.0
+BINS, TREES, DEPTH, RATE, L2, MIN_HESS = 64, 48, 4, 0.2, 1.0, 1.0
 THRESHOLD = 0.3
 FEATURES = [
     "log_words", "word_len", "symbols", "dup_lines", "repeats", "line_words", "distinct", "upper", "digits",

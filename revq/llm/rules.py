@@ -122,9 +122,10 @@ def fences(counts: DataFrame) -> DataFrame:
     lang = merge("lang")
     lang = lang.select(F.col("lang").alias("lang_"), *cuts(lang, "wide"))
     every = merge()
-    row = every.select(*cuts(every, "every")).first()  # one row of eight numbers
+    row = {"every_n": 0} if leaf.isEmpty() else every.select(*cuts(every, "every")).first()  # one row of eight numbers
+    names = [f"{k}_{x}" for k in FLOOR for x in ("lo", "hi")]
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_")))
-    whole = F.struct(*(F.lit(row["every"][k] if row["every_n"] else None).cast("double").alias(k) for k in row["every"].asDict()))
+    whole = F.struct(*(F.lit(row["every"][k] if row["every_n"] else None).cast("double").alias(k) for k in names))
     pick = F.when(F.col("own_n") >= MIN_ROWS, F.col("own")).when(F.col("wide_n") >= MIN_ROWS, F.col("wide")).otherwise(whole)
     return both.select("lang", "source", pick.alias("cut"))
 

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revq.llm.common import fresh
+
 # fixed: the base kinds, in order
 ASSIGN = (
     r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -130,5 +132,6 @@ def joined_spans(items: Column) -> Column:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """The documents that hold no span; columns as they came."""
-    bad = spans(docs).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    ref, of_text = fresh(docs, "ref", "of_text")
+    bad = spans(docs).select(F.col("doc_id").alias(ref), F.col("h").alias(of_text)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(ref)) & (F.xxhash64("text") == F.col(of_text)), "left_anti")
