@@ -72,6 +72,13 @@ def superminhash(x: np.ndarray, own: np.ndarray, n: int, places: int = PLACES) -
     return sig
 
 
+def _set_hash(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each whole set, whatever the order of its elements."""
+    total = np.zeros(len(x) + 1, U64)
+    np.cumsum(mix(x ^ U64(0xD6E8FEB86659FD93)), out=total[1:])
+    return mix((total[bounds[1:]] - total[bounds[:-1]]) + np.diff(bounds).astype(U64) * U64(GOLDEN))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     per = PLACES // BANDS
     seed = mix(np.arange(1, BANDS + 1, dtype=U64))
@@ -81,9 +88,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, bounds = shingle_sets(texts[first:end], WIDTH)
             n, size = end - first, np.diff(bounds)
             own = owners(bounds)
-            total = np.zeros(len(x) + 1, U64)
-            np.cumsum(mix(x ^ U64(0xD6E8FEB86659FD93)), out=total[1:])
-            h = mix((total[bounds[1:]] - total[bounds[:-1]]) + size.astype(U64) * U64(GOLDEN))
+            h = _set_hash(x, bounds)
             some = np.flatnonzero(size)
             rank = np.zeros(n, np.int64)
             rank[some] = np.arange(len(some))
@@ -198,24 +203,24 @@ def _query_links(kind: Callable, name: str) -> Callable:
     return run
 
 
-def link_groups(members: DataFrame, kind: Callable, name: str, weight: str, limit: int) -> DataFrame:
+def link_groups(members: DataFrame, payload: DataFrame, kind: Callable, name: str, limit: int) -> DataFrame:
     """Components within groups -> (node, label) of the linked nodes.
 
-    ``members``: (grp, h, ``name``). Links are sought between members of one
-    group only; ``limit`` bounds the sum of ``weight`` in one block.
+    ``members``: (grp, h, heft), each pair once; ``payload``: (h, ``name``).
+    Links are sought between members of one group only; ``limit`` bounds the
+    sum of heft in one block. Groups of one member are dropped before any
+    payload is moved.
     """
-    heft = F.expr(weight)
-    sizes = members.groupBy("grp").agg(
-        F.ceil(F.sum(heft) / F.lit(limit)).cast("int").alias("n_blk"), F.min("h").alias("lo"), F.max("h").alias("hi")
-    )
-    sizes = written(sizes.filter("lo != hi").select("grp", "n_blk"), "sizes")
-    dealt = members.join(sizes, "grp").withColumn("blk", F.expr("cast(pmod(xxhash64(h, grp), n_blk) as int)"))
-    placed = dealt.select("grp", "blk", "h", name).repartition("grp", "blk").sortWithinPartitions("grp", "blk")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("heft").alias("heft")).filter("n > 1")
+    sizes = written(sizes.select("grp", F.ceil(F.col("heft") / F.lit(limit)).cast("int").alias("n_blk")), "sizes")
+    dealt = members.join(sizes, "grp").select("grp", "n_blk", F.expr("cast(pmod(xxhash64(h, grp), n_blk) as int)").alias("blk"), "h")
+    dealt = written(dealt, "dealt")
+    placed = dealt.drop("n_blk").join(payload, "h").repartition("grp", "blk").sortWithinPartitions("grp", "blk")
     edges = written(placed.mapInArrow(_block_links(kind, name), "a long, b long"), "links")
     labels = written(components(edges), "labels")
     if sizes.filter("n_blk > 1").isEmpty():
         return labels
-    big = written(dealt.filter("n_blk > 1"), "big")
+    big = written(dealt.filter("n_blk > 1").join(payload, "h"), "big")
     asked = None
     while True:
         now = big.join(labels, F.col("h") == F.col("node"), "left").select(
@@ -251,8 +256,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = texts_of(batch.column("text"))
         for first, end in blocks(texts):
             x, bounds = shingle_sets(texts[first:end], WIDTH)
-            rep = batch.column("rep").slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([rep, list_column(x.view(np.int64), bounds, pa.int64())], names=["rep", "items"])
+            h = _set_hash(x, bounds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), list_column(x.view(np.int64), bounds, pa.int64())], names=["h", "items"]
+            )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -262,17 +269,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("rep"), F.first("brief").alias("brief"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n")
     )
     classes = written(classes, "classes")
-    met = classes.select(F.explode("bands").alias("grp"), "h", "brief")
-    rough = link_groups(met, Briefs, "brief", "1", 2048)
+    met = classes.select(F.explode("bands").alias("grp"), "h", F.lit(1).alias("heft"))
+    rough = link_groups(met, classes.select("h", "brief"), Briefs, "brief", 2048)
     # sets of classes in rough groups; a class is fetched through its smallest doc_id
-    wanted = written(
-        classes.join(rough, F.col("h") == F.col("node")).filter("rep is not null").select("rep", "h", F.col("label").alias("grp")),
-        "wanted",
-    )
-    one = wanted.groupBy("rep").agg(F.min("h").alias("h"), F.min("grp").alias("grp"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(one, "rep").select("rep", "text")
-    sets = texts.mapInArrow(_sets, "rep long, items array<long>").join(one, "rep").select("grp", "h", "items")
-    exact = link_groups(written(sets.dropDuplicates(["h"]), "sets"), Sets, "items", "64 + size(items)", 1 << 18)
+    wanted = classes.join(rough, F.col("h") == F.col("node")).filter("rep is not null")
+    wanted = written(wanted.select("rep", "h", F.col("label").alias("grp"), (F.col("n") + 64).alias("heft")), "wanted")
+    reps = wanted.select("rep").distinct()
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi")
+    sets = written(texts.select("text").mapInArrow(_sets, "h long, items array<long>").dropDuplicates(["h"]), "sets")
+    exact = link_groups(wanted.select("grp", "h", "heft"), sets, Sets, "items", 1 << 18)
     named = classes.select("h", "rep").join(exact, F.col("h") == F.col("node"), "left")
     named = named.select("h", "rep", F.coalesce("label", "h").alias("label"))
     name = named.groupBy("label").agg(F.min("rep").alias("component_id"))

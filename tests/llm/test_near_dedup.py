@@ -37,7 +37,7 @@ def test_matches_brute_force(docs):
 def test_groups_of_many_blocks(spark, monkeypatch):
     """Copies edited so that only some pairs link, in blocks far smaller than the group."""
     real = minhash.link_groups
-    monkeypatch.setattr(minhash, "link_groups", lambda m, k, n, w, limit: real(m, k, n, w, 40 if n == "brief" else 3000))
+    monkeypatch.setattr(minhash, "link_groups", lambda m, p, k, n, limit: real(m, p, k, n, 40 if n == "brief" else 3000))
     r = np.random.default_rng(3)
     base = prose(11, 150).split()
     rows = []
