@@ -145,9 +145,10 @@ def _compare(rows: list[tuple]) -> pa.RecordBatch:
     raw = [t.encode() for t in own]
     # consecutive rows share a text: only a next that is not the following row is computed apart
     apart = [i for i, (_, _, nxt) in enumerate(rows) if i + 1 >= len(rows) or rows[i + 1][1] is not nxt]
-    prints = fingerprints(raw)
+    # a text and its edited text side by side: the terms they share are drawn once
+    both = fingerprints([t for pair in zip(raw, edited, strict=True) for t in pair])
+    prints, changed = both[0::2], both[1::2]
     other = dict(zip(apart, fingerprints([rows[i][2].encode() for i in apart]), strict=True))
-    changed = fingerprints(edited)
     nexts = [other[i] if i in other else prints[i + 1] for i in range(len(rows))]
     return pa.RecordBatch.from_arrays(
         [
