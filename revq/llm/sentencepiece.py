@@ -34,6 +34,7 @@ import math
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,13 @@ class Model:
                 self.bytes[i] = text.encode()
                 rank += 1
         self.byte_cost = round(1024 * 1.5 * math.log(n))
+        self.trie: dict[str, list] = {}  # character -> [children, id or -1, cost]
+        for text, (i, c) in self.piece.items():
+            node = self.trie
+            for ch in text:
+                step = node.setdefault(ch, [{}, -1, 0])
+                node = step[0]
+            step[1:] = i, c
         self.memo: dict[str, tuple[tuple[int, ...], int]] = {}
 
     def steps(self, text: str, end: int) -> list[tuple[int, int]]:
@@ -89,23 +97,35 @@ class Model:
         return out
 
     def best(self, text: str) -> tuple[tuple[int, ...], int]:
-        """Ids and cost of the cheapest segmentation."""
+        """Ids and cost of the cheapest segmentation, walking the piece trie from every position."""
         n = len(text)
-        cost, back = [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            low, at = FAR, 0
-            for start, c in self.steps(text, end):
-                if cost[start] + c < low:
-                    low, at = cost[start] + c, start
-            cost[end], back[end] = low, at
+        cost, back = [0] + [FAR] * n, [(0, -1)] * (n + 1)
+        trie = self.trie
+        for start in range(n):
+            so_far, node, end = cost[start], trie, start
+            for ch in text[start : start + REACH]:
+                step = node.get(ch)
+                if step is None:
+                    break
+                end += 1
+                node, i, c = step
+                if i >= 0 and so_far + c < cost[end]:
+                    cost[end], back[end] = so_far + c, (start, i)
+            if text[start] not in self.piece:
+                c = self.byte_cost * len(text[start].encode())
+                if so_far + c < cost[start + 1]:
+                    cost[start + 1], back[start + 1] = so_far + c, (start, -1)
         ids: list[int] = []
         end = n
         while end:
-            start = back[end]
-            p = self.piece.get(text[start:end])
-            ids.extend((p[0],) if p else [self.byte_id[b] for b in reversed(text[start:end].encode())])
+            start, i = back[end]
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids.extend(self.byte_id[b] for b in reversed(text[start:end].encode()))
             end = start
-        return tuple(reversed(ids)), cost[n]
+        ids.reverse()
+        return tuple(ids), cost[n]
 
     def unit(self, text: str) -> tuple[tuple[int, ...], int]:
         """``best`` of a unit, remembered for short ones (bounded table)."""
@@ -176,7 +196,7 @@ def model_path(path: str | None = None) -> str:
 
 def _id_lists(lists: list[list[int]]) -> pa.Array:
     bounds = np.append(0, np.cumsum([len(x) for x in lists]))
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(bounds[-1]))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(bounds[-1]))
     return list_column(flat, bounds, pa.int32())
 
 
@@ -328,7 +348,10 @@ def decode(pieces: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            decoded = [m.decode(x) for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            at = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+            flat = ids.flatten().to_numpy().tolist()
+            decoded = [m.decode(flat[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
             first = batch.column("chunk").to_pylist()
             decoded = [d[1:] if k == 0 else d for d, k in zip(decoded, first, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], names=[*batch.schema.names, "decoded"])
