@@ -63,5 +63,10 @@ def keyword_themes(
     default: str = DEFAULT_THEME,
 ) -> Column:
     """First ``max_themes`` matched themes; no match -> [default]."""
-    hits = F.slice(theme_hits(blob, whole_word), 1, max_themes)
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(default)))
+    return themes_of(theme_hits(blob, whole_word), max_themes, default)
+
+
+def themes_of(hits: Column, max_themes: int = 3, default: str = DEFAULT_THEME) -> Column:
+    """The first ``max_themes`` of matched themes, or [default]."""
+    first = F.slice(hits, 1, max_themes)
+    return F.when(F.size(first) > 0, first).otherwise(F.array(F.lit(default)))

@@ -34,14 +34,13 @@ def parse_rating(star_text: ColumnOrName) -> Column:
     """int(float(first token)) of a star label; NULL when unreadable.
 
     '4.5 out of 5 stars' -> 4 (truncates toward zero like ``int``). NaN and
-    infinities cannot become an int, so they are unreadable too. A missing
+    infinities cannot become an int, so they are unreadable, and so is a number
+    beyond an int or with a type letter ('4d'). A missing
     star element is the caller's business (the extractor maps it to 0).
     """
     tok = F.split(py_strip(star_text), " ", 2).getItem(0)
-    d = tok.try_cast("double")
-    return F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit(None)).otherwise(
-        d.cast("int")
-    )
+    number = F.when(tok.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), tok.try_cast("double"))
+    return number.try_cast("int")
 
 
 TITLE_STARS = r"^\d+\.?\d*\s+out of \d+ stars\s*"

@@ -1,38 +1,15 @@
 """Join helpers.
 
-Dimension tables (products, taxonomy, keyword map) are broadcast only after
-their size has been checked: ``limit(max_rows + 1).count()`` touches at most
-``max_rows + 1`` rows. Above the bound the join is left to the planner (and
-AQE, which re-plans from measured shuffle sizes).
+Dimension joins are left to the planner: AQE re-plans from the measured bytes
+of the smaller side (``spark.sql.adaptive.autoBroadcastJoinThreshold``), so a
+dimension is broadcast when it is small and hash-joined when it is not.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
 
-
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_dimension(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: str | list[str],
-    how: str = "left",
-    max_rows: int | None = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """``fact JOIN dim``; the dimension is broadcast when it is proven small.
-
-    ``max_rows=None`` skips the eager check for a dimension derived inside the
-    same plan: AQE then decides from the measured size of its shuffle
-    (``spark.sql.adaptive.autoBroadcastJoinThreshold``), which is the same
-    guard applied at run time without a second job.
-    """
-    if max_rows is None:
-        return fact.join(dim, on, how)
-    d = F.broadcast(dim) if fits_broadcast(dim, max_rows) else dim
-    return fact.join(d, on, how)
+def join_dimension(fact: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+    """``fact JOIN dim``, broadcast or not by measured size."""
+    return fact.join(dim, on, how)

@@ -43,7 +43,7 @@ def product_summary(reviews: DataFrame, products: DataFrame) -> DataFrame:
         F.count_if(F.col("sentiment") == "Negative").alias("negative"),
         F.count_if(F.col("sentiment") == "Neutral").alias("neutral"),
     )
-    j = join_dimension(products, agg, "product_id", "left", max_rows=None)
+    j = join_dimension(products, agg, "product_id", "left")
     zero = F.lit(0).cast("long")
     total = F.coalesce("total_reviews", zero)
     avg = F.when(F.col("rated_reviews") > 0, F.col("rating_sum") / F.col("rated_reviews"))
@@ -78,7 +78,7 @@ def top_theme_for(trends_by_product: DataFrame, products: DataFrame, sentiment_c
         .filter("_rn = 1")
         .select("product_id", F.col("theme").alias(out))
     )
-    return join_dimension(products.select("product_id"), best, "product_id", "left", max_rows=None).select(
+    return join_dimension(products.select("product_id"), best, "product_id", "left").select(
         "product_id", F.coalesce(out, F.lit(NO_VALUE)).alias(out)
     )
 
@@ -104,14 +104,14 @@ def first_quotes(mentions: DataFrame, text_source: DataFrame, by: list[str]) ->
     One grouped pass: ``min(arrival_seq)`` per group (hash aggregate), then
     the text is fetched by key. The group table has at most
     products x themes x sentiments rows and every key exists in the store,
-    so the fetch is an inner join that broadcasts the group table after its
-    size is checked; the text side is streamed, never shuffled.
+    so the fetch is an inner join whose form the planner picks from the
+    measured size of that table; pass a text side cut to what a quote shows.
     """
     firsts = mentions.filter(F.col("sentiment").isNotNull()).groupBy(*by, "theme", "sentiment").agg(
         F.min("arrival_seq").alias("arrival_seq")
     )
     texts = text_source.select("arrival_seq", "text")
-    j = join_dimension(texts, firsts, "arrival_seq", "inner", max_rows=1_000_000)
+    j = join_dimension(texts, firsts, "arrival_seq", "inner")
     q = F.when(
         F.col("text").isNotNull() & (F.col("text") != ""), truncate("text", QUOTE_CHARS)
     ).otherwise(F.lit(NO_QUOTE))
@@ -227,6 +227,14 @@ def exec_summary_long(summary: DataFrame) -> DataFrame:
     )
 
 
+def product_list(products: DataFrame, most: int = 1000) -> list[str]:
+    """All product ids in order; a table with more than ``most`` columns is refused, not cut."""
+    ids = [r[0] for r in products.select("product_id").distinct().orderBy("product_id").take(most + 1)]
+    if len(ids) > most:
+        raise ValueError(f"more than {most} products: use exec_summary_long")
+    return ids
+
+
 def exec_summary_wide(long: DataFrame, product_ids: list[str]) -> DataFrame:
     """J7 display form: one row per metric, one column per product.
 

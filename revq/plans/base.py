@@ -2,18 +2,19 @@
 
 ``reviews`` is the store after a de-duplicating load into an empty store,
 with the rows marked processed carrying the rule classifier's labels. The
-classification is a narrow projection over the deduplicated rows (no join).
+rules are a projection on the scan, below the dedup (no join, no text shuffle).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revq.operators.classify import classify_rules
 from revq.operators.dedup import first_per_key
 from revq.operators.mentions import theme_mentions
-from revq.sources.fixtures import reviews_in, scan_partitions, spread
+from revq.schema import QUOTE_CHARS
+from revq.sources.fixtures import reviews_in
 
 
 def classify_processed(store: DataFrame) -> DataFrame:
@@ -27,21 +28,23 @@ def classify_processed(store: DataFrame) -> DataFrame:
     )
 
 
-def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First row per key of the batch (the store after one load), spread for
-    the text rules that follow."""
-    batch = reviews_in(spark, sf_dir)
-    return spread(first_per_key(batch), "arrival_seq", scan_partitions(batch))
+def store(spark: SparkSession, sf_dir: str, *derived: Column) -> DataFrame:
+    """First row per key of the batch (the store after one load).
+
+    ``derived`` columns are computed on the scan, below the dedup: a query
+    that needs only what a rule makes of the text shuffles that, not the text.
+    """
+    return first_per_key(reviews_in(spark, sf_dir).select("*", *derived))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store: first row per key, classified where processed.
 
-    The dedup keys are aggregated from the narrow batch columns; only the
-    surviving rows are spread (when the scan yields fewer partitions than
-    cores) before the CPU-heavy text rules.
+    The rules look at one row only, so they run on the scan; the dedup above
+    shuffles the labels, and text and title are pruned where no query asks
+    for them.
     """
-    return classify_processed(store(spark, sf_dir))
+    return first_per_key(classify_processed(reviews_in(spark, sf_dir)))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,17 +58,16 @@ REPORT_COLS = [
 ]
 
 
-def materialized_reviews(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
-    """The classified store written once to the shared checkpoint folder.
+def report_reviews(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """The columns the report sections need; of the text no more than a quote can show.
 
-    Queries that read the store in several branches (summary + trends +
-    dimension, this week + last week, every report section) reuse it instead
-    of re-reading and re-classifying the text per branch. ``checkpoint`` is
-    reliable (files under ``spark.checkpoint.dir``), so the lineage is cut and
-    a lost executor does not force the text rules to rerun.
+    Nothing runs before the query's own action: the sections read narrow,
+    already classified rows, and equal exchanges are reused by the planner.
     """
-    from revq.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    cols = REPORT_COLS + (["text"] if with_text else [])
-    return reviews(spark, sf_dir).select(*cols).checkpoint(eager=True)
+    r = reviews_in(spark, sf_dir)
+    if with_text:
+        r = r.withColumn("quoted", F.substring("text", 1, QUOTE_CHARS + 1))
+    r = first_per_key(classify_processed(r))
+    if with_text:
+        return r.select(*REPORT_COLS, F.col("quoted").alias("text"))
+    return r.select(*REPORT_COLS)

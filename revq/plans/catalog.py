@@ -21,7 +21,7 @@ from revq.plans.oracle import AS_OF, FRESH_AS_OF, PRODUCT, SINCE, pct, trends_sq
 from revq.plans.base import mentions as _mentions
 from revq.plans.base import reviews as _reviews
 from revq.plans.base import store as _store
-from revq.plans.base import materialized_reviews as _mat
+from revq.plans.base import report_reviews as _mat
 from revq.sources.fixtures import reviews_in, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,9 +343,6 @@ def q_exec_summary_long(spark, sf):
     return R.exec_summary_long(s).select("metric", "product_id", "value")
 
 
-FIXTURE_PRODUCTS = ['prod_0', 'prod_1', 'prod_2', 'prod_3']
-
-
 @register(
     "exec_summary_wide",
     with_base(
@@ -359,10 +356,8 @@ FIXTURE_PRODUCTS = ['prod_0', 'prod_1', 'prod_2', 'prod_3']
     ),
 )
 def q_exec_summary_wide(spark, sf):
-    """The two-column summary table of the reference, one column per product
-    (the fixture's products are the four derived ids)."""
-    long = q_exec_summary_long(spark, sf)
-    return R.exec_summary_wide(long, FIXTURE_PRODUCTS)
+    """The summary table with one column per product of the product dimension."""
+    return R.exec_summary_wide(q_exec_summary_long(spark, sf), R.product_list(_products(spark, sf)))
 
 
 QUOTES_SQL = """quotes AS (
@@ -553,7 +548,7 @@ def q_weekly_series(spark, sf):
 
 
 # ===================================================================== ingest
-from revq.functions.classify import match_blob, rating_confidence, rating_sentiment, theme_hits  # noqa: E402
+from revq.functions.classify import match_blob, rating_confidence, rating_sentiment, theme_hits, themes_of  # noqa: E402
 from revq.functions.dates import normalize_date, parse_review_date  # noqa: E402
 from revq.functions.keys import clean_title, parse_rating, review_key, url_tail  # noqa: E402
 from revq.operators import adhoc as A  # noqa: E402
@@ -705,9 +700,8 @@ def q_rating_sentiment(spark, sf):
     ),
 )
 def q_keyword_themes(spark, sf):
-    s = _store(spark, sf)
-    c = classify_rules(s.withColumn("_b", match_blob("text", "title")).withColumn("_h", theme_hits("_b")).drop("_b"))
-    return c.select("review_id", F.array_join("themes", "|").alias("themes_label"), F.size("_h").alias("n_hits"))
+    s = _store(spark, sf, theme_hits(match_blob("text", "title")).alias("hits"))
+    return s.select("review_id", F.array_join(themes_of(F.col("hits")), "|").alias("themes_label"), F.size("hits").alias("n_hits"))
 
 
 def _kw_values() -> str:
@@ -725,9 +719,9 @@ def _kw_values() -> str:
 def q_keyword_hits(spark, sf):
     """Per keyword, reviews whose text contains it (J5). The 37 keywords are
     an in-expression array, so this is a filter + explode, not a join."""
-    s = _store(spark, sf).select(match_blob("text", "title").alias("b"))
     kws = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(t).alias("theme")) for k, t in KEYWORD_THEMES])
-    hit = s.select(F.explode(F.filter(kws, lambda x: F.col("b").contains(x["keyword"]))).alias("k"))
+    blob = match_blob("text", "title")
+    hit = _store(spark, sf, F.filter(kws, lambda x: blob.contains(x["keyword"])).alias("found")).select(F.explode("found").alias("k"))
     return hit.groupBy("k.keyword", "k.theme").agg(F.count(F.lit(1)).alias("n_reviews"))
 
 

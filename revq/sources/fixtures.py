@@ -31,28 +31,6 @@ def reviews_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_documents(d)
 
 
-def spread(df: DataFrame, key: str, input_partitions: int | None = None) -> DataFrame:
-    """Hash-spread a text-heavy relation that sits in fewer partitions than
-    the cluster has cores (e.g. one large row group read by one task), so the
-    CPU-bound text rules downstream run in parallel. On a large input (many
-    files, many splits) this is a no-op: no extra shuffle is added.
-
-    Pass ``input_partitions`` (taken from a scan-only plan) when ``df`` has
-    exchanges: asking an adaptive plan for its partitions would run its
-    shuffle stages ahead of the query.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    have = input_partitions if input_partitions is not None else df.rdd.getNumPartitions()
-    if have >= want:
-        return df
-    return df.repartition(want, key)
-
-
-def scan_partitions(df: DataFrame) -> int:
-    """Partitions of a scan-only plan (planning only, no job)."""
-    return df.rdd.getNumPartitions()
-
-
 def from_documents(d: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     b = F.when(doc % 10 >= 7, doc - 7).otherwise(doc)
@@ -71,7 +49,7 @@ def from_documents(d: DataFrame) -> DataFrame:
         .when(doc % 29 == 0, F.lit(0))
         .otherwise((F.lit(1) + F.col("n_chars") % 5).cast("int"))
         .alias("rating"),
-        F.substring("text", 1, 40).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         "text",
         "source",
         F.when(doc % 10 == 0, F.lit(0)).otherwise(F.lit(1)).alias("processed"),
@@ -105,7 +83,7 @@ FROM (SELECT doc_id, text, source,
    CAST(DATE '2024-01-03' + CAST(doc_id % 60 AS INT) AS TIMESTAMP)      AS ingested_at,
    CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN 0
         ELSE CAST(1 + n_chars % 5 AS INT) END                           AS rating,
-   substr(text, 1, 40)                                                  AS title,
+   split_part(text, chr(10), 1)                                         AS title,
    CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END                          AS processed
  FROM (SELECT d.*, CASE WHEN doc_id % 10 >= 7 THEN doc_id - 7 ELSE doc_id END AS b
        FROM documents d) y) x

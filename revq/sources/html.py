@@ -247,17 +247,10 @@ def _extract_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def extract_raw(pages: DataFrame) -> DataFrame:
-    """One row per review container; pages of unknown source give nothing.
-
-    Pages are spread over the cluster first when the scan yields fewer
-    partitions than cores, so the Python parse runs in parallel.
-    """
-    from revq.sources.fixtures import spread
-
+    """One row per review container; pages of unknown source give nothing."""
     if "source" not in pages.columns:
         pages = pages.withColumn("source", F.lit("article"))
-    p = spread(pages.select("page_id", "url", "html", "source"), "page_id")
-    return p.mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+    return pages.select("page_id", "url", "html", "source").mapInPandas(_extract_batches, EXTRACT_SCHEMA)
 
 
 def extract_reviews(pages: DataFrame, product_id=None) -> DataFrame:
@@ -267,7 +260,7 @@ def extract_reviews(pages: DataFrame, product_id=None) -> DataFrame:
     review key. ``product_id`` defaults to the listing URL (no query)."""
     raw = extract_raw(pages)
     whole = py_strip("star_text").try_cast("double")
-    whole_int = F.when(F.isnan(whole) | (F.abs(whole) == float("inf")), F.lit(None)).otherwise(whole.cast("int"))
+    whole_int = F.when(F.isnan(whole) | (F.abs(whole) == float("inf")), F.lit(None)).otherwise(whole.try_cast("int"))
     rating = (
         F.when(F.col("star_text").isNull(), F.lit(0))
         .when(F.col("rating_first_token"), parse_rating("star_text"))

@@ -102,3 +102,28 @@ def test_sanitize_answers(spark):
     ]
     got = _one(spark, [(c[0],) for c in cases], "raw string", sanitize_answer("raw"))
     assert [tuple(g) for g in got] == [c[1] for c in cases]
+
+
+def test_parse_rating_odd_numbers(spark):
+    from revq.functions.keys import parse_rating
+
+    cases = {"4.5 out of 5 stars": 4, "99999999999 out of 5": None, "4d out of 5": None, "4.5f": None, "nan": None, "-1.9 x": -1, "": None}
+    df = spark.createDataFrame(list(cases.items()), "s string, want int")
+    assert all(r.got == r.want for r in df.select("want", parse_rating("s").alias("got")).collect())
+
+
+def test_labels_are_made_below_the_dedup(spark):
+    """No exchange of the theme table carries the text."""
+    import re
+
+    from revq.plans import catalog
+
+    plan = catalog.QUERIES["theme_trends"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    scans = [x for x in lines if "FileScan" in x and "text#" in x]
+    assert scans and not any(re.search(r"\btext#|title#", x) for x in lines if "Exchange" in x or re.search(r"\bSort \[", x))
+    at = next(i for i, x in enumerate(lines) if "text#" in x and "FileScan" in x)
+    between = [x for x in lines[:at] if "Exchange" in x]
+    assert between  # the shuffle stands above the projection that reads the text
+    projected = [x for x in lines if re.search(r"Project \[.*text#\d+", x) and "contains" not in x.lower() and "coalesce(text" not in x]
+    assert not projected or all("AS" in x for x in projected)

@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def main() -> None:
     from revq.operators.mentions import theme_mentions
     from revq.operators.stats import products_dim
-    from revq.plans.base import materialized_reviews
+    from revq.plans.base import report_reviews
     from revq.plans.reports import global_report_lines, weekly_report_lines, write_report
     from revq.session import get_spark
     from revq.sources.fixtures import reviews_in
@@ -25,7 +25,7 @@ def main() -> None:
     sf, out = sys.argv[1], sys.argv[2].rstrip("/")
     as_of = sys.argv[3] if len(sys.argv) > 3 else "2024-02-27"
     spark = get_spark(app="revq-reports")
-    r = materialized_reviews(spark, sf, with_text=True)
+    r = report_reviews(spark, sf, with_text=True)
     m = theme_mentions(r)
     p = products_dim(reviews_in(spark, sf))
     first = p.agg({"product_id": "min"}).first()[0]  # observed: quotes from one product
