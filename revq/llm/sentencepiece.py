@@ -48,7 +48,7 @@ from revq.llm.tokens import MARK, TOKENIZERS
 CHUNK, FAN = 1 << 15, 64
 REACH = 16  # fixed: longest piece of the model file
 FAR = 1 << 60
-MEMO, MEMO_LEN = 300_000, 48
+MEMO, MEMO_LEN = 200_000, 48
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 PIECES = "row long, doc_id long, chunk int, n_chunks int, text string, ids array<int>"
 
@@ -84,7 +84,7 @@ class Model:
                 node = step[0]
             step[1:] = i, c
         self.memo: dict[str, tuple[tuple[int, ...], int]] = {}
-
+        self.old: dict[str, tuple[tuple[int, ...], int]] = {}
     def steps(self, text: str, end: int) -> list[tuple[int, int]]:
         """(start, cost) of the pieces of ``text`` that end at ``end``, longest first."""
         out = []
@@ -131,19 +131,19 @@ class Model:
         """``best`` of a unit, remembered for short ones (bounded table)."""
         found = self.memo.get(text)
         if found is None:
-            found = self.best(text)
+            found = self.old.get(text) or self.best(text)
             if len(text) <= MEMO_LEN:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
+                if len(self.memo) >= MEMO:  # units not met since the last turn are forgotten
+                    self.old, self.memo = self.memo, {}
                 self.memo[text] = found
         return found
 
     def encode(self, text: str) -> list[int]:
         """Ids of a stretch of marked text whose ends are cuts."""
         ids: list[int] = []
-        get = self.memo.get
+        get, unit = self.memo.get, self.unit
         for u in UNIT.findall(text):
-            ids.extend((get(u) or self.unit(u))[0])
+            ids.extend((get(u) or unit(u))[0])
         return ids
 
     def decode(self, ids: list[int]) -> str:
