@@ -204,8 +204,8 @@ def _small(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = [m.encode(" " + t) if t else [] for t in texts]
                 n = len(texts)
@@ -347,13 +347,15 @@ def decode(pieces: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
-            ids = batch.column("ids")
-            at = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
-            flat = ids.flatten().to_numpy().tolist()
-            decoded = [m.decode(flat[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
-            first = batch.column("chunk").to_pylist()
-            decoded = [d[1:] if k == 0 else d for d, k in zip(decoded, first, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], names=[*batch.schema.names, "decoded"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):  # few ids as Python objects at a time
+                batch = whole.slice(first, 256)
+                ids = batch.column("ids")
+                at = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+                flat = ids.flatten().to_numpy().tolist()
+                decoded = [m.decode(flat[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
+                chunks = batch.column("chunk").to_pylist()
+                decoded = [d[1:] if k == 0 else d for d, k in zip(decoded, chunks, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return pieces.mapInArrow(run, f"{PIECES}, decoded string")
