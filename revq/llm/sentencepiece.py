@@ -39,6 +39,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ from revq.llm.tokens import MARK, TOKENIZERS
 CHUNK, FAN = 1 << 15, 64
 REACH = 16  # fixed: longest piece of the model file
 FAR = 1 << 60
-MEMO, MEMO_LEN = 200_000, 48
+MEMO, MEMO_LEN = 150_000, 48
+BLOCK, WIDE = 4096, 256  # units segmented in step; longer ones go one by one
+SLICE = 1 << 21  # bytes of text that are Python objects at a time
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 PIECES = "row long, doc_id long, chunk int, n_chunks int, text string, ids array<int>"
 
@@ -76,15 +79,50 @@ class Model:
                 self.bytes[i] = text.encode()
                 rank += 1
         self.byte_cost = round(1024 * 1.5 * math.log(n))
-        self.trie: dict[str, list] = {}  # character -> [children, id or -1, cost]
+        self.id_cost = np.full(n, self.byte_cost, np.int64)
+        for i, c in self.piece.values():
+            self.id_cost[i] = c
+        self.base: np.ndarray | None = None
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _lay_out(self) -> None:
+        """The piece trie in flat arrays: from node ``s`` character ``c`` leads to ``base[s] + code[c]`` if ``above`` of that is ``s``."""
+        children: dict[str, list[str]] = {text[:k]: [] for text in self.piece for k in range(len(text) + 1)}
+        uses: dict[str, int] = {}
+        for prefix in children:
+            if prefix:
+                children[prefix[:-1]].append(prefix[-1])
+                uses[prefix[-1]] = uses.get(prefix[-1], 0) + 1
+        code = {c: k for k, c in enumerate(sorted(uses, key=lambda c: (-uses[c], c)), 1)}
+        size = 2 * len(children) + 2 * len(code) + 2
+        taken, free, fan, bases = bytearray(b"\1") + bytes(size), 1, 0, {}
+        for prefix in sorted((x for x in children if children[x]), key=lambda x: -len(children[x])):
+            codes = sorted(code[c] for c in children[prefix])
+            free, fan = (free if len(codes) == fan else 1), len(codes)  # places that one node did not fit are passed over by the next of its size
+            at = max(taken.index(0, free) - codes[0], 0)
+            while any(taken[at + c] for c in codes):
+                at = taken.index(0, at + codes[0] + 1) - codes[0]
+            bases[prefix], free = at, at + codes[0]
+            for c in codes:
+                taken[at + c] = 1
+        slot = {x: bases[x[:-1]] + code[x[-1]] if x else 0 for x in children}
+        base, above = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        for prefix, at in slot.items():
+            base[at] = bases.get(prefix, 0)
+            if prefix:
+                above[at] = slot[prefix[:-1]]
+        self.base, self.above = base, above
+        self.code = np.zeros(0x110000, np.int32)
+        for c, k in code.items():
+            self.code[ord(c)] = k
+        self.node_id, self.node_cost = np.full(size, -1, np.int32), np.full(size, FAR, np.int64)
         for text, (i, c) in self.piece.items():
-            node = self.trie
-            for ch in text:
-                step = node.setdefault(ch, [{}, -1, 0])
-                node = step[0]
-            step[1:] = i, c
-        self.memo: dict[str, tuple[tuple[int, ...], int]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], int]] = {}
+            self.node_id[slot[text]], self.node_cost[slot[text]] = i, c
+        self.alone = np.zeros(len(code) + 1, bool)  # characters that are pieces
+        for c, k in code.items():
+            self.alone[k] = c in self.piece
+
     def steps(self, text: str, end: int) -> list[tuple[int, int]]:
         """(start, cost) of the pieces of ``text`` that end at ``end``, longest first."""
         out = []
@@ -97,53 +135,84 @@ class Model:
         return out
 
     def best(self, text: str) -> tuple[tuple[int, ...], int]:
-        """Ids and cost of the cheapest segmentation, walking the piece trie from every position."""
-        n = len(text)
-        cost, back = [0] + [FAR] * n, [(0, -1)] * (n + 1)
-        trie = self.trie
-        for start in range(n):
-            so_far, node, end = cost[start], trie, start
-            for ch in text[start : start + REACH]:
-                step = node.get(ch)
-                if step is None:
-                    break
-                end += 1
-                node, i, c = step
-                if i >= 0 and so_far + c < cost[end]:
-                    cost[end], back[end] = so_far + c, (start, i)
-            if text[start] not in self.piece:
-                c = self.byte_cost * len(text[start].encode())
-                if so_far + c < cost[start + 1]:
-                    cost[start + 1], back[start + 1] = so_far + c, (start, -1)
+        """Ids and cost of the cheapest segmentation."""
+        cost, back = [0], [0]
+        for end in range(1, len(text) + 1):
+            least = FAR
+            for start, c in self.steps(text, end):
+                if cost[start] + c < least:
+                    least, first = cost[start] + c, start
+            cost.append(least)
+            back.append(first)
         ids: list[int] = []
-        end = n
+        end = len(text)
         while end:
-            start, i = back[end]
-            if i >= 0:
-                ids.append(i)
-            else:
-                ids.extend(self.byte_id[b] for b in reversed(text[start:end].encode()))
-            end = start
+            p = self.piece.get(text[back[end] : end])
+            ids.extend([p[0]] if p else [self.byte_id[b] for b in reversed(text[back[end] : end].encode())])
+            end = back[end]
         ids.reverse()
-        return tuple(ids), cost[n]
-
-    def unit(self, text: str) -> tuple[tuple[int, ...], int]:
-        """``best`` of a unit, remembered for short ones (bounded table)."""
-        found = self.memo.get(text)
-        if found is None:
-            found = self.old.get(text) or self.best(text)
-            if len(text) <= MEMO_LEN:
-                if len(self.memo) >= MEMO:  # units not met since the last turn are forgotten
-                    self.old, self.memo = self.memo, {}
-                self.memo[text] = found
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a stretch of marked text whose ends are cuts."""
-        ids: list[int] = []
-        get, unit = self.memo.get, self.unit
-        for u in UNIT.findall(text):
-            ids.extend((get(u) or unit(u))[0])
+        return tuple(ids), cost[-1]
+
+    def _block(self, units: list[str]) -> list[bytes]:
+        """``best`` of units of pieces alone, shortest first, all in step: ids as int32 bytes."""
+        lens = np.fromiter(map(len, units), np.int64, len(units))
+        n, width = len(units), int(lens[-1])
+        codes = np.ascontiguousarray(self.code[np.array(units, f"<U{width}").view(np.uint32).reshape(n, width)].T)
+        cost = np.full((width + 1, n), FAR, np.int64)
+        cost[0] = 0
+        back, piece = np.zeros((width + 1, n), np.int64), np.zeros((width + 1, n), np.int32)
+        for start in range(width):
+            rows = np.arange(np.searchsorted(lens, start, "right"), n)
+            node, so_far = np.zeros(len(rows), np.int32), cost[start, rows]
+            for end in range(start + 1, min(start + REACH, width) + 1):
+                to = self.base[node] + codes[end - 1, rows]
+                on = np.flatnonzero(self.above[to] == node)
+                if not len(on):
+                    break
+                rows, node, so_far = rows[on], to[on], so_far[on]
+                total = so_far + self.node_cost[node]
+                less = np.flatnonzero(total < cost[end, rows])
+                at = rows[less]
+                cost[end, at], back[end, at], piece[end, at] = total[less], start, self.node_id[node[less]]
+        ids, first, end, live = np.zeros((n, width), np.int32), np.full(n, width), lens.copy(), np.arange(n)
+        while len(live):
+            first[live] -= 1
+            ids[live, first[live]] = piece[end[live], live]
+            end[live] = back[end[live], live]
+            live = live[end[live] > 0]
+        raw, row = ids.tobytes(), 4 * width
+        return [raw[k * row + 4 * f : (k + 1) * row] for k, f in enumerate(first.tolist())]
+
+    def best_of(self, units: list[str]) -> dict[str, bytes]:
+        """``best`` of many different units: ids as int32 bytes."""
+        if self.base is None:
+            self._lay_out()
+        out: dict[str, bytes] = {}
+        units = sorted(units, key=len)
+        for at in range(0, len(units), BLOCK):
+            some = units[at : at + BLOCK]
+            odd = np.flatnonzero(~self.alone[self.code[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)]])
+            if len(odd) or len(some[-1]) > WIDE:
+                ends = np.cumsum([len(u) for u in some])
+                slow = set(np.searchsorted(ends, odd, "right").tolist()) | {k for k, u in enumerate(some) if len(u) > WIDE}
+                out.update((some[k], np.array(self.best(some[k])[0], np.int32).tobytes()) for k in slow)
+                some = [u for k, u in enumerate(some) if k not in slow]
+            if some:
+                out.update(zip(some, self._block(some), strict=True))
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids, as int32 bytes, of stretches of marked text whose ends are cuts. Short units are remembered (bounded tables)."""
+        units = [UNIT.findall(t) for t in texts]
+        met = set(chain.from_iterable(units))
+        new = met.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:  # units not met since the last turn are forgotten
+            self.old, self.memo, new = self.memo, {}, met
+        self.memo.update((u, self.old[u]) for u in new if u in self.old)
+        self.memo.update(self.best_of([u for u in new if u not in self.memo]))
+        ids = [b"".join(map(self.memo.__getitem__, u)) for u in units]
+        for u in [u for u in new if len(u) > MEMO_LEN]:
+            del self.memo[u]
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -168,7 +237,7 @@ class Model:
             for j in range(min(REACH, n - a)):
                 out[:, j] = rows[:, n - a - j]
             return np.minimum(out, FAR)
-        middle = sum(self.unit(whole[s:e])[1] for s, e in zip(starts[:-1], starts[1:], strict=True))
+        middle = int(self.id_cost[np.frombuffer(self.encode_all([whole[starts[0] : starts[-1]]])[0], np.int32)].sum())
         tail, last = whole[starts[-1] :], starts[-1]
         cost = [0] * (len(tail) + 1)
         for end in range(1, len(tail) + 1):
@@ -194,28 +263,37 @@ def model_path(path: str | None = None) -> str:
     return path or os.path.join(TOKENIZERS, "piece_bpe_32k.model")
 
 
-def _id_lists(lists: list[list[int]]) -> pa.Array:
-    bounds = np.append(0, np.cumsum([len(x) for x in lists]))
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(bounds[-1]))
-    return list_column(flat, bounds, pa.int32())
+def _id_lists(lists: list[bytes]) -> pa.Array:
+    bounds = np.append(0, np.cumsum([len(x) // 4 for x in lists]))
+    return list_column(np.frombuffer(b"".join(lists), np.int32), bounds, pa.int32())
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about ``SLICE`` bytes of text, or one row."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            before = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, before + SLICE, "right")))
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def _small(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [m.encode(" " + t) if t else [] for t in texts]
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("row"), part.column("doc_id"), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()),
-                        pa.array(texts, pa.string()), _id_lists(ids),
-                    ],
-                    names=["row", "doc_id", "chunk", "n_chunks", "text", "ids"],
-                )
+        for part in _slices(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            ids = m.encode_all([" " + t if t else "" for t in texts])
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("row"), part.column("doc_id"), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()),
+                    pa.array(texts, pa.string()), _id_lists(ids),
+                ],
+                names=["row", "doc_id", "chunk", "n_chunks", "text", "ids"],
+            )
 
     return run
 
@@ -224,7 +302,7 @@ def _cut(chunk: int) -> Callable:
     """Giant texts as chunk rows, each with the code points before it that a piece may reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 marked = " " + text
                 n = -(-len(marked) // chunk)
@@ -244,7 +322,7 @@ def _cut(chunk: int) -> Callable:
 def _matrices(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in _slices(batches):
             mats = [m.transfer(c, t).tobytes() for c, t in zip(batch.column("context").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("chunk"), batch.column("n_chunks"), pa.array(mats, pa.binary())], names=["row", "chunk", "n_chunks", "m"]
@@ -300,13 +378,13 @@ def _trace(path: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in _slices(batches):
             enter, leave = batch.column("enter").to_pylist(), batch.column("leave").to_pylist()
             texts = [
                 c[len(c) - i :] + (t[: len(t) - j] if j else t)
                 for c, t, i, j in zip(batch.column("context").to_pylist(), batch.column("text").to_pylist(), enter, leave, strict=True)
             ]
-            ids = [m.encode(t) for t in texts]
+            ids = m.encode_all(texts)
             shown = [t[1:] if k == 0 else t for t, k in zip(texts, batch.column("chunk").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("row", "doc_id", "chunk", "n_chunks")), pa.array(shown, pa.string()), _id_lists(ids)],
@@ -347,15 +425,13 @@ def decode(pieces: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for whole in batches:
-            for first in range(0, whole.num_rows, 256):  # few ids as Python objects at a time
-                batch = whole.slice(first, 256)
-                ids = batch.column("ids")
-                at = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
-                flat = ids.flatten().to_numpy().tolist()
-                decoded = [m.decode(flat[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
-                chunks = batch.column("chunk").to_pylist()
-                decoded = [d[1:] if k == 0 else d for d, k in zip(decoded, chunks, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], names=[*batch.schema.names, "decoded"])
+        for batch in _slices(batches):
+            ids = batch.column("ids")
+            at = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+            flat = ids.flatten().to_numpy().tolist()
+            decoded = [m.decode(flat[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
+            chunks = batch.column("chunk").to_pylist()
+            decoded = [d[1:] if k == 0 else d for d, k in zip(decoded, chunks, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return pieces.mapInArrow(run, f"{PIECES}, decoded string")
