@@ -659,19 +659,19 @@ rt AS (SELECT run_date, CAST(sum(total_new) OVER (ORDER BY run_date) AS BIGINT)
        FROM (SELECT DISTINCT run_date, total_new FROM rl) b)"""
 
 
-@register(
-    "delta_log_entry",
-    with_base(
-        "SELECT rl.run_date, product_id, source, source_new, CAST(product_new AS BIGINT) AS product_new, "
-        "CAST(total_new AS BIGINT) AS total_new, total_in_db FROM rl JOIN rt ON rl.run_date = rt.run_date",
-        RUNLOG_SQL,
-    ),
+DELTA_LOG_SQL = with_base(
+    "SELECT rl.run_date, product_id, source, source_new, CAST(product_new AS BIGINT) AS product_new, "
+    "CAST(total_new AS BIGINT) AS total_new, total_in_db FROM rl JOIN rt ON rl.run_date = rt.run_date",
+    RUNLOG_SQL,
 )
+
+
+@register("delta_log_entry", DELTA_LOG_SQL)
 def q_delta_log_entry(spark, sf):
     return I.flatten_run_log(I.run_log(_reviews(spark, sf)))
 
 
-@register("delta_log_flat")
+@register("delta_log_flat", DELTA_LOG_SQL)
 def q_delta_log_flat(spark, sf):
     """Round trip through the JSON sink: write the run log, read it back."""
     from revq.session import scratch_dir
@@ -1100,12 +1100,12 @@ def q_extract_reviews_html(spark, sf):
     return H.extract_reviews(p).select("page_id", "pos", "product_id", "review_id", "rating", "title", "date", "reviewer_id", F.length("text").alias("text_chars"))
 
 
-@register("sample_rows")
+@register("sample_rows", with_base("SELECT review_id, product_id, rating, sentiment FROM reviews ORDER BY md5(review_id || '42'), review_id LIMIT 10"))
 def q_sample_rows(spark, sf, k: int = 10, seed: int = 42):
     """A seeded sample of k stored reviews (the limit is the feature);
     hash order instead of rand() so reruns and retries give the same rows."""
     r = _reviews(spark, sf)
-    return r.orderBy(F.xxhash64("review_id", F.lit(seed))).limit(k).select("review_id", "product_id", "rating", "sentiment")
+    return r.orderBy(F.md5(F.concat("review_id", F.lit(str(seed)))), "review_id").limit(k).select("review_id", "product_id", "rating", "sentiment")
 
 
 # ============================================================ model answers

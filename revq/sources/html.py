@@ -17,7 +17,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from revq.functions.dates import normalize_date
 from revq.functions.text import py_strip
@@ -305,15 +304,13 @@ def page_cutoff(listing: DataFrame) -> DataFrame:
     """Keep pages before the first fetched page with no reviews (S3).
 
     A failed fetch (``fetched`` false) is skipped, not a stop. The first empty
-    page per listing is a min() over a window partitioned by listing; a
-    listing has at most ``max_pages`` rows, so partitions stay small.
+    page per listing is a grouped min() (combined map-side, so a listing with
+    very many pages stays spread) joined back to the pages.
     """
-    empty = F.when(F.col("fetched") & (F.col("n_reviews") == 0), F.col("page_no"))
-    w = Window.partitionBy("listing")
-    with_cut = listing.withColumn("first_empty", F.min(empty).over(w))
-    return with_cut.filter(
-        F.col("fetched") & (F.col("first_empty").isNull() | (F.col("page_no") < F.col("first_empty")))
-    ).drop("first_empty")
+    empty = listing.filter(F.col("fetched") & (F.col("n_reviews") == 0))
+    cut = empty.groupBy(F.col("listing").alias("_listing")).agg(F.min("page_no").alias("_cut"))
+    kept = listing.filter("fetched").join(cut, F.col("listing").eqNullSafe(F.col("_listing")), "left")
+    return kept.filter(F.col("_cut").isNull() | (F.col("page_no") < F.col("_cut"))).drop("_listing", "_cut")
 
 
 def page_url(url: F.Column, page: F.Column) -> F.Column:

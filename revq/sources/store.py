@@ -3,19 +3,22 @@
 Plain parquet has no row updates, so the mutable table of the reference
 becomes three append-only tables under one folder:
 
-* ``reviews_raw``   accepted reviews, partitioned by ``product_id`` (product
-  predicates prune partitions), one sub-folder per load (``load=<id>``);
+* ``reviews_raw``   accepted reviews, one sub-folder per load (``load=<id>``),
+  sorted by ``product_id`` within files (product predicates prune row groups);
 * ``review_analysis`` analysis rows; the latest per ``review_id`` wins;
 * ``ingestion_log`` one row per (load, product).
 
 A load writes only its own ``load=<id>`` folders and reads the store
 without them. A folder with ``_SUCCESS`` is committed: re-running that load
-is a no-op; a folder without it (a failed attempt) is overwritten. So a load
-can be retried after any executor or driver loss without duplicating rows.
+is a no-op; a folder without it (a failed attempt) is read by nobody and
+overwritten by the retry. So a load can be retried after any executor or
+driver loss without duplicating rows. Column types come from the files; of
+the folder names only the load number is read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,35 +28,55 @@ from revq.operators.classify import apply_analysis, classify_batch
 from revq.operators.dedup import dedup_append
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
 
 
 def committed(spark: SparkSession, folder: str) -> bool:
     return _exists(spark, f"{folder}/_SUCCESS")
 
 
+def committed_parts(spark: SparkSession, root: str, key: str, mark: str = "_SUCCESS") -> list[int]:
+    """Numbers of the ``<key>=<number>`` folders under ``root`` that are committed."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n[len(key) + 1 :]) for n in names if n.startswith(f"{key}=") and _exists(spark, f"{root}/{n}/{mark}"))
+
+
+def read_parts(spark: SparkSession, root: str, key: str, exclude: int | None = None) -> DataFrame | None:
+    """Rows of the committed folders but ``exclude``; None where there are none."""
+    parts = [n for n in committed_parts(spark, root, key) if n != exclude]
+    return spark.read.option("basePath", root).parquet(*[f"{root}/{key}={n}" for n in parts]) if parts else None
+
+
 @dataclass
 class ReviewStore:
     spark: SparkSession
     root: str
     # keep a copy of the stored keys bucketed by review_id (external table in
-    # the store folder); the anti join of the next load then reads the keys
-    # already partitioned by review_id and only the batch side is shuffled
+    # the store folder, a partition per load); the anti join of the next load
+    # then reads the keys already partitioned by review_id and only the batch
+    # side is shuffled
     key_buckets: int | None = None
     key_table: str | None = None
 
     def __post_init__(self):
         if self.key_buckets:
-            import hashlib
-
             self.key_table = self.key_table or "revq_keys_" + hashlib.md5(self.root.encode()).hexdigest()[:12]
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.key_table} (review_id STRING) USING parquet "
+                f"CREATE TABLE IF NOT EXISTS {self.key_table} (review_id STRING, load BIGINT) USING parquet PARTITIONED BY (load) "
                 f"CLUSTERED BY (review_id) INTO {self.key_buckets} BUCKETS LOCATION '{self.keys_path}'"
             )
+            if _exists(self.spark, self.keys_path):
+                self.spark.sql(f"ALTER TABLE {self.key_table} RECOVER PARTITIONS")
 
     @property
     def keys_path(self) -> str:
@@ -72,10 +95,22 @@ class ReviewStore:
         return f"{self.root}/ingestion_log"
 
     def raw(self, exclude_load: int | None = None) -> DataFrame | None:
-        if not _exists(self.spark, self.raw_path):
-            return None
-        df = self.spark.read.parquet(self.raw_path)
-        return df if exclude_load is None else df.filter(F.col("load") != exclude_load)
+        return read_parts(self.spark, self.raw_path, "load", exclude_load)
+
+    def keys(self, exclude_load: int | None = None) -> DataFrame:
+        """Stored keys, bucketed. The committed loads say what is stored; the
+        partition of a load that lacks one (bucketing was turned on later, or a
+        run ended before it was written) is made from the load's rows."""
+        loads = [n for n in committed_parts(self.spark, self.raw_path, "load") if n != exclude_load]
+        have = set(committed_parts(self.spark, self.keys_path, "load", "_DONE"))
+        for load in loads:
+            if load not in have:
+                rows = self.spark.read.parquet(f"{self.raw_path}/load={load}").select("review_id")
+                self.spark.sql(f"INSERT OVERWRITE TABLE {self.key_table} PARTITION (load = {load}) SELECT review_id FROM {{rows}}", rows=rows)
+                if not rows.isEmpty():
+                    fs, done = _fs(self.spark, f"{self.keys_path}/load={load}/_DONE")
+                    fs.create(done).close()
+        return self.spark.table(self.key_table).filter(F.col("load").isin(loads)).select("review_id")
 
     def append(self, batch: DataFrame, load: int, run_ts: str) -> DataFrame:
         """De-duplicating append of one load; returns the ingestion-log rows."""
@@ -86,12 +121,8 @@ class ReviewStore:
         if not committed(self.spark, out):
             stored = self.raw(exclude_load=load)
             if self.key_buckets and stored is not None:
-                stored = self.spark.table(self.key_table)
-            accepted = dedup_append(batch, stored)
-            accepted.write.mode("overwrite").partitionBy("product_id").parquet(out)
-            if self.key_buckets:
-                # keys of this load only; a replayed load skips this branch
-                self.spark.read.parquet(out).select("review_id").write.mode("append").insertInto(self.key_table)
+                stored = self.keys(exclude_load=load)
+            dedup_append(batch, stored).sortWithinPartitions("product_id").write.mode("overwrite").parquet(out)
         new = self.spark.read.parquet(out).groupBy("product_id").agg(F.count(F.lit(1)).alias("new_reviews"))
         total = self.raw().groupBy("product_id").agg(F.count(F.lit(1)).alias("total_reviews"))
         log = new.join(total, "product_id", "right").select(
@@ -110,9 +141,9 @@ class ReviewStore:
         if committed(self.spark, out):
             return
         raw = self.raw()
-        if _exists(self.spark, self.analysis_path):
-            done = self.spark.read.parquet(self.analysis_path).filter(F.col("load") != load).select("review_id")
-            raw = raw.join(done, "review_id", "left_anti")
+        done = read_parts(self.spark, self.analysis_path, "load", load)
+        if done is not None:
+            raw = raw.join(done.select("review_id"), "review_id", "left_anti")
         if predicate:
             raw = raw.filter(predicate)
         a = classify_batch(raw, scorer=scorer)
@@ -120,10 +151,10 @@ class ReviewStore:
 
     def reviews(self) -> DataFrame:
         """The ``reviews`` view: raw LEFT JOIN latest analysis."""
-        raw = self.raw()
-        if not _exists(self.spark, self.analysis_path):
+        raw, analysis = self.raw(), read_parts(self.spark, self.analysis_path, "load")
+        if analysis is None:
             return raw.withColumn("processed", F.lit(0))
-        return apply_analysis(raw, self.spark.read.parquet(self.analysis_path).drop("load"))
+        return apply_analysis(raw, analysis.drop("load"))
 
     def ingestion_log(self) -> DataFrame:
-        return self.spark.read.parquet(self.log_path)
+        return read_parts(self.spark, self.log_path, "load")

@@ -28,13 +28,7 @@ from pyspark.sql import types as T
 
 from revq.operators.classify import classify_batch
 from revq.operators.dedup import dedup_append
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+from revq.sources.store import committed, read_parts
 
 
 @dataclass
@@ -46,26 +40,18 @@ class ReviewStream:
     analysis: str | None = None  # classify accepted rows when set
     classify_filter: str | None = None  # SQL predicate: which accepted rows to analyse
 
-    def _store_df(self, spark: SparkSession, exclude_epoch: int) -> DataFrame | None:
-        if not _exists(spark, self.store):
-            return None
-        s = spark.read.parquet(self.store)
-        return s.filter(F.col("epoch") != exclude_epoch)
-
     def _batch(self, df: DataFrame, epoch_id: int) -> None:
-        from revq.sources.store import committed
-
         spark = df.sparkSession
         out = f"{self.store}/epoch={epoch_id}"
         if not committed(spark, out):  # a replayed epoch that already committed is skipped
-            store = self._store_df(spark, epoch_id)
+            store = read_parts(spark, self.store, "epoch", epoch_id)
             accepted = dedup_append(df, store)
             accepted.write.mode("overwrite").parquet(out)
         if self.analysis is not None and not committed(spark, f"{self.analysis}/epoch={epoch_id}"):
             acc = spark.read.parquet(out)
             if self.classify_filter:
                 acc = acc.filter(self.classify_filter)
-            a = classify_batch(acc).withColumn("epoch", F.lit(epoch_id))
+            a = classify_batch(acc)
             a.write.mode("overwrite").parquet(f"{self.analysis}/epoch={epoch_id}")
 
     def run_available(self, spark: SparkSession) -> None:
@@ -80,10 +66,10 @@ class ReviewStream:
         q.awaitTermination()
 
     def stored(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.store)
+        return read_parts(spark, self.store, "epoch")
 
     def analysed(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.analysis)
+        return read_parts(spark, self.analysis, "epoch")
 
 
 def bounded_dedup_stream(src: DataFrame, delay: str = "7 days") -> DataFrame:

@@ -62,7 +62,7 @@ def test_bucketed_keys_avoid_store_shuffle(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = dedup_append(b, spark.table(st.key_table))._jdf.queryExecution().executedPlan().toString()
+        plan = dedup_append(b, st.keys())._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -94,3 +94,43 @@ def test_bounded_state_dedup_stream(spark):
     q.awaitTermination()
     got = sorted(r.review_id for r in spark.sql("SELECT review_id FROM revq_wm_test").collect())
     assert got == ["a", "b"]  # one row per key within the watermark delay
+
+
+def test_keys_follow_committed_loads(spark):
+    """Key buckets turned on later, or a run that ended before its keys were written: no stored key is taken again."""
+    root = tempfile.mkdtemp(prefix="revq-late-keys-")
+    b = _rows(spark)
+    ReviewStore(spark, root).append(b.filter("arrival_seq <= 3"), 1, "2024-01-01 00:00:00")
+    st = ReviewStore(spark, root, key_buckets=4)
+    st.append(b.filter("arrival_seq > 2"), 2, "2024-01-08 00:00:00")
+    st.append(b, 3, "2024-01-15 00:00:00")  # nothing new: an empty load
+    st.append(b, 4, "2024-01-22 00:00:00")
+    assert sorted((r.review_id, r.arrival_seq) for r in st.raw().collect()) == [("a", 1), ("b", 2), ("c", 4), ("d", 6)]
+    assert sorted(r.review_id for r in st.keys().collect()) == ["a", "b", "c", "d"]
+
+
+def test_half_written_load_is_not_read(spark):
+    root = tempfile.mkdtemp(prefix="revq-half-")
+    st, b = ReviewStore(spark, root), _rows(spark)
+    st.append(b.filter("arrival_seq <= 2"), 1, "2024-01-01 00:00:00")
+    b.filter("arrival_seq = 4").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{st.raw_path}/load=2")
+    assert sorted(r.review_id for r in st.raw().collect()) == ["a", "b"]
+    st.append(b.filter("arrival_seq > 2"), 3, "2024-01-08 00:00:00")
+    st.append(b.filter("arrival_seq > 2"), 2, "2024-01-09 00:00:00")  # the retry
+    assert sorted((r.review_id, r.arrival_seq) for r in st.raw().collect()) == [("a", 1), ("b", 2), ("c", 4), ("d", 6)]
+
+
+def test_product_codes_keep_their_type(spark):
+    st = ReviewStore(spark, tempfile.mkdtemp(prefix="revq-codes-"))
+    st.append(_rows(spark).withColumn("product_id", F.lit("0000000042")), 1, "2024-01-01 00:00:00")
+    assert dict(st.raw().dtypes)["product_id"] == "string"
+    assert {r.product_id for r in st.raw().collect()} == {"0000000042"}
+    assert {(r.product_id, r.new_reviews) for r in st.ingestion_log().collect()} == {("0000000042", 4)}
+
+
+def test_page_cutoff_per_listing(spark):
+    from revq.sources.html import page_cutoff
+
+    rows = [("l", 1, True, 3), ("l", 2, False, 0), ("l", 3, True, 2), ("l", 4, True, 0), ("l", 5, True, 7), ("m", 1, True, 0), (None, 1, True, 1), (None, 2, True, 0)]
+    kept = page_cutoff(spark.createDataFrame(rows, "listing string, page_no int, fetched boolean, n_reviews int")).collect()
+    assert sorted(((r.listing, r.page_no) for r in kept), key=repr) == [("l", 1), ("l", 3), (None, 1)]
