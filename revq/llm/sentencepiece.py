@@ -49,9 +49,9 @@ from revq.llm.tokens import MARK, TOKENIZERS
 CHUNK, FAN = 1 << 15, 64
 REACH = 16  # fixed: longest piece of the model file
 FAR = 1 << 60
-MEMO, MEMO_LEN = 150_000, 48
+MEMO, MEMO_LEN = 80_000, 48
 BLOCK, WIDE = 4096, 256  # units segmented in step; longer ones go one by one
-SLICE = 1 << 21  # bytes of text that are Python objects at a time
+SLICE = 1 << 20  # bytes of text that are Python objects at a time
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 PIECES = "row long, doc_id long, chunk int, n_chunks int, text string, ids array<int>"
 
