@@ -11,8 +11,9 @@ inside a code fence. Rules, in the reference's order:
   not a JSON object, ``themes`` null / number / boolean, ``confidence`` null
   or not a number.
 
-Everything runs on the JVM: ``json_object_keys`` tells objects from the rest,
-fields are read as STRING first (arrays arrive as JSON text) and typed after.
+Everything runs on the JVM. The answer is read as a VARIANT, so each value's
+own JSON type decides: a string that looks like a list is a string, and only
+the top-level keys count.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from revq.schema import (
 
 ColumnOrName = Column | str
 
-FIELDS = "sentiment string, themes string, confidence string"
+NUMBER = r"(?i)^[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 
 
 def strip_fence(raw: ColumnOrName) -> Column:
@@ -43,10 +44,6 @@ def strip_fence(raw: ColumnOrName) -> Column:
     return F.when(s.startswith("```"), py_strip(body)).otherwise(s)
 
 
-def _scalar_literal(body: Column, key: str, pattern: str) -> Column:
-    return body.rlike(r'"' + key + r'"\s*:\s*(' + pattern + ")")
-
-
 def quote_non_finite(body: Column) -> Column:
     """Python's JSON reader accepts bare NaN / Infinity / -Infinity values;
     quote them so Spark's reader accepts the object and the number is read
@@ -56,37 +53,41 @@ def quote_non_finite(body: Column) -> Column:
 
 def sanitize_answer(raw: ColumnOrName) -> Column:
     """STRUCT<sentiment, themes ARRAY<STRING>, confidence DOUBLE, fallback BOOLEAN>."""
-    body = quote_non_finite(strip_fence(raw))
-    keys = F.json_object_keys(body)
-    p = F.from_json(body, FIELDS)
-    has_themes = F.array_contains(keys, "themes")
-    has_conf = F.array_contains(keys, "confidence")
+    v = F.try_parse_json(quote_non_finite(strip_fence(raw)))
+    is_object = F.schema_of_variant(v).startswith("OBJECT<")
+
+    def field(key: str) -> tuple[Column, Column]:
+        """(value, its JSON type; NULL where the key is missing)"""
+        x = F.try_variant_get(v, f"$.{key}", "variant")
+        return x, F.schema_of_variant(x)
 
-    sent = p["sentiment"]
+    sent, sent_type = field("sentiment")
+    sent = F.when(sent_type == "STRING", sent.try_cast("string"))
     sentiment = F.when(sent.isin(*SENTIMENTS), sent).otherwise(F.lit("Neutral"))
 
-    t_raw = p["themes"]
-    t_trim = py_strip(t_raw)
-    as_list = F.when(t_trim.startswith("["), F.from_json(t_raw, "array<string>")).when(
-        t_trim.startswith("{"), F.json_object_keys(t_raw)
-    )
+    listed, themes_type = field("themes")
+    is_list, is_map = themes_type.startswith("ARRAY<"), themes_type.startswith("OBJECT<")
+    members = F.when(is_list, F.try_variant_get(v, "$.themes", "array<variant>"))
+    texts = F.transform(members, lambda x: F.when(F.schema_of_variant(x) == "STRING", x.try_cast("string")))
+    texts = F.when(is_map, F.json_object_keys(F.to_json(listed))).otherwise(texts)
     taxonomy = F.array(*[F.lit(t) for t in THEME_TAXONOMY])
-    kept = F.filter(F.coalesce(as_list, F.array().cast("array<string>")), lambda t: F.array_contains(taxonomy, t))
+    kept = F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.array_contains(taxonomy, t))
     themes = F.when(F.size(kept) > 0, kept).otherwise(F.array(*[F.lit(t) for t in FALLBACK_THEMES]))
-    themes_bad = has_themes & (
-        t_raw.isNull() | _scalar_literal(body, "themes", r"-?[0-9]|true|false|null")
-    )
-
-    c_raw = p["confidence"]
-    c_bool = _scalar_literal(body, "confidence", "true|false")
-    c_num = F.when(c_bool, F.when(F.lower(c_raw) == "true", 1.0).otherwise(0.0)).otherwise(
-        c_raw.try_cast("double")
+    themes_bad = themes_type.isNotNull() & ~(is_list | is_map | (themes_type == "STRING"))
+
+    c_raw, conf_type = field("confidence")
+    c_text = c_raw.try_cast("string")
+    c_num = (
+        F.when(conf_type == "BOOLEAN", c_raw.try_cast("boolean").cast("int").cast("double"))
+        .when((conf_type == "STRING") & ~py_strip(c_text).rlike(NUMBER), F.lit(None).cast("double"))
+        .when(conf_type == "STRING", py_strip(c_text).try_cast("double"))
+        .otherwise(c_raw.try_cast("double"))
     )
-    conf_bad = has_conf & c_num.isNull()
-    conf = F.when(has_conf, c_num).otherwise(F.lit(DEFAULT_CONFIDENCE))
+    conf_bad = conf_type.isNotNull() & c_num.isNull()
+    conf = F.when(conf_type.isNotNull(), c_num).otherwise(F.lit(DEFAULT_CONFIDENCE))
     conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf))
 
-    failed = keys.isNull() | themes_bad | conf_bad
+    failed = F.coalesce(~is_object, F.lit(True)) | themes_bad | conf_bad
     fb = F.struct(
         F.lit(FALLBACK_SENTIMENT).alias("sentiment"),
         F.array(*[F.lit(t) for t in FALLBACK_THEMES]).alias("themes"),

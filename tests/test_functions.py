@@ -127,3 +127,32 @@ def test_labels_are_made_below_the_dedup(spark):
     assert between  # the shuffle stands above the projection that reads the text
     projected = [x for x in lines if re.search(r"Project \[.*text#\d+", x) and "contains" not in x.lower() and "coalesce(text" not in x]
     assert not projected or all("AS" in x for x in projected)
+
+
+def test_answer_types_decide(spark):
+    """Nested keys and texts that look like other types do not change an answer's reading."""
+    cases = [
+        ('{"x": {"themes": null}, "sentiment": "Positive", "themes": ["Battery Life"], "confidence": 0.8}', "Positive", ["Battery Life"], 0.8, False),
+        ('{"sentiment": "Positive", "themes": "[\\"Battery Life\\"]", "confidence": 0.8}', "Positive", None, 0.8, False),
+        ('{"sentiment": "Positive", "themes": ["Battery Life"], "confidence": "0.9f"}', None, None, None, True),
+        ('{"sentiment": "Positive", "themes": ["Battery Life"], "confidence": " 0.9 "}', "Positive", ["Battery Life"], 0.9, False),
+        ('{"sentiment": "Positive", "themes": ["Battery Life", 3, null], "confidence": true}', "Positive", ["Battery Life"], 1.0, False),
+        ('{"sentiment": "Positive", "themes": {"Battery Life": 1}}', "Positive", ["Battery Life"], 0.5, False),
+        ('{"sentiment": "Positive", "themes": null}', None, None, None, True),
+        ('{"sentiment": 3, "themes": [], "confidence": NaN}', "Neutral", None, 1.0, False),
+        ("[1]", None, None, None, True),
+        ("", None, None, None, True),
+        (None, None, None, None, True),
+    ]
+    from pyspark.sql import functions as F
+
+    from revq.functions.labels import sanitize_answer
+    from revq.schema import FALLBACK_CONFIDENCE, FALLBACK_SENTIMENT, FALLBACK_THEMES
+
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, raw string")
+    got = {r.k: r.a for r in df.select("k", sanitize_answer(F.col("raw")).alias("a")).collect()}
+    for k, (raw, sentiment, themes, confidence, fallback) in enumerate(cases):
+        if fallback:
+            sentiment, confidence = FALLBACK_SENTIMENT, FALLBACK_CONFIDENCE
+        want = (sentiment, themes or list(FALLBACK_THEMES), confidence, fallback)
+        assert (got[k].sentiment, got[k].themes, got[k].confidence, got[k].fallback) == want, raw
