@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from revq.llm import sentencepiece as sp
 from revq.llm import tokens
 
@@ -83,3 +85,11 @@ def test_round_trip(docs, odd, empty):
             ((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=repr
         )
     assert sp.encode(empty).count() == 0
+
+
+def test_units_in_step_equal_single_ones():
+    m, r = sp.Model(PATH), random.Random(1)
+    units = {"".join(r.choice("abéñtheraning▁€😀\x00日本のи") for _ in range(r.randint(1, 30))) for _ in range(6000)}
+    units |= {" the", "\n", " " * 300, "x" * 257, "日本" * 200}
+    got = m.best_of(list(units))
+    assert all(np.frombuffer(got[u], np.int32).tolist() == list(m.best(u)[0]) for u in units)
