@@ -93,12 +93,12 @@ def one_star_reasons(reviews: DataFrame, k: int = 3) -> DataFrame:
 
 def praise_by_product(reviews: DataFrame, fragment: str) -> DataFrame:
     """Positive processed reviews mentioning the fragment, per product,
-    with ROUND(AVG(rating), 1); ordered by mentions."""
+    with ROUND(AVG(rating), 1); ordered by mentions (ties by product)."""
     r = reviews.filter(theme_fragment(fragment) & (F.col("sentiment") == "Positive") & (F.col("processed") == 1))
     return (
         r.groupBy("product_id")
         .agg(F.count(F.lit(1)).alias("positive_mentions"), F.round(F.avg("rating"), 1).alias("avg_rating"))
-        .orderBy(F.desc("positive_mentions"))
+        .orderBy(F.desc("positive_mentions"), "product_id")
     )
 
 
@@ -172,13 +172,13 @@ def answer_lines(reviews: DataFrame, params: dict) -> DataFrame:
         ).alias("s")
     ).select(
         F.lit("complaints_by_product").alias("template"),
-        F.format_string("Negative mentions of %s by product — %s.", F.lit(params["complaint_fragment"]), F.coalesce("s", F.lit("none"))).alias("answer"),
+        F.format_string("Negative mentions of %s by product — %s.", F.lit(params["complaint_fragment"]), F.coalesce(F.nullif("s", F.lit("")), F.lit("none"))).alias("answer"),
     )
     o = one_star_reasons(reviews).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.negative("count").alias("k"), "themes_label"))), lambda x: x["themes_label"]), "; ").alias("s")
     ).select(
         F.lit("one_star_reasons").alias("template"),
-        F.format_string("Top reasons behind 1-star reviews: %s.", F.coalesce("s", F.lit("none"))).alias("answer"),
+        F.format_string("Top reasons behind 1-star reviews: %s.", F.coalesce(F.nullif("s", F.lit("")), F.lit("none"))).alias("answer"),
     )
     p = praise_by_product(reviews, params["praise_fragment"]).limit(1).select(
         F.lit("praise_by_product").alias("template"),

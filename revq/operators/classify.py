@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from revq.functions.classify import keyword_themes, match_blob, rating_confidence, rating_sentiment
 from revq.functions.labels import sanitize_answer
@@ -111,8 +110,7 @@ def top_new_theme(analysis: DataFrame) -> DataFrame:
         .groupBy("theme")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    w = Window.orderBy(F.desc("cnt"), "theme")
-    return t.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    return t.orderBy(F.desc("cnt"), "theme").limit(1)
 
 
 def batch_align(assign: DataFrame, answers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from revq.functions.keys import review_key
@@ -54,10 +55,44 @@ def normalize_reviews(
     return b.select(*REVIEW_COLS, *extra)
 
 
-def configured_sources(config: DataFrame, placeholder: str = "YOUR_") -> DataFrame:
-    """Keep (product_id, source, url) rows with a usable URL."""
-    url = F.coalesce(F.col("url"), F.lit(""))
-    return config.filter((F.trim(url) != "") & ~url.contains(placeholder))
+# --- fixed values: texts that mark a URL as not configured ------------------
+URL_PLACEHOLDERS = ["PRODUCT_ID_HERE", "product-url-here"]
+# --- end of fixed values ---------------------------------------------------
+
+
+def configured(url: F.Column) -> F.Column:
+    """The URL is neither blank nor a placeholder."""
+    u = F.coalesce(url, F.lit(""))
+    ok = u != ""
+    for mark in URL_PLACEHOLDERS:
+        ok = ok & ~u.contains(mark)
+    return ok
+
+
+def configured_sources(config: DataFrame) -> DataFrame:
+    """(product_id, source, url) rows whose source can be read."""
+    return config.filter(configured(F.col("url")))
+
+
+def source_counts(config: DataFrame, accepted: DataFrame) -> DataFrame:
+    """New reviews of every (product, source) of ``config``: what ``accepted``
+    holds for a configured one, 0 for a skipped one or one without reviews.
+    The count runs on the narrow keys before it meets the configuration."""
+    new = accepted.groupBy(F.col("product_id").alias("_p"), F.lower("source").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    c = config.withColumn("configured", configured(F.col("url")))
+    same = F.col("configured") & F.col("product_id").eqNullSafe(F.col("_p")) & F.lower("source").eqNullSafe(F.col("_s"))
+    return c.join(new, same, "left").select(
+        "product_id", "source", "configured", F.coalesce("n", F.lit(0)).cast("long").alias("new_reviews")
+    )
+
+
+def union_batches(batches: list[DataFrame]) -> DataFrame:
+    """One batch of several sources' batches; a column that one of them
+    lacks is NULL there."""
+    whole = batches[0]
+    for b in batches[1:]:
+        whole = whole.unionByName(b, allowMissingColumns=True)
+    return whole
 
 
 def overlap_proof(batch: DataFrame, store: DataFrame) -> DataFrame:
@@ -143,20 +178,24 @@ def flatten_run_log(log: DataFrame) -> DataFrame:
 
 
 def write_run_log(log: DataFrame, path: str) -> None:
-    """Append JSON lines, partitioned by run_date."""
-    log.write.mode("append").partitionBy("run_date").json(path)
+    """JSON lines, a folder per run_date; writing a day again replaces it, so
+    a retried run is logged once."""
+    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").json(path)
 
 
-def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Tolerant read: malformed lines land in ``_corrupt_record`` (kept,
-    never silently dropping history); run_date comes from the folder name."""
-    fields = [f for f in RUN_LOG_SCHEMA.fields if f.name != "run_date"]
-    from pyspark.sql import types as T
+def read_run_log(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """Tolerant read: malformed text lands in ``_corrupt_record`` (kept,
+    never silently dropping history).
 
+    JSON lines in run_date folders, as ``write_run_log`` leaves them, or with
+    ``document=True`` whole files that hold one array of entries or one entry.
+    """
+    fields = [f for f in RUN_LOG_SCHEMA.fields if document or f.name != "run_date"]
     schema = T.StructType(fields + [T.StructField("_corrupt_record", T.StringType())])
     return (
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
+        .option("multiLine", document)
         .json(path)
     )

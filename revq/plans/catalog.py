@@ -909,7 +909,37 @@ def q_route_questions(spark, sf):
 ANSWER_PARAMS = {"product_id": PRODUCT, "anc_fragment": "ANC", "complaint_fragment": "Call", "praise_fragment": "Comfort"}
 
 
-@register("answer_lines")
+ANSWERS_SQL = f"""an AS (
+  SELECT 'theme_by_sentiment' AS template, concat(count(*), ' reviews of {PRODUCT} mention ANC.') AS answer
+  FROM reviews WHERE product_id = '{PRODUCT}' AND {_frag_sql('ANC')} AND processed = 1
+  UNION ALL
+  SELECT 'complaints_by_product', concat('Negative mentions of Call by product — ',
+         coalesce(string_agg(concat(product_id, ': ', n), '; ' ORDER BY product_id), 'none'), '.')
+  FROM (SELECT product_id, count(*) AS n FROM reviews
+        WHERE sentiment = 'Negative' AND {_frag_sql('Call')} AND processed = 1 GROUP BY product_id) c
+  UNION ALL
+  SELECT 'one_star_reasons', concat('Top reasons behind 1-star reviews: ',
+         coalesce(string_agg(label, '; ' ORDER BY n DESC, label), 'none'), '.')
+  FROM (SELECT array_to_string(themes, ', ') AS label, count(*) AS n FROM reviews
+        WHERE rating = 1 AND processed = 1 AND themes IS NOT NULL GROUP BY themes ORDER BY n DESC, label LIMIT 3) o
+  UNION ALL
+  SELECT * FROM (SELECT 'praise_by_product', concat(product_id, ' leads on Comfort with ', count(*),
+                        ' positive mentions (avg ', round(avg(rating), 1), '/5).')
+                 FROM reviews WHERE {_frag_sql('Comfort')} AND sentiment = 'Positive' AND processed = 1
+                 GROUP BY product_id ORDER BY count(*) DESC, product_id LIMIT 1) p
+  UNION ALL
+  SELECT 'total_reviews', concat(count(*), ' reviews in total.') FROM reviews)"""
+
+
+@register(
+    "answer_lines",
+    with_base(
+        f"""SELECT q.template, conv_id, turn, answer
+            FROM (SELECT conv_id, turn, {_route_sql()} AS template FROM conversations WHERE role = 'user') q
+            LEFT JOIN an ON q.template = an.template""",
+        ANSWERS_SQL,
+    ),
+)
 def q_answer_lines(spark, sf):
     """Routed user turns joined to the grounded answer of their template."""
     c = A.route_questions(table(spark, sf, "conversations").filter(F.col("role") == "user"))
@@ -1074,7 +1104,8 @@ def q_url_tail(spark, sf):
        FROM (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS listing FROM pages) l, range(1, 11) r(p)""",
 )
 def q_crawl_frontier(spark, sf):
-    return H.crawl_frontier(table(spark, sf, "pages").select("url"))
+    listings = table(spark, sf, "pages").select(H.url_base("url").alias("url"), F.lit("flipkart").alias("source"))
+    return H.crawl_frontier(listings).select("listing", "page_no", "page_url")
 
 
 @register(

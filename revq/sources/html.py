@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -65,6 +66,8 @@ ARTICLE = {
 }
 RULES = {"amazon": MARKETPLACE_A, "flipkart": MARKETPLACE_B, "article": ARTICLE}
 ANONYMOUS = "anonymous"
+REVIEWS_ORIGIN = "https://www.amazon.in"
+REVIEWS_TAIL = "/ref=cm_cr_arp_d_paging_btm_next_{page}?ie=UTF8&reviewerType=all_reviews&pageNumber={page}"
 # --- end of fixed values ---------------------------------------------------
 
 # The page parser runs in Python workers. Ship this module's code with the
@@ -95,12 +98,13 @@ class Node:
             stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
     def strings(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                if c.tag not in SKIP_TEXT:
-                    yield from c.strings()
-            else:
+        stack = list(reversed(self.children))
+        while stack:
+            c = stack.pop()
+            if not isinstance(c, Node):
                 yield c
+            elif c.tag not in SKIP_TEXT:
+                stack.extend(reversed(c.children))
 
     def text(self) -> str:
         """Stripped pieces joined with '' (like ``get_text(strip=True)``)."""
@@ -112,37 +116,33 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {}, None)
         self.cur = self.root
+        self.depth = Counter()  # open elements by tag
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and self._open("p"):
+        if tag in CLOSES_P and self.depth["p"]:
             self._close("p")
         node = Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
         self.cur.children.append(node)
         if tag not in VOID:
             self.cur = node
+            self.depth[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.cur.children.append(Node(tag, {k: (v or "") for k, v in attrs}, self.cur))
 
     def handle_endtag(self, tag):
-        if self._open(tag):
+        if self.depth[tag]:
             self._close(tag)
 
     def handle_data(self, data):
         self.cur.children.append(data)
 
-    def _open(self, tag):
-        n = self.cur
-        while n is not None and n.tag != "#root":
-            if n.tag == tag:
-                return True
-            n = n.parent
-        return False
-
     def _close(self, tag):
-        while self.cur.tag != tag:
-            self.cur = self.cur.parent
-        self.cur = self.cur.parent
+        while True:
+            closed, self.cur = self.cur.tag, self.cur.parent
+            self.depth[closed] -= 1
+            if closed == tag:
+                return
 
 
 def parse_html(html: str) -> Node:
@@ -185,71 +185,111 @@ def _find_all(root: Node, sels) -> list[Node]:
     return []
 
 
-def extract_page(html: str, rules: dict) -> list[dict]:
-    """Review dicts of one page (raw fields; typing happens in Spark)."""
-    root = parse_html(html)
-    out = []
-    for i, c in enumerate(_find_all(root, rules["containers"])):
-        star = _find(c, rules["rating"]) if rules["rating"] else None
-        title = _find(c, rules["title"])
-        if "body_all" in rules:
-            paras = [n for n in c.iter() if n is not c and any(_matches(n, s) for s in rules["body_all"])]
-            body = "\n".join(t for t in (p.text() for p in paras) if t)
-        else:
-            b = _find(c, rules["body"])
-            if b is not None and rules["drop"]:
-                for n in list(b.iter()):
-                    if n is not b and any(_matches(n, s) for s in rules["drop"]) and n.parent is not None:
-                        n.parent.children.remove(n)
-            body = b.text() if b is not None else ""
-        date = _find(c, rules["date"]) if rules["date"] else None
-        link = _find(c, rules["author_link"]) if rules["author_link"] else None
-        if link is not None and link.attrs.get("href"):
-            author, author_kind = link.attrs["href"], "link"
-        else:
-            name = _find(c, rules["author_name"]) if rules["author_name"] else None
-            author, author_kind = (name.text(), "name") if name is not None else (ANONYMOUS, "none")
-        out.append(
-            {
-                "pos": i,
-                "strip_star_title": bool(rules.get("strip_star_title")),
-                "rating_first_token": bool(rules.get("rating_first_token")),
-                "star_text": star.text() if star is not None else None,
-                "title": title.text() if title is not None else "",
-                "text": body,
-                "raw_date": date.text() if date is not None else "",
-                "author": author,
-                "author_kind": author_kind,
-            }
-        )
-    return out
+def _body(c: Node, rules: dict) -> str:
+    if "body_all" in rules:
+        paras = [n for n in c.iter() if n is not c and any(_matches(n, s) for s in rules["body_all"])]
+        return "\n".join(t for t in (p.text() for p in paras) if t)
+    body = _find(c, rules["body"])
+    if body is None:
+        return ""
+    if rules["drop"]:
+        for n in list(body.iter()):
+            if n is not body and any(_matches(n, s) for s in rules["drop"]):
+                n.parent.children.remove(n)
+    return body.text()
+
+
+def _author(c: Node, rules: dict) -> tuple[str, str]:
+    link = _find(c, rules["author_link"])
+    if link is not None and link.attrs.get("href"):
+        return link.attrs["href"], "link"
+    name = _find(c, rules["author_name"])
+    return (name.text(), "name") if name is not None else (ANONYMOUS, "none")
+
+
+def _review(c: Node, rules: dict) -> dict:
+    star, title, date = (_find(c, rules[k]) for k in ("rating", "title", "date"))
+    author, author_kind = _author(c, rules)
+    return {
+        "strip_star_title": bool(rules.get("strip_star_title")),
+        "rating_first_token": bool(rules.get("rating_first_token")),
+        "star_text": star.text() if star is not None else None,
+        "title": title.text() if title is not None else "",
+        "text": _body(c, rules),
+        "raw_date": date.text() if date is not None else "",
+        "author": author,
+        "author_kind": author_kind,
+    }
+
+
+def _unread(pos: int, e: Exception) -> dict:
+    return {
+        "pos": pos,
+        "strip_star_title": False,
+        "rating_first_token": False,
+        "star_text": None,
+        "title": "",
+        "text": "",
+        "raw_date": "",
+        "author": "",
+        "author_kind": "none",
+        "error": f"{type(e).__name__}: {e}"[:200],
+    }
+
+
+def extract_page(html: str, rules: dict) -> Iterator[dict]:
+    """Review dicts of one page (raw fields; typing happens in Spark).
+
+    A page or a review that cannot be read gives one row with ``error`` set
+    and no text, so it is counted and never stops the task.
+    """
+    try:
+        containers = _find_all(parse_html(html), rules["containers"])
+    except Exception as e:  # markup the standard parser refuses
+        yield _unread(-1, e)
+        return
+    for i, c in enumerate(containers):
+        try:
+            yield {"pos": i, **_review(c, rules), "error": None}
+        except Exception as e:
+            yield _unread(i, e)
 
 
 EXTRACT_SCHEMA = (
     "page_id long, url string, source string, pos int, strip_star_title boolean, rating_first_token boolean, "
     "star_text string, title string, "
-    "text string, raw_date string, author string, author_kind string"
+    "text string, raw_date string, author string, author_kind string, error string"
 )
+OUT_ROWS = 512  # reviews handed on at a time
 
 
 def _extract_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = [f.split()[0] for f in EXTRACT_SCHEMA.split(", ")]
+    rows: list[dict] = []
     for pdf in it:
-        rows = []
         for page_id, url, html, source in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["source"]):
-            rules = RULES.get((source or "").lower())
-            if rules is None or html is None:
-                continue
-            for r in extract_page(html, rules):
-                rows.append({"page_id": page_id, "url": url, "source": (source or "").lower(), **r})
+            for r in extract_page(html, RULES[source]):
+                rows.append({"page_id": page_id, "url": url, "source": source, **r})
+                if len(rows) >= OUT_ROWS:
+                    yield pd.DataFrame(rows, columns=cols)
+                    rows = []
+    if rows:
         yield pd.DataFrame(rows, columns=cols)
 
 
+def readable_pages(pages: DataFrame) -> DataFrame:
+    """Pages of a known source (in any letter case) with a URL and a body;
+    others give nothing (S5)."""
+    known = pages.withColumn("source", F.lower("source"))
+    return known.filter(F.col("source").isin(*RULES) & (F.col("url") != "") & F.col("html").isNotNull())
+
+
 def extract_raw(pages: DataFrame) -> DataFrame:
-    """One row per review container; pages of unknown source give nothing."""
+    """One row per review container; pages of unknown source or without a
+    URL give nothing. Rows with ``error`` could not be read."""
     if "source" not in pages.columns:
         pages = pages.withColumn("source", F.lit("article"))
-    return pages.select("page_id", "url", "html", "source").mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+    return readable_pages(pages).select("page_id", "url", "html", "source").mapInPandas(_extract_batches, EXTRACT_SCHEMA)
 
 
 def extract_reviews(pages: DataFrame, product_id=None) -> DataFrame:
@@ -313,35 +353,32 @@ def page_cutoff(listing: DataFrame) -> DataFrame:
     return kept.filter(F.col("_cut").isNull() | (F.col("page_no") < F.col("_cut"))).drop("_listing", "_cut")
 
 
-def page_url(url: F.Column, page: F.Column) -> F.Column:
-    """URL of review page ``page`` for a listing URL.
+def page_template(url: F.Column, source: F.Column) -> F.Column:
+    """URL of a listing's review pages with ``{page}`` for the number.
 
-    * a product URL with a 10-character product code (``/dp/<code>``):
-      the reviews listing of that code on the same origin, ``pageNumber=n``;
-    * a reviews URL that already carries ``pageNumber=``: the number replaced;
-    * a reviews URL (``product-reviews``) without it: ``pageNumber=n`` added;
-    * anything else: query dropped, ``?page=n`` added.
+    Marketplace A: a reviews URL keeps its query and has its ``pageNumber``
+    replaced or added; any other URL needs a product code (``/dp/<code>``).
+    Marketplace B: the query dropped, ``?page=`` added. NULL (no pages) for
+    a URL without code, a blank URL or an unknown source.
     """
-    origin = F.regexp_extract(url, r"^([a-z]+://[^/]+)", 1)
     code = F.regexp_extract(url, ASIN_RE, 1)
-    n = page.cast("string")
-    sep = F.when(url.contains("?"), F.lit("&")).otherwise(F.lit("?"))
-    return (
-        F.when(
-            ~url.contains("product-reviews") & (code != ""),
-            F.concat(origin, F.lit("/product-reviews/"), code, F.lit("?pageNumber="), n),
-        )
-        .when(url.rlike(r"pageNumber=\d+"), F.regexp_replace(url, r"pageNumber=\d+", F.concat(F.lit("pageNumber="), n)))
-        .when(url.contains("product-reviews"), F.concat(url, sep, F.lit("pageNumber="), n))
-        .otherwise(F.concat(F.regexp_replace(url, r"\?.*$", ""), F.lit("?page="), n))
+    numbered = F.regexp_replace(url, r"pageNumber=\d+", "pageNumber={page}")
+    sep = F.when(numbered.contains("?"), F.lit("&")).otherwise(F.lit("?"))
+    added = F.when(numbered.contains("pageNumber="), numbered).otherwise(F.concat(numbered, sep, F.lit("pageNumber={page}")))
+    a = F.when(url.contains("product-reviews"), added).when(
+        code != "", F.concat(F.lit(REVIEWS_ORIGIN + "/product-reviews/"), code, F.lit(REVIEWS_TAIL))
     )
-
-
-def crawl_frontier(pages: DataFrame, max_pages: int = 10) -> DataFrame:
-    """Page URLs 1..max_pages for every listing (S4). A listing is a URL
-    without query or fragment; the per-page URL follows ``page_url``."""
-    base = pages.select(url_base("url").alias("listing")).distinct()
-    return base.select(
-        "listing",
-        F.explode(F.sequence(F.lit(1), F.lit(max_pages))).alias("page_no"),
-    ).withColumn("page_url", page_url(F.col("listing"), F.col("page_no")))
+    b = F.concat(F.split_part(url, F.lit("?"), F.lit(1)), F.lit("?page={page}"))
+    kind = F.lower(source)
+    return F.when(url == "", F.lit(None)).when(kind == "amazon", a).when(kind == "flipkart", b)
+
+
+def crawl_frontier(listings: DataFrame, max_pages: int = 10) -> DataFrame:
+    """(source, listing, page_no, page_url) for pages 1..max_pages of every
+    distinct (source, url) whose page URLs are known (S4, S5). A URL that
+    resolves to no template gives no rows."""
+    base = listings.select(F.lower("source").alias("source"), F.col("url").alias("listing")).distinct()
+    known = base.withColumn("template", page_template(F.col("listing"), F.col("source"))).filter("template IS NOT NULL")
+    numbered = known.withColumn("page_no", F.explode(F.sequence(F.lit(1), F.lit(max_pages))))
+    url = F.replace("template", F.lit("{page}"), F.col("page_no").cast("string"))
+    return numbered.select("source", "listing", "page_no", url.alias("page_url"))

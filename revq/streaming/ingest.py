@@ -72,17 +72,22 @@ class ReviewStream:
         return read_parts(spark, self.analysis, "epoch")
 
 
+def _timed(src: DataFrame) -> DataFrame:
+    """Watermarks take a TIMESTAMP; ``ingested_at`` may come without a zone."""
+    return src.withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+
+
 def bounded_dedup_stream(src: DataFrame, delay: str = "7 days") -> DataFrame:
     """Streaming dedup with bounded state: keys are remembered only while
     their ``ingested_at`` is within the watermark delay."""
-    return src.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["review_id"])
+    return _timed(src).withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["review_id"])
 
 
 def weekly_counts_stream(src: DataFrame, delay: str = "1 day") -> DataFrame:
     """Calendar-week (Monday) volume per product on ingest time, emitted once
     the watermark passes the week's end (late data up to ``delay``)."""
     return (
-        src.withWatermark("ingested_at", delay)
+        _timed(src).withWatermark("ingested_at", delay)
         .groupBy(F.window("ingested_at", "7 days", "7 days", "4 days").alias("w"), "product_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("week_start"), "product_id", "n")

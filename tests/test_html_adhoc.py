@@ -66,25 +66,52 @@ def test_router(spark):
 
 
 def test_page_urls(spark):
-    from pyspark.sql import functions as F
-
-    from revq.sources.html import page_url
+    from revq.sources.html import crawl_frontier
 
     rows = [
-        ("https://shop.example/Some-Item/dp/B0ABCDEFGH/ref=x?th=1",),
-        ("https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=4&sort=new",),
-        ("https://shop.example/product-reviews/B0ABCDEFGH",),
-        ("https://b.example/item/reviews?pid=7&page=9",),
+        ("amazon", "https://shop.example/Some-Item/dp/B0ABCDEFGH/ref=x?th=1"),
+        ("Amazon", "https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=4&sort=new"),
+        ("amazon", "https://shop.example/product-reviews/B0ABCDEFGH"),
+        ("flipkart", "https://b.example/item/reviews?pid=7&page=9"),
+        ("amazon", "https://m.example/gp/help"),
+        ("amazon", ""),
+        ("flipkart", None),
+        (None, "https://b.example/item"),
+        ("web", "https://b.example/item"),
     ]
-    got = [r[0] for r in spark.createDataFrame(rows, "u string").select(page_url(F.col("u"), F.lit(2))).collect()]
-    assert got == [
+    got = {(r.listing, r.page_no): r.page_url for r in crawl_frontier(spark.createDataFrame(rows, "source string, url string"), 2).collect()}
+    assert len(got) == 8
+    assert sorted(u for (_, n), u in got.items() if n == 2) == [
+        "https://b.example/item/reviews?page=2",
         "https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=2",
         "https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=2&sort=new",
-        "https://shop.example/product-reviews/B0ABCDEFGH?pageNumber=2",
-        "https://b.example/item/reviews?page=2",
+        "https://www.amazon.in/product-reviews/B0ABCDEFGH/ref=cm_cr_arp_d_paging_btm_next_2?ie=UTF8&reviewerType=all_reviews&pageNumber=2",
     ]
 
 
+def test_unreadable_pages_and_sources(spark):
+    """Deep nesting is read, an unknown source or blank URL gives nothing, markup that
+    the parser refuses is an error row."""
+    from revq.sources.html import extract_raw
+
+    deep = PAGE_B.replace("Fine sound", "<i>" * 5000 + "Fine sound" + "</i>" * 5000)
+    pages = spark.createDataFrame(
+        [(1, "https://b.example/p", deep, "FLIPKART"), (2, "", PAGE_B, "flipkart"), (3, None, PAGE_B, "flipkart"),
+         (4, "https://b.example/p", PAGE_B, "web"), (5, "https://b.example/p", PAGE_B, None), (6, "https://b.example/p", None, "flipkart")],
+        "page_id long, url string, html string, source string",
+    )
+    assert [(r.page_id, r.text, r.error) for r in extract_raw(pages).collect()] == [(1, "Fine sound", None)]
+
+
+def test_review_error_is_kept_apart(monkeypatch):
+    from revq.sources import html as H
+
+    real = H._author
+    monkeypatch.setattr(H, "_author", lambda c, rules: 1 / 0 if "No stars" in c.text() else real(c, rules))
+    got = list(H.extract_page(PAGE_A, H.MARKETPLACE_A))
+    assert [r["pos"] for r in got if r["error"]] == [1] and len(got) == 4
+
+
 def test_star_title_cleanup_only_for_marketplace_a(spark):
     page_b = PAGE_B.replace('<p class="z9E0IG">Okay</p>', '<p class="z9E0IG">5 out of 5 stars Okay</p>')
     pages = spark.createDataFrame([(3, "https://b.example/p", page_b, "flipkart")], "page_id long, url string, html string, source string")
