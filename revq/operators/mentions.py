@@ -39,6 +39,21 @@ def theme_mentions(reviews: DataFrame) -> DataFrame:
     return m.filter(F.col("theme").isNotNull()).withColumn("theme", py_strip("theme"))
 
 
+def in_period(since: str | None = None, until: str | None = None, mode: str = "observed") -> F.Column:
+    """``since <= date < until`` (an open end where None).
+
+    observed: on the raw text (as the reference does); intended: on the
+    parsed date, so unparsed strings never pass.
+    """
+    d, bound = F.col("date"), F.lit
+    if mode != "observed":
+        d, bound = d.try_cast("date"), lambda x: F.lit(x).cast("date")
+    hit = F.lit(True)
+    if since is not None:
+        hit = hit & (d >= bound(since))
+    return hit if until is None else hit & (d < bound(until))
+
+
 def filter_mentions(
     mentions: DataFrame,
     product_id: str | None = None,
@@ -46,26 +61,14 @@ def filter_mentions(
     until: str | None = None,
     mode: str = "observed",
 ) -> DataFrame:
-    """Product / review-date predicates.
+    """Product / review-date predicates (see ``in_period``)."""
+    m = mentions if product_id is None else mentions.filter(F.col("product_id") == product_id)
+    return m if since is None and until is None else m.filter(in_period(since, until, mode))
 
-    observed: ``date >= since`` on the raw text (as the reference does);
-    intended: on the parsed date, so unparsed strings never pass.
-    """
-    m = mentions
-    if product_id is not None:
-        m = m.filter(F.col("product_id") == product_id)
-    if mode == "observed":
-        if since is not None:
-            m = m.filter(F.col("date") >= F.lit(since))
-        if until is not None:
-            m = m.filter(F.col("date") < F.lit(until))
-    else:
-        d = F.col("date").try_cast("date")
-        if since is not None:
-            m = m.filter(d >= F.lit(since).cast("date"))
-        if until is not None:
-            m = m.filter(d < F.lit(until).cast("date"))
-    return m
+
+def arrival_key() -> F.Column:
+    """Orders mentions by first appearance: arrival, then place in the list."""
+    return F.col("arrival_seq") * (1 << POS_BITS) + F.col("pos")
 
 
 def theme_trends(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -83,7 +86,7 @@ def theme_trends(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(s == "Negative").alias("negative"),
         F.count_if(s == "Neutral").alias("neutral"),
         F.count_if(~s.isin("Positive", "Negative", "Neutral")).alias("other_sentiment"),
-        F.min(F.col("arrival_seq") * (1 << POS_BITS) + F.col("pos")).alias("first_seen"),
+        F.min(arrival_key()).alias("first_seen"),
     )
     return g.withColumn("avg_rating", F.bround(F.col("rating_sum") / F.col("mentions"), 2))
 

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from revq.functions.text import signed_pct_label
 from revq.operators.joins import join_dimension
-from revq.operators.mentions import filter_mentions, theme_trends
+from revq.operators.mentions import arrival_key, filter_mentions, in_period, theme_trends
 from revq.schema import NEW_TREND_MIN, NO_PREVIOUS_WEEK, NO_THEMES_YET, SPIKE_PCT
 
 
@@ -63,14 +63,16 @@ def weekly_spikes(mentions: DataFrame, as_of: str, since: str | None = None, mod
     absent before and has >= 3 mentions now, else NULL.
     """
     s, p = week_bounds(as_of, since)
-    this = theme_trends(filter_mentions(mentions, since=s, mode=mode)).select(
-        "theme", F.col("mentions").alias("this_count"), "first_seen"
+    # one pass over both periods: the date filter reaches the scan, the first
+    # arrivals that it is joined with are found on all rows
+    in_this = in_period(since=s, mode=mode)
+    in_prev = in_period(since=p, until=None if mode == "observed" else s, mode=mode)
+    both = mentions.filter(in_period(since=p, mode=mode)).groupBy("theme").agg(
+        F.count_if(in_this).alias("this_count"),
+        F.count_if(in_prev).alias("prev_count"),
+        F.min(F.when(in_this, arrival_key())).alias("first_seen"),
     )
-    until = None if mode == "observed" else s
-    prev = theme_trends(filter_mentions(mentions, since=p, until=until, mode=mode)).select(
-        "theme", F.col("mentions").alias("prev_count")
-    )
-    j = this.join(prev, "theme", "left").withColumn("prev_count", F.coalesce("prev_count", F.lit(0)).cast("long"))
+    j = both.filter("this_count > 0")
     chg = _pct_change(F.col("this_count"), F.col("prev_count"))
     direction = F.when(chg > 0, F.lit("UP")).otherwise(F.lit("DOWN"))
     alert = F.when((F.col("prev_count") > 0) & (F.abs(chg) > SPIKE_PCT), direction).when(

@@ -240,15 +240,21 @@ def q_last_ingestion(spark, sf):
     return S.last_ingestion(S.ingestion_log(_reviews(spark, sf)))
 
 
-@register(
-    "freshness",
-    with_base(
-        f"""SELECT last_run, CAST(DATE '{FRESH_AS_OF}' - last_run AS INTEGER) AS days_since,
-                  (last_run IS NULL OR DATE '{FRESH_AS_OF}' - last_run > 6) AS is_stale
+def _freshness_sql(as_of: str) -> str:
+    return with_base(
+        f"""SELECT last_run, CAST(DATE '{as_of}' - last_run AS INTEGER) AS days_since,
+                  (last_run IS NULL OR DATE '{as_of}' - last_run > 6) AS is_stale
            FROM (SELECT max(run_date) AS last_run FROM ilog) t""",
         INGEST_LOG_SQL,
-    ),
-)
+    )
+
+
+@register("freshness_recent", _freshness_sql("2024-03-03"))
+def q_freshness_recent(spark, sf):
+    return S.freshness(S.ingestion_log(_reviews(spark, sf)), "2024-03-03")
+
+
+@register("freshness", _freshness_sql(FRESH_AS_OF))
 def q_freshness(spark, sf):
     return S.freshness(S.ingestion_log(_reviews(spark, sf)), FRESH_AS_OF)
 
@@ -483,8 +489,8 @@ def q_weekly_volume(spark, sf):
     return W.weekly_volume(_reviews(spark, sf), AS_OF)
 
 
-def _spikes_sql(mode: str) -> str:
-    prev_cond = f"date >= '{PREV_W}'" + ("" if mode == "observed" else f" AND date < '{SINCE_W}'")
+def _spikes_sql(mode: str, since: str = SINCE_W, prev: str = PREV_W) -> str:
+    prev_cond = f"date >= '{prev}'" + ("" if mode == "observed" else f" AND date < '{since}'")
     chg = "CASE WHEN p > 0 THEN CAST(round_even((c - p) * 100.0 / p, 0) AS BIGINT) END"
     return with_base(
         f"""SELECT theme, c AS this_count, p AS prev_count, {chg} AS change_pct,
@@ -495,7 +501,7 @@ def _spikes_sql(mode: str) -> str:
             FROM (SELECT t.theme, t.mentions AS c, coalesce(pv.mentions, 0) AS p, t.first_seen
                   FROM ({trends_sql(src='mt')}) t
                   LEFT JOIN ({trends_sql(src='mp')}) pv ON t.theme = pv.theme) j""",
-        f"mt AS (SELECT * FROM mentions WHERE date >= '{SINCE_W}'),\nmp AS (SELECT * FROM mentions WHERE {prev_cond})",
+        f"mt AS (SELECT * FROM mentions WHERE date >= '{since}'),\nmp AS (SELECT * FROM mentions WHERE {prev_cond})",
     )
 
 
@@ -509,6 +515,21 @@ def q_weekly_spikes_intended(spark, sf):
     return W.weekly_spikes(theme_mentions(_mat(spark, sf)), AS_OF, mode="intended")
 
 
+FIRST_WEEK, SECOND_WEEK = "2024-01-08", "2024-01-15"  # as-of days at the start of the data
+
+
+@register("weekly_spikes_new", _spikes_sql("intended", *W.week_bounds(FIRST_WEEK)))
+def q_weekly_spikes_new(spark, sf):
+    """No week before the first one: every theme is a new trend."""
+    return W.weekly_spikes(theme_mentions(_mat(spark, sf)), FIRST_WEEK, mode="intended")
+
+
+@register("weekly_spikes_rise", _spikes_sql("intended", *W.week_bounds(SECOND_WEEK)))
+def q_weekly_spikes_rise(spark, sf):
+    """All that came after the first week against it: themes go up."""
+    return W.weekly_spikes(theme_mentions(_mat(spark, sf)), SECOND_WEEK, mode="intended")
+
+
 @register(
     "weekly_product",
     with_base(
@@ -1308,7 +1329,67 @@ def q_stream_classify(spark, sf):
 
 
 # ================================================================== reports
-@register("report_lines")
+def _section(n: int, order: str, line: str, rows: str) -> str:
+    return f"SELECT {n} AS section, row_number() OVER (ORDER BY {order}) AS ord, {line} AS line FROM ({rows}) s{n}"
+
+
+def _heading(n: int, text: str) -> str:
+    return f"SELECT {n}, 0, {O._lit(text)}"
+
+
+def _report_sql() -> str:
+    trend = "mentions DESC, first_seen"
+    table_sql = with_base(
+        f"SELECT theme, mentions, {pct('positive', 'mentions')} AS pos_pct, {pct('negative', 'mentions')} AS neg_pct, avg_rating, first_seen "
+        f"FROM ({trends_sql()}) t"
+    )
+    head = with_base("SELECT count(*) AS n, min(date) AS lo, max(date) AS hi FROM reviews")
+    return "\nUNION ALL\n".join([
+        _section(0, "n", "concat('Total reviews: ', n, ' | Period: ', coalesce(lo, 'N/A'), ' to ', coalesce(hi, 'N/A'))", head),
+        _heading(0, "# Review Intelligence Report"),
+        _heading(1, "## Executive summary\n| Product | Reviews | Avg rating | Positive % | Top complaint | Top praise |"),
+        _section(1, "product_id", "concat('| ', name, ' | ', total_reviews, ' | ', avg_rating, '/5 | ', positive_pct, '% | ', top_complaint, ' | ', top_praise, ' |')", ORACLE["exec_summary"]),
+        _heading(2, "## Product team: critical issues"),
+        _section(2, trend, "concat('**', theme, ':** ', negative, ' negative mentions (', neg_pct, '% of ', mentions, ') - average rating when mentioned ', avg_rating, '/5', chr(10), '> Evidence: \"', quote, '\"')", ORACLE["critical_issues"]),
+        _heading(3, "## Product team: wins"),
+        _section(3, trend, "concat('**', theme, ':** ', positive, ' positive mentions (', pos_pct, '% positive) - avg rating ', avg_rating, '/5')", ORACLE["wins"]),
+        _heading(4, "## Marketing: messaging opportunities"),
+        _section(4, "rank", "concat('- **', theme, '** - ', positive, ' positive mentions (avg ', avg_rating, '/5)')", ORACLE["messaging_opportunities"]),
+        _heading(5, "## Marketing: claims to retire"),
+        _section(5, "rank", "concat('- **', theme, '** - ', negative, ' negative mentions')", ORACLE["claims_to_retire"]),
+        _heading(6, "## Support: FAQ candidates"),
+        _section(6, "rank", "concat('- **', theme, '** - ', mentions, ' mentions')", ORACLE["faq_candidates"]),
+        _heading(7, "## Support: escalation patterns"),
+        _section(7, "rank", "concat('- **', themes_label, '** - ', cnt, ' reviews rated 2 stars or less')", ORACLE["escalation_patterns"]),
+        _heading(8, "## Theme analysis\n| Theme | Mentions | Positive % | Negative % | Avg rating |"),
+        _section(8, trend, "concat('| ', theme, ' | ', mentions, ' | ', pos_pct, '% | ', neg_pct, '% | ', avg_rating, '/5 |')", table_sql),
+    ])
+
+
+def _weekly_report_sql() -> str:
+    quotes = with_base(
+        f"SELECT theme, quote FROM quotes WHERE sentiment = 'Negative' AND product_id = '{QUOTE_PRODUCT}'", QUOTES_SQL
+    )
+    spikes = f"""SELECT s.*, coalesce(q.quote, 'No matching review found.') AS quote
+                 FROM ({ORACLE['weekly_spikes']}) s LEFT JOIN ({quotes}) q ON s.theme = q.theme WHERE alert IS NOT NULL"""
+    line = """CASE WHEN alert = 'NEW TREND' THEN concat('**', theme, ' - NEW TREND (', this_count, ' mentions)** - not seen last week; monitor')
+              ELSE concat('**', theme, ' - ', alert, ' ', abs(change_pct), '%** (previous ', prev_count, ', this week ', this_count, ')', chr(10),
+                          '- Key review: "', quote, '"', chr(10), '- Action: ',
+                          CASE WHEN alert = 'UP' THEN 'investigate the cause and prioritise a fix'
+                               ELSE 'keep monitoring; the trend is improving' END) END"""
+    volume = "concat('# Weekly change report - week of ', since, chr(10), 'New reviews this week: ', this_week, ' | vs last week: ', change_label)"
+    product = "concat(name, ': ', new_reviews, ' new reviews | avg rating ', avg_rating, '/5 | top themes: ', top_themes)"
+    return "\nUNION ALL\n".join([
+        _section(0, "since", volume, ORACLE["weekly_volume"]),
+        _heading(1, "## Spikes and alerts (>20% change)"),
+        _section(1, "this_count DESC, first_seen", line, spikes),
+        f"SELECT 1, 1, 'No significant spikes detected this week.' WHERE NOT EXISTS (SELECT 1 FROM ({spikes}) none)",
+        _heading(2, "## Per product"),
+        _section(2, "product_id", product, ORACLE["weekly_product"]),
+    ])
+
+
+@register("report_lines", _report_sql())
 def q_report_lines(spark, sf):
     """K9: the global action report as ordered lines."""
     from revq.plans.reports import global_report_lines
@@ -1317,7 +1398,7 @@ def q_report_lines(spark, sf):
     return global_report_lines(r, theme_mentions(r), _products(spark, sf), QUOTE_PRODUCT)
 
 
-@register("weekly_report_lines")
+@register("weekly_report_lines", _weekly_report_sql())
 def q_weekly_report_lines(spark, sf):
     """K7/K8: the weekly change report as ordered lines."""
     from revq.plans.reports import weekly_report_lines

@@ -290,3 +290,81 @@ def q_weekly_counts_stream(spark, sf):
     q.trigger(availableNow=True).start(f"{base}/weeks").awaitTermination()
     out = spark.read.schema(weeks.schema).parquet(f"{base}/weeks")
     return out.select(F.to_date("week_start").alias("week_start"), "product_id", "n")
+
+
+LISTED_SQL = """listed AS (
+  SELECT page_id, concat('listing-', page_id // 12) AS listing, CAST(page_id % 12 + 1 AS INTEGER) AS page_no,
+         page_id % 5 <> 3 AND html IS NOT NULL AS fetched,
+         CASE WHEN page_id % 17 = 8 THEN 0
+              ELSE coalesce(CAST((length(html) - length(replace(html, '<article', ''))) // 8 AS BIGINT), 0) END AS n_reviews
+  FROM pages)"""
+
+
+@register(
+    "page_cutoff_gaps",
+    f"""WITH {LISTED_SQL}
+        SELECT page_id, l.listing, page_no, fetched, n_reviews FROM listed l
+        LEFT JOIN (SELECT listing, min(page_no) AS cut FROM listed WHERE fetched AND n_reviews = 0 GROUP BY listing) c
+          ON l.listing = c.listing
+        WHERE fetched AND (cut IS NULL OR page_no < cut)""",
+)
+def q_page_cutoff_gaps(spark, sf):
+    """S3 with twelve pages a listing, failed fetches and empty pages."""
+    i = F.col("page_id")
+    listed = H.page_listing(table(spark, sf, "pages")).select(
+        "page_id",
+        F.concat(F.lit("listing-"), F.floor(i / 12).cast("string")).alias("listing"),
+        (i % 12 + 1).cast("int").alias("page_no"),
+        (F.col("fetched") & (i % 5 != 3)).alias("fetched"),
+        F.when(i % 17 == 8, F.lit(0)).otherwise(F.col("n_reviews")).cast("long").alias("n_reviews"),
+    )
+    return H.page_cutoff(listed)
+
+
+# (question, expected template), by conv_id + turn modulo their number
+QUESTIONS = [
+    ("How is the ANC of Product 1 rated?", "theme_by_sentiment"),
+    ("COMPARE the battery life complaints of both", "complaints_by_product"),
+    ("What are the top 1-star complaints?", "one_star_reasons"),
+    ("Give reasons behind 1-star reviews", "one_star_reasons"),
+    ("Which has better comfort?", "praise_by_product"),
+    ("1-star reviews, please", "total_reviews"),
+    ("battery life complaints only", "total_reviews"),
+]
+
+
+@register(
+    "route_questions_all",
+    f"""SELECT conv_id, turn, CASE (conv_id + turn) % {len(QUESTIONS)} """
+    + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(QUESTIONS))
+    + " END AS template FROM conversations WHERE role = 'user'",
+)
+def q_route_questions_all(spark, sf):
+    """Q2: every user turn asks one of seven questions, so all routes are taken."""
+    from revq.operators.adhoc import route_questions
+
+    asked = F.element_at(F.array(*[F.lit(q) for q, _ in QUESTIONS]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(QUESTIONS))) + 1).cast("int"))
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    return route_questions(c.select("conv_id", "turn", asked.alias("text"))).select("conv_id", "turn", "template")
+
+
+@register("store_retry", with_base("SELECT review_id, arrival_seq, product_id FROM store"))
+def q_store_retry(spark, sf):
+    """The second load ends early and leaves rows without a commit
+    mark; a new run with bucketed keys replays both loads. The store is as if
+    every load had run once."""
+    from revq.session import scratch_dir
+    from revq.sources.store import ReviewStore
+
+    root = scratch_dir(spark, "store_retry")
+    b = reviews_in(spark, sf)
+    cut = F.lit(LOAD_SPLIT).cast("timestamp_ntz")
+    early, late = b.filter(F.col("ingested_at") < cut), b.filter(F.col("ingested_at") >= cut)
+    first = ReviewStore(spark, root)
+    first.append(early, 1, "2024-02-01 00:00:00")
+    late.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{first.raw_path}/load=2")
+    again = ReviewStore(spark, root, key_buckets=8)
+    again.append(early, 1, "2024-02-01 00:00:00")
+    for _ in range(2):
+        again.append(late, 2, "2024-03-01 00:00:00")
+    return again.raw().select("review_id", "arrival_seq", "product_id")

@@ -19,6 +19,8 @@ from revq.operators import weekly as W
 from revq.operators.mentions import theme_trends
 from revq.schema import NO_VALUE
 
+NO_SPIKES = "No significant spikes detected this week."
+
 
 def _numbered(df: DataFrame, section: int, order: list, line: F.Column) -> DataFrame:
     """Lines of one section, numbered in ``order``; the window runs over the
@@ -143,6 +145,7 @@ def weekly_report_lines(
         _numbered(vol, 0, [F.lit(1)], F.format_string("# Weekly change report - week of %s\nNew reviews this week: %d | vs last week: %s", "since", "this_week", "change_label")),
         _title(1, "## Spikes and alerts (>20% change)", spark),
         _numbered(spikes, 1, [F.desc("this_count"), "first_seen"], spike_line),
+        spikes.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(1).alias("section"), F.lit(1).cast("long").alias("ord"), F.lit(NO_SPIKES).alias("line")),
         _title(2, "## Per product", spark),
         _numbered(
             prod,
