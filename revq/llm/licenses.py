@@ -6,9 +6,14 @@ positions keeps the order; the gaps between anchors, and what stands before
 and after, are aligned in the same way, equal words at a gap's ends first.
 Coverage is the share of a template's words that are aligned.
 
-A text is first cut into stretches: neighbourhoods of words that only
-licenses use (``CUES``). Texts without cues cost one set look-up a word. One
-scan, no shuffle; the templates are a fixed small list.
+Words that only licenses use (``CUES``) tell where to align: a window of the
+template's length and slack at each start that a cue gives, and the reach of
+each stretch of cues. Windows overlap, so no notice is cut by a cue beside it;
+those with too few of the template's words are skipped unaligned. The best
+coverage is taken first (last, if it has words of two notices), its span is
+removed, and what it leaves of the windows that met it is aligned again. Texts
+without cues cost one set look-up a word. One scan, no shuffle; the templates
+are a fixed small list.
 
 Nulls and odd input: a null or empty text holds no license; each repetition of
 a notice is found by itself; equal coverage goes to the name that sorts first;
@@ -17,9 +22,11 @@ very long texts are read whole; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,16 +132,126 @@ def licenses_of(text: str | None) -> list[tuple[str, float, int, int]]:
         return out
     words = norm(raw)
     for name, form in FORMS.items():
-        own = set(form) & CUES
-        here = [i for i in cues if words[i] in own]
-        groups = _stretches(here, words, form)
-        for before, group, after in zip([[-1], *groups], groups, [*groups[1:], [len(words)]], strict=False):
-            a, b = max(before[-1] + 1, group[0] - len(form)), min(after[0], group[-1] + len(form) + 1)
-            pairs = align(words[a:b], form)
-            cover = len(pairs) / len(form)
-            if cover >= COVER:
-                out.append((name, round(cover, 6), a + pairs[0][0], a + pairs[-1][0]))
-    return sorted(set(out), key=lambda x: (x[2], x[3], x[0]))
+        here = [i for i in cues if words[i] in form]
+        out.extend((name, round(n / len(form), 6), first, last) for n, first, last in _notices(here, words, form))
+    return sorted(out, key=lambda x: (x[2], x[3], x[0]))
+
+
+def _notices(cues: list[int], words: list[str], form: list[str]) -> list[tuple[int, int, int]]:
+    """(aligned words, first, last) of a template's notices: best coverage first, then the shortest, none over another."""
+    least, most = COVER * len(form), Counter(form)
+    heap: list[tuple[int, int, int, int, int, bool]] = []
+    missed: list[tuple[int, int]] = []  # windows with the words, but not in order: a neighbour may hide the notice
+    taken: list[tuple[int, int, int]] = []  # (first, last, aligned words) in text order
+    close: list[tuple[int, int]] = []  # (first, last) of alignments too short to hold two notices
+
+    def consider(a: int, b: int) -> None:
+        pairs = align(words[a:b], form)
+        if len(pairs) < least:
+            insort(missed, (a, b))
+            return
+        first, last = a + pairs[0][0], a + pairs[-1][0]
+        x, y = _core([i for i, _ in pairs])
+        heappush(heap, (-len(pairs), last - first, first, a, b, (a + x, a + y) != (first, last)))
+        if (a + x, a + y) != (first, last) and _in_common(words[a + x : a + y + 1], most) >= least:
+            consider(a + x, a + y + 1)
+        if last - first + 1 < 2 * least and (first, last) not in close[(k := bisect_left(close, (first, last))) : k + 1]:
+            close.insert(k, (first, last))
+
+    def several(first: int, last: int) -> bool:
+        """Whether an alignment has words of two notices or more."""
+        lo, hi = bisect_left(close, (first - ceil(2 * least),)), bisect_left(close, (last,))
+        met = [(y, z) for y, z in close[lo:hi] if z > first and _apart(taken, y, z)]
+        return bool(met) and met[-1][0] > min(z for _, z in met)
+
+    def free(a: int, b: int) -> list[tuple[int, int]]:
+        """What taken spans leave of a window."""
+        out, k = [], bisect_left(taken, (a,))
+        if k and taken[k - 1][1] >= a:
+            k -= 1
+        while k < len(taken) and taken[k][0] < b:
+            out.append((a, taken[k][0]))
+            a, k = taken[k][1] + 1, k + 1
+        return [(x, y) for x, y in [*out, (a, b)] if _in_common(words[x:y], most) >= least]
+
+    windows = _windows(cues, words, form)
+    longest = max((b - a for a, b in windows), default=0)
+    for a, b in windows:
+        consider(a, b)
+    joined: list[tuple[int, int, int, int, int, bool]] = []
+    while heap or joined:
+        if not heap:  # nothing else is left in their place
+            heap, joined = joined, []
+            close.clear()
+        n, far, first, a, b, loose = heappop(heap)
+        if (rest := free(a, b)) != [(a, b)]:
+            for x, y in rest:
+                consider(x, y)
+        elif (loose or far + 1 >= 2 * least) and several(first, first + far):
+            heappush(joined, (n, far, first, a, b, loose))
+        else:
+            insort(taken, (first, first + far, -n))
+            lo, hi = bisect_left(missed, (first - longest,)), bisect_left(missed, (first + far + 1,))
+            again, missed[lo:hi] = missed[lo:hi], []
+            for a, b in again:
+                for x, y in free(a, b):
+                    consider(x, y)
+    return [(n, first, last) for first, last, n in taken]
+
+
+def _core(at: list[int]) -> tuple[int, int]:
+    """The stretch with most aligned words above the others in it: stray words at the ends are left out."""
+    best, total, start, out = 0, 0, at[0], (at[0], at[-1])
+    for before, i in zip([at[0] - 1, *at[:-1]], at, strict=True):
+        total -= i - before - 1
+        if total <= 0:
+            total, start = 0, i
+        total += 1
+        if total > best or (total == best and (start, i) == (at[0], at[-1])):
+            best, out = total, (start, i)
+    return out
+
+
+def _apart(taken: list[tuple[int, int, int]], first: int, last: int) -> bool:
+    """Whether no taken span meets this one."""
+    k = bisect_left(taken, (first,))
+    return (not k or taken[k - 1][1] < first) and (k == len(taken) or taken[k][0] > last)
+
+
+def _in_common(part: list[str], most: Counter) -> int:
+    """Words that a part has in common with a template, in any order."""
+    return sum(min(n, most[w]) for w, n in Counter(w for w in part if w in most).items())
+
+
+def _windows(cues: list[int], words: list[str], form: list[str]) -> list[tuple[int, int]]:
+    """Windows that hold enough words of the template: a template's length and slack
+    where a cue puts its start, and the reach of each stretch of cues."""
+    at, most, least = {}, Counter(form), COVER * len(form)
+    for j, w in enumerate(form):
+        at.setdefault(w, []).append(j)
+    slack = len(form) // 3 + 1
+    out = set()
+    have, common, lo, hi = Counter(), 0, 0, 0
+    for start in sorted({i - j for i in cues for j in at[words[i]]}):
+        a, b = max(0, start - slack), min(len(words), max(0, start + len(form) + slack))
+        if a >= hi:
+            have, common, lo, hi = Counter(), 0, a, a
+        for w in words[hi:b]:
+            have[w] += 1
+            common += have[w] <= most[w]
+        for w in words[lo:a]:
+            have[w] -= 1
+            common -= have[w] < most[w]
+        lo, hi = a, max(hi, b)
+        if common >= least:
+            out.add((a, b))
+    groups = _stretches(cues, words, form)
+    for before, group, after in zip([[-1], *groups], groups, [*groups[1:], [len(words)]], strict=False):
+        a, b = max(0, group[0] - len(form)), min(len(words), group[-1] + len(form) + 1)
+        for x, y in ((a, b), (max(before[-1] + 1, a), min(after[0], b))):
+            if _in_common(words[x:y], most) >= least:
+                out.add((x, y))
+    return sorted(out)
 
 
 def _stretches(cues: list[int], words: list[str], form: list[str]) -> list[list[int]]:

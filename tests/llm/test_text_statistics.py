@@ -170,3 +170,21 @@ def test_licenses(spark, docs, odd, empty):
         if not re.search("licen|rights|copyright", r.text or "", re.I):
             assert not rows[r.doc_id]
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def test_licenses_beside_other_cues():
+    """A cue before, inside or after a notice cuts it nowhere."""
+    notice = licenses.TEMPLATES
+
+    def names(text):
+        return [(n, c) for n, c, *_ in licenses.licenses_of(text)]
+
+    assert names("Copyright (c) 2024 X. " + notice["BSD"]) == [("BSD", 1.0)]
+    assert names("License: " + notice["Apache-2.0"]) == [("Apache-2.0", 1.0)]
+    assert names(notice["MIT"] + " so" * 20 + " " + notice["Apache-2.0"]) == [("MIT", 1.0), ("Apache-2.0", 1.0)]
+    for name in ("MIT", "MIT-full", "BSD", "GPL-header"):
+        for between in ("\n", "\nCopyright (c) 2024 X.\n", "\nLicense:\n"):
+            assert names(between.join([notice[name]] * 3)).count((name, 1.0)) == 3, (name, between)
+    edited = " ".join(w for k, w in enumerate(notice["MIT-full"].split()) if k % 9 != 4)
+    assert [n for n, _ in names("the license " + edited + " Copyright 2024 " + edited)] == ["MIT-full", "MIT-full"]
+    assert names("Released under something else. rights " * 5 + "license " * 500) == []
