@@ -38,9 +38,16 @@ HEX, HEX_LEAST = r"[0-9a-f]{24,}", 24
 VALUE_LEAST = 6
 # weak parts
 SCOPE = 300
+# a weak name may follow '_', '-' or another non-letter, a camel-case hump, or one of the usual prefixes
+LEAD = (
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+    r"|(?<=(?<![A-Za-z])(?i:pg|db|my|sql|mysql|mongo|redis|ldap|ftp|ssh|smtp|imap|http|proxy|aws|git|admin|root)))"
+)
+SECRET_NAME = r"(?i:pwd|pass|pass[_-]?phrase|auth|credentials?|private[_-]?key|access[_-]?key|secret[_-]?(?:access[_-]?)?key)"
+ID_NAME = r"(?i:user|user[_-]?name|login|client[_-]?id|account|access[_-]?key[_-]?id)"
 WEAK = {
-    "weak_secret": r"(?<![A-Za-z_])(?:pwd|pass|passphrase|auth|credential|private_key|access_key)[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{4,}|(?<![0-9A-Fa-f])[0-9a-f]{16,23}(?![0-9A-Fa-f])",
-    "weak_id": r"(?<![A-Za-z_])(?:user|username|login|client_id|account|access_key_id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}|AKIA[A-Z0-9]{4,15}(?![A-Z0-9])",
+    "weak_secret": r"(?=[PpAaCcSs])" + LEAD + SECRET_NAME + r"[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{4,}|(?<![0-9A-Fa-f])[0-9a-f]{16,23}(?![0-9A-Fa-f])",
+    "weak_id": r"(?=[UuLlCcAa])" + LEAD + ID_NAME + r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}|AKIA[A-Z0-9]{4,15}(?![A-Z0-9])",
     "endpoint": r"(?:https?|ftp|jdbc:[a-z]+|postgresql|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])",
 }
 BASE = ("assign", "access", "hex")

@@ -72,6 +72,25 @@ def test_stage(spark, empty):
     assert secrets.without_secrets(empty).count() == 0
 
 
+def test_names_of_real_credentials(spark):
+    """Prefixed, upper-case and camel-case names are parts; words that only contain one are not."""
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    cases = [
+        (1, f"aws_access_key_id = {KEY}\naws_secret_access_key = {value}", ["access", "weak_id", "weak_secret"]),
+        (2, f'{{"AccessKeyId": "ASIA123", "SecretAccessKey": "{value}"}}', ["weak_id", "weak_secret"]),
+        (3, "DB_USER=alice\nDB_PASS=topp4", ["weak_id", "weak_secret"]),
+        (4, "DB_PASS=topp4 postgres://db.example.com/x", ["endpoint", "weak_secret"]),
+        (5, "PGUSER=bob MYSQL_PWD=topp4", ["weak_id", "weak_secret"]),
+        (6, "Username: bob\nPass: topp4", ["weak_id", "weak_secret"]),
+        (7, "dbUser=bob clientId: abc privateKey=topp4", ["weak_id", "weak_id", "weak_secret"]),
+        (8, "aws-access-key-id: abc db-pass: topp4", ["weak_id", "weak_secret"]),
+        (9, "user=bob bypass=never compass: north", []),
+    ]
+    rows = {r.doc_id: r["items"] for r in secrets.scan(table(spark, [c[:2] for c in cases])).collect()}
+    assert {i: sorted(x.kind for x in items) for i, items in rows.items()} == {i: k for i, _, k in cases}
+    assert [r.doc_id for r in secrets.without_secrets(table(spark, [c[:2] for c in cases])).collect()] == [9]
+
+
 def test_no_python_in_plan(spark):
     plan = op4_secret_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
