@@ -4,16 +4,16 @@ DataFrame functions only. Base kinds are regular expressions over the whole
 text, leftmost and non-overlapping per kind, matches that are too short
 dropped: ``assign``, ``access``, ``hex``. Weak parts (an identifier, a short
 secret, an endpoint) mean nothing alone. They are joined on intervals: a part
-is reported only if a complementary part starts within ``SCOPE`` code points
-of its own start in the same text: an identifier or an endpoint needs a secret,
+is reported only if at most ``SCOPE`` code points lie between it and a
+complementary part of the same text, whichever comes first: an identifier or an endpoint needs a secret,
 a weak secret needs an identifier or an endpoint. Base hits count as parts
 (access as identifier, assign and hex as secret) and always stay.
 
 A text is split at its matches; the lengths of what lies between and of the
 matches, exploded to rows, give the positions by a running sum per text and
-kind. Only matches are shuffled, never texts. The scope is a sliding range
-window over a text's parts, so the work grows with the number of parts, and
-no pairs are made.
+kind. Only matches are shuffled, never texts. Running windows over a text's
+parts, one each way, give the latest end before a part and the next start after
+it, so the work grows with the number of parts, and no pairs are made.
 
 Nulls and odd input: a null or empty text has no spans (spans is '');
 rows that repeat a document and its text get equal rows; matches of any length
@@ -92,14 +92,18 @@ def spans(docs: DataFrame) -> DataFrame:
     run = Window.partitionBy("doc_id", "h", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = measured.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(run)).filter("ok")
     placed = placed.withColumn("start", F.col("end") - F.col("len"))
-    scope = Window.partitionBy("doc_id", "h").orderBy("start").rangeBetween(-SCOPE, SCOPE)
+    so_far = Window.unboundedPreceding, Window.currentRow
+    up = Window.partitionBy("doc_id", "h").orderBy("start").rangeBetween(*so_far)
+    down = Window.partitionBy("doc_id", "h").orderBy(F.col("start").desc()).rangeBetween(*so_far)
 
     def near(*roles: str) -> Column:
-        kinds = [k for k in KINDS if ROLE[k] in roles]
-        return F.max(F.col("kind").isin(kinds)).over(scope)
+        """Whether the latest end of those that start before, or the next start, is within the scope."""
+        is_part = F.col("kind").isin([k for k in KINDS if ROLE[k] in roles])
+        last_end, next_start = F.max(F.when(is_part, F.col("end"))).over(up), F.min(F.when(is_part, F.col("start"))).over(down)
+        return F.coalesce(F.col("start") - last_end <= SCOPE, F.lit(False)) | F.coalesce(next_start - F.col("end") <= SCOPE, F.lit(False))
 
     is_base = F.col("kind").isin(*BASE)
-    linked = placed.withColumn("sec", near("secret")).withColumn("idn", near("id")).withColumn("ext", near("id", "endpoint"))
+    linked = placed.withColumn("sec", near("secret")).withColumn("ext", near("id", "endpoint"))
     keep = is_base | F.when(F.col("kind") == "weak_secret", F.col("ext")).otherwise(F.col("sec"))
     return linked.filter(keep).select("doc_id", "h", "kind", "start", "end")
 

@@ -91,6 +91,18 @@ def test_names_of_real_credentials(spark):
     assert [r.doc_id for r in secrets.without_secrets(table(spark, [c[:2] for c in cases])).collect()] == [9]
 
 
+def test_scope_is_the_gap(spark):
+    """Long values do not push their neighbours out of scope, in either order; a gap above the scope does."""
+    long, far = "A" * 1600, " " * 301
+    pairs = [(f"private_key={long}", "client_id=abc"), (f"private_key={long}", "https://x.example.com/"), (f"token={long}", "user=bob"), ("pwd=topp4", f"https://x/{long}")]
+    rows = [(i, gap.join(p[::way])) for i, (p, gap, way) in enumerate((p, gap, way) for p in pairs for gap in (" ", " " * 300, far) for way in (1, -1))]
+    got = {r.doc_id: {x.kind for x in r["items"]} for r in secrets.scan(table(spark, rows)).collect()}
+    for i, text in rows:
+        linked, part = far not in text, "endpoint" if "http" in text else "weak_id"
+        weak = {part} if "token" in text else {part, "weak_secret"}
+        assert got[i] - set(secrets.BASE) == (weak if linked else set()), (i, text[:40])
+
+
 def test_no_python_in_plan(spark):
     plan = op4_secret_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
