@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revq.llm import fingerprint, language, licenses, minhash, mixing, quality, rules, secrets, sentencepiece, tokens
+from revq.llm import fingerprint, language, licenses, minhash, mixing, negatives, packing, quality, rules, search, secrets, sentencepiece, tokens
 from revq.llm.common import table
 
 
@@ -82,11 +82,25 @@ def op10_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_sentencepiece, op3_source_mix, op4_secret_scan, op5_minhash_dedup, op6_cws_fingerprint,
         op7_license_scan, op8_quality_trees, op9_adaptive_rules, op10_language_hd,
+        op11_best_fit_packing, op12_stratified_search, op13_hard_negatives,
     )
 }
 
@@ -121,5 +135,52 @@ run AS (
 got AS (SELECT doc_id, key, before, sum(size)::BIGINT AS taken FROM run WHERE upto * 2 <= 3 * t GROUP BY doc_id, key, before)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(g.taken, 0)::BIGINT AS taken
 FROM queued q LEFT JOIN got g ON q.doc_id = g.doc_id AND q.key = g.key AND q.before = g.before AND q.size > 0
+""",
+    "op12_stratified_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+sized AS (SELECT row, doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+size AS (SELECT count(*)::HUGEINT AS n_docs, coalesce(sum(n), 0)::HUGEINT AS total FROM sized),
+asked AS (
+  SELECT row, item_id, unnest(list_distinct(t)) AS term FROM (
+    SELECT row_number() OVER () AS row, item_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM benchmark) b),
+tf AS (
+  SELECT row, doc_id, n, term, count(*)::HUGEINT AS tf FROM (SELECT row, doc_id, n, unnest(t) AS term FROM sized) u
+  WHERE term IN (SELECT term FROM asked) GROUP BY row, doc_id, n, term),
+weight AS (
+  SELECT term, floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE)))::HUGEINT AS w
+  FROM tf, size GROUP BY term),
+impact AS (
+  SELECT tf.row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))) AS x
+  FROM tf JOIN weight USING (term), size),
+scored AS (
+  SELECT a.row AS item, a.item_id, i.row, i.doc_id, sum(x)::BIGINT AS score
+  FROM asked a JOIN impact i USING (term) GROUP BY a.row, a.item_id, i.row, i.doc_id HAVING sum(x) > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored) r
+WHERE rank <= 50
+""",
+    "op13_hard_negatives": r"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.row AS a, a.vec_id AS anchor_id, v.row, v.vec_id, v.label = a.label AS same, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score
+  FROM v a JOIN v ON a.row <> v.row WHERE a.vec_id % 100 = 0),
+positive AS (
+  SELECT a, anchor_id, row, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.a, p.row ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positive p JOIN pairs n ON p.a = n.a AND NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+QUALIFY rank <= 10
 """,
 }

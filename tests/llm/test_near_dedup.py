@@ -2,7 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from conftest import prose
+from helpers import prose
 
 from revq.llm import minhash
 from revq.llm.components import components, union_find

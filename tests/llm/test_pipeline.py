@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from conftest import SCHEMA, odd_rows
+from helpers import SCHEMA, odd_rows
 from test_near_dedup import brute
 from test_secrets import base
 

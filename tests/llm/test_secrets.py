@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import SCHEMA
+from helpers import SCHEMA
 
 from revq.llm import secrets
 from revq.llm.queries import op4_secret_scan
