@@ -51,7 +51,9 @@ def theme_hits(blob: ColumnOrName, whole_word: bool = False) -> Column:
         if whole_word:
             cond = b.rlike(r"\b(" + "|".join(kws) + r")\b")
         else:
-            cond = reduce(lambda a, c: a | c, [b.contains(k) for k in kws])
+            # a keyword that contains another one of its theme adds nothing
+            least = [k for k in kws if not any(o != k and o in k for o in kws)]
+            cond = reduce(lambda a, c: a | c, [b.contains(k) for k in least])
         per_theme.append(F.when(cond, F.lit(theme)))
     return F.array_compact(F.array(*per_theme))
 

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.functions.classify import keyword_themes, match_blob, rating_confidence, rating_sentiment
+from revq.functions.classify import keyword_themes, match_blob, rating_confidence, rating_sentiment, theme_hits
 from revq.functions.labels import sanitize_answer
+from revq.schema import KEYWORD_THEMES
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -37,6 +38,22 @@ def classify_rules(df: DataFrame, whole_word: bool = False, max_themes: int = 3)
     )
 
 
+def with_hits(df: DataFrame, whole_word: bool = False) -> DataFrame:
+    """``df`` and ``hits``, the matched themes; the match text is a projection of its own."""
+    return df.withColumn("_blob", match_blob("text", "title")).withColumn("hits", theme_hits("_blob", whole_word)).drop("_blob")
+
+
+def with_keywords(df: DataFrame) -> DataFrame:
+    """``df`` and ``found``, the (keyword, theme) pairs whose keyword occurs in text or title.
+
+    One condition per keyword, not a lambda over a list of keywords: a lambda
+    names the match text once, so the optimizer would inline and repeat it.
+    """
+    blob = F.col("_blob")
+    pairs = [F.when(blob.contains(k), F.struct(F.lit(k).alias("keyword"), F.lit(t).alias("theme"))) for k, t in KEYWORD_THEMES]
+    return df.withColumn("_blob", match_blob("text", "title")).withColumn("found", F.array_compact(F.array(*pairs))).drop("_blob")
+
+
 def classify_batch(
     unprocessed: DataFrame,
     scorer: Scorer | None = None,

@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from revq.functions.text import py_strip
 from revq.schema import UNKNOWN_SENTIMENT
 
-# first_seen packs (arrival_seq, position) into one BIGINT so "first
-# appearance" is a plain min() (fixed-width, hash-aggregatable).
-POS_BITS = 12
-
 MENTION_COLS = [
     "arrival_seq",
     "review_id",
@@ -29,13 +25,17 @@ MENTION_COLS = [
 ]
 
 
-def theme_mentions(reviews: DataFrame) -> DataFrame:
-    """One row per (processed review, theme position); themes stripped."""
+def theme_mentions(reviews: DataFrame, with_text: bool = False) -> DataFrame:
+    """One row per (processed review, theme position); themes stripped.
+
+    ``with_text`` keeps the review's text, which the caller has cut to what a quote shows.
+    """
     # posexplode_outer + a NULL filter gives the same rows as posexplode, but
     # keeps the optimizer from inferring ``size(themes) > 0`` and pushing a
     # copy of the whole classification expression below the projection.
     r = reviews.filter(F.col("processed") == 1)
-    m = r.select(*MENTION_COLS, F.posexplode_outer("themes").alias("pos", "theme"))
+    cols = [*MENTION_COLS, "text"] if with_text else MENTION_COLS
+    m = r.select(*cols, F.posexplode_outer("themes").alias("pos", "theme"))
     return m.filter(F.col("theme").isNotNull()).withColumn("theme", py_strip("theme"))
 
 
@@ -66,16 +66,29 @@ def filter_mentions(
     return m if since is None and until is None else m.filter(in_period(since, until, mode))
 
 
-def arrival_key() -> F.Column:
-    """Orders mentions by first appearance: arrival, then place in the list."""
-    return F.col("arrival_seq") * (1 << POS_BITS) + F.col("pos")
+PLACES = 1 << 31  # more than a list can have
+
+
+def appearance() -> F.Column:
+    """One number that orders mentions by arrival, then place in the list.
+
+    A decimal holds both whole, and a minimum of it is fixed-width, so the
+    aggregates that look for the first mention hash and combine map-side.
+    """
+    return F.col("arrival_seq").cast("decimal(20,0)") * F.lit(PLACES) + F.col("pos")
+
+
+def first_mention(df: DataFrame, key: str = "first") -> DataFrame:
+    """Replace an ``appearance`` by first_seen (arrival) and first_pos (place in the list)."""
+    pos = F.pmod(F.col(key), F.lit(PLACES))
+    return df.withColumn("first_seen", ((F.col(key) - pos) / F.lit(PLACES)).cast("long")).withColumn("first_pos", pos.cast("int")).drop(key)
 
 
 def theme_trends(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per theme (and ``by``): mentions, rating sum/avg, sentiment counts.
 
     avg_rating = round(sum(coalesce(rating, 0)) / mentions, 2), half-even.
-    ``first_seen`` orders ties the way first appearance does.
+    ``first_seen`` and ``first_pos`` order ties the way first appearance does.
     """
     by = list(by or [])
     s = F.coalesce(F.col("sentiment"), F.lit(UNKNOWN_SENTIMENT))
@@ -86,9 +99,9 @@ def theme_trends(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(s == "Negative").alias("negative"),
         F.count_if(s == "Neutral").alias("neutral"),
         F.count_if(~s.isin("Positive", "Negative", "Neutral")).alias("other_sentiment"),
-        F.min(arrival_key()).alias("first_seen"),
+        F.min(appearance()).alias("first"),
     )
-    return g.withColumn("avg_rating", F.bround(F.col("rating_sum") / F.col("mentions"), 2))
+    return first_mention(g).withColumn("avg_rating", F.bround(F.col("rating_sum") / F.col("mentions"), 2))
 
 
 def theme_sentiment(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:

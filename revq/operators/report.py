@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revq.functions.text import safe_pct, truncate
+from revq.operators import cube as CB
 from revq.operators.joins import join_dimension
 from revq.schema import CRITICAL_NEG_SHARE, NO_QUOTE, NO_VALUE, QUOTE_CHARS, WIN_POS_SHARE
 
@@ -19,7 +20,7 @@ from revq.schema import CRITICAL_NEG_SHARE, NO_QUOTE, NO_VALUE, QUOTE_CHARS, WIN
 
 def trend_order() -> list:
     """Theme order of the reference: mentions desc, then first appearance."""
-    return [F.desc("mentions"), F.asc("first_seen")]
+    return [F.desc("mentions"), F.asc("first_seen"), F.asc("first_pos")]
 
 
 def date_extent(reviews: DataFrame) -> DataFrame:
@@ -62,60 +63,60 @@ def product_summary(reviews: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def top_theme_for(trends_by_product: DataFrame, products: DataFrame, sentiment_col: str, out: str) -> DataFrame:
-    """Arg-max theme per product for one sentiment count; 'N/A' when none > 0.
+def top_complaint_praise(trends_by_product: DataFrame, products: DataFrame) -> DataFrame:
+    """Both arg-max themes of each product in one aggregate; 'N/A' when none > 0.
 
     Strict '>' over the trend order means: highest count, then more mentions,
-    then first seen. The window partitions rows already aggregated per
-    (product, theme), i.e. at most |taxonomy| rows per product.
+    then first seen. A maximum of structs says the same without a window, and
+    is combined before the shuffle.
     """
-    w = Window.partitionBy("product_id").orderBy(
-        F.desc(sentiment_col), F.desc("mentions"), F.asc("first_seen")
-    )
-    best = (
-        trends_by_product.filter(F.col(sentiment_col) > 0)
-        .withColumn("_rn", F.row_number().over(w))
-        .filter("_rn = 1")
-        .select("product_id", F.col("theme").alias(out))
-    )
-    return join_dimension(products.select("product_id"), best, "product_id", "left").select(
-        "product_id", F.coalesce(out, F.lit(NO_VALUE)).alias(out)
-    )
 
+    def top(col: str) -> F.Column:
+        place = F.struct(col, "mentions", F.negative("first_seen"), F.negative("first_pos"), "theme")
+        return F.max(F.when(F.col(col) > 0, place))
 
-def top_complaint_praise(trends_by_product: DataFrame, products: DataFrame) -> DataFrame:
-    neg = top_theme_for(trends_by_product, products, "negative", "top_complaint")
-    pos = top_theme_for(trends_by_product, products, "positive", "top_praise")
-    return neg.join(pos, "product_id")
+    best = trends_by_product.groupBy("product_id").agg(top("negative").alias("worst"), top("positive").alias("best"))
+    return join_dimension(products.select("product_id"), best, "product_id", "left").select(
+        "product_id",
+        F.coalesce("worst.theme", F.lit(NO_VALUE)).alias("top_complaint"),
+        F.coalesce("best.theme", F.lit(NO_VALUE)).alias("top_praise"),
+    )
 
 
-def exec_summary(reviews: DataFrame, trends_by_product: DataFrame, products: DataFrame) -> DataFrame:
-    """K1: one row per product with the five summary metrics."""
-    s = product_summary(reviews, products)
-    t = top_complaint_praise(trends_by_product, products)
-    return s.join(t, "product_id").select(
-        "product_id", "name", "total_reviews", "avg_rating", "positive_pct", "top_complaint", "top_praise"
+def exec_summary(reviews: DataFrame, products: DataFrame) -> DataFrame:
+    """K1: one row per product with the five summary metrics, from one pass over the reviews."""
+    c = CB.rollup(CB.review_cube(reviews)).filter(F.col("level") == "product")
+    j = join_dimension(products, c.drop("level", "name"), "product_id", "left")
+    zero = F.lit(0).cast("long")
+    total = F.coalesce("reviews", zero)
+    return j.select(
+        "product_id",
+        "name",
+        total.alias("total_reviews"),
+        CB.mean_rating("rating_sum", "rated").alias("avg_rating"),
+        safe_pct(F.coalesce("positive", zero), total).alias("positive_pct"),
+        F.coalesce("worst.theme", F.lit(NO_VALUE)).alias("top_complaint"),
+        F.coalesce("best.theme", F.lit(NO_VALUE)).alias("top_praise"),
     )
 
 
-def first_quotes(mentions: DataFrame, text_source: DataFrame, by: list[str]) -> DataFrame:
+def first_quotes(mentions: DataFrame, by: list[str]) -> DataFrame:
     """First matching review text per (``by``, theme, sentiment), 150 chars + '…'.
 
-    One grouped pass: ``min(arrival_seq)`` per group (hash aggregate), then
-    the text is fetched by key. The group table has at most
-    products x themes x sentiments rows and every key exists in the store,
-    so the fetch is an inner join whose form the planner picks from the
-    measured size of that table; pass a text side cut to what a quote shows.
+    One grouped pass: ``min_by`` keeps the text of the first arrival and is
+    combined before the shuffle, so neither the text is read twice nor a join
+    fetches it. ``mentions`` carry ``text``, cut to what a quote shows.
     """
     firsts = mentions.filter(F.col("sentiment").isNotNull()).groupBy(*by, "theme", "sentiment").agg(
-        F.min("arrival_seq").alias("arrival_seq")
+        F.min_by("text", "arrival_seq").alias("text")
     )
-    texts = text_source.select("arrival_seq", "text")
-    j = join_dimension(texts, firsts, "arrival_seq", "inner")
-    q = F.when(
-        F.col("text").isNotNull() & (F.col("text") != ""), truncate("text", QUOTE_CHARS)
-    ).otherwise(F.lit(NO_QUOTE))
-    return j.select(*by, "theme", "sentiment", q.alias("quote"))
+    return firsts.select(*by, "theme", "sentiment", quote_text("text").alias("quote"))
+
+
+def quote_text(text: str) -> F.Column:
+    """What a quote shows of a review text; a fixed line where there is none."""
+    c = F.col(text)
+    return F.when(c.isNotNull() & (c != ""), truncate(c, QUOTE_CHARS)).otherwise(F.lit(NO_QUOTE))
 
 
 def quote_for(quotes: DataFrame, rows: DataFrame, sentiment: str, product_id: str | None) -> DataFrame:
@@ -146,6 +147,7 @@ def critical_issues(trends: DataFrame, quotes: DataFrame | None = None, quote_pr
         safe_pct("negative", "mentions").alias("neg_pct"),
         "avg_rating",
         "first_seen",
+        "first_pos",
     )
     if quotes is not None:
         out = quote_for(quotes, out, "Negative", quote_product)
@@ -155,7 +157,7 @@ def critical_issues(trends: DataFrame, quotes: DataFrame | None = None, quote_pr
 def wins(trends: DataFrame) -> DataFrame:
     """K3: themes whose positive share is > 20 %."""
     t = trends.filter((F.col("mentions") > 0) & (F.col("positive") / F.col("mentions") > WIN_POS_SHARE))
-    return t.select("theme", "positive", "mentions", safe_pct("positive", "mentions").alias("pos_pct"), "avg_rating", "first_seen")
+    return t.select("theme", "positive", "mentions", safe_pct("positive", "mentions").alias("pos_pct"), "avg_rating", "first_seen", "first_pos")
 
 
 def _top_then_drop(trends: DataFrame, col: str, k: int) -> DataFrame:
@@ -209,6 +211,7 @@ def theme_table(trends: DataFrame) -> DataFrame:
         safe_pct("negative", "mentions").alias("neg_pct"),
         "avg_rating",
         "first_seen",
+        "first_pos",
     )
 
 

@@ -20,7 +20,6 @@ from revq.plans import oracle as O
 from revq.plans.oracle import AS_OF, FRESH_AS_OF, PRODUCT, SINCE, pct, trends_sql, with_base
 from revq.plans.base import mentions as _mentions
 from revq.plans.base import reviews as _reviews
-from revq.plans.base import store as _store
 from revq.plans.base import report_reviews as _mat
 from revq.sources.fixtures import reviews_in, table
 
@@ -39,7 +38,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-TREND_COLS = "theme, mentions, rating_sum, avg_rating, positive, negative, neutral, other_sentiment, first_seen"
+TREND_COLS = "theme, mentions, rating_sum, avg_rating, positive, negative, neutral, other_sentiment, first_seen, first_pos"
 
 
 def _trends(spark, sf, by=None):
@@ -138,7 +137,7 @@ def q_theme_by_source(spark, sf):
     "theme_table",
     with_base(
         f"SELECT theme, mentions, {pct('positive', 'mentions')} AS pos_pct, "
-        f"{pct('negative', 'mentions')} AS neg_pct, avg_rating, first_seen FROM ({trends_sql()}) t"
+        f"{pct('negative', 'mentions')} AS neg_pct, avg_rating, first_seen, first_pos FROM ({trends_sql()}) t"
     ),
 )
 def q_theme_table(spark, sf):
@@ -307,9 +306,9 @@ TOP_SQL = f"""tp AS ({trends_sql(by='product_id')}),
 topc AS (
   SELECT p.product_id,
          coalesce((SELECT theme FROM tp WHERE tp.product_id = p.product_id AND negative > 0
-                   ORDER BY negative DESC, mentions DESC, first_seen LIMIT 1), 'N/A') AS top_complaint,
+                   ORDER BY negative DESC, mentions DESC, first_seen, first_pos LIMIT 1), 'N/A') AS top_complaint,
          coalesce((SELECT theme FROM tp WHERE tp.product_id = p.product_id AND positive > 0
-                   ORDER BY positive DESC, mentions DESC, first_seen LIMIT 1), 'N/A') AS top_praise
+                   ORDER BY positive DESC, mentions DESC, first_seen, first_pos LIMIT 1), 'N/A') AS top_praise
   FROM products p)"""
 
 
@@ -327,8 +326,7 @@ def q_top_complaint_praise(spark, sf):
     ),
 )
 def q_exec_summary(spark, sf):
-    r = _mat(spark, sf)
-    return R.exec_summary(r, theme_trends(theme_mentions(r), by=["product_id"]), _products(spark, sf))
+    return R.exec_summary(_mat(spark, sf), _products(spark, sf))
 
 
 @register(
@@ -344,8 +342,7 @@ def q_exec_summary(spark, sf):
     ),
 )
 def q_exec_summary_long(spark, sf):
-    r = _mat(spark, sf)
-    s = R.exec_summary(r, theme_trends(theme_mentions(r), by=["product_id"]), _products(spark, sf))
+    s = R.exec_summary(_mat(spark, sf), _products(spark, sf))
     return R.exec_summary_long(s).select("metric", "product_id", "value")
 
 
@@ -378,8 +375,7 @@ QUOTES_SQL = """quotes AS (
 
 @register("sample_quotes", with_base("SELECT product_id, theme, sentiment, quote FROM quotes", QUOTES_SQL))
 def q_sample_quotes(spark, sf):
-    r = _mat(spark, sf, with_text=True)
-    return R.first_quotes(theme_mentions(r), r, ["product_id"])
+    return R.first_quotes(theme_mentions(_mat(spark, sf, with_text=True), with_text=True), ["product_id"])
 
 
 QUOTE_PRODUCT = "prod_0"
@@ -388,7 +384,7 @@ QUOTE_PRODUCT = "prod_0"
 @register(
     "critical_issues",
     with_base(
-        f"""SELECT t.theme, negative, mentions, {pct('negative', 'mentions')} AS neg_pct, avg_rating, first_seen,
+        f"""SELECT t.theme, negative, mentions, {pct('negative', 'mentions')} AS neg_pct, avg_rating, first_seen, first_pos,
                    coalesce(q.quote, 'No matching review found.') AS quote
             FROM ({trends_sql()}) t
             LEFT JOIN (SELECT theme, quote FROM quotes WHERE sentiment = 'Negative' AND product_id = '{QUOTE_PRODUCT}') q
@@ -399,15 +395,15 @@ QUOTE_PRODUCT = "prod_0"
 )
 def q_critical_issues(spark, sf):
     r = _mat(spark, sf, with_text=True)
-    m = theme_mentions(r)
-    quotes = R.first_quotes(m, r, ["product_id"])
+    m = theme_mentions(r, with_text=True)
+    quotes = R.first_quotes(m, ["product_id"])
     return R.critical_issues(theme_trends(m), quotes, QUOTE_PRODUCT)
 
 
 @register(
     "wins",
     with_base(
-        f"""SELECT theme, positive, mentions, {pct('positive', 'mentions')} AS pos_pct, avg_rating, first_seen
+        f"""SELECT theme, positive, mentions, {pct('positive', 'mentions')} AS pos_pct, avg_rating, first_seen, first_pos
             FROM ({trends_sql()}) t WHERE mentions > 0 AND CAST(positive AS DOUBLE) / mentions > 0.20"""
     ),
 )
@@ -417,7 +413,7 @@ def q_wins(spark, sf):
 
 def _top_sql(col: str, k: int, cols: str, drop_zero: bool = True) -> str:
     where = f"WHERE {col} > 0" if drop_zero else ""
-    order = f"{col} DESC, mentions DESC, first_seen" if col != "mentions" else "mentions DESC, first_seen"
+    order = f"{col} DESC, mentions DESC, first_seen, first_pos" if col != "mentions" else "mentions DESC, first_seen, first_pos"
     return with_base(
         f"""SELECT {cols} FROM (
               SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank
@@ -497,8 +493,8 @@ def _spikes_sql(mode: str, since: str = SINCE_W, prev: str = PREV_W) -> str:
                    CASE WHEN p > 0 THEN CASE WHEN {chg} > 0 THEN 'UP' ELSE 'DOWN' END END AS direction,
                    CASE WHEN p > 0 AND abs({chg}) > 20 THEN CASE WHEN {chg} > 0 THEN 'UP' ELSE 'DOWN' END
                         WHEN p = 0 AND c >= 3 THEN 'NEW TREND' END AS alert,
-                   first_seen
-            FROM (SELECT t.theme, t.mentions AS c, coalesce(pv.mentions, 0) AS p, t.first_seen
+                   first_seen, first_pos
+            FROM (SELECT t.theme, t.mentions AS c, coalesce(pv.mentions, 0) AS p, t.first_seen, t.first_pos
                   FROM ({trends_sql(src='mt')}) t
                   LEFT JOIN ({trends_sql(src='mp')}) pv ON t.theme = pv.theme) j""",
         f"mt AS (SELECT * FROM mentions WHERE date >= '{since}'),\nmp AS (SELECT * FROM mentions WHERE {prev_cond})",
@@ -541,7 +537,7 @@ def q_weekly_spikes_rise(spark, sf):
                        FROM reviews WHERE ingested_at >= TIMESTAMP '{SINCE_W}' GROUP BY product_id) v
               ON p.product_id = v.product_id
             LEFT JOIN (SELECT product_id, string_agg(concat(theme, ' (', CAST(mentions AS VARCHAR), ')'), ', ' ORDER BY rn) AS top_themes
-                       FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY mentions DESC, first_seen) AS rn
+                       FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY mentions DESC, first_seen, first_pos) AS rn
                              FROM ({trends_sql(src='mt', by='product_id')}) x) y
                        WHERE rn <= 3 GROUP BY product_id) t
               ON p.product_id = t.product_id""",
@@ -569,12 +565,12 @@ def q_weekly_series(spark, sf):
 
 
 # ===================================================================== ingest
-from revq.functions.classify import match_blob, rating_confidence, rating_sentiment, theme_hits, themes_of  # noqa: E402
+from revq.functions.classify import rating_confidence, rating_sentiment, themes_of  # noqa: E402
 from revq.functions.dates import normalize_date, parse_review_date  # noqa: E402
 from revq.functions.keys import clean_title, parse_rating, review_key, url_tail  # noqa: E402
 from revq.operators import adhoc as A  # noqa: E402
 from revq.operators import ingest as I  # noqa: E402
-from revq.operators.classify import apply_analysis, classify_batch, classify_rules, run_tally  # noqa: E402
+from revq.operators.classify import apply_analysis, classify_batch, classify_rules, run_tally, with_hits, with_keywords  # noqa: E402
 from revq.operators.dedup import dedup_append, first_per_key  # noqa: E402
 from revq.plans.oracle import LOAD_SPLIT, CONF_SQL, SENT_SQL  # noqa: E402
 from revq.schema import KEYWORD_THEMES, keywords_by_theme  # noqa: E402
@@ -721,7 +717,7 @@ def q_rating_sentiment(spark, sf):
     ),
 )
 def q_keyword_themes(spark, sf):
-    s = _store(spark, sf, theme_hits(match_blob("text", "title")).alias("hits"))
+    s = first_per_key(with_hits(reviews_in(spark, sf)))
     return s.select("review_id", F.array_join(themes_of(F.col("hits")), "|").alias("themes_label"), F.size("hits").alias("n_hits"))
 
 
@@ -740,9 +736,7 @@ def _kw_values() -> str:
 def q_keyword_hits(spark, sf):
     """Per keyword, reviews whose text contains it (J5). The 37 keywords are
     an in-expression array, so this is a filter + explode, not a join."""
-    kws = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(t).alias("theme")) for k, t in KEYWORD_THEMES])
-    blob = match_blob("text", "title")
-    hit = _store(spark, sf, F.filter(kws, lambda x: blob.contains(x["keyword"])).alias("found")).select(F.explode("found").alias("k"))
+    hit = first_per_key(with_keywords(reviews_in(spark, sf))).select(F.explode_outer("found").alias("k")).filter("k is not null")
     return hit.groupBy("k.keyword", "k.theme").agg(F.count(F.lit(1)).alias("n_reviews"))
 
 
@@ -1338,9 +1332,9 @@ def _heading(n: int, text: str) -> str:
 
 
 def _report_sql() -> str:
-    trend = "mentions DESC, first_seen"
+    trend = "mentions DESC, first_seen, first_pos"
     table_sql = with_base(
-        f"SELECT theme, mentions, {pct('positive', 'mentions')} AS pos_pct, {pct('negative', 'mentions')} AS neg_pct, avg_rating, first_seen "
+        f"SELECT theme, mentions, {pct('positive', 'mentions')} AS pos_pct, {pct('negative', 'mentions')} AS neg_pct, avg_rating, first_seen, first_pos "
         f"FROM ({trends_sql()}) t"
     )
     head = with_base("SELECT count(*) AS n, min(date) AS lo, max(date) AS hi FROM reviews")
@@ -1375,14 +1369,14 @@ def _weekly_report_sql() -> str:
     line = """CASE WHEN alert = 'NEW TREND' THEN concat('**', theme, ' - NEW TREND (', this_count, ' mentions)** - not seen last week; monitor')
               ELSE concat('**', theme, ' - ', alert, ' ', abs(change_pct), '%** (previous ', prev_count, ', this week ', this_count, ')', chr(10),
                           '- Key review: "', quote, '"', chr(10), '- Action: ',
-                          CASE WHEN alert = 'UP' THEN 'investigate the cause and prioritise a fix'
-                               ELSE 'keep monitoring; the trend is improving' END) END"""
+                          CASE WHEN alert = 'UP' THEN 'Investigate root cause and prioritise fix'
+                               ELSE 'Monitor — trend improving' END) END"""
     volume = "concat('# Weekly change report - week of ', since, chr(10), 'New reviews this week: ', this_week, ' | vs last week: ', change_label)"
     product = "concat(name, ': ', new_reviews, ' new reviews | avg rating ', avg_rating, '/5 | top themes: ', top_themes)"
     return "\nUNION ALL\n".join([
         _section(0, "since", volume, ORACLE["weekly_volume"]),
         _heading(1, "## Spikes and alerts (>20% change)"),
-        _section(1, "this_count DESC, first_seen", line, spikes),
+        _section(1, "this_count DESC, first_seen, first_pos", line, spikes),
         f"SELECT 1, 1, 'No significant spikes detected this week.' WHERE NOT EXISTS (SELECT 1 FROM ({spikes}) none)",
         _heading(2, "## Per product"),
         _section(2, "product_id", product, ORACLE["weekly_product"]),
@@ -1394,8 +1388,7 @@ def q_report_lines(spark, sf):
     """K9: the global action report as ordered lines."""
     from revq.plans.reports import global_report_lines
 
-    r = _mat(spark, sf, with_text=True)
-    return global_report_lines(r, theme_mentions(r), _products(spark, sf), QUOTE_PRODUCT)
+    return global_report_lines(_mat(spark, sf, with_text=True), _products(spark, sf), QUOTE_PRODUCT)
 
 
 @register("weekly_report_lines", _weekly_report_sql())
@@ -1403,8 +1396,7 @@ def q_weekly_report_lines(spark, sf):
     """K7/K8: the weekly change report as ordered lines."""
     from revq.plans.reports import weekly_report_lines
 
-    r = _mat(spark, sf, with_text=True)
-    return weekly_report_lines(r, theme_mentions(r), _products(spark, sf), AS_OF, quote_product=QUOTE_PRODUCT)
+    return weekly_report_lines(_mat(spark, sf, with_text=True), _products(spark, sf), AS_OF, quote_product=QUOTE_PRODUCT)
 
 
 # ============================================================ stored tables

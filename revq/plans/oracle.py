@@ -72,7 +72,7 @@ def trends_sql(src: str = "mentions", by: str = "") -> str:
          count(*) FILTER (WHERE coalesce(sentiment, 'unknown') = 'Negative') AS negative,
          count(*) FILTER (WHERE coalesce(sentiment, 'unknown') = 'Neutral') AS neutral,
          count(*) FILTER (WHERE coalesce(sentiment, 'unknown') NOT IN ('Positive','Negative','Neutral')) AS other_sentiment,
-         min(arrival_seq * 4096 + pos) AS first_seen,
+         min(arrival_seq) AS first_seen, arg_min(pos, struct_pack(a := arrival_seq, p := pos))::INTEGER AS first_pos,
          round_even(CAST(sum(coalesce(rating, 0)) AS DOUBLE) / count(*), 2) AS avg_rating
   FROM {src} GROUP BY {g}theme"""
 

@@ -1,10 +1,12 @@
 """Report documents (K9, W6): the global action report and the weekly
 change report as ``(section, ord, line)`` DataFrames.
 
-Every number comes from the section DataFrames of ``operators.report`` and
-``operators.weekly``; lines are built with ``format_string`` on the
-executors. Only the finished lines (tens of rows) are ever coalesced, when
-the document is written as one text file.
+Each document is one plan over one cube (``operators.cube``,
+``operators.weekly``): the reviews are read once, a row of the cube gives its
+lines with ``format_string`` on the executors, and one window numbers the
+lines within their sections (a row per theme, theme list or product). Only
+the finished lines are ever coalesced, when a document is written as one
+text file.
 """
 
 from __future__ import annotations
@@ -13,151 +15,138 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from revq.functions.text import safe_pct, signed_pct_label
+from revq.operators import cube as CB
 from revq.operators import report as R
-from revq.operators import stats as S
 from revq.operators import weekly as W
-from revq.operators.mentions import theme_trends
-from revq.schema import NO_VALUE
-
-NO_SPIKES = "No significant spikes detected this week."
-
-
-def _numbered(df: DataFrame, section: int, order: list, line: F.Column) -> DataFrame:
-    """Lines of one section, numbered in ``order``; the window runs over the
-    section's few rows (already aggregated)."""
-    w = Window.orderBy(*order)
-    return df.select(F.lit(section).alias("section"), F.row_number().over(w).cast("long").alias("ord"), line.alias("line"))
-
-
-def _title(section: int, text: str, spark) -> DataFrame:
-    return spark.createDataFrame([(section, 0, text)], "section int, ord long, line string")
-
-
-def global_report_lines(reviews: DataFrame, mentions: DataFrame, products: DataFrame, quote_product: str | None) -> DataFrame:
-    spark = reviews.sparkSession
-    trends = theme_trends(mentions)
-    by_product = theme_trends(mentions, by=["product_id"])
-    quotes = R.first_quotes(mentions, reviews, ["product_id"] if quote_product else [])
-    ov = S.stats_overview(reviews)
-    ext = R.date_extent(reviews)
-    # two one-row aggregates side by side
-    head = ov.select("total_reviews", F.lit(1).alias("_k")).join(ext.select("*", F.lit(1).alias("_k")), "_k")
-    parts = [
-        _title(0, "# Review Intelligence Report", spark),
-        _numbered(
-            head,
-            0,
-            [F.lit(1)],
-            F.format_string("Total reviews: %d | Period: %s to %s", "total_reviews", F.coalesce("earliest", F.lit(NO_VALUE)), F.coalesce("latest", F.lit(NO_VALUE))),
-        ),
-        _title(1, "## Executive summary\n| Product | Reviews | Avg rating | Positive % | Top complaint | Top praise |", spark),
-        _numbered(
-            R.exec_summary(reviews, by_product, products),
-            1,
-            ["product_id"],
+from revq.schema import ACTIONS, CRITICAL_NEG_SHARE, NO_PREVIOUS_WEEK, NO_SPIKES, NO_THEMES_YET, NO_VALUE, WIN_POS_SHARE
+
+GLOBAL_TOP = {4: 5, 5: 3, 6: 5, 7: 5}  # fixed: lines of a section
+
+
+GLOBAL_TITLES = [
+    "# Review Intelligence Report",
+    "## Executive summary\n| Product | Reviews | Avg rating | Positive % | Top complaint | Top praise |",
+    "## Product team: critical issues",
+    "## Product team: wins",
+    "## Marketing: messaging opportunities",
+    "## Marketing: claims to retire",
+    "## Support: FAQ candidates",
+    "## Support: escalation patterns",
+    "## Theme analysis\n| Theme | Mentions | Positive % | Negative % | Avg rating |",
+]
+
+
+def global_report_lines(reviews: DataFrame, products: DataFrame, quote_product: str | None = None) -> DataFrame:
+    """K9: every section from one cube (``operators.cube``), so the reviews and their texts are read once.
+
+    A row of the cube gives its line in each section that it belongs to; one
+    window numbers the lines within their sections. ``reviews`` carry ``text``
+    cut to what a quote shows.
+    """
+    cube = CB.rollup(CB.review_cube(reviews, full=True, quote_product=quote_product))
+    # a product without reviews has its line too
+    named = products.select("product_id", "name").withColumn("level", F.lit("product"))
+    cube = cube.join(named, ["level", "product_id"], "full")
+    zero = F.lit(0).cast("long")
+    n, pos, neg = (F.coalesce(c, zero) for c in ("reviews", "positive", "negative"))
+    mean = F.bround(F.col("rating_sum") / n, 2).cast("string")
+    label, key = F.col("label"), {"trend": [-n, F.col("first_seen"), F.col("first_pos").cast("long"), F.lit("")]}
+    key["product"] = [zero, zero, zero, F.col("product_id")]
+    themes = F.array_join(F.from_json(label, "array<string>"), ", ")
+
+    def line(section: int, when: F.Column, order: list, text: F.Column, first: F.Column = zero) -> F.Column:
+        place = F.struct(first.alias("a"), *(c.alias(x) for c, x in zip(order, "bcde", strict=True)))
+        return F.when(when, F.struct(F.lit(section).alias("section"), place.alias("place"), text.alias("line")))
+
+    theme, product, every, pattern = (F.col("level") == x for x in ("theme", "product", "all", "pattern"))
+    lines = F.array(
+        line(0, every, key["product"], F.format_string("Total reviews: %d | Period: %s to %s", n, F.coalesce("earliest", F.lit(NO_VALUE)), F.coalesce("latest", F.lit(NO_VALUE)))),
+        line(
+            1, product, key["product"],
             F.format_string(
-                "| %s | %d | %s/5 | %d%% | %s | %s |",
-                "name", "total_reviews", F.col("avg_rating").cast("string"), "positive_pct", "top_complaint", "top_praise",
+                "| %s | %d | %s/5 | %d%% | %s | %s |", "name", n, CB.mean_rating("rating_sum", "rated").cast("string"), safe_pct(pos, n),
+                F.coalesce("worst.theme", F.lit(NO_VALUE)), F.coalesce("best.theme", F.lit(NO_VALUE)),
             ),
         ),
-        _title(2, "## Product team: critical issues", spark),
-        _numbered(
-            R.critical_issues(trends, quotes, quote_product),
-            2,
-            R.trend_order(),
+        line(
+            2, theme & (neg / n > CRITICAL_NEG_SHARE), key["trend"],
             F.format_string(
                 "**%s:** %d negative mentions (%d%% of %d) - average rating when mentioned %s/5\n> Evidence: \"%s\"",
-                "theme", "negative", "neg_pct", "mentions", F.col("avg_rating").cast("string"), "quote",
+                label, neg, safe_pct(neg, n), n, mean, R.quote_text("quote.text"),
             ),
         ),
-        _title(3, "## Product team: wins", spark),
-        _numbered(
-            R.wins(trends),
-            3,
-            R.trend_order(),
-            F.format_string("**%s:** %d positive mentions (%d%% positive) - avg rating %s/5", "theme", "positive", "pos_pct", F.col("avg_rating").cast("string")),
-        ),
-        _title(4, "## Marketing: messaging opportunities", spark),
-        _numbered(
-            R.messaging_opportunities(trends),
-            4,
-            ["rank"],
-            F.format_string("- **%s** - %d positive mentions (avg %s/5)", "theme", "positive", F.col("avg_rating").cast("string")),
-        ),
-        _title(5, "## Marketing: claims to retire", spark),
-        _numbered(R.claims_to_retire(trends), 5, ["rank"], F.format_string("- **%s** - %d negative mentions", "theme", "negative")),
-        _title(6, "## Support: FAQ candidates", spark),
-        _numbered(R.faq_candidates(trends), 6, ["rank"], F.format_string("- **%s** - %d mentions", "theme", "mentions")),
-        _title(7, "## Support: escalation patterns", spark),
-        _numbered(
-            R.escalation_patterns(reviews),
-            7,
-            ["rank"],
-            F.format_string("- **%s** - %d reviews rated 2 stars or less", "themes_label", "cnt"),
+        line(3, theme & (pos / n > WIN_POS_SHARE), key["trend"], F.format_string("**%s:** %d positive mentions (%d%% positive) - avg rating %s/5", label, pos, safe_pct(pos, n), mean)),
+        line(4, theme, key["trend"], F.format_string("- **%s** - %d positive mentions (avg %s/5)", label, pos, mean), -pos),
+        line(5, theme, key["trend"], F.format_string("- **%s** - %d negative mentions", label, neg), -neg),
+        line(6, theme, key["trend"], F.format_string("- **%s** - %d mentions", label, n)),
+        line(7, pattern, [zero, zero, zero, themes], F.format_string("- **%s** - %d reviews rated 2 stars or less", themes, n), -n),
+        line(
+            8, theme, key["trend"],
+            F.format_string("| %s | %d | %d%% | %d%% | %s/5 |", label, n, safe_pct(pos, n), safe_pct(neg, n), mean),
         ),
-        _title(8, "## Theme analysis\n| Theme | Mentions | Positive % | Negative % | Avg rating |", spark),
-        _numbered(
-            R.theme_table(trends),
-            8,
-            R.trend_order(),
-            F.format_string("| %s | %d | %d%% | %d%% | %s/5 |", "theme", "mentions", "pos_pct", "neg_pct", F.col("avg_rating").cast("string")),
-        ),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def weekly_report_lines(
-    reviews: DataFrame,
-    mentions: DataFrame,
-    products: DataFrame,
-    as_of: str,
-    mode: str = "observed",
-    quote_product: str | None = None,
-) -> DataFrame:
-    """K7/K8 document. Spike lines carry a negative evidence quote; observed
-    mode takes it from one fixed product and for DOWN spikes too, as the
-    reference does (the quote needs ``text`` in ``reviews``)."""
-    spark = reviews.sparkSession
-    vol = W.weekly_volume(reviews, as_of)
-    spikes = W.weekly_spikes(mentions, as_of, mode=mode).filter(F.col("alert").isNotNull())
-    if "text" in reviews.columns:
-        quotes = R.first_quotes(mentions, reviews, ["product_id"] if quote_product else [])
-        spikes = R.quote_for(quotes, spikes, "Negative", quote_product)
-    else:
-        spikes = spikes.withColumn("quote", F.lit(R.NO_QUOTE))
-    prod = W.weekly_product(reviews, mentions, products, as_of)
-    action = F.when(F.col("alert") == "UP", F.lit("investigate the cause and prioritise a fix")).otherwise(
-        F.lit("keep monitoring; the trend is improving")
     )
-    spike_line = F.when(
+    rows = cube.select(F.inline_outer(F.array_compact(lines))).filter("section is not null")
+    w = Window.partitionBy("section").orderBy("place")
+    rows = rows.withColumn("ord", F.row_number().over(w).cast("long"))
+    # the first so many, THEN without those that have no such mention
+    top = F.expr(f"map({', '.join(f'{k}, {v}' for k, v in GLOBAL_TOP.items())})")
+    kept = F.coalesce(F.col("ord") <= top[F.col("section")], F.lit(True)) & ~(F.col("section").isin(4, 5) & (F.col("place.a") >= 0))
+    rows = rows.filter(kept).select("section", "ord", "line")
+    titles = reviews.sparkSession.createDataFrame([(i, 0, t) for i, t in enumerate(GLOBAL_TITLES)], rows.schema)
+    return titles.unionByName(rows)
+
+
+WEEKLY_TITLES = [None, "## Spikes and alerts (>20% change)", "## Per product"]
+
+
+def weekly_report_lines(reviews: DataFrame, products: DataFrame, as_of: str, mode: str = "observed", quote_product: str | None = None) -> DataFrame:
+    """K7/K8 document from one cube. Spike lines carry a negative evidence
+    quote; observed mode takes it from one fixed product and for DOWN spikes
+    too, as the reference does. ``reviews`` carry ``text`` cut to what a quote shows."""
+    cube = W.weekly_cube(reviews, as_of, mode=mode, quote_product=quote_product)
+    named = products.select("product_id", "name").withColumn("level", F.lit("product"))
+    cube = cube.join(named, ["level", "product_id"], "full")
+    zero = F.lit(0).cast("long")
+    this, prev, chg = F.coalesce("this", zero), F.coalesce("prev", zero), F.col("change_pct")
+    since, _ = W.week_bounds(as_of)
+    change = F.when(chg.isNull(), F.lit(NO_PREVIOUS_WEEK)).otherwise(signed_pct_label(chg))
+    action = F.when(F.col("alert") == "UP", F.lit(ACTIONS["UP"])).otherwise(F.lit(ACTIONS["DOWN"]))
+    spike = F.when(
         F.col("alert") == "NEW TREND",
-        F.format_string("**%s - NEW TREND (%d mentions)** - not seen last week; monitor", "theme", "this_count"),
+        F.format_string("**%s - NEW TREND (%d mentions)** - not seen last week; monitor", "theme", this),
     ).otherwise(
         F.format_string(
             "**%s - %s %d%%** (previous %d, this week %d)\n- Key review: \"%s\"\n- Action: %s",
-            "theme", "alert", F.abs("change_pct"), "prev_count", "this_count", "quote", action,
+            "theme", "alert", F.abs(chg), prev, this, R.quote_text("quote.text"), action,
         )
     )
-    parts = [
-        _numbered(vol, 0, [F.lit(1)], F.format_string("# Weekly change report - week of %s\nNew reviews this week: %d | vs last week: %s", "since", "this_week", "change_label")),
-        _title(1, "## Spikes and alerts (>20% change)", spark),
-        _numbered(spikes, 1, [F.desc("this_count"), "first_seen"], spike_line),
-        spikes.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(1).alias("section"), F.lit(1).cast("long").alias("ord"), F.lit(NO_SPIKES).alias("line")),
-        _title(2, "## Per product", spark),
-        _numbered(
-            prod,
-            2,
-            ["product_id"],
-            F.format_string("%s: %d new reviews | avg rating %s/5 | top themes: %s", "name", "new_reviews", F.col("avg_rating").cast("string"), "top_themes"),
-        ),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    mean = CB.mean_rating("rating_sum", "rated").cast("string")
+    topics = F.when(F.coalesce("top_themes", F.lit("")) == "", F.lit(NO_THEMES_YET)).otherwise(F.col("top_themes"))
+    no_spike = F.lit(NO_SPIKES)
+
+    def line(section: int, order: list, text: F.Column, alert: bool = False) -> F.Column:
+        place = F.struct(*(c.alias(x) for c, x in zip(order, "abcd", strict=True)))
+        return F.struct(F.lit(section).alias("section"), place.alias("place"), text.alias("line"), F.lit(alert).alias("alert"))
+
+    none = F.lit("")
+    volume = F.format_string("# Weekly change report - week of %s\nNew reviews this week: %d | vs last week: %s", F.lit(since), this, change)
+    last = [F.lit(1).cast("long"), zero, zero, none]
+    lines = (
+        F.when(F.col("level") == "all", F.array(line(0, [zero, zero, zero, none], volume), line(1, last, no_spike)))
+        .when(
+            (F.col("level") == "theme") & F.col("alert").isNotNull() & (this > 0),
+            F.array(line(1, [-this, F.col("first_seen"), F.col("first_pos").cast("long"), none], spike, True)),
+        )
+        .when(F.col("level") == "product", F.array(line(2, [zero, zero, zero, F.col("product_id")], F.format_string("%s: %d new reviews | avg rating %s/5 | top themes: %s", "name", this, mean, topics))))
+    )
+    rows = cube.select(F.inline_outer(lines)).filter("section is not null")
+    w = Window.partitionBy("section").orderBy("place")
+    rows = rows.withColumn("ord", F.row_number().over(w).cast("long"))
+    # the line for a week without spikes stands last in its section, and stays if it is also the first
+    rows = rows.filter((F.col("section") != 1) | F.col("alert") | (F.col("ord") == 1)).select("section", "ord", "line")
+    titles = reviews.sparkSession.createDataFrame([(i, 0, t) for i, t in enumerate(WEEKLY_TITLES) if t], rows.schema)
+    return titles.unionByName(rows)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

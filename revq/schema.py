@@ -90,6 +90,8 @@ NO_VALUE = "N/A"
 NO_QUOTE = "No matching review found."
 NO_PREVIOUS_WEEK = "N/A (no previous week data)"
 NO_THEMES_YET = "No analysed data yet"
+NO_SPIKES = "No significant spikes detected this week."
+ACTIONS = {"UP": "Investigate root cause and prioritise fix", "DOWN": "Monitor — trend improving"}
 QUOTE_CHARS = 150
 ELLIPSIS = "…"
 # --- end of fixed values -----------------------------------------------------

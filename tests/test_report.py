@@ -27,24 +27,37 @@ def test_theme_trends_edge_cases(spark):
     assert t["Call Quality"].mentions == 2 and t["Call Quality"].rating_sum == 10  # repeat counts twice
     assert t["Sound Quality"].mentions == 2 and t["Sound Quality"].rating_sum == 4  # NULL rating -> 0
     assert t["Sound Quality"].other_sentiment == 1  # NULL sentiment -> 'unknown'
-    assert t["Call Quality"].first_seen < t["Sound Quality"].first_seen
+    assert t["Call Quality"].first_seen < t["Sound Quality"].first_seen and t["Call Quality"].first_pos == 0
+
+
+def test_long_theme_lists_do_not_touch_the_next_review(spark):
+    """A place beyond 4,096 in one list is still before the first place of the next review."""
+    long = [f"T{i}" for i in range(5000)]
+    rows = [(1, "a", "p", "s", 5, "Positive", "2024-01-01", None, 1, long), (2, "b", "p", "s", 5, "Positive", "2024-01-01", None, 1, ["X"])]
+    schema = (
+        "arrival_seq long, review_id string, product_id string, source string, rating int, sentiment string, "
+        "date string, ingested_at timestamp_ntz, processed int, themes array<string>"
+    )
+    trends = theme_trends(theme_mentions(spark.createDataFrame(rows, schema)))
+    order = [r.theme for r in trends.orderBy(*R.trend_order()).collect()]
+    assert order == [*long, "X"]
 
 
 def _trends(spark, rows):
     return spark.createDataFrame(
-        rows, "theme string, mentions long, positive long, negative long, avg_rating double, first_seen long"
+        rows, "theme string, mentions long, positive long, negative long, avg_rating double, first_seen long, first_pos int"
     )
 
 
 def test_top_k_then_drop_zero(spark):
-    rows = [(f"T{i}", 10 - i, 5 if i < 2 else 0, i, 3.0, i) for i in range(6)]
+    rows = [(f"T{i}", 10 - i, 5 if i < 2 else 0, i, 3.0, i, 0) for i in range(6)]
     got = R.messaging_opportunities(_trends(spark, rows)).collect()
     assert [r.theme for r in got] == ["T0", "T1"]  # top 5 first, then the zero rows go
     assert [r.theme for r in R.faq_candidates(_trends(spark, rows)).collect()] == ["T0", "T1", "T2", "T3", "T4"]
 
 
 def test_critical_and_wins_thresholds(spark):
-    rows = [("A", 10, 3, 1, 3.0, 1), ("B", 10, 2, 2, 3.0, 2)]  # 10% negative is not > 10%
+    rows = [("A", 10, 3, 1, 3.0, 1, 0), ("B", 10, 2, 2, 3.0, 2, 0)]  # 10% negative is not > 10%
     crit = [r.theme for r in R.critical_issues(_trends(spark, rows)).collect()]
     wins = [r.theme for r in R.wins(_trends(spark, rows)).collect()]
     assert crit == ["B"] and wins == ["A"]  # 20% positive is not > 20%
@@ -75,10 +88,10 @@ def test_quotes_observed_and_intended(spark):
         (1, "a", "p1", "s", 1, "Negative", "2024-01-01", None, 0, "Call Quality"),
         (2, "b", "p0", "s", 1, "Negative", "2024-01-01", None, 0, "Call Quality"),
     ]
-    m = spark.createDataFrame(rows, MENTION_SCHEMA)
     texts = spark.createDataFrame([(1, "first overall"), (2, "x" * 200)], "arrival_seq long, text string")
+    m = spark.createDataFrame(rows, MENTION_SCHEMA).join(texts, "arrival_seq")
     t = theme_trends(m)
-    obs = R.critical_issues(t, R.first_quotes(m, texts, ["product_id"]), "p0").first()
+    obs = R.critical_issues(t, R.first_quotes(m, ["product_id"]), "p0").first()
     assert obs.quote == "x" * 150 + "…"  # fixed product p0, truncated with an ellipsis
-    intended = R.critical_issues(t, R.first_quotes(m, texts, []), None).collect()
+    intended = R.critical_issues(t, R.first_quotes(m, []), None).collect()
     assert [r.quote for r in intended] == ["first overall"]  # one row, first arrival overall

@@ -15,7 +15,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def main() -> None:
-    from revq.operators.mentions import theme_mentions
     from revq.operators.stats import products_dim
     from revq.plans.base import report_reviews
     from revq.plans.reports import global_report_lines, weekly_report_lines, write_report
@@ -26,11 +25,10 @@ def main() -> None:
     as_of = sys.argv[3] if len(sys.argv) > 3 else "2024-02-27"
     spark = get_spark(app="revq-reports")
     r = report_reviews(spark, sf, with_text=True)
-    m = theme_mentions(r)
     p = products_dim(reviews_in(spark, sf))
     first = p.agg({"product_id": "min"}).first()[0]  # observed: quotes from one product
-    write_report(global_report_lines(r, m, p, first), f"{out}/global")
-    write_report(weekly_report_lines(r, m, p, as_of, quote_product=first), f"{out}/weekly")
+    write_report(global_report_lines(r, p, first), f"{out}/global")
+    write_report(weekly_report_lines(r, p, as_of, quote_product=first), f"{out}/weekly")
     spark.stop()
 
 
