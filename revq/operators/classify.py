@@ -59,22 +59,27 @@ def classify_batch(
     scorer: Scorer | None = None,
     classifier: str = RULES,
     analyzed_at=None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Analysis rows ``(review_id, sentiment, themes, confidence, classifier, analyzed_at)``.
 
+    ``keep`` names columns of the reviews that the rows also carry (and their rating).
+
     ``scorer`` maps pandas batches with columns review_id, title, text, rating
     to batches with columns review_id, raw (the model's JSON answer).
     """
     ts = analyzed_at if analyzed_at is not None else F.current_timestamp().cast("timestamp_ntz")
     if scorer is None:
-        out = classify_rules(unprocessed.select("review_id", "title", "text", "rating"))
-        res = out.select("review_id", "sentiment", "themes", "confidence")
+        out = classify_rules(unprocessed.select("review_id", "title", "text", "rating", *(keep or [])))
+        res = out.select("review_id", "sentiment", "themes", "confidence", *(["rating", *keep] if keep else []))
     else:
         raw = unprocessed.select("review_id", "title", "text", "rating").mapInPandas(
             scorer, "review_id string, raw string"
         )
         s = raw.select("review_id", sanitize_answer("raw").alias("a"))
         res = s.select("review_id", "a.sentiment", "a.themes", "a.confidence")
+        if keep:
+            res = res.join(unprocessed.select("review_id", "rating", *keep), "review_id")
     return res.withColumn("classifier", F.lit(classifier)).withColumn("analyzed_at", ts)
 
 

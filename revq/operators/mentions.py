@@ -84,15 +84,10 @@ def first_mention(df: DataFrame, key: str = "first") -> DataFrame:
     return df.withColumn("first_seen", ((F.col(key) - pos) / F.lit(PLACES)).cast("long")).withColumn("first_pos", pos.cast("int")).drop(key)
 
 
-def theme_trends(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Per theme (and ``by``): mentions, rating sum/avg, sentiment counts.
-
-    avg_rating = round(sum(coalesce(rating, 0)) / mentions, 2), half-even.
-    ``first_seen`` and ``first_pos`` order ties the way first appearance does.
-    """
-    by = list(by or [])
+def mention_sums() -> list[F.Column]:
+    """Counts of a group of mentions that add up over parts."""
     s = F.coalesce(F.col("sentiment"), F.lit(UNKNOWN_SENTIMENT))
-    g = mentions.groupBy(*by, "theme").agg(
+    return [
         F.count(F.lit(1)).alias("mentions"),
         F.sum(F.coalesce(F.col("rating"), F.lit(0))).cast("long").alias("rating_sum"),
         F.count_if(s == "Positive").alias("positive"),
@@ -100,8 +95,39 @@ def theme_trends(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(s == "Neutral").alias("neutral"),
         F.count_if(~s.isin("Positive", "Negative", "Neutral")).alias("other_sentiment"),
         F.min(appearance()).alias("first"),
-    )
-    return first_mention(g).withColumn("avg_rating", F.bround(F.col("rating_sum") / F.col("mentions"), 2))
+    ]
+
+
+def theme_trends(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per theme (and ``by``): mentions, rating sum/avg, sentiment counts.
+
+    avg_rating = round(sum(coalesce(rating, 0)) / mentions, 2), half-even.
+    ``first_seen`` and ``first_pos`` order ties the way first appearance does.
+    """
+    return _with_mean(mentions.groupBy(*(by or []), "theme").agg(*mention_sums()))
+
+
+def _with_mean(sums: DataFrame) -> DataFrame:
+    return first_mention(sums).withColumn("avg_rating", F.bround(F.col("rating_sum") / F.col("mentions"), 2))
+
+
+PART = ["theme", "product_id", "date", "ingest_day"]
+
+
+def theme_counts(mentions: DataFrame) -> DataFrame:
+    """Additive parts of theme trends per (theme, product, review date, ingest day)."""
+    return mentions.withColumn("ingest_day", F.to_date("ingested_at")).groupBy(*PART).agg(*mention_sums())
+
+
+def add_theme_counts(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Parts added up per ``by`` (their own key by default)."""
+    sums = [F.sum(c).cast("long").alias(c) for c in ("mentions", "rating_sum", "positive", "negative", "neutral", "other_sentiment")]
+    return parts.groupBy(*(PART if by is None else by)).agg(*sums, F.min("first").alias("first"))
+
+
+def theme_trends_of(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``theme_trends`` from kept parts: equal to a scan of all mentions behind them."""
+    return _with_mean(add_theme_counts(parts, [*(by or []), "theme"]))
 
 
 def theme_sentiment(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from revq.operators import report as R
 from revq.operators import stats as S
 from revq.operators import weekly as W
-from revq.operators.mentions import filter_mentions, theme_by_source, theme_mentions, theme_sentiment, theme_trends
+from revq.operators.mentions import filter_mentions, theme_by_source, theme_mentions, theme_sentiment, theme_trends, theme_trends_of
 from revq.plans import oracle as O
 from revq.plans.oracle import AS_OF, FRESH_AS_OF, PRODUCT, SINCE, pct, trends_sql, with_base
 from revq.plans.base import mentions as _mentions
@@ -1276,12 +1276,13 @@ def q_batch_align(spark, sf):
 
 # ================================================================ streaming
 DELIVERIES = 4
+ARRIVALS = f"ends AS (SELECT min(arrival_seq) AS lo, (max(arrival_seq) - min(arrival_seq)) // {DELIVERIES} + 1 AS step FROM reviews_in)"
 
 
-def _stream_store(spark, sf, classify: bool):
+def _delivered(spark, sf, **more):
     """Land the batch as consecutive arrival ranges (arrival order is the
     insert order of the store) and run the incremental ingest after each
-    delivery; returns the stream's store and analysis folders."""
+    delivery; returns the stream with its folders."""
     from revq.session import scratch_dir
     from revq.streaming.ingest import ReviewStream
 
@@ -1289,14 +1290,8 @@ def _stream_store(spark, sf, classify: bool):
     b = reviews_in(spark, sf)
     lo, hi = b.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
     step = (hi - lo) // DELIVERIES + 1
-    rs = ReviewStream(
-        landing=f"{base}/landing",
-        store=f"{base}/store",
-        checkpoint=f"{base}/checkpoint",
-        schema=b.schema,
-        analysis=f"{base}/analysis" if classify else None,
-        classify_filter="processed = 1",
-    )
+    folders = {k: f"{base}/{k}" for k in more.pop("also", ())}
+    rs = ReviewStream(f"{base}/landing", f"{base}/store", f"{base}/checkpoint", b.schema, **folders, **more)
     for k in range(DELIVERIES):
         seq = F.col("arrival_seq")
         part = b.filter((seq >= lo + k * step) & (seq < lo + (k + 1) * step))
@@ -1308,8 +1303,7 @@ def _stream_store(spark, sf, classify: bool):
 @register("stream_ingest", with_base("SELECT review_id, arrival_seq, product_id FROM store"))
 def q_stream_ingest(spark, sf):
     """Incremental ingest equals the batch store."""
-    rs = _stream_store(spark, sf, classify=False)
-    return rs.stored(spark).select("review_id", "arrival_seq", "product_id")
+    return _delivered(spark, sf).stored(spark).select("review_id", "arrival_seq", "product_id")
 
 
 @register(
@@ -1318,10 +1312,58 @@ def q_stream_ingest(spark, sf):
 )
 def q_stream_classify(spark, sf):
     """Rows accepted by each run are classified in the same micro-batch."""
-    rs = _stream_store(spark, sf, classify=True)
+    rs = _delivered(spark, sf, also=["analysis"], classify_filter="processed = 1")
     return rs.analysed(spark).select("review_id", "sentiment", F.array_join("themes", "|").alias("themes_label"))
 
 
+# which rows an epoch of the backlog query analyses: only rated ones, but for the third, which takes all that wait
+RATED_ONLY = {0, 1, 3}
+
+
+@register(
+    "stream_backlog",
+    with_base(
+        f"""SELECT review_id, accepted, CASE WHEN rating IS NOT NULL THEN accepted WHEN accepted <= 2 THEN 2 END AS analysed,
+                   CASE WHEN rating IS NOT NULL OR accepted <= 2 THEN {O.SENT_SQL} END AS sentiment,
+                   CASE WHEN rating IS NOT NULL OR accepted <= 2 THEN array_to_string({O._themes_sql()}, '|') END AS themes_label
+            FROM (SELECT hits.*, (arrival_seq - lo) // step AS accepted FROM hits, ends) h""",
+        ARRIVALS,
+    ),
+)
+def q_stream_backlog(spark, sf):
+    """Rows that an epoch leaves out wait in the backlog and are analysed
+    by the first epoch that takes them; what still waits has no analysis."""
+    rs = _delivered(spark, sf, also=["analysis"], classify_filter=lambda e: "rating is not null" if e in RATED_ONLY else None)
+    done = rs.analysed(spark).select(
+        "review_id", "accepted", F.col("epoch").cast("long").alias("analysed"), "sentiment", F.array_join("themes", "|").alias("themes_label")
+    )
+    none = F.lit(None)
+    left = rs.backlog(spark).select(
+        "review_id", "accepted", none.cast("long").alias("analysed"), none.cast("string").alias("sentiment"), none.cast("string").alias("themes_label")
+    )
+    return done.unionByName(left)
+
+
+@register(
+    "stream_theme_trends",
+    with_base(
+        f"SELECT d AS delivery, {TREND_COLS} FROM ({trends_sql(src='seen', by='d')}) t",
+        ARRIVALS + """,
+analysed AS (
+  SELECT arrival_seq, product_id, source, rating, date, ingested_at, """ + f"{O.SENT_SQL} AS sentiment, {O._themes_sql()} AS themes FROM hits" + f"""),
+every AS (
+  SELECT arrival_seq, rating, sentiment, unnest(themes) AS theme, generate_subscripts(themes, 1) - 1 AS pos FROM analysed),
+seen AS (
+  SELECT every.*, CAST(d AS INTEGER) AS d FROM every, ends, range({DELIVERIES}) r(d) WHERE arrival_seq < lo + (d + 1) * step)""",
+    ),
+)
+def q_stream_theme_trends(spark, sf):
+    """The theme counts kept by the stream, as they stood after each delivery."""
+    rs = _delivered(spark, sf, also=["analysis", "counts"])
+    parts = rs.theme_counts(spark).withColumn("delivery", F.explode(F.sequence(F.col("epoch").cast("int"), F.lit(DELIVERIES - 1))))
+    return theme_trends_of(parts, by=["delivery"]).select("delivery", *TREND_COLS.split(", "))
+
+
 # ================================================================== reports
 def _section(n: int, order: str, line: str, rows: str) -> str:
     return f"SELECT {n} AS section, row_number() OVER (ORDER BY {order}) AS ord, {line} AS line FROM ({rows}) s{n}"

@@ -18,7 +18,6 @@ the folder names only the load number is read.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,61 +25,22 @@ from pyspark.sql import functions as F
 
 from revq.operators.classify import apply_analysis, classify_batch
 from revq.operators.dedup import dedup_append
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def committed(spark: SparkSession, folder: str) -> bool:
-    return _exists(spark, f"{folder}/_SUCCESS")
-
-
-def committed_parts(spark: SparkSession, root: str, key: str, mark: str = "_SUCCESS") -> list[int]:
-    """Numbers of the ``<key>=<number>`` folders under ``root`` that are committed."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(p)]
-    return sorted(int(n[len(key) + 1 :]) for n in names if n.startswith(f"{key}=") and _exists(spark, f"{root}/{n}/{mark}"))
-
-
-def read_parts(spark: SparkSession, root: str, key: str, exclude: int | None = None) -> DataFrame | None:
-    """Rows of the committed folders but ``exclude``; None where there are none."""
-    parts = [n for n in committed_parts(spark, root, key) if n != exclude]
-    return spark.read.option("basePath", root).parquet(*[f"{root}/{key}={n}" for n in parts]) if parts else None
+from revq.sources.files import committed, committed_parts, read_parts
+from revq.sources.keyruns import KeyRuns
 
 
 @dataclass
 class ReviewStore:
     spark: SparkSession
     root: str
-    # keep a copy of the stored keys bucketed by review_id (external table in
-    # the store folder, a partition per load); the anti join of the next load
-    # then reads the keys already partitioned by review_id and only the batch
-    # side is shuffled
+    # keep a copy of the stored keys as bucketed runs (``keyruns``); the anti
+    # join of the next load then reads the keys already partitioned by
+    # review_id and only the batch side is shuffled
     key_buckets: int | None = None
-    key_table: str | None = None
+    fan: int = 4  # runs of keys merged at once
 
     def __post_init__(self):
-        if self.key_buckets:
-            self.key_table = self.key_table or "revq_keys_" + hashlib.md5(self.root.encode()).hexdigest()[:12]
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.key_table} (review_id STRING, load BIGINT) USING parquet PARTITIONED BY (load) "
-                f"CLUSTERED BY (review_id) INTO {self.key_buckets} BUCKETS LOCATION '{self.keys_path}'"
-            )
-            if _exists(self.spark, self.keys_path):
-                self.spark.sql(f"ALTER TABLE {self.key_table} RECOVER PARTITIONS")
-
-    @property
-    def keys_path(self) -> str:
-        return f"{self.root}/review_keys"
+        self.runs = KeyRuns(self.spark, f"{self.root}/review_keys", self.key_buckets, self.fan) if self.key_buckets else None
 
     @property
     def raw_path(self) -> str:
@@ -95,22 +55,19 @@ class ReviewStore:
         return f"{self.root}/ingestion_log"
 
     def raw(self, exclude_load: int | None = None) -> DataFrame | None:
-        return read_parts(self.spark, self.raw_path, "load", exclude_load)
+        loads = committed_parts(self.spark, self.raw_path, "load")
+        return read_parts(self.spark, self.raw_path, "load", [n for n in loads if n != exclude_load])
 
     def keys(self, exclude_load: int | None = None) -> DataFrame:
         """Stored keys, bucketed. The committed loads say what is stored; the
-        partition of a load that lacks one (bucketing was turned on later, or a
-        run ended before it was written) is made from the load's rows."""
-        loads = [n for n in committed_parts(self.spark, self.raw_path, "load") if n != exclude_load]
-        have = set(committed_parts(self.spark, self.keys_path, "load", "_DONE"))
-        for load in loads:
-            if load not in have:
-                rows = self.spark.read.parquet(f"{self.raw_path}/load={load}").select("review_id")
-                self.spark.sql(f"INSERT OVERWRITE TABLE {self.key_table} PARTITION (load = {load}) SELECT review_id FROM {{rows}}", rows=rows)
-                if not rows.isEmpty():
-                    fs, done = _fs(self.spark, f"{self.keys_path}/load={load}/_DONE")
-                    fs.create(done).close()
-        return self.spark.table(self.key_table).filter(F.col("load").isin(loads)).select("review_id")
+        run of a load that lacks one (bucketing was turned on later, or a
+        program ended before it was written) is made from the load's rows."""
+        have = self.runs.loads()
+        for load in committed_parts(self.spark, self.raw_path, "load"):
+            if load != exclude_load and load not in have:
+                self.runs.add(load, self.spark.read.parquet(f"{self.raw_path}/load={load}"))
+        self.runs.compact()
+        return self.runs.keys(exclude_load)
 
     def append(self, batch: DataFrame, load: int, run_ts: str) -> DataFrame:
         """De-duplicating append of one load; returns the ingestion-log rows."""
@@ -141,7 +98,7 @@ class ReviewStore:
         if committed(self.spark, out):
             return
         raw = self.raw()
-        done = read_parts(self.spark, self.analysis_path, "load", load)
+        done = read_parts(self.spark, self.analysis_path, "load", [n for n in committed_parts(self.spark, self.analysis_path, "load") if n != load])
         if done is not None:
             raw = raw.join(done.select("review_id"), "review_id", "left_anti")
         if predicate:

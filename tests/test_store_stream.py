@@ -67,7 +67,7 @@ def test_bucketed_keys_avoid_store_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     lines = [l for l in plan.split("\n") if l.strip()]
-    i = next(k for k, l in enumerate(lines) if st.key_table in l and "FileScan" in l)
+    i = next(k for k, l in enumerate(lines) if st.runs.table in l and "FileScan" in l)
     assert "Bucketed: true" in lines[i]
     assert "Exchange" not in lines[i - 1]  # the key side is not shuffled
 
@@ -134,3 +134,153 @@ def test_page_cutoff_per_listing(spark):
     rows = [("l", 1, True, 3), ("l", 2, False, 0), ("l", 3, True, 2), ("l", 4, True, 0), ("l", 5, True, 7), ("m", 1, True, 0), (None, 1, True, 1), (None, 2, True, 0)]
     kept = page_cutoff(spark.createDataFrame(rows, "listing string, page_no int, fetched boolean, n_reviews int")).collect()
     assert sorted(((r.listing, r.page_no) for r in kept), key=repr) == [("l", 1), ("l", 3), (None, 1)]
+
+
+def _runs(spark, fan=3):
+    from revq.sources.keyruns import KeyRuns
+
+    return KeyRuns(spark, tempfile.mkdtemp(prefix="revq-runs-"), buckets=4, fan=fan)
+
+
+def _keys(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "review_id string")
+
+
+def test_key_runs_merge_level_by_level(spark):
+    runs = _runs(spark)
+    for e in range(10):
+        runs.add(e, _keys(spark, f"k{e}", f"x{e}"))
+        runs.add(e, _keys(spark, "never"))  # a load that is held already
+        runs.compact()
+        assert runs.loads() == set(range(e + 1))
+        assert sorted(r.review_id for r in runs.keys().collect()) == sorted([f"{c}{i}" for c in "kx" for i in range(e + 1)])
+    assert sorted((r.level, len(r.loads)) for r in runs.live()) == [(0, 1), (2, 9)]
+    assert len(runs.committed()) == 2  # inputs of merged runs are gone
+
+
+def test_key_run_merge_interrupted(spark, monkeypatch):
+    from revq.sources.keyruns import KeyRuns
+
+    runs = _runs(spark)
+    for e in range(3):
+        runs.add(e, _keys(spark, f"k{e}"))
+    want = ["k0", "k1", "k2"]
+
+    def stop(*a):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # the merged files are there, their mark is not
+        m.setattr(KeyRuns, "_mark", stop)
+        try:
+            runs.compact()
+        except RuntimeError:
+            pass
+    assert sorted(r.review_id for r in runs.keys().collect()) == want and {r.level for r in runs.live()} == {0}
+    with monkeypatch.context() as m:  # the mark is there, the inputs are too
+        m.setattr(KeyRuns, "sweep", stop)
+        try:
+            runs.compact()
+        except RuntimeError:
+            pass
+    assert len(runs.committed()) == 4 and {r.level for r in runs.live()} == {1}
+    assert sorted(r.review_id for r in runs.keys().collect()) == want
+    again = KeyRuns(spark, runs.root, 4, 3, table=runs.table + "_b")  # another program over the same files
+    again.compact()
+    assert sorted(r.review_id for r in again.keys().collect()) == want and len(again.committed()) == 1
+
+
+def test_mark_cut_short_does_not_count(spark):
+    runs = _runs(spark)
+    runs.add(1, _keys(spark, "a"))
+    from revq.sources.files import file_system
+
+    fs, p = file_system(spark, f"{runs.root}/done/L0-2")
+    out = fs.create(p, True)
+    out.write(bytearray(b"2"))
+    out.close()
+    assert runs.loads() == {1}
+
+
+def _stream(spark, **more):
+    base = tempfile.mkdtemp(prefix="revq-stream-")
+    return ReviewStream(
+        f"{base}/landing", f"{base}/store", f"{base}/ckpt", _rows(spark).schema, analysis=f"{base}/analysis", key_buckets=8, **more
+    )
+
+
+def test_epoch_join_reads_stored_keys_without_exchange(spark):
+    rs, b = _stream(spark), _rows(spark)
+    for lo, hi in [(1, 2), (3, 4), (5, 6)]:
+        b.filter(F.col("arrival_seq").between(lo, hi)).write.mode("append").parquet(rs.landing)
+        rs.run_available(spark)
+    from revq.operators.dedup import dedup_append
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = dedup_append(b, rs.stored_keys(spark, 3))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = [x for x in plan.split("\n") if x.strip()]
+    i = next(k for k, x in enumerate(lines) if rs.runs(spark).table in x and "FileScan" in x)
+    assert "Bucketed: true" in lines[i]
+    between = []  # the scan's ancestors up to the join
+    depth = len(lines[i]) - len(lines[i].lstrip(" :+-*"))
+    for x in reversed(lines[:i]):
+        own = len(x) - len(x.lstrip(" :+-*"))
+        if own < depth:
+            between.append(x.lstrip(" :+-*"))
+            depth = own
+            if "Join" in x:
+                break
+    assert "Join" in between[-1] and not any("Exchange" in x for x in between)
+
+
+def test_rows_left_out_are_analysed_later(spark):
+    rs, b = _stream(spark, classify_filter=lambda e: "processed = 1" if e < 2 else None), _rows(spark)
+    seen = []
+    for lo, hi in [(1, 3), (4, 5), (6, 6)]:
+        b.filter(F.col("arrival_seq").between(lo, hi)).write.mode("append").parquet(rs.landing)
+        rs.run_available(spark)
+        seen.append((sorted(r.review_id for r in rs.analysed(spark).collect()), sorted(r.review_id for r in rs.backlog(spark).collect())))
+    assert seen == [(["a", "b"], []), (["a", "b"], ["c"]), (["a", "b", "c", "d"], [])]
+    assert {r.review_id: r.epoch for r in rs.analysed(spark).collect()} == {"a": 0, "b": 0, "c": 2, "d": 2}
+
+
+def test_work_cap_drains_by_arrival(spark):
+    rs, b = _stream(spark, classify_cap=1), _rows(spark)
+    for lo, hi in [(1, 4), (5, 5), (6, 6)]:
+        b.filter(F.col("arrival_seq").between(lo, hi)).write.mode("append").parquet(rs.landing)
+        rs.run_available(spark)
+    assert {r.review_id: r.epoch for r in rs.analysed(spark).collect()} == {"a": 0, "b": 1, "c": 2}
+    assert [r.review_id for r in rs.backlog(spark).collect()] == ["d"]
+
+
+def test_replayed_epoch_changes_nothing(spark):
+    rs, b = _stream(spark, classify_filter="processed = 1"), _rows(spark)
+    for lo, hi in [(1, 3), (4, 6)]:
+        b.filter(F.col("arrival_seq").between(lo, hi)).write.mode("append").parquet(rs.landing)
+        rs.run_available(spark)
+    before = [sorted(map(str, d.select("review_id").collect())) for d in (rs.stored(spark), rs.analysed(spark), rs.backlog(spark))]
+    rs._batch(b.filter("arrival_seq > 3"), 1)
+    assert [sorted(map(str, d.select("review_id").collect())) for d in (rs.stored(spark), rs.analysed(spark), rs.backlog(spark))] == before
+
+
+def test_kept_theme_counts_equal_a_rescan(spark):
+    from revq.operators.classify import classify_rules
+    from revq.operators.mentions import theme_mentions, theme_trends
+
+    base = tempfile.mkdtemp(prefix="revq-counts-")
+    b = _rows(spark).withColumn("source", F.lit("s")).withColumn("date", F.lit("2024-01-01")).withColumn("ingested_at", F.lit("2024-01-02").cast("timestamp_ntz"))
+    rs = ReviewStream(f"{base}/landing", f"{base}/store", f"{base}/ckpt", b.schema, analysis=f"{base}/analysis", counts=f"{base}/counts", key_buckets=4, fold=2)
+    for k, (lo, hi) in enumerate([(1, 1), (2, 3), (4, 4), (5, 6)]):
+        b.filter(F.col("arrival_seq").between(lo, hi)).write.mode("append").parquet(rs.landing)
+        rs.run_available(spark)
+        batch = classify_rules(first_per_key(b.filter(F.col("arrival_seq") <= hi))).withColumn("processed", F.lit(1))
+        want = sorted(map(str, theme_trends(theme_mentions(batch)).collect()))
+        assert sorted(map(str, rs.theme_trends(spark).collect())) == want
+        assert sorted(map(str, rs.theme_trends(spark, k).collect())) == want
+    from revq.sources.files import committed_parts
+
+    assert committed_parts(spark, f"{rs.counts}_total", "upto") == [1, 3]
