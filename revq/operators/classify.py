@@ -157,6 +157,31 @@ def batch_align(assign: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
+def align_with_retry(assign: DataFrame, answers: DataFrame, reviews: DataFrame, score_single: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Batch answers, and single calls for the reviews of batches that failed.
+
+    A batch fails as a whole when its answer is missing, is no JSON array, or
+    holds an element that cannot be read; its reviews are then scored one by
+    one with ``score_single`` (reviews -> (review_id, raw)). The fallback label
+    comes only after that: where the single answer cannot be read either, or
+    where a readable batch answer has too few elements. ``answers`` is read
+    twice and should be a stored table, so that no call is made again.
+
+    Returns (review_id, sentiment, themes, confidence, fallback, mode).
+    """
+    from revq.functions.labels import answer_elements
+
+    read = answers.select("batch_id", answer_elements("raw").alias("elements"))
+    read = read.select("batch_id", F.transform("elements", lambda x: sanitize_answer(x)).alias("read"))
+    good = read.filter(F.col("read").isNotNull() & ~F.exists("read", lambda a: a["fallback"]))
+    got = assign.join(good, "batch_id").select("review_id", F.get("read", F.col("pos").cast("int")).alias("a"), F.lit("batch").alias("mode"))
+    rest = assign.join(good.select("batch_id"), "batch_id", "left_anti").select("review_id")
+    raw = score_single(reviews.join(rest, "review_id", "left_semi")).select("review_id", sanitize_answer("raw").alias("a"))
+    single = rest.join(raw, "review_id", "left").select("review_id", "a", F.lit("single").alias("mode"))
+    both = got.unionByName(single).withColumn("a", F.coalesce("a", sanitize_answer(F.lit("not json"))))
+    return both.select("review_id", "a.sentiment", "a.themes", "a.confidence", "a.fallback", "mode")
+
+
 def unprocessed(
     reviews: DataFrame,
     analysis: DataFrame | None = None,

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from revq.functions.keys import review_key
+from revq.operators.joins import join_dimension
 from revq.operators.dedup import dedup_append, ingest_counts
 from revq.schema import RUN_LOG_SCHEMA
 
@@ -135,17 +136,52 @@ def ingest_summary(batch: DataFrame, store: DataFrame | None) -> DataFrame:
     )
 
 
+def run_rows(store: DataFrame) -> DataFrame:
+    """W5 as it is stored: a row per (run date, product, source) with its new reviews.
+
+    Each ingest day of the store is one run. The rows are a hash aggregate;
+    no run and no product is ever one value.
+    """
+    return store.groupBy(F.to_date("ingested_at").alias("run_date"), "product_id", "source").agg(F.count(F.lit(1)).alias("source_new"))
+
+
+def run_totals(rows: DataFrame) -> DataFrame:
+    """(run_date, product_id, source, source_new, product_new, total_new, total_in_db) of stored run rows.
+
+    Product sums are aggregated and joined; the running total is a window over
+    a row per run.
+    """
+    products = rows.groupBy("run_date", "product_id").agg(F.sum("source_new").alias("product_new"))
+    runs = rows.groupBy("run_date").agg(F.sum("source_new").alias("total_new"))
+    w = Window.orderBy("run_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.withColumn("total_in_db", F.sum("total_new").over(w))
+    out = join_dimension(join_dimension(rows, products, ["run_date", "product_id"]), runs, "run_date")
+    return out.select("run_date", "product_id", "source", "source_new", "product_new", "total_new", "total_in_db")
+
+
+def write_run_rows(rows: DataFrame, path: str) -> None:
+    """JSON lines, a folder per run with one file written by an executor; a run
+    written again replaces its folder, so a retried run is logged once."""
+    rows.repartition("run_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").json(path)
+
+
+def read_run_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Stored run rows; a line that cannot be read is left out by the caller's choice, not here:
+    it comes as a row whose ``_corrupt_record`` is set."""
+    schema = "product_id string, source string, source_new long, _corrupt_record string"
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return rows.withColumn("run_date", F.col("run_date").cast("date"))
+
+
 def run_log(store: DataFrame) -> DataFrame:
-    """W5 entries, one per ingest day: nested products map (per product: new
-    rows and a per-source map), total_new = sum of new rows, total_in_db =
-    running total. Collections are built from aggregated rows
-    (products x sources per run), never from raw review rows."""
-    per = store.groupBy(F.to_date("ingested_at").alias("run_date"), "product_id", "source").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """W5 entries in the nested form of log documents, one per ingest day, for
+    exchange with readers of that form: a document holds its whole run, so use
+    ``run_rows`` for what is kept. total_new = sum of new rows, total_in_db =
+    running total."""
+    per = run_rows(store)
     prod = per.groupBy("run_date", "product_id").agg(
-        F.sum("n").alias("new_reviews"),
-        F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("sources"),
+        F.sum("source_new").alias("new_reviews"),
+        F.map_from_entries(F.collect_list(F.struct("source", "source_new"))).alias("sources"),
     )
     run = prod.groupBy("run_date").agg(
         F.map_from_entries(
@@ -177,12 +213,6 @@ def flatten_run_log(log: DataFrame) -> DataFrame:
     return s.select("run_date", "product_id", "source", "source_new", "product_new", "total_new", "total_in_db")
 
 
-def write_run_log(log: DataFrame, path: str) -> None:
-    """JSON lines, a folder per run_date; writing a day again replaces it, so
-    a retried run is logged once."""
-    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").json(path)
-
-
 def read_run_log(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
     """Tolerant read: malformed text lands in ``_corrupt_record`` (kept,
     never silently dropping history).

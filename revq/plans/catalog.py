@@ -685,7 +685,7 @@ DELTA_LOG_SQL = with_base(
 
 @register("delta_log_entry", DELTA_LOG_SQL)
 def q_delta_log_entry(spark, sf):
-    return I.flatten_run_log(I.run_log(_reviews(spark, sf)))
+    return I.run_totals(I.run_rows(_reviews(spark, sf)))
 
 
 @register("delta_log_flat", DELTA_LOG_SQL)
@@ -694,9 +694,8 @@ def q_delta_log_flat(spark, sf):
     from revq.session import scratch_dir
 
     path = scratch_dir(spark, "runlog")
-    I.write_run_log(I.run_log(_reviews(spark, sf)), path)
-    back = I.read_run_log(spark, path)
-    return I.flatten_run_log(back.select("run_date", "total_new", "total_in_db", "products"))
+    I.write_run_rows(I.run_rows(_reviews(spark, sf)), path)
+    return I.run_totals(I.read_run_rows(spark, path))
 
 
 # ============================================================= classification
@@ -964,6 +963,44 @@ def q_answer_lines(spark, sf):
     return c.select("conv_id", "turn", "template").join(F.broadcast(answers), "template", "left")
 
 
+QUESTION_SQL = {
+    "theme_by_sentiment": f"SELECT sentiment, count(*) AS review_count FROM reviews WHERE product_id = '{PRODUCT}' AND processed = 1 "
+    "AND array_contains(themes, 'ANC (Active Noise Cancellation)') GROUP BY sentiment",
+    "complaints_by_product": "SELECT product_id, count(*) AS complaints FROM reviews WHERE sentiment = 'Negative' GROUP BY product_id",
+    "one_star_reasons": "SELECT theme, count(*) AS n FROM theme_mentions WHERE rating = 1 GROUP BY theme",
+    "praise_by_product": "SELECT product_id, count(*) AS praise FROM reviews WHERE feeling = 'Positive' GROUP BY product_id",  # no such column
+    "total_reviews": 'SELECT count(*) AS "count" FROM reviews',
+}
+
+
+def _question_run_sql() -> str:
+    def arm(name: str, sql: str) -> str:
+        if name == "praise_by_product":
+            return f"SELECT '{name}' AS template, 'error' AS status, 0::BIGINT AS n_rows, '' AS results"
+        sql = sql.replace("theme_mentions", "mentions")
+        return f"""SELECT '{name}', 'ok', count(j), coalesce(string_agg(j, chr(10) ORDER BY j), '') FROM (SELECT to_json(t)::VARCHAR AS j FROM ({sql}) t) x"""
+
+    runs = " UNION ALL ".join(arm(n, QUESTION_SQL[n]) for n in ["praise_by_product", *(n for n in QUESTION_SQL if n != "praise_by_product")])
+    return with_base(
+        f"""SELECT conv_id, turn, q.template, status, n_rows, results
+            FROM (SELECT conv_id, turn, {_route_sql()} AS template FROM conversations WHERE role = 'user') q JOIN runs USING (template)""",
+        f"runs AS ({runs})",
+    )
+
+
+@register("question_run", _question_run_sql())
+def q_question_run(spark, sf):
+    """Q4: every user turn with the status and result rows of its template's
+    query; one template's query is refused and says so, the others answer."""
+    r = _reviews(spark, sf)
+    queries = {n: s.replace('"', "`") for n, s in QUESTION_SQL.items()}
+    runs = A.run_queries(spark, queries, {"reviews": r, "theme_mentions": theme_mentions(r)})
+    runs = runs.select(F.col("name").alias("template"), "status", "n_rows", F.array_join("results", "\n").alias("results"))
+    turns = A.route_questions(table(spark, sf, "conversations").filter(F.col("role") == "user"))
+    # a row per template: a bound fixed by construction, so the broadcast needs no size check
+    return turns.select("conv_id", "turn", "template").join(F.broadcast(runs), "template")
+
+
 # ============================================================ cleaning rules
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",
           "September", "October", "November", "December"]
@@ -1274,6 +1311,44 @@ def q_batch_align(spark, sf):
     )
 
 
+@register(
+    "batch_retry",
+    with_base(
+        f"""SELECT review_id, mode, fb AS fallback,
+                  CASE WHEN fb THEN 'Neutral' ELSE sentiment END AS sentiment,
+                  array_to_string(CASE WHEN fb THEN ['Sound Quality'] ELSE themes END, '|') AS themes_label,
+                  CAST(CASE WHEN fb THEN 0.1 WHEN mode = 'single' THEN 0.5 ELSE confidence END AS DOUBLE) AS confidence
+           FROM (SELECT *, CASE WHEN mode = 'single' THEN arrival_seq % 7 = 0 ELSE batch_id % 3 = 1 AND pos = n - 1 END AS fb FROM (
+                   SELECT review_id, arrival_seq, sentiment, themes, confidence, arrival_seq // {BATCH} AS batch_id,
+                          CASE WHEN (arrival_seq // {BATCH}) % 3 = 2 THEN 'single' ELSE 'batch' END AS mode,
+                          row_number() OVER (PARTITION BY arrival_seq // {BATCH} ORDER BY arrival_seq) - 1 AS pos,
+                          count(*) OVER (PARTITION BY arrival_seq // {BATCH}) AS n
+                   FROM reviews WHERE processed = 1) a) b"""
+    ),
+)
+def q_batch_retry(spark, sf):
+    """Every third call of ten fails (cut short, or with an element that cannot
+    be read) and its reviews are scored singly; some single answers fail too."""
+    from pyspark.sql.window import Window as Wn
+
+    from revq.operators.classify import align_with_retry
+
+    r = _reviews(spark, sf).filter(F.col("processed") == 1)
+    r = r.select("review_id", "arrival_seq", "sentiment", "themes", "confidence", F.floor(F.col("arrival_seq") / BATCH).cast("long").alias("batch_id"))
+    assign = r.withColumn("pos", F.row_number().over(Wn.partitionBy("batch_id").orderBy("arrival_seq")) - 1)
+    calls = assign.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.to_json(F.struct("sentiment", "themes", "confidence")).alias("j")))).alias("items"))
+    js, v = F.transform("items", lambda x: x["j"]), F.col("batch_id") % 6
+    js = F.when(v % 3 == 1, F.slice(js, 1, F.size(js) - 1)).when(v == 5, F.concat(js, F.array(F.lit('{"confidence":null}')))).otherwise(js)
+    raw = F.concat(F.lit("["), F.array_join(js, ","), F.when(v == 2, F.lit("")).otherwise(F.lit("]")))
+
+    def score_single(reviews: DataFrame) -> DataFrame:
+        answer = F.to_json(F.struct("sentiment", "themes"))
+        return reviews.select("review_id", F.when(F.col("arrival_seq") % 7 == 0, F.lit("I cannot tell")).otherwise(answer).alias("raw"))
+
+    out = align_with_retry(assign.select("review_id", "batch_id", "pos"), calls.select("batch_id", raw.alias("raw")), r, score_single)
+    return out.select("review_id", "mode", "fallback", "sentiment", F.array_join("themes", "|").alias("themes_label"), "confidence")
+
+
 # ================================================================ streaming
 DELIVERIES = 4
 ARRIVALS = f"ends AS (SELECT min(arrival_seq) AS lo, (max(arrival_seq) - min(arrival_seq)) // {DELIVERIES} + 1 AS step FROM reviews_in)"
@@ -1441,6 +1516,22 @@ def q_weekly_report_lines(spark, sf):
     return weekly_report_lines(_mat(spark, sf, with_text=True), _products(spark, sf), AS_OF, quote_product=QUOTE_PRODUCT)
 
 
+@register(
+    "report_documents",
+    f"""SELECT 'global' AS document, section, ord, line FROM ({_report_sql()}) g
+        UNION ALL SELECT 'weekly', section, ord, line FROM ({_weekly_report_sql()}) w""",
+)
+def q_report_documents(spark, sf):
+    """Both documents written as text, and read back as relations."""
+    from revq.plans.reports import global_report_lines, read_reports, weekly_report_lines, write_report
+    from revq.session import scratch_dir
+
+    base, r, p = scratch_dir(spark, "reports"), _mat(spark, sf, with_text=True), _products(spark, sf)
+    write_report(global_report_lines(r, p, QUOTE_PRODUCT), f"{base}/global")
+    write_report(weekly_report_lines(r, p, AS_OF, quote_product=QUOTE_PRODUCT), f"{base}/weekly")
+    return read_reports(spark, f"{base}/global", f"{base}/weekly", f"{base}/not_made_yet")
+
+
 # ============================================================ stored tables
 @register(
     "store_roundtrip",

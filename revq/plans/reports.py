@@ -11,7 +11,7 @@ text file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,7 +20,10 @@ from revq.operators import cube as CB
 from revq.operators import report as R
 from revq.operators import weekly as W
 from revq.schema import ACTIONS, CRITICAL_NEG_SHARE, NO_PREVIOUS_WEEK, NO_SPIKES, NO_THEMES_YET, NO_VALUE, WIN_POS_SHARE
+from revq.sources.files import exists
 
+GLOBAL_SECTIONS = ["head", "executive_summary", "critical_issues", "wins", "messaging", "claims_to_retire", "faq", "escalation", "theme_analysis"]
+WEEKLY_SECTIONS = ["head", "spikes", "per_product"]
 GLOBAL_TOP = {4: 5, 5: 3, 6: 5, 7: 5}  # fixed: lines of a section
 
 
@@ -37,6 +40,14 @@ GLOBAL_TITLES = [
 ]
 
 
+def _with_all(cube: DataFrame, products: DataFrame) -> DataFrame:
+    """``cube`` with the products' names; the store and every product have a row, with or without reviews."""
+    there = products.select(F.lit("product").alias("_level"), F.col("product_id").alias("_id"), "name")
+    there = there.unionByName(cube.sparkSession.createDataFrame([("all", None, None)], there.schema))
+    both = cube.join(there, (F.col("level") == F.col("_level")) & F.col("product_id").eqNullSafe(F.col("_id")), "full")
+    return both.withColumn("level", F.coalesce("level", "_level")).withColumn("product_id", F.coalesce("product_id", "_id")).drop("_level", "_id")
+
+
 def global_report_lines(reviews: DataFrame, products: DataFrame, quote_product: str | None = None) -> DataFrame:
     """K9: every section from one cube (``operators.cube``), so the reviews and their texts are read once.
 
@@ -45,9 +56,7 @@ def global_report_lines(reviews: DataFrame, products: DataFrame, quote_product:
     cut to what a quote shows.
     """
     cube = CB.rollup(CB.review_cube(reviews, full=True, quote_product=quote_product))
-    # a product without reviews has its line too
-    named = products.select("product_id", "name").withColumn("level", F.lit("product"))
-    cube = cube.join(named, ["level", "product_id"], "full")
+    cube = _with_all(cube, products)
     zero = F.lit(0).cast("long")
     n, pos, neg = (F.coalesce(c, zero) for c in ("reviews", "positive", "negative"))
     mean = F.bround(F.col("rating_sum") / n, 2).cast("string")
@@ -105,8 +114,7 @@ def weekly_report_lines(reviews: DataFrame, products: DataFrame, as_of: str, mod
     quote; observed mode takes it from one fixed product and for DOWN spikes
     too, as the reference does. ``reviews`` carry ``text`` cut to what a quote shows."""
     cube = W.weekly_cube(reviews, as_of, mode=mode, quote_product=quote_product)
-    named = products.select("product_id", "name").withColumn("level", F.lit("product"))
-    cube = cube.join(named, ["level", "product_id"], "full")
+    cube = _with_all(cube, products)
     zero = F.lit(0).cast("long")
     this, prev, chg = F.coalesce("this", zero), F.coalesce("prev", zero), F.col("change_pct")
     since, _ = W.week_bounds(as_of)
@@ -150,5 +158,70 @@ def weekly_report_lines(reviews: DataFrame, products: DataFrame, as_of: str, mod
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """One UTF-8 text file, lines in order (W6). The input is tens of rows."""
-    lines.orderBy("section", "ord").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """One UTF-8 text file, lines in order.
+
+    A line that holds line breaks of its own (a table's head, a quote) goes on
+    indented by two spaces, so that ``read_reports`` finds its end again.
+    """
+    text = F.replace(F.col("line"), F.lit("\n"), F.lit("\n  "))
+    lines.orderBy("section", "ord").select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_reports(spark: SparkSession, *paths: str) -> DataFrame:
+    """(document, section, ord, line) of written reports.
+
+    A folder that is not there is left out, as a report that was not made yet.
+    A document is cut at line breaks that no indent follows; a heading opens a
+    section and is its line 0. Sections are counted within a document by array
+    functions, so documents need no shuffle.
+    """
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "document string, section int, ord long, line string")
+    docs = spark.read.text(there, wholetext=True).select(
+        F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("document"),
+        F.split(F.regexp_replace("value", "\n$", ""), "\n(?!  )").alias("parts"),
+    )
+    title = lambda x: x.startswith("# ") & ~x.contains("\n")
+    begin = F.struct(F.lit(0).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("string").alias("line"))
+
+    def step(held, x):
+        last, new = F.element_at(held, -1), x.startswith("## ")
+        place = F.struct(
+            F.when(new, last["section"] + 1).otherwise(last["section"]).alias("section"),
+            F.when(new | title(x), F.lit(0)).otherwise(last["ord"] + 1).cast("long").alias("ord"),
+            F.replace(x, F.lit("\n  "), F.lit("\n")).alias("line"),
+        )
+        return F.concat(held, F.array(place))
+
+    kind = "array<struct<section:int,ord:bigint,line:string>>"
+    placed = F.aggregate("parts", F.array(begin).cast(kind), step)
+    return docs.select("document", F.inline(F.slice(placed, 2, F.size("parts"))))
+
+
+def report_context(spark: SparkSession, *paths: str) -> DataFrame:
+    """(context): the text of the reports that are there, each under its name, for an answer's prompt."""
+    lines = read_reports(spark, *paths)
+    docs = lines.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("section", "ord", "line"))).alias("all"))
+    text = F.format_string("--- %s ---\n%s", "document", F.array_join(F.transform("all", lambda x: x["line"]), "\n"))
+    return docs.agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("context"))
+
+
+def global_report(reviews: DataFrame, products: DataFrame, quote_product: str | None = None, path: str | None = None) -> dict[str, DataFrame]:
+    """The global action report in one call: its lines, and each section's, by name; written to ``path`` if given."""
+    lines = global_report_lines(reviews, products, quote_product)
+    return _sections(lines, GLOBAL_SECTIONS, path)
+
+
+def weekly_report(
+    reviews: DataFrame, products: DataFrame, as_of: str, mode: str = "observed", quote_product: str | None = None, path: str | None = None
+) -> dict[str, DataFrame]:
+    """The weekly change report in one call, as ``global_report``."""
+    return _sections(weekly_report_lines(reviews, products, as_of, mode, quote_product), WEEKLY_SECTIONS, path)
+
+
+def _sections(lines: DataFrame, names: list[str], path: str | None) -> dict[str, DataFrame]:
+    if path is not None:
+        write_report(lines, path)
+        lines = read_reports(lines.sparkSession, path).drop("document")  # no second pass over the reviews
+    return {"lines": lines} | {n: lines.filter(F.col("section") == i).drop("section") for i, n in enumerate(names)}

@@ -122,3 +122,52 @@ def test_rating_whole_text_for_marketplace_b(spark):
     page_b = PAGE_B.replace('<div class="XQDdHH">3</div>', '<div class="XQDdHH">4 stars</div>')
     pages = spark.createDataFrame([(4, "https://b.example/p", page_b, "flipkart")], "page_id long, url string, html string, source string")
     assert extract_reviews(pages).count() == 0  # int(float("4 stars")) fails: the review is dropped
+
+
+def test_adhoc_guard_by_plan(spark):
+    views = {"t": spark.range(5).withColumnRenamed("id", "x"), "words": spark.createDataFrame([("reflect (it)",)], "w string")}
+    before = dict(spark.conf.getAll)
+    assert adhoc_select(spark, "SELECT 'reflect (' AS a, x FROM t WHERE x = 1", views).first().a == "reflect ("
+    assert adhoc_select(spark, "SELECT count(*) AS n FROM words WHERE w LIKE '%reflect (%'", views).first().n == 1
+    assert adhoc_select(spark, "```sql\nSQL SELECT max(x) AS m FROM t;\n```", views).first().m == 4
+    assert adhoc_select(spark, "SELECT x FROM t WHERE x IN (SELECT max(x) FROM t) AND EXISTS (SELECT 1 FROM words)", views).first().x == 4
+    assert adhoc_select(spark, "SELECT x, row_number() OVER (ORDER BY x DESC) AS r FROM t ORDER BY r LIMIT 1", views).first().x == 4
+    assert adhoc_select(spark, "SELECT a.x FROM t a JOIN t b ON a.x = b.x + 1 UNION SELECT 9 AS x", views).count() == 5
+    spark.range(3).createOrReplaceTempView("of_the_caller")
+    spark.udf.register("own_udf", lambda x: x, "long")
+    refused = [
+        "SELECT r FROM (SELECT reflect('java.util.UUID', 'randomUUID') AS r)",
+        "WITH a AS (SELECT java_method('java.lang.System', 'nanoTime') AS r) SELECT r FROM a",
+        "SELECT x FROM t WHERE x = (SELECT max(length(try_reflect('java.util.UUID', 'randomUUID'))) FROM t)",
+        "SELECT * FROM of_the_caller",
+        "SELECT own_udf(x) FROM t",
+        "SELECT * FROM json.`/tmp`",
+        "SELECT * FROM t; DROP VIEW t",
+        "DELETE FROM t",
+        "SHOW TABLES",
+    ]
+    for bad in refused:
+        with pytest.raises(QueryRejected):
+            adhoc_select(spark, bad, views)
+    assert dict(spark.conf.getAll) == before
+
+
+def test_adhoc_from_two_threads(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def ask(n):
+        return adhoc_select(spark, f"SELECT sum(x) AS s FROM t WHERE x < {n}", {"t": spark.range(n + 3).withColumnRenamed("id", "x")}).first().s
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(ask, range(1, 9))) == [n * (n - 1) // 2 for n in range(1, 9)]
+
+
+def test_one_failing_query_leaves_the_others(spark):
+    from revq.operators.adhoc import run_queries
+
+    views = {"t": spark.range(5).withColumnRenamed("id", "x")}
+    queries = {"a": "SELECT max(x) AS m FROM t", "b": "SELECT nothing FROM t", "c": "DROP TABLE t", "d": "SELECT x FROM t WHERE x > 9"}
+    got = {r.name: r for r in run_queries(spark, queries, views).collect()}
+    assert (got["a"].status, got["a"].results) == ("ok", ['{"m":4}'])
+    assert got["b"].status == got["c"].status == "error" and got["b"].error and got["b"].results == []
+    assert (got["d"].status, got["d"].n_rows, got["d"].results) == ("ok", 0, [])

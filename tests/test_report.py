@@ -95,3 +95,53 @@ def test_quotes_observed_and_intended(spark):
     assert obs.quote == "x" * 150 + "…"  # fixed product p0, truncated with an ellipsis
     intended = R.critical_issues(t, R.first_quotes(m, []), None).collect()
     assert [r.quote for r in intended] == ["first overall"]  # one row, first arrival overall
+
+
+def _reviews(spark, rows):
+    return spark.createDataFrame(
+        rows,
+        "arrival_seq long, review_id string, product_id string, source string, rating int, sentiment string, date string, "
+        "ingested_at timestamp_ntz, processed int, themes array<string>, text string",
+    )
+
+
+def test_report_documents_round_trip(spark, tmp_path):
+    import datetime as dt
+
+    from revq.plans.reports import global_report, read_reports, report_context, weekly_report
+
+    t0 = dt.datetime(2024, 2, 22)
+    rows = [
+        (1, "a", "p0", "s", 1, "Negative", "2024-02-21", t0, 1, ["Call Quality"], "bad\n- **Call** line\n  indented\n\n## no heading"),
+        (2, "b", "p0", "s", 5, "Positive", "2024-02-21", t0, 1, ["Call Quality", "Sound Quality"], ""),
+        (3, "c", "p1", "s", 1, "Negative", "2024-02-22", t0, 1, ["Call Quality"], None),
+        (4, "d", "p1", "s", None, None, None, t0, 0, None, "x" * 200),
+    ]
+    r = _reviews(spark, rows)
+    p = spark.createDataFrame([("p0", "Product 0"), ("p1", "Product 1"), ("p2", "Without reviews")], "product_id string, name string")
+    for make, name in ((lambda **k: global_report(r, p, "p0", **k), "global"), (lambda **k: weekly_report(r, p, "2024-02-27", quote_product="p0", **k), "weekly")):
+        plain = make()["lines"].collect()
+        back = make(path=str(tmp_path / name))
+        assert sorted(map(tuple, plain)) == sorted(map(tuple, back["lines"].select("section", "ord", "line").collect()))
+        assert sum(s.count() for k, s in back.items() if k != "lines") == len(plain)
+        assert any("Without reviews" in x.line for x in plain)
+    critical = [x.line for x in global_report(r, p, "p0")["critical_issues"].collect()]
+    assert any("bad\n- **Call** line" in x for x in critical)
+    both = read_reports(spark, str(tmp_path / "global"), str(tmp_path / "weekly"), str(tmp_path / "none"))
+    assert {x.document for x in both.collect()} == {"global", "weekly"}
+    context = report_context(spark, str(tmp_path / "weekly"), str(tmp_path / "global")).first().context
+    assert context.startswith("--- global ---\n# Review Intelligence Report") and "--- weekly ---\n# Weekly change report" in context
+    assert read_reports(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_reports_of_an_empty_store(spark):
+    from revq.plans.reports import global_report, weekly_report
+
+    p = spark.createDataFrame([("p0", "Product 0")], "product_id string, name string")
+    lines = global_report(_reviews(spark, []), p)["lines"].collect()
+    assert [x.line for x in lines if x.section == 1 and x.ord == 1] == ["| Product 0 | 0 | 0.0/5 | 0% | N/A | N/A |"]
+    assert [x.line for x in lines if (x.section, x.ord) == (0, 1)] == ["Total reviews: 0 | Period: N/A to N/A"]
+    weekly = weekly_report(_reviews(spark, []), p, "2024-02-27")
+    assert [x.line for x in weekly["per_product"].collect() if "Product 0" in x.line]
+    assert "New reviews this week: 0 | vs last week: N/A" in weekly["head"].first().line
+    assert "No significant spikes detected this week." in [x.line for x in weekly["spikes"].collect()]
