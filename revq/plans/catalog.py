@@ -573,7 +573,6 @@ from revq.operators import ingest as I  # noqa: E402
 from revq.operators.classify import apply_analysis, classify_batch, classify_rules, run_tally, with_hits, with_keywords  # noqa: E402
 from revq.operators.dedup import dedup_append, first_per_key  # noqa: E402
 from revq.plans.oracle import LOAD_SPLIT, CONF_SQL, SENT_SQL  # noqa: E402
-from revq.schema import KEYWORD_THEMES, keywords_by_theme  # noqa: E402
 from revq.sources import html as H  # noqa: E402
 
 
@@ -721,7 +720,7 @@ def q_keyword_themes(spark, sf):
 
 
 def _kw_values() -> str:
-    return ", ".join(f"({O._lit(k)}, {O._lit(t)})" for k, t in KEYWORD_THEMES)
+    return ", ".join(f"({O._lit(k)}, {O._lit(t)})" for t, ks in O.THEMES for k in ks)
 
 
 @register(
@@ -770,7 +769,7 @@ def q_run_tally(spark, sf):
 
 def _ww_sql() -> str:
     parts = []
-    for theme, kws in keywords_by_theme():
+    for theme, kws in O.THEMES:
         alt = "|".join(kws)
         parts.append(f"CASE WHEN regexp_matches(b, '(^|[^a-z0-9_])({alt})([^a-z0-9_]|$)') THEN {O._lit(theme)} END")
     return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
@@ -901,19 +900,9 @@ def q_adhoc_select(spark, sf):
     return A.adhoc_select(spark, ADHOC_TEXT, views)
 
 
-def _route_sql() -> str:
-    arms = []
-    for name, all_of, any_of in A.routes("product 1"):
-        c = " AND ".join(f"contains(lower(text), {O._lit(s)})" for s in all_of)
-        if any_of:
-            c += " AND (" + " OR ".join(f"contains(lower(text), {O._lit(s)})" for s in any_of) + ")"
-        arms.append(f"WHEN {c} THEN {O._lit(name)}")
-    return "CASE " + " ".join(arms) + f" ELSE {O._lit(A.DEFAULT_ROUTE)} END"
-
-
 @register(
     "route_questions",
-    f"SELECT conv_id, turn, {_route_sql()} AS template FROM conversations WHERE role = 'user'",
+    f"SELECT conv_id, turn, {O.ROUTE_SQL} AS template FROM conversations WHERE role = 'user'",
 )
 def q_route_questions(spark, sf):
     c = table(spark, sf, "conversations").filter(F.col("role") == "user")
@@ -949,7 +938,7 @@ ANSWERS_SQL = f"""an AS (
     "answer_lines",
     with_base(
         f"""SELECT q.template, conv_id, turn, answer
-            FROM (SELECT conv_id, turn, {_route_sql()} AS template FROM conversations WHERE role = 'user') q
+            FROM (SELECT conv_id, turn, {O.ROUTE_SQL} AS template FROM conversations WHERE role = 'user') q
             LEFT JOIN an ON q.template = an.template""",
         ANSWERS_SQL,
     ),
@@ -983,7 +972,7 @@ def _question_run_sql() -> str:
     runs = " UNION ALL ".join(arm(n, QUESTION_SQL[n]) for n in ["praise_by_product", *(n for n in QUESTION_SQL if n != "praise_by_product")])
     return with_base(
         f"""SELECT conv_id, turn, q.template, status, n_rows, results
-            FROM (SELECT conv_id, turn, {_route_sql()} AS template FROM conversations WHERE role = 'user') q JOIN runs USING (template)""",
+            FROM (SELECT conv_id, turn, {O.ROUTE_SQL} AS template FROM conversations WHERE role = 'user') q JOIN runs USING (template)""",
         f"runs AS ({runs})",
     )
 

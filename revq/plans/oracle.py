@@ -7,9 +7,31 @@ CASE keyword rules) so the Spark plans are checked against a second engine.
 
 from __future__ import annotations
 
-from revq.schema import DEFAULT_THEME, keywords_by_theme
 from revq.sources.fixtures import REVIEWS_IN_SQL
 
+# --- fixed values, stated here once more: the oracle takes no rule from the engine
+THEMES = [
+    ("Sound Quality", ["sound", "audio", "bass", "treble", "vocal", "driver"]),
+    ("Battery Life", ["battery", "charge", "hours"]),
+    ("Comfort & Fit", ["comfort", "fit", "ear"]),
+    ("ANC (Active Noise Cancellation)", ["anc", "noise cancel", "noise"]),
+    ("App Experience", ["app", "eq"]),
+    ("Price & Value", ["price", "value", "money", "worth"]),
+    ("Build Quality", ["build", "plastic", "quality"]),
+    ("Delivery & Packaging", ["delivery", "packaging"]),
+    ("Call Quality", ["call", "mic", "microphone"]),
+    ("Connectivity (Bluetooth)", ["bluetooth", "connect", "disconnect", "pair"]),
+    ("Heat & Sweat Resistance", ["sweat", "gym", "workout", "water"]),
+]
+DEFAULT_THEME = "Sound Quality"
+ROUTE_SQL = """CASE
+  WHEN contains(lower(text), 'anc') AND contains(lower(text), 'product 1') THEN 'theme_by_sentiment'
+  WHEN contains(lower(text), 'battery life complaints') AND contains(lower(text), 'compare') THEN 'complaints_by_product'
+  WHEN contains(lower(text), '1-star') AND (contains(lower(text), 'top') OR contains(lower(text), 'reasons')) THEN 'one_star_reasons'
+  WHEN contains(lower(text), 'comfort') AND contains(lower(text), 'better') THEN 'praise_by_product'
+  ELSE 'total_reviews' END"""
+# --- end of fixed values
+
 AS_OF = "2024-02-27"
 FRESH_AS_OF = "2024-03-10"
 SINCE = "2024-02-01"
@@ -23,7 +45,7 @@ def _lit(s: str) -> str:
 
 def _theme_list_sql(blob: str = "b") -> str:
     parts = []
-    for theme, kws in keywords_by_theme():
+    for theme, kws in THEMES:
         cond = " OR ".join(f"contains({blob}, {_lit(k)})" for k in kws)
         parts.append(f"CASE WHEN {cond} THEN {_lit(theme)} END")
     return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
