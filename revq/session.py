@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+from revq.sources.files import file_system
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -58,9 +63,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application.
+
+    Python tasks import their functions from it, so executors need neither an
+    installed package nor a path. The zip goes through the shared folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.join(os.path.basename(root), os.path.relpath(path, root)))
+    target = f"{scratch_dir(spark, 'code')}.zip"
+    fs, p = file_system(spark, target)
+    out = fs.create(p, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
-    import uuid
-
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
