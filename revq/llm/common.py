@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from revq.session import scratch_dir
+from revq.session import scratch_dir, ship_package
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed: a word of the contracts
 
@@ -25,6 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_tasks(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
+    """``df`` through a function of Arrow batches whose code the executors are sent."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import written
+from revq.llm.common import in_tasks, written
 
 
 def union_find(pairs: list[tuple[int, int]]) -> dict[int, int]:
@@ -55,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges do no harm; an empty table gives an empty one.
     """
     clean = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b")
-    now = written(clean.mapInArrow(_thin, "u long, v long").distinct(), "edges")
+    now = written(clean.transform(in_tasks, _thin, "u long, v long").distinct(), "edges")
     last = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

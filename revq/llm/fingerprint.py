@@ -36,7 +36,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import written
+from revq.llm.common import in_tasks, written
 from revq.llm.words import BLOCK, U64, blocks, mix, owners, word_hashes
 
 SAMPLES = 64
@@ -185,4 +185,4 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     first = first.dropDuplicates(["_rng"]).select(F.col("back").alias("rng"), F.lit(True).alias("copy"), "ord", "doc_id", "text")
     both = dealt.select("rng", F.lit(False).alias("copy"), "ord", "doc_id", "text").unionByName(first)
     placed = both.repartition("rng").sortWithinPartitions("rng", "copy", "ord")
-    return placed.select("rng", "copy", "doc_id", "text").mapInArrow(_neighbours, OUT)
+    return placed.select("rng", "copy", "doc_id", "text").transform(in_tasks, _neighbours, OUT)

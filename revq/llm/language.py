@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revq.llm.common import in_tasks
+
 SYMBOLS, DIM, SEED = 48, 512, 7
 PIECE = 1 << 20
 MIN_SCORE = 0.02
@@ -99,7 +101,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes) from the rows where ``training`` holds."""
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    made = rows.mapInArrow(_count, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    made = rows.transform(in_tasks, _count, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     found = made.toPandas()
     langs = sorted(found["lang"].unique())
     proto = np.zeros((len(langs), DIM))
@@ -145,7 +147,7 @@ def _predictor(langs: list[str], proto: np.ndarray) -> Callable:
 def identify(docs: DataFrame, training: Column) -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
     langs, proto = fit(docs, training)
-    return docs.select("doc_id", "text").mapInArrow(_predictor(langs, proto), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").transform(in_tasks, _predictor(langs, proto), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, training: Column, min_score: float = MIN_SCORE) -> DataFrame:
@@ -157,4 +159,4 @@ def keep_identified(docs: DataFrame, training: Column, min_score: float = MIN_SC
             _, score = classify(batch.column("text").to_pylist(), langs, proto)
             yield batch.filter(pa.array(score >= min_score))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_tasks, run, docs.schema)

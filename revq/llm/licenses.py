@@ -31,6 +31,8 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from revq.llm.common import in_tasks
+
 COVER = 0.75
 # fixed values: public license notices
 TEMPLATES = {
@@ -281,4 +283,4 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every row: the license notices found, with coverage and word positions."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, OUT)
+    return docs.select("doc_id", "text").transform(in_tasks, _scan, OUT)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import fresh, group_edges, list_column, runs, texts_of, written
+from revq.llm.common import fresh, group_edges, in_tasks, list_column, runs, texts_of, written
 from revq.llm.components import components
 from revq.llm.words import U64, blocks, mix, owners, shingle_sets
 
@@ -114,8 +114,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, h, brief, bands) of every row; one scan, no shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(
-        _signatures, "doc_id long, n_shingles long, h long, brief binary, bands array<long>"
+    return docs.select("doc_id", "text").transform(in_tasks, _signatures, "doc_id long, n_shingles long, h long, brief binary, bands array<long>"
     )
 
 
@@ -216,7 +215,7 @@ def link_groups(members: DataFrame, payload: DataFrame, kind: Callable, name: st
     dealt = members.join(sizes, "grp").select("grp", "n_blk", F.expr("cast(pmod(xxhash64(h, grp), n_blk) as int)").alias("blk"), "h")
     dealt = written(dealt, "dealt")
     placed = dealt.drop("n_blk").join(payload, "h").repartition("grp", "blk").sortWithinPartitions("grp", "blk")
-    edges = written(placed.mapInArrow(_block_links(kind, name), "a long, b long"), "links")
+    edges = written(placed.transform(in_tasks, _block_links(kind, name), "a long, b long"), "links")
     labels = written(components(edges), "labels")
     if sizes.filter("n_blk > 1").isEmpty():
         return labels
@@ -240,7 +239,7 @@ def link_groups(members: DataFrame, payload: DataFrame, kind: Callable, name: st
         spread = asks.withColumn("blk", F.explode(F.expr("sequence(0, n_blk - 1)"))).withColumn("q", F.lit(True))
         both = now.withColumn("q", F.lit(False)).unionByName(spread).select("grp", "blk", "h", "label", "q", name)
         placed = both.repartition("grp", "blk").sortWithinPartitions("grp", "blk")
-        found = written(placed.mapInArrow(_query_links(kind, name), "a long, b long").distinct(), "found")
+        found = written(placed.transform(in_tasks, _query_links(kind, name), "a long, b long").distinct(), "found")
         joined = components(found)
         relabel = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
         keep = now.select(F.col("h").alias("node"), "label").distinct()
@@ -276,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = written(wanted.select("rep", "h", F.col("label").alias("grp"), (F.col("n") + 64).alias("heft")), "wanted")
     reps = wanted.select("rep").distinct()
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi")
-    sets = written(texts.select("text").mapInArrow(_sets, "h long, items array<long>").dropDuplicates(["h"]), "sets")
+    sets = written(texts.select("text").transform(in_tasks, _sets, "h long, items array<long>").dropDuplicates(["h"]), "sets")
     exact = link_groups(wanted.select("grp", "h", "heft"), sets, Sets, "items", 1 << 18)
     named = classes.select("h", "rep").join(exact, F.col("h") == F.col("node"), "left")
     named = named.select("h", "rep", F.coalesce("label", "h").alias("label"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import written
+from revq.llm.common import in_tasks, written
 
 EVERY, RELABEL, LABELS = 100, 7, 10  # fixed: which rows are anchors, which labels move, how many labels
 SCALE = 256  # fixed
@@ -227,7 +227,7 @@ def _searcher(x: np.ndarray, label: np.ndarray, own: np.ndarray, low: np.ndarray
 
 def _best(rows: DataFrame, run: Callable, k: int) -> DataFrame:
     """(slot, vec_id, score, rank): the tasks' results cut to the k best of each slot."""
-    found = rows.select("row", "vec_id", "label", "x").mapInArrow(run, "slot long, vec_id long, score long")
+    found = rows.select("row", "vec_id", "label", "x").transform(in_tasks, run, "slot long, vec_id long, score long")
     order = Window.partitionBy("slot").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

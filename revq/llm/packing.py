@@ -40,7 +40,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import texts_of
+from revq.llm.common import in_tasks, texts_of
 
 SIZE = 2048  # fixed: ids a window
 END = 1  # fixed: id after each document
@@ -252,7 +252,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, spare: int
     """A row per piece: doc_id, doc_row, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     path = path or default_path()
     docs.sparkSession.sparkContext.addFile(path)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packer(os.path.basename(path), size, spare, end), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_tasks, _packer(os.path.basename(path), size, spare, end), SCHEMA)
 
 
 def sequences(packed: DataFrame, size: int = SIZE, pad: int = 0) -> DataFrame:

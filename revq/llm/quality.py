@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import texts_of
+from revq.llm.common import in_tasks, texts_of
 from revq.llm.rules import count_block
 from revq.llm.words import blocks, owners, word_hashes
 
@@ -149,8 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = MA
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
     chosen = chosen.limit(max_rows).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most max_rows narrow rows
-    made = rows.select("doc_id", "quality", "text").mapInArrow(
-        _featured, "doc_id long, quality int, " + ", ".join(f"{c} double" for c in FEATURES)
+    made = rows.select("doc_id", "quality", "text").transform(in_tasks, _featured, "doc_id long, quality int, " + ", ".join(f"{c} double" for c in FEATURES)
     )
     found = made.toPandas().sort_values(["doc_id", "quality", *FEATURES], kind="stable")
     return train(found[FEATURES].to_numpy(np.float64), (found["quality"].to_numpy() > 0).astype(np.float64))
@@ -171,5 +170,5 @@ def _scorer(trees: Trees) -> Callable:
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """(doc_id, score, predicted) of every row."""
-    made = docs.select("doc_id", "text").mapInArrow(_scorer(trees), "doc_id long, score double")
+    made = docs.select("doc_id", "text").transform(in_tasks, _scorer(trees), "doc_id long, score double")
     return made.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

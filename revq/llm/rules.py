@@ -8,9 +8,12 @@ of its own group, or of the next wider one if its group has fewer than
 ``MIN_ROWS`` documents. The fence table (a few numbers per group) is joined
 back to the counts; no text is shuffled.
 
-A fence is Q3 + ``SPREAD`` * max(Q3 - Q1, ``FLOOR``), so it follows the
-group's own habits and a group of clean documents rejects none of them: the
-floors keep a fence away from the bulk of a group whose ratio hardly varies.
+A fence lies beyond the group's outer quantile (``OUTER``), by ``SPREAD``
+times that quantile's distance from the group's median; so it follows the
+group's own habits. Where the two are one, as for a ratio that is 0 in most
+documents, a least distance stands in: a few symbols or repeated words in a
+document of the group's median length, a small share of lines, a part of a
+letter. It lies far under what the ratios of rejected documents are.
 
 Nulls and odd input: a null or empty text has no words and fails the base rule
 (fewer than 50 words); null lang or source is a group of its own; repeated
@@ -26,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import texts_of, written
+from revq.llm.common import in_tasks, texts_of, written
 from revq.llm.words import blocks, owners, shingles, word_hashes
 
 MIN_WORDS, MAX_REPEAT = 50, 50  # fixed: base rule
 SYMBOLS = b"#*$%&|<>"  # fixed
 MIN_ROWS = 200
 SPREAD = 3.0
-# ratio -> least width of its group's middle half
-FLOOR = {"symbols": 0.1, "dup_lines": 0.15, "repeats": 0.15, "word_len": 2.0}
+# ratio -> outer quantile of its group: above it lies what a group may hold of junk
+OUTER = {"symbols": 0.9, "dup_lines": 0.95, "repeats": 0.9, "word_len": 0.9}
+# least distance of that quantile from the median, where a group has hardly any spread: so many symbols or
+# repeated words in a document of the group's median length; a share of lines; a part of a letter
+LEAST_COUNT = {"symbols": 5, "repeats": 15}
+LEAST = {"dup_lines": 0.05, "word_len": 0.1}
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
@@ -80,8 +87,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, counts ...) of every row."""
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(
-        _counts, f"doc_id long, lang string, source string, {COUNTS}"
+    return docs.select("doc_id", "lang", "source", "text").transform(in_tasks, _counts, f"doc_id long, lang string, source string, {COUNTS}"
     )
 
 
@@ -96,36 +102,38 @@ def ratios() -> dict[str, F.Column]:
 
 
 def fences(counts: DataFrame) -> DataFrame:
-    """(lang, source, q1_*, q3_*) per group, from merged sketches.
+    """(lang, source, cut) per group, from merged sketches: low, middle and outer quantile of
+    every ratio, and the median length.
 
     Sketches of (lang, source) are made with map-side partial sketches; those
     of a language and of everything are merges of them.
     """
-    named = counts.filter("n_words > 0").select("lang", "source", *(c.alias(k) for k, c in ratios().items()))
+    named = counts.filter("n_words > 0").select("lang", "source", F.col("n_words").cast("double").alias("words"), *(c.alias(k) for k, c in ratios().items()))
+    sketched = [*OUTER, "words"]
     leaf = named.groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *(F.kll_sketch_agg_double(k).alias(k) for k in FLOOR)
+        F.count("*").alias("n"), *(F.kll_sketch_agg_double(k).alias(k) for k in sketched)
     )
     leaf = written(leaf, "sketches")
 
     def merge(*keys: str) -> DataFrame:
         return leaf.groupBy(*keys).agg(
-            F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in FLOOR)
+            F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in sketched)
         )
 
+    wanted = {f"{k}_{name}": (k, q) for k, out in OUTER.items() for name, q in (("lo", 1 - out), ("mid", 0.5), ("hi", out))}
+    wanted["words_mid"] = ("words", 0.5)
+
     def cuts(df: DataFrame, prefix: str) -> list[F.Column]:
-        made = [
-            F.struct(*(F.kll_sketch_get_quantile_double(k, F.lit(q)).alias(f"{k}_{name}") for k in FLOOR for name, q in (("lo", 0.25), ("hi", 0.75)))).alias(prefix)
-        ]
-        return [F.col("n").alias(f"{prefix}_n"), *made]
+        made = F.struct(*(F.kll_sketch_get_quantile_double(k, F.lit(q)).alias(name) for name, (k, q) in wanted.items()))
+        return [F.col("n").alias(f"{prefix}_n"), made.alias(prefix)]
 
     own = leaf.select("lang", "source", *cuts(leaf, "own"))
     lang = merge("lang")
     lang = lang.select(F.col("lang").alias("lang_"), *cuts(lang, "wide"))
     every = merge()
-    row = {"every_n": 0} if leaf.isEmpty() else every.select(*cuts(every, "every")).first()  # one row of eight numbers
-    names = [f"{k}_{x}" for k in FLOOR for x in ("lo", "hi")]
+    row = {"every_n": 0} if leaf.isEmpty() else every.select(*cuts(every, "every")).first()  # one row of a dozen numbers
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_")))
-    whole = F.struct(*(F.lit(row["every"][k] if row["every_n"] else None).cast("double").alias(k) for k in names))
+    whole = F.struct(*(F.lit(row["every"][k] if row["every_n"] else None).cast("double").alias(k) for k in wanted))
     pick = F.when(F.col("own_n") >= MIN_ROWS, F.col("own")).when(F.col("wide_n") >= MIN_ROWS, F.col("wide")).otherwise(whole)
     return both.select("lang", "source", pick.alias("cut"))
 
@@ -141,11 +149,15 @@ def judge(docs: DataFrame) -> DataFrame:
     )
     r = ratios()
 
-    def width(k: str) -> F.Column:
-        return F.lit(SPREAD) * F.greatest(F.col(f"cut.{k}_hi") - F.col(f"cut.{k}_lo"), F.lit(FLOOR[k]))
+    def beyond(k: str, side: str) -> F.Column:
+        """The fence: the outer quantile and ``SPREAD`` times its distance from the median."""
+        end, mid = F.col(f"cut.{k}_{side}"), F.col(f"cut.{k}_mid")
+        least = F.lit(LEAST_COUNT[k]) / F.col("cut.words_mid") if k in LEAST_COUNT else F.lit(LEAST[k])
+        far = F.lit(SPREAD) * F.greatest(F.abs(end - mid), least)
+        return end + far if side == "hi" else end - far
 
-    outside = {k: c > F.col(f"cut.{k}_hi") + width(k) for k, c in r.items()}
-    outside["short_words"] = r["word_len"] < F.col("cut.word_len_lo") - width("word_len")
+    outside = {k: c > beyond(k, "hi") for k, c in r.items()}
+    outside["short_words"] = (F.col("n_words") > 0) & (r["word_len"] < beyond("word_len", "lo"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     reasons = F.filter(
         F.array(F.when(base, "base"), *(F.when(c, k) for k, c in outside.items())), lambda x: x.isNotNull()

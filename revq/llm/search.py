@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import list_column, texts_of, written
+from revq.llm.common import in_tasks, list_column, texts_of, written
 
 K = 50  # results an item
 BLOCK_ITEMS, BLOCK_TERMS = 4096, 1 << 18  # items searched together, and their terms
@@ -97,8 +97,7 @@ def _forward(place: dict[bytes, int]) -> Callable:
 
 def forward(docs: DataFrame, place: dict[bytes, int]) -> DataFrame:
     """(doc_id, n, terms, tfs): length of each text, and which of the given terms it holds how often."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _forward(place), "doc_id long, n long, terms array<long>, tfs array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_tasks, _forward(place), "doc_id long, n long, terms array<long>, tfs array<long>"
     )
 
 
@@ -228,7 +227,7 @@ def _block(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     schema = "item long, item_id long, doc_id long, score long"
 
     def search(part: DataFrame, floors: list[int]) -> DataFrame:
-        found = part.select("doc_id", "n", "terms", "tfs").mapInArrow(_searcher(item_ids, item_terms, weight, floors, n_docs, total, k), schema)
+        found = part.select("doc_id", "n", "terms", "tfs").transform(in_tasks, _searcher(item_ids, item_terms, weight, floors, n_docs, total, k), schema)
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -242,7 +241,7 @@ def _block(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
 def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents of each item."""
     asked = items.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long").alias("item_id"), "text")
-    asked = written(asked.mapInArrow(_item_terms, "row long, item_id long, terms array<binary>"), "items")
+    asked = written(asked.transform(in_tasks, _item_terms, "row long, item_id long, terms array<binary>"), "items")
     asked = asked.filter(F.size("terms") > 0)
     n, n_terms = asked.agg(F.count("row"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-n_terms // BLOCK_TERMS))

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import list_column, written
+from revq.llm.common import in_tasks, list_column, written
 from revq.llm.tokens import MARK, TOKENIZERS
 
 CHUNK, FAN = 1 << 15, 64
@@ -396,14 +396,14 @@ def _trace(path: str) -> Callable:
 
 def encode_giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     """Piece rows of (row, doc_id, text) whose texts are cut into chunks."""
-    cut = docs.mapInArrow(_cut(chunk), "row long, doc_id long, chunk int, n_chunks int, context string, text string")
+    cut = docs.transform(in_tasks, _cut(chunk), "row long, doc_id long, chunk int, n_chunks int, context string, text string")
     cut = written(cut.repartition("row", "chunk"), "chunks")
-    mats = written(cut.mapInArrow(_matrices(path), "row long, chunk int, n_chunks int, m binary"), "matrices")
+    mats = written(cut.transform(in_tasks, _matrices(path), "row long, chunk int, n_chunks int, m binary"), "matrices")
     mats = mats.withColumn("part", F.expr(f"chunk div {FAN}").cast("long"))
     parts = mats.groupBy("row", "part").applyInPandas(_product, "row long, part long, m binary")
     edges = parts.groupBy("row").applyInPandas(_scan, "row long, part long, enter int, leave int")
     states = mats.join(edges, ["row", "part"]).groupBy("row", "part").applyInPandas(_descend, "row long, chunk int, enter int, leave int")
-    return cut.join(states, ["row", "chunk"]).mapInArrow(_trace(path), PIECES)
+    return cut.join(states, ["row", "chunk"]).transform(in_tasks, _trace(path), PIECES)
 
 
 def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -414,7 +414,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     path = model_path(path)
     giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
     rows = docs.select("doc_id", "text")
-    small = rows.filter(~giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_small(path), PIECES)
+    small = rows.filter(~giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").transform(in_tasks, _small(path), PIECES)
     large = rows.filter(giant).select((-1 - F.monotonically_increasing_id()).alias("row"), "doc_id", "text")
     return small.unionByName(encode_giants(large, path, chunk))
 
@@ -434,4 +434,4 @@ def decode(pieces: DataFrame, path: str | None = None) -> DataFrame:
             decoded = [d[1:] if k == 0 else d for d, k in zip(decoded, chunks, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return pieces.mapInArrow(run, f"{PIECES}, decoded string")
+    return pieces.transform(in_tasks, run, f"{PIECES}, decoded string")

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from revq.llm.common import texts_of
+from revq.llm.common import in_tasks, texts_of
 
 TOKENIZERS = "/opt/tokenizers"
 MARK = "▁"  # fixed: word start in the vocabulary file
@@ -142,4 +142,4 @@ def _counter(path: str) -> Callable:
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row."""
     path = path or os.path.join(TOKENIZERS, "piece_bpe_32k.model")
-    return docs.select("doc_id", "text").mapInArrow(_counter(path), "doc_id long, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").transform(in_tasks, _counter(path), "doc_id long, n_words long, n_tokens long")
