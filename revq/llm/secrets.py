@@ -7,7 +7,9 @@ secret, an endpoint) mean nothing alone. They are joined on intervals: a part
 is reported only if at most ``SCOPE`` code points lie between it and a
 complementary part of the same text, whichever comes first: an identifier or an endpoint needs a secret,
 a weak secret needs an identifier or an endpoint. Base hits count as parts
-(access as identifier, assign and hex as secret) and always stay.
+(access as identifier, assign and hex as secret) and always stay. A credential
+that is whole in one place gives its parts too: user and password in an
+endpoint or after -u, a header's token, a private key block.
 
 A text is split at its matches; the lengths of what lies between and of the
 matches, exploded to rows, give the positions by a running sum per text and
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import fresh
+from revq.llm.common import fresh, written
 
 # fixed: the base kinds, in order
 ASSIGN = (
@@ -45,14 +47,33 @@ LEAD = (
 )
 SECRET_NAME = r"(?i:pwd|pass|pass[_-]?phrase|auth|credentials?|private[_-]?key|access[_-]?key|secret[_-]?(?:access[_-]?)?key)"
 ID_NAME = r"(?i:user|user[_-]?name|login|client[_-]?id|account|access[_-]?key[_-]?id)"
+# credentials that are whole in one place: an endpoint's user and password, a command's -u user:password, a header's
+# token, a key block; each look-behind is guarded by a shorter one, so that most positions fail at one character
+OPTION = r"(?:\s-u|\s--user)[\x20=][\"']?"
+SECRET_PLACES = [
+    r"(?<=:)(?<=://[^\s/@:\"'<>]{1,99}:)[^\s/@\"'<>]{4,}(?=@)",
+    r"(?<=:)(?<=" + OPTION + r"[^\s:\"']{1,99}:)[^\s\"']{4,}",
+    r"(?<=\x20)(?<=Bearer\x20)(?=[^\s\"']*[0-9])[A-Za-z0-9._~+/-]{8,}=*",
+    r"(?<=\x20)(?<=(?i:authorization)[\"']?[:=]\x20{0,4}[\"']?(?i:basic|token)\x20)[A-Za-z0-9._~+/-]{8,}=*",
+    r"-----BEGIN\x20(?:[A-Z]{2,10}\x20){0,3}PRIVATE\x20KEY-----[^-]{16,}(?:-----END\x20(?:[A-Z]{2,10}\x20){0,3}PRIVATE\x20KEY-----)?",
+]
+ID_PLACES = [
+    r"(?<=/)(?<=://)[^\s/@:\"'<>]{1,99}(?=:[^\s/@\"'<>]{4,}@)",
+    r"(?<=[\x20=\"'])(?<=" + OPTION + r")[^\s:\"']{1,99}(?=:[^\s\"']{4,})",
+]
 WEAK = {
-    "weak_secret": r"(?=[PpAaCcSs])" + LEAD + SECRET_NAME + r"[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{4,}|(?<![0-9A-Fa-f])[0-9a-f]{16,23}(?![0-9A-Fa-f])",
-    "weak_id": r"(?=[UuLlCcAa])" + LEAD + ID_NAME + r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}|AKIA[A-Z0-9]{4,15}(?![A-Z0-9])",
+    "weak_secret": "|".join(
+        [r"(?=[PpAaCcSs])" + LEAD + SECRET_NAME + r"[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{4,}", r"(?<![0-9A-Fa-f])[0-9a-f]{16,23}(?![0-9A-Fa-f])", *SECRET_PLACES]
+    ),
+    "weak_id": "|".join(
+        [r"(?=[UuLlCcAa])" + LEAD + ID_NAME + r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}", r"AKIA[A-Z0-9]{4,15}(?![A-Z0-9])", *ID_PLACES]
+    ),
     "endpoint": r"(?:https?|ftp|jdbc:[a-z]+|postgresql|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])",
 }
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, *WEAK)
 ROLE = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "id", "weak_id": "id", "endpoint": "endpoint"}
+SECRETS = ("assign", "access", "hex", "weak_secret")  # kinds without one of which nothing counts
 PATTERN = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, **WEAK}
 
 
@@ -68,7 +89,7 @@ def parts(docs: DataFrame) -> DataFrame:
     nothing else can make them count.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.withColumn("has", F.array(*(F.when(_hit(k), F.lit(k)) for k in ("assign", "access", "hex", "weak_secret"))))
+    found = rows.withColumn("has", F.array(*(F.when(_hit(k), F.lit(k)) for k in SECRETS)))
     found = found.withColumn("has", F.array_compact("has")).filter(F.size("has") > 0)
     found = found.withColumn("kind", F.explode(F.array_union("has", F.array(F.lit("weak_id"), F.lit("endpoint")))))
 
@@ -142,7 +163,17 @@ def joined_spans(items: Column) -> Column:
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """The documents that hold no span; columns as they came."""
+    """The documents that hold no span; columns as they came.
+
+    A text without any secret part passes on the scan. Only the others, a
+    small share, are written, scanned for spans and joined with what was found.
+    """
     ref, of_text = fresh(docs, "ref", "of_text")
-    bad = spans(docs).select(F.col("doc_id").alias(ref), F.col("h").alias(of_text)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(ref)) & (F.xxhash64("text") == F.col(of_text)), "left_anti")
+    text = F.coalesce("text", F.lit(""))
+    part = F.lit(False)
+    for kind in SECRETS:
+        part = part | text.rlike(PATTERN[kind])
+    some = written(docs.filter(part), "parts")
+    bad = spans(some).select(F.col("doc_id").alias(ref), F.col("h").alias(of_text)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(ref)) & (F.xxhash64("text") == F.col(of_text))
+    return docs.filter(~part).unionByName(some.join(bad, same, "left_anti"))
