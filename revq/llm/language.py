@@ -27,12 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from revq.llm.common import in_tasks
+from revq.llm.common import fresh, in_tasks, written
 
 SYMBOLS, DIM, SEED = 48, 512, 7
 PIECE = 1 << 20
-MIN_SCORE = 0.02
+# a text stays identified if its score reaches MARGIN times the LOW quantile of the rows of its length class (of
+# those with CLASS_ROWS rows at least), and MIN_SCORE; and if most of its letters were met in training
+MIN_SCORE, MARGIN, LOW, CLASS_ROWS = 0.02, 0.4, 0.05, 50
 
 
 @lru_cache(maxsize=1)
@@ -132,6 +135,44 @@ def classify(texts: list[str | None], langs: list[str], proto: np.ndarray) -> tu
     return pred, score
 
 
+def length_class(n: np.ndarray) -> np.ndarray:
+    """Texts of alike length: whole part of the binary logarithm of the number of trigrams."""
+    return np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+
+
+def known_letters(docs: DataFrame, training: Column) -> np.ndarray:
+    """Which code points are letters of the training rows: a row a letter reaches the driver."""
+    rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(sys.maxunicode + 1, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for at in range(0, len(text), PIECE):
+                    cp, n = np.unique(np.frombuffer(text[at : at + PIECE].encode("utf-32-le"), np.uint32), return_counts=True)
+                    seen[cp] += n
+        cp = np.flatnonzero(seen * (_symbol_table() > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(cp, pa.int32()), pa.array(seen[cp])], names=["cp", "n"])
+
+    counted = rows.transform(in_tasks, run, "cp int, n long").groupBy("cp").agg(F.sum("n").alias("n"))
+    found = counted.toPandas()
+    known = np.zeros(sys.maxunicode + 1, bool)
+    # a letter that is one in a hundred thousand, or rarer, is a stray one
+    known[found["cp"][found["n"] * 100_000 > found["n"].sum()].to_numpy(np.int64)] = True
+    return known
+
+
+def share_known(text: str | None, known: np.ndarray) -> float:
+    """Share of a text's letters that are known ones; 0 without letters."""
+    letters = met = 0
+    for at in range(0, len(text or ""), PIECE):
+        cp = np.frombuffer(text[at : at + PIECE].encode("utf-32-le"), np.uint32)
+        letter = _symbol_table()[cp] > 0
+        letters += int(letter.sum())
+        met += int((letter & known[cp]).sum())
+    return met / letters if letters else 0.0
+
+
 def _predictor(langs: list[str], proto: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,13 +191,32 @@ def identify(docs: DataFrame, training: Column) -> DataFrame:
     return docs.select("doc_id", "text").transform(in_tasks, _predictor(langs, proto), "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, training: Column, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose language is told with at least ``min_score``; columns as they came."""
+def keep_identified(docs: DataFrame, training: Column) -> DataFrame:
+    """The rows whose language is told; columns as they came.
+
+    A text goes if it has no letter, if most of its letters were not met in
+    training, or if its score is far under what texts of its length reach: the
+    limit of a length class is taken from a quantile sketch over all rows.
+    The scored rows are written once, so that no text is scored twice.
+    """
     langs, proto = fit(docs, training)
+    known = known_letters(docs, training)
+    score, cls = fresh(docs, "score", "cls")
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(cls, IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, score = classify(batch.column("text").to_pylist(), langs, proto)
-            yield batch.filter(pa.array(score >= min_score))
-
-    return docs.transform(in_tasks, run, docs.schema)
+            texts = batch.column("text").to_pylist()
+            _, got = classify(texts, langs, proto)
+            got[np.array([share_known(t, known) for t in texts]) < 0.5] = -1
+            n = np.array([trigrams(t)[1].sum() for t in texts], np.int64)
+            columns = [*batch.columns, pa.array(got), pa.array(length_class(n).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, score, cls])
+
+    scored = written(docs.transform(in_tasks, run, schema), "scored")
+    told = scored.filter(F.col(score) > 0).groupBy(cls).agg(F.count(score).alias("n"), F.kll_sketch_agg_double(score).alias("k"))
+    low = told.filter(F.col("n") >= CLASS_ROWS).select(cls, F.kll_sketch_get_quantile_double("k", F.lit(LOW)))
+    least = F.lit(MIN_SCORE)
+    for c, q in low.collect():  # a row a length class: at most as many as a number has bits
+        least = F.when(F.col(cls) == c, F.lit(max(MIN_SCORE, MARGIN * q))).otherwise(least)
+    return scored.filter(F.col(score) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))

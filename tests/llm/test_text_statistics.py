@@ -98,6 +98,23 @@ def test_language_held_out(spark, odd, empty):
     assert language.identify(empty, F.lit(True)).count() == 0
 
 
+def test_unlearned_languages_go(spark):
+    """Other scripts and letter junk go, whatever their length allows to tell; clean texts stay."""
+    import random
+
+    r = random.Random(4)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [" ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(200)) for _ in range(5)]
+    russian = "Это совсем обычный русский текст о погоде и жизни. "
+    bad = [*junk, russian, russian * 40, "日本語の文章です", "Αυτό είναι ελληνικό κείμενο " * 5, "12 34 !!", "", None]
+    made = rows.unionByName(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(bad)], rows.schema))
+    kept = {x.doc_id for x in language.keep_identified(made, F.lit(True)).collect()}
+    assert not [i for i in range(len(bad)) if 10**6 + i in kept]
+    quality = {x.doc_id: x.quality for x in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    clean = [i for i, q in quality.items() if q == 1]
+    assert sum(i in kept for i in clean) >= 0.995 * len(clean)
+
+
 def test_language_pieces(monkeypatch):
     """A text read in small pieces has the same trigrams as one read whole."""
     text = "Ünder the 12 bridges, señor! Ça va?" * 9
