@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 to the shared folder and read again as the next one's input. All but the last
 return the columns of ``documents``.
 
-1. language_id    documents whose language no prototype tells (no letter, or
-                  a cosine under language.MIN_SCORE) go
+1. language_id    documents whose language no prototype tells go: no letter,
+                  letters that training never met, or a cosine far under
+                  that of texts of their length
 2. near_dedup     one document of each near-duplicate group stays
 3. secret_scan    documents that hold a secret, or linked parts of one, go
 4. source_mix     documents come 0, 1 or 2 times, so that sources meet their targets
