@@ -21,8 +21,9 @@ inside it need no further link), so no link between components is missed.
 
 Nulls and odd input: a null or empty text, or one without words, has an empty
 set and is linked with nothing. Rows that repeat a document fall into one
-class. Rows without doc_id are never a group's name unless the whole group
-has none, and then component_id is null. An empty table gives an empty one.
+class. Rows without doc_id link like any others, but are never a group's name
+unless the whole group has none, and then component_id is null. One doc_id
+with several texts is judged text by text. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     per = PLACES // BANDS
     seed = mix(np.arange(1, BANDS + 1, dtype=U64))
     for batch in batches:
-        ids, texts = batch.column("doc_id"), texts_of(batch.column("text"))
+        ids, rows, texts = batch.column("doc_id"), batch.column("row"), texts_of(batch.column("text"))
         for first, end in blocks(texts):
             x, bounds = shingle_sets(texts[first:end], WIDTH)
             n, size = end - first, np.diff(bounds)
@@ -102,19 +103,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             brief_bytes = brief.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
+                    rows.slice(first, n),
                     ids.slice(first, n),
                     pa.array(size, pa.int64()),
                     pa.array(h.view(np.int64), pa.int64()),
                     pa.array([brief_bytes[i * PLACES : (i + 1) * PLACES] for i in range(n)], pa.binary()),
                     list_column(key.reshape(-1).view(np.int64), np.append(0, np.cumsum(n_bands)), pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "h", "brief", "bands"],
+                names=["row", "doc_id", "n_shingles", "h", "brief", "bands"],
             )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h, brief, bands) of every row; one scan, no shuffle."""
-    return docs.select("doc_id", "text").transform(in_tasks, _signatures, "doc_id long, n_shingles long, h long, brief binary, bands array<long>"
+def signatures(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(row, doc_id, n_shingles, h, brief, bands) of every row; one scan, no shuffle."""
+    key = F.lit(None) if row is None else F.col(row)
+    return docs.select(key.cast("long").alias("row"), "doc_id", "text").transform(in_tasks, _signatures, "row long, doc_id long, n_shingles long, h long, brief binary, bands array<long>"
     )
 
 
@@ -261,40 +264,58 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, h) for every row of ``docs``."""
-    sig = written(signatures(docs), "signatures")
+def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, h, row, stays) for every row of ``docs``.
+
+    ``row`` names a column whose values tell rows apart; ``stays`` then marks
+    one row of each group and every row without words.
+    """
+    sig = written(signatures(docs, row), "signatures")
     classes = sig.filter("n_shingles > 0").groupBy("h").agg(
         F.min("doc_id").alias("rep"), F.first("brief").alias("brief"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n")
     )
     classes = written(classes, "classes")
     met = classes.select(F.explode("bands").alias("grp"), "h", F.lit(1).alias("heft"))
     rough = link_groups(met, classes.select("h", "brief"), Briefs, "brief", 2048)
-    # sets of classes in rough groups; a class is fetched through its smallest doc_id
-    wanted = classes.join(rough, F.col("h") == F.col("node")).filter("rep is not null")
+    # sets of classes in rough groups; a class is fetched through its smallest doc_id, or among the rows without one
+    wanted = classes.join(rough, F.col("h") == F.col("node"))
     wanted = written(wanted.select("rep", "h", F.col("label").alias("grp"), (F.col("n") + 64).alias("heft")), "wanted")
-    reps = wanted.select("rep").distinct()
+    reps = wanted.filter("rep is not null").select("rep").distinct()
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi")
-    sets = written(texts.select("text").transform(in_tasks, _sets, "h long, items array<long>").dropDuplicates(["h"]), "sets")
+    sets = texts.select("text").transform(in_tasks, _sets, "h long, items array<long>")
+    nameless = wanted.filter("rep is null").select("h")
+    if not nameless.isEmpty():
+        more = docs.filter("doc_id is null").select("text").transform(in_tasks, _sets, "h long, items array<long>")
+        sets = sets.unionByName(more.join(nameless, "h", "left_semi"))
+    sets = written(sets.dropDuplicates(["h"]), "sets")
     exact = link_groups(wanted.select("grp", "h", "heft"), sets, Sets, "items", 1 << 18)
     named = classes.select("h", "rep").join(exact, F.col("h") == F.col("node"), "left")
     named = named.select("h", "rep", F.coalesce("label", "h").alias("label"))
-    name = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = written(named.join(name, "label").select("h", "component_id"), "named")
-    some = sig.filter("n_shingles > 0").select("doc_id", "n_shingles", "h").join(of_class, "h").select("doc_id", "n_shingles", "component_id", "h")
-    none = sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h")
+    # the group's name, and the class that it comes from
+    name = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("first"))
+    of_class = named.join(name, "label").select("h", F.col("first.rep").alias("component_id"), (F.col("h") == F.col("first.h")).alias("names"))
+    of_class = written(of_class, "named")
+    some = sig.filter("n_shingles > 0").select("row", "doc_id", "n_shingles", "h").join(of_class, "h")
+    none = sig.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", "h").select("*", F.col("doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull())
-    return some.unionByName(none).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "h")
+    out = ["doc_id", "n_shingles", "component_id", kept.alias("kept"), "h", "row"]
+    if row is None:
+        never = F.lit(None).cast("boolean").alias("stays")
+        return some.select(*out, never).unionByName(none.select(*out, never))
+    one = some.filter(F.col("names") & kept).groupBy("h").agg(F.min("row").alias("one"))
+    some = some.join(one, "h", "left").select(*out, F.coalesce(F.col("row") == F.col("one"), F.lit(False)).alias("stays"))
+    return some.unionByName(none.select(*out, F.lit(True).alias("stays")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay: one row of each group, columns as they came.
 
-    Rows whose doc_id names their group stay, once each; of a group without
-    any doc_id all rows stay, and so do rows without words.
+    Rows are told apart by a key of their own, not by doc_id: of a doc_id with
+    two texts each is judged by its text. The row that stays carries the
+    group's name; a group without any doc_id keeps one row too. Rows without
+    words are in no group and all stay.
     """
-    verdict = near_duplicates(docs)
-    (ref,) = fresh(docs, "ref")
-    gone = verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(ref)).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col(ref), "left_anti")
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    (row,) = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    stays = near_duplicates(rows, row).filter("stays").select(F.col("row").alias(row))
+    return rows.join(stays, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -33,11 +33,17 @@ EPOCHS = 2  # fixed: a document is taken at most twice
 GRID, FINE, LAST = 1024, 4096, 8  # bins of finish time per unit, finer bins of a bin, time of the last bin
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, key): words of each text and its place in the shuffle."""
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, key): words of each text and its place in the shuffle.
+
+    Rows without doc_id take their places by their texts, so that they do not
+    all stand in one.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select("doc_id", "source", size.alias("size"), key.alias("key"))
+    of_text = F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit(""))))
+    key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), of_text)))
+    ref = F.lit(None) if row is None else F.col(row)
+    return docs.select(ref.cast("long").alias("row"), "doc_id", "source", size.alias("size"), key.alias("key"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def targets(sized: DataFrame) -> DataFrame:
 def queued(sized: DataFrame, target: DataFrame) -> DataFrame:
     """``sized`` with source_size, target and ``before``: the source's words queued ahead in one round."""
     named = sized.join(target, sized["source"].eqNullSafe(target["source"])).select(
-        "doc_id", sized["source"], "size", "key", "src", "source_size", "target", F.substring("key", 1, 2).alias("p2"), F.substring("key", 1, 4).alias("p4")
+        "row", "doc_id", sized["source"], "size", "key", "src", "source_size", "target", F.substring("key", 1, 2).alias("p2"), F.substring("key", 1, 4).alias("p4")
     )
     named = written(named, "queued")
     at4 = named.groupBy("src", "p2", "p4").agg(F.sum("size").alias("x4"))
@@ -79,11 +85,11 @@ def queued(sized: DataFrame, target: DataFrame) -> DataFrame:
     return rows.join(at4, ["src", "p4"]).withColumn("before", F.col("off") + F.col("inner"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row."""
-    sized = written(sizes(docs), "sizes")
+def mix(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, source_size, target, taken) of every row; ``row`` names a column that tells rows apart."""
+    sized = written(sizes(docs, row), "sizes")
     target = written(targets(sized), "targets")
-    rows = written(queued(sized, target).select("doc_id", "source", "size", "source_size", "target", "key", "before"), "mixed")
+    rows = written(queued(sized, target).select("row", "doc_id", "source", "size", "source_size", "target", "key", "before"), "mixed")
     total = target.agg(F.sum("source_size")).first()[0] or 0
 
     def finish(epoch: int) -> F.Column:
@@ -123,14 +129,18 @@ def mix(docs: DataFrame) -> DataFrame:
         return F.when((F.col("size") > 0) & inside, F.col("size")).otherwise(F.lit(0))
 
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", sum(map(taken, range(EPOCHS))).cast("long").alias("taken")
+        "row", "doc_id", "source", "size", "source_size", "target", sum(map(taken, range(EPOCHS))).cast("long").alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them (0, 1 or 2 times); columns as they came."""
-    ref, times, copy = fresh(docs, "ref", "times", "copy")
-    taken = mix(docs).filter("taken > 0").select(F.col("doc_id").alias(ref), F.expr("cast(taken div size as int)").alias(times))
-    taken = taken.groupBy(ref).agg(F.max(times).alias(times))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(ref)))
+    """The documents as often as the mix takes them (0, 1 or 2 times); columns as they came.
+
+    Every row has a key of its own, so it comes as often as the mix took that
+    row, whatever doc_id and text it shares with others.
+    """
+    row, times, copy = fresh(docs, "row", "times", "copy")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken = mix(rows, row).filter("taken > 0").select(F.col("row").alias(row), F.expr("cast(taken div size as int)").alias(times))
+    joined = rows.join(taken, row)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in docs.columns))

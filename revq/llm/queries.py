@@ -47,7 +47,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("h")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("h", "row", "stays")
 
 
 def op6_cws_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ ORACLE: dict[str, str] = {
     "op3_source_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS key
+         md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), concat('text:', md5(coalesce(text, '')))))) AS key
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM sized GROUP BY source),
 w AS (SELECT *, CASE src % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, sum(s) OVER ()::BIGINT AS t FROM src),

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from helpers import prose
+
 from revq.llm import mixing
 
 
@@ -58,3 +60,16 @@ def test_few_sources(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     rows = [(1, "a b c", "s"), (2, "a", "t"), (3, None, None)]
     check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+def test_rows_without_id_keep_the_budget(spark):
+    """Each row comes as often as the mix took it, rows without an id and repeated ones too."""
+    rows = [(None, prose(i, 20 + i), "x", "a") for i in range(40)] + [(None, prose(1, 21), "x", "a")] * 3
+    rows += [(5, prose(70 + i, 30), "x", "b") for i in range(3)] + [(i, prose(100 + i, 25), "x", "c") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    took = mixing.mix(df).collect()
+    out = mixing.mixed_documents(df).collect()
+    words = lambda r: len(r.text.split())
+    assert sum(map(words, out)) == sum(r.taken for r in took) <= 1.5 * sum(r.size for r in took)
+    for s in "abc":
+        assert sum(words(r) for r in out if r.source == s) == sum(r.taken for r in took if r.source == s)

@@ -84,3 +84,43 @@ def test_superminhash_estimates_jaccard():
     assert abs((sig[0] == sig[1]).mean() - 750 / 1250) < 0.12
     one = minhash.superminhash(x[:1], np.zeros(1, np.int64), 1, 128)
     assert len(np.unique(one >> np.uint64(32))) == 128  # a single element fills every place, in every round
+
+
+def near(text, *at):
+    w = text.split()
+    for p in at:
+        w[p] = f"edit{p}"
+    return " ".join(w)
+
+
+def test_links_through_rows_without_id(spark):
+    base = prose(21, 200)
+    # 1 and 2 meet only through the row without an id; 3 is far
+    rows = [(1, near(base, 10, 30, 50)), (None, base), (2, near(base, 110, 130, 150)), (3, prose(22, 200))]
+    ids = {k: (i or -1, t) for k, (i, t) in enumerate(rows)}
+    want = brute([(k + 1, t) for k, (_, t) in ids.items()])
+    assert want[1][1] == want[2][1] == want[3][1] == 1 and want[4][1] == 4
+    alone = brute([(1, rows[0][1]), (2, rows[2][1])])
+    assert alone[2][1] == 2  # without the row between them they stay apart
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(1, 1, True), (None, 1, False), (2, 1, False), (3, 3, True)}
+    assert sorted(r.doc_id for r in minhash.deduplicate(df).collect()) == [1, 3]
+
+
+def test_group_without_any_id(spark):
+    base = prose(23, 120)
+    rows = [(None, base), (None, near(base, 5)), (None, base), (None, ""), (None, None), (None, prose(24, 120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df).collect()
+    assert all(r.component_id is None and r.kept for r in got)
+    left = sorted(((r.text or "")[:20] for r in minhash.deduplicate(df).collect()))
+    assert len(left) == 4 and left.count("") == 2  # one of the group, the far one, both without words
+
+
+def test_one_id_with_two_texts(spark):
+    x, a, c, d = (prose(30 + k, 80) for k in range(4))
+    rows = [(1, x, "r1"), (2, a, "r2"), (2, x, "r3"), (3, c, "r4"), (3, d, "r5"), (3, d, "r6")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)
+    left = sorted((r.doc_id, r.text) for r in minhash.deduplicate(df).collect())
+    assert left == sorted([(1, x), (2, a), (3, c), (3, d)])
