@@ -6,6 +6,11 @@ positions keeps the order; the gaps between anchors, and what stands before
 and after, are aligned in the same way, equal words at a gap's ends first.
 Coverage is the share of a template's words that are aligned.
 
+Coverage alone cannot tell one-line notices apart. So the words that name a
+license, its version and its variant (``TELLING``) must be aligned, and a word
+that names another one (``FOREIGN``) must not stand in the span. Half of the
+span's words at least are aligned ones.
+
 Words that only licenses use (``CUES``) tell where to align: a window of the
 template's length and slack at each start that a cue gives, and the reach of
 each stretch of cues. Windows overlap, so no notice is cut by a cue beside it;
@@ -22,6 +27,7 @@ very long texts are read whole; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 
 from revq.llm.common import in_tasks
 
-COVER = 0.75
+COVER, DENSE = 0.75, 0.5  # least share of a template's words, and of a span's words, that are aligned
 # fixed values: public license notices
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -43,11 +49,36 @@ TEMPLATES = {
         "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
     "MIT": "Released under the MIT License.",
     "MIT-full": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -56,17 +87,84 @@ TEMPLATES = {
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
         "substantial portions of the Software."
     ),
+    "ISC": "Released under the ISC License.",
+    "ISC-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS "
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+        "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA "
+        "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-line": "Released under the BSD License.",
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     ),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "BSD-2-Clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR "
+        "A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "BSD-3-Clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS "
+        "SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    ),
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0 Universal.",
+    "CC0-1.0-line": "Released under CC0 1.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-ND-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-SA-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-ND-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
     "All-rights-reserved": "All rights reserved.",
 }
+# words of a template that tell it from its like: each must be aligned
+TELLING = {
+    "Apache-2.0": "apache 2.0", "Apache-2.0-header": "apache 2.0", "GPL-2.0": "gnu general 2", "GPL-2.0-header": "general 2", "GPL-3.0": "gnu general 3",
+    "GPL-header": "general 3", "LGPL-2.1": "lesser 2.1", "LGPL-2.1-header": "lesser 2.1", "LGPL-3.0": "lesser 3", "LGPL-3.0-header": "lesser 3",
+    "AGPL-3.0": "affero 3", "AGPL-3.0-header": "affero 3", "MPL-2.0": "mozilla 2.0", "MPL-2.0-header": "mozilla 2.0", "MIT": "mit", "MIT-full": "hereby granted sublicense",
+    "ISC": "isc", "ISC-full": "fee hereby granted", "BSD-line": "bsd", "BSD": "redistribution redistributions", "BSD-2-Clause-full": "reproduce",
+    "BSD-3-Clause-full": "reproduce neither endorse", "Unlicense": "unencumbered domain", "Zlib": "as-is alter", "BSL-1.0": "boost 1.0", "CC0-1.0": "cc0 waived",
+    "CC0-1.0-line": "cc0", "CC-BY-4.0": "attribution 4.0", "CC-BY-4.0-line": "by 4.0", "CC-BY-SA-4.0": "attribution-sharealike 4.0", "CC-BY-SA-4.0-line": "by-sa 4.0",
+    "CC-BY-ND-4.0": "attribution-noderivatives 4.0", "CC-BY-ND-4.0-line": "by-nd 4.0", "CC-BY-NC-4.0-long": "attribution-noncommercial 4.0", "CC-BY-NC-4.0": "by-nc 4.0",
+    "CC-BY-NC-SA-4.0": "attribution-noncommercial-sharealike 4.0", "CC-BY-NC-SA-4.0-line": "by-nc-sa 4.0",
+    "CC-BY-NC-ND-4.0": "attribution-noncommercial-noderivatives 4.0", "CC-BY-NC-ND-4.0-line": "by-nc-nd 4.0", "All-rights-reserved": "rights reserved",
+}
+# words of other licenses: one inside a span that its template does not have says that the notice is not this one
+FOREIGN = frozenset(
+    "apache gnu lesser affero library mozilla mpl mit isc bsd boost cc0 unlicense lgpl agpl gpl eclipse artistic sharealike share-alike noncommercial "
+    "non-commercial noderivatives no-derivatives noderivs by-nc by-sa by-nd by-nc-sa by-nc-nd attribution-sharealike attribution-noncommercial "
+    "attribution-noderivatives attribution-noncommercial-sharealike attribution-noncommercial-noderivatives endorse".split()
+)
 CUES = frozenset(
     "license licensed licenses apache gnu mit by-nc creative commons reserved redistribution redistributions sublicense copyright "
-    "permission redistribute cc rights released".split()
+    "permission redistribute cc rights released bsd mozilla isc cc0 affero lesser unencumbered by-sa by-nd by-nc-sa by-nc-nd".split()
 )
 REACH = 60  # words of a stretch around a cue, at least
 
@@ -123,24 +221,50 @@ def align(text: list[str], form: list[str]) -> list[tuple[int, int]]:
 
 
 FORMS = {name: norm(text.split()) for name, text in TEMPLATES.items()}
+NEEDED = {name: [{j for j, w in enumerate(FORMS[name]) if w == t} for t in TELLING[name].split()] for name in TEMPLATES}
+
+
+def identifier(name: str) -> str:
+    """The license that a template is a notice of."""
+    return {"GPL-header": "GPL-3.0"}.get(name) or re.sub("-(full|header|line|long)$", "", name)
+
+
+def _is_own(name: str, pairs: list[tuple[int, int]], words: list[str]) -> bool:
+    """Whether an alignment is this template's: all telling words aligned, no other license's word in the span, and dense."""
+    got = {j for _, j in pairs}
+    if any(not (places & got) for places in NEEDED[name]):
+        return False
+    first, last = pairs[0][0], pairs[-1][0]
+    form = set(FORMS[name])
+    return len(pairs) >= DENSE * (last - first + 1) and not any(w in FOREIGN and w not in form for w in words[first : last + 1])
 
 
 def licenses_of(text: str | None) -> list[tuple[str, float, int, int]]:
-    """(name, coverage, first word, last word) of the notices in a text, in text order."""
+    """(name, coverage, first word, last word) of the notices in a text, in text order.
+
+    Of notices that lie one in the other only the one with more aligned words
+    is given: a text of one license holds most words of a shorter one.
+    """
     raw = (text or "").split()
     cues = [i for i, w in enumerate(raw) if w.lower().strip(".,;:()\"'") in CUES]
     out: list[tuple[str, float, int, int]] = []
     if not cues:
         return out
     words = norm(raw)
+    found: list[tuple[int, str, int, int]] = []
     for name, form in FORMS.items():
         here = [i for i in cues if words[i] in form]
-        out.extend((name, round(n / len(form), 6), first, last) for n, first, last in _notices(here, words, form))
+        found.extend((n, name, first, last) for n, first, last in _notices(here, words, name))
+    found.sort(key=lambda x: (-x[0], -x[0] / len(FORMS[x[1]]), x[1]))
+    for n, name, first, last in found:
+        if not any(min(last, z) - max(first, a) + 1 > 0.5 * (min(last - first, z - a) + 1) for _, _, a, z in out):
+            out.append((name, round(n / len(FORMS[name]), 6), first, last))
     return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 
 
-def _notices(cues: list[int], words: list[str], form: list[str]) -> list[tuple[int, int, int]]:
+def _notices(cues: list[int], words: list[str], name: str) -> list[tuple[int, int, int]]:
     """(aligned words, first, last) of a template's notices: best coverage first, then the shortest, none over another."""
+    form = FORMS[name]
     least, most = COVER * len(form), Counter(form)
     heap: list[tuple[int, int, int, int, int, bool]] = []
     missed: list[tuple[int, int]] = []  # windows with the words, but not in order: a neighbour may hide the notice
@@ -149,7 +273,7 @@ def _notices(cues: list[int], words: list[str], form: list[str]) -> list[tuple[i
 
     def consider(a: int, b: int) -> None:
         pairs = align(words[a:b], form)
-        if len(pairs) < least:
+        if len(pairs) < least or not _is_own(name, pairs, words[a:b]):
             insort(missed, (a, b))
             return
         first, last = a + pairs[0][0], a + pairs[-1][0]
@@ -269,14 +393,14 @@ def _stretches(cues: list[int], words: list[str], form: list[str]) -> list[list[
     return out
 
 
-OUT = "doc_id long, spans array<struct<license:string,coverage:double,first:int,last:int>>"
+OUT = "doc_id long, spans array<struct<license:string,identifier:string,coverage:double,first:int,last:int>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
+    kind = pa.list_(pa.struct([("license", pa.string()), ("identifier", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
     for batch in batches:
         found = [
-            [{"license": n, "coverage": c, "first": a, "last": b} for n, c, a, b in licenses_of(t)] for t in batch.column("text").to_pylist()
+            [{"license": n, "identifier": identifier(n), "coverage": c, "first": a, "last": b} for n, c, a, b in licenses_of(t)] for t in batch.column("text").to_pylist()
         ]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 

@@ -205,3 +205,58 @@ def test_licenses_beside_other_cues():
     edited = " ".join(w for k, w in enumerate(notice["MIT-full"].split()) if k % 9 != 4)
     assert [n for n, _ in names("the license " + edited + " Copyright 2024 " + edited)] == ["MIT-full", "MIT-full"]
     assert names("Released under something else. rights " * 5 + "license " * 500) == []
+
+
+def test_license_names():
+    """One-line notices that differ in a name, a version or a variant get their own name or none."""
+    notices = {
+        "Released under the BSD License.": ["BSD"],
+        "Licensed under the Mozilla Public License, Version 2.0.": ["MPL-2.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+        licenses.TEMPLATES["ISC-full"]: ["ISC"],
+        "Licensed under the Eclipse Public License, Version 2.0.": [],
+        "Licensed under CC BY 3.0.": [],
+        "This work is licensed under the GNU General Public License, version 1.": [],
+        "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "Released under the PHP License.": [],
+    }
+    for text, names in notices.items():
+        for whole in (text, "Some words before. " + text + " and words after it."):
+            assert [licenses.identifier(n) for n, *_ in licenses.licenses_of(whole)] == names, whole
+
+
+def test_every_notice_has_its_own_name():
+    for name, text in licenses.TEMPLATES.items():
+        assert any(w in licenses.CUES for w in licenses.FORMS[name]), name
+        found = licenses.licenses_of("Words before it. " + text + " Words after.")
+        assert {licenses.identifier(n) for n, *_ in found} == {licenses.identifier(name)}, (name, found)
+    both = licenses.licenses_of(licenses.TEMPLATES["GPL-2.0-header"] + "\n" + licenses.TEMPLATES["LGPL-3.0-header"] + "\n" + licenses.TEMPLATES["GPL-header"])
+    assert [licenses.identifier(n) for n, *_ in both] == ["GPL-2.0", "LGPL-3.0", "GPL-3.0"]
+
+
+def test_license_lines_by_brute_force(docs):
+    """Short notices against the longest common subsequence of every window of every text."""
+    short = {n: f for n, f in licenses.FORMS.items() if len(f) <= 14}
+    hits = 0
+    for r in docs.collect():
+        words = licenses.norm((r.text or "").split())
+        cues = [i for i, w in enumerate(words) if w in licenses.CUES]
+        want = set()
+        for name, form in short.items():
+            telling = licenses.TELLING[name].split()
+            for i in cues:
+                part = words[max(0, i - len(form)) : i + len(form)]
+                for a in range(len(part)):
+                    span = part[a : a + len(form)]
+                    if all(t in span for t in telling) and brute_pairs(span, form) >= licenses.COVER * len(form):
+                        if not any(w in licenses.FOREIGN and w not in form for w in span):
+                            want.add(licenses.identifier(name))
+        got = {licenses.identifier(n) for n, *_ in licenses.licenses_of(r.text) if n in short}
+        assert got == want, (r.doc_id, got, want)
+        hits += len(got)
+    assert hits > 5
