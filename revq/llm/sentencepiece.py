@@ -13,13 +13,16 @@ points, wherever that falls. The state at a boundary is how far before it the
 last cut lies (0 to 15, a piece has at most 16 code points); a chunk yields
 the 16 x 16 matrix of cheapest ways from each state at its left edge to each
 at its right edge. Matrices are multiplied in (min, +) in blocks of
-``FAN`` chunks, the block products are scanned per document, the chosen states
-are handed back down, and every chunk is then traced back by itself between
-its two known cuts. Chunks are rows, so a giant text is spread over tasks;
-what one task holds of a document is 2 KB a chunk.
-
-Among equally cheap segmentations the longest last piece wins inside a unit,
-the smallest state at a chunk's edge. Decoding joins the pieces' bytes, so
+``FAN`` chunks and the block products are scanned per document, which gives
+the cheapest costs at every chunk's left edge. With these each chunk finds its
+way back by itself, a table from a state at its right edge to one at its left
+edge; the tables are combined from the text's end, and every chunk is then
+traced back between its two known cuts. Chunks are rows, so a giant text is
+spread over tasks; what one task holds of a document is 2 KB a chunk.
+
+Among equally cheap segmentations the longest last piece wins, from the end of
+a unit backwards. The ways back follow the same rule, so a text has the same
+ids whatever the size of the chunks, cut or not. Decoding joins the pieces' bytes, so
 decode(encode(text)) == text for every text; a literal U+2581 is kept apart
 from blanks by its bytes.
 
@@ -249,6 +252,31 @@ class Model:
                 out[:, j] = np.minimum(enter + cost[at], FAR)
         return out
 
+    def entries(self, context: str, text: str, reach: np.ndarray) -> list[int]:
+        """For each state at the chunk's right edge the one at its left edge, on the path that one pass would take.
+
+        ``reach`` are the costs of the cheapest ways to each state at the left
+        edge; as in ``best``, the longest last piece wins among equal costs.
+        """
+        whole, a = context + text, len(context)
+        end_of_head = next((m.start() for m in UNIT.finditer(whole) if m.start() > a), len(whole))
+        cost = {a - i: int(c) for i, c in enumerate(reach) if i <= a and c < FAR}
+        back: dict[int, int] = {}
+        for end in range(a + 1, end_of_head + 1):
+            least = FAR
+            for start, c in self.steps(whole, end):
+                if start in cost and cost[start] + c < least:
+                    least, back[end] = cost[start] + c, start
+            if least < FAR:
+                cost[end] = least
+        out = []
+        for j in range(REACH):
+            at = min(len(whole) - j, end_of_head)
+            while at > a and at in back:
+                at = back[at]
+            out.append(min(max(a - at, 0), REACH - 1))
+        return out
+
 
 _MADE: dict[str, Model] = {}
 
@@ -348,29 +376,73 @@ def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": [pdf["row"].iloc[0]], "part": [pdf["chunk"].iloc[0] // FAN], "m": [total.tobytes()]})
 
 
-def chosen_states(mats: list[np.ndarray], first: int, last: int) -> list[int]:
-    """The state at each edge of consecutive matrices on the cheapest way from first to last."""
-    reach = [np.where(np.arange(REACH) == first, 0, FAR)]
+def _forward(mats: list[np.ndarray], reach: np.ndarray) -> list[bytes]:
+    """Costs of the cheapest ways to each state at the left edge of each matrix."""
+    out = []
     for m in mats:
-        reach.append(np.minimum((reach[-1][:, None] + m).min(axis=0), FAR))
-    out = [last]
-    for k in range(len(mats) - 1, -1, -1):
-        out.append(int((reach[k] + mats[k][:, out[-1]]).argmin()))
-    return out[::-1]
+        out.append(reach.tobytes())
+        reach = np.minimum((reach[:, None] + m).min(axis=0), FAR)
+    return out
 
 
 def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per document over its block products: the states at the blocks' edges."""
+    """Per document over its block products: costs at the blocks' left edges."""
     pdf = pdf.sort_values("part")
-    s = chosen_states([_matrix(b) for b in pdf["m"]], 0, 0)
-    return pd.DataFrame({"row": pdf["row"], "part": pdf["part"], "enter": s[:-1], "leave": s[1:]})
+    at_start = np.where(np.arange(REACH) == 0, 0, FAR).astype(np.int64)
+    return pd.DataFrame({"row": pdf["row"], "part": pdf["part"], "reach": _forward([_matrix(b) for b in pdf["m"]], at_start)})
 
 
 def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per block: costs at its chunks' left edges."""
+    pdf = pdf.sort_values("chunk")
+    first = np.frombuffer(pdf["reach"].iloc[0], np.int64)
+    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "reach": _forward([_matrix(b) for b in pdf["m"]], first)})
+
+
+def _entries(path: str) -> Callable:
+    """Each chunk's way back: from a state at its right edge to one at its left edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for batch in _slices(batches):
+            back = [
+                bytes(m.entries(c, t, np.frombuffer(r, np.int64)))
+                for c, t, r in zip(*(batch.column(x).to_pylist() for x in ("context", "text", "reach")), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(back, pa.binary())], names=["row", "chunk", "back"])
+
+    return run
+
+
+def _ways_back(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per block: the way back through all its chunks."""
+    total = list(range(REACH))
+    for back in pdf.sort_values("chunk", ascending=False)["back"]:
+        total = [back[j] for j in total]
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "part": [pdf["part"].iloc[0]], "back": [bytes(total)]})
+
+
+def _walk(backs: list[bytes], state: int) -> list[int]:
+    """The states at the right edges, from the last one backwards."""
+    out = []
+    for back in reversed(backs):
+        out.append(state)
+        state = back[state]
+    return out[::-1]
+
+
+def _leave(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per document: the state at each block's right edge; the text's end is a cut."""
+    pdf = pdf.sort_values("part")
+    return pd.DataFrame({"row": pdf["row"], "part": pdf["part"], "leave": _walk(pdf["back"].tolist(), 0)})
+
+
+def _edges(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per block: the states at its chunks' edges."""
     pdf = pdf.sort_values("chunk")
-    s = chosen_states([_matrix(b) for b in pdf["m"]], int(pdf["enter"].iloc[0]), int(pdf["leave"].iloc[0]))
-    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "enter": s[:-1], "leave": s[1:]})
+    leave = _walk(pdf["back"].tolist(), int(pdf["leave"].iloc[0]))
+    enter = [back[j] for back, j in zip(pdf["back"], leave, strict=True)]
+    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "enter": enter, "leave": leave})
 
 
 def _trace(path: str) -> Callable:
@@ -399,10 +471,16 @@ def encode_giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     cut = docs.transform(in_tasks, _cut(chunk), "row long, doc_id long, chunk int, n_chunks int, context string, text string")
     cut = written(cut.repartition("row", "chunk"), "chunks")
     mats = written(cut.transform(in_tasks, _matrices(path), "row long, chunk int, n_chunks int, m binary"), "matrices")
-    mats = mats.withColumn("part", F.expr(f"chunk div {FAN}").cast("long"))
-    parts = mats.groupBy("row", "part").applyInPandas(_product, "row long, part long, m binary")
-    edges = parts.groupBy("row").applyInPandas(_scan, "row long, part long, enter int, leave int")
-    states = mats.join(edges, ["row", "part"]).groupBy("row", "part").applyInPandas(_descend, "row long, chunk int, enter int, leave int")
+    part = F.expr(f"chunk div {FAN}").cast("long")
+    mats = mats.withColumn("part", part)
+    products = mats.groupBy("row", "part").applyInPandas(_product, "row long, part long, m binary")
+    starts = products.groupBy("row").applyInPandas(_scan, "row long, part long, reach binary")
+    reach = mats.join(starts, ["row", "part"]).groupBy("row", "part").applyInPandas(_descend, "row long, chunk int, reach binary")
+    back = cut.join(reach, ["row", "chunk"]).select("row", "chunk", "context", "text", "reach")
+    back = written(back.transform(in_tasks, _entries(path), "row long, chunk int, back binary"), "back").withColumn("part", part)
+    whole = back.groupBy("row", "part").applyInPandas(_ways_back, "row long, part long, back binary")
+    ends = whole.groupBy("row").applyInPandas(_leave, "row long, part long, leave int")
+    states = back.join(ends, ["row", "part"]).groupBy("row", "part").applyInPandas(_edges, "row long, chunk int, enter int, leave int")
     return cut.join(states, ["row", "chunk"]).transform(in_tasks, _trace(path), PIECES)
 
 

@@ -52,8 +52,8 @@ def cost(model, ids, text):
     return total
 
 
-def test_chunked_scan_is_optimal(spark):
-    """Any chunk size gives a segmentation as cheap as one pass over the whole text, and the text back."""
+def test_chunked_scan_is_one_pass(spark):
+    """Any chunk size gives the ids of one pass over the whole text, ties included, and the text back."""
     model, r = sp.model(PATH), random.Random(4)
     texts = ["".join(r.choice("ab e  therng\nñ▁€😀") for _ in range(r.randint(40, 400))) for _ in range(30)]
     texts += ["internationalization" * 12, " " * 90, "\n" * 50, "x" * 5000, "the cat " * 500]
@@ -66,6 +66,19 @@ def test_chunked_scan_is_optimal(spark):
             assert "".join(x.decoded for x in own) == text and all(x.text == x.decoded for x in own)
             ids = [y for x in own for y in x.ids]
             assert cost(model, ids, " " + text) == model.best(" " + text)[1]
+            assert b"".join(model.encode_all([" " + text])) == np.array(ids, np.int32).tobytes()
+
+
+def test_ties_across_edges(spark):
+    """Runs of one letter have many equally cheap segmentations; every chunk size takes the same one."""
+    model = sp.model(PATH)
+    texts = ["a" * 157, "aaa " * 60, "=" * 211, "ab" * 90, "\t" * 77, "ee" * 50 + "ñ" + "e" * 61, "0" * 99 + " " * 33 + "0" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (16, 23, 50):
+        rows = sp.encode(df, chunk=chunk).collect()
+        for i, text in enumerate(texts):
+            ids = [y for x in sorted((x for x in rows if x.doc_id == i), key=lambda x: x.chunk) for y in x.ids]
+            assert tuple(ids) == tuple(np.frombuffer(model.encode_all([" " + text])[0], np.int32).tolist()), (chunk, i)
 
 
 def test_products_are_associative():
