@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,10 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from revq.session import scratch_dir, ship_package
+from revq.sources.files import file_system
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed: a word of the contracts
 
 
+_MADE = threading.local()  # tables written by the operators that run in this thread, innermost last
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read again.
 
@@ -23,15 +30,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark, 'llm')}-{name}-{uuid.uuid4().hex[:6]}"
     df.write.parquet(path)
+    if scopes := getattr(_MADE, "scopes", None):
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that removes its intermediate tables when its plan is made.
+
+    What the returned DataFrame reads stays, as its action is still to come;
+    an operator that calls this one removes it in turn. Tables of an outermost
+    operator's result stay until the checkpoint folder is cleared.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        scopes = _MADE.scopes = getattr(_MADE, "scopes", [])
+        scopes.append([])
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            made = scopes.pop()
+        read = {name.rsplit("/", 1)[0].rsplit("/", 1)[-1] for name in out.inputFiles()}
+        for path in made:
+            if path.rsplit("/", 1)[-1] in read:
+                if scopes:
+                    scopes[-1].append(path)
+            else:
+                fs, p = file_system(out.sparkSession, path)
+                fs.delete(p, True)
+        return out
+
+    return run
+
+
 def in_tasks(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
     """``df`` through a function of Arrow batches whose code the executors are sent."""
     ship_package(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
+def shipped(df: DataFrame, path: str) -> str:
+    """Send a file to the executors; tasks open ``SparkFiles.get`` of the returned name."""
+    df.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

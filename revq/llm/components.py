@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import in_tasks, written
+from revq.llm.common import in_tasks, tidy, written
 
 
 def union_find(pairs: list[tuple[int, int]]) -> dict[int, int]:
@@ -48,6 +48,7 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) -> (node, label); label is the smallest node reached.
 

@@ -36,7 +36,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import in_tasks, written
+from revq.llm.common import in_tasks, tidy, written
 from revq.llm.words import BLOCK, U64, blocks, mix, owners, word_hashes
 
 SAMPLES = 64
@@ -162,6 +162,7 @@ def _compare(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+@tidy
 def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited text, and how near it is to that and to the next document."""
     spark = docs.sparkSession

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from revq.llm.common import fresh, in_tasks, written
+from revq.llm.common import fresh, in_tasks, tidy, written
 
 SYMBOLS, DIM, SEED = 48, 512, 7
 PIECE = 1 << 20
@@ -191,6 +191,7 @@ def identify(docs: DataFrame, training: Column) -> DataFrame:
     return docs.select("doc_id", "text").transform(in_tasks, _predictor(langs, proto), "doc_id long, lang_pred string, score double")
 
 
+@tidy
 def keep_identified(docs: DataFrame, training: Column) -> DataFrame:
     """The rows whose language is told; columns as they came.
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import fresh, group_edges, in_tasks, list_column, runs, texts_of, written
+from revq.llm.common import fresh, group_edges, in_tasks, list_column, runs, texts_of, tidy, written
 from revq.llm.components import components
 from revq.llm.words import U64, blocks, mix, owners, shingle_sets
 
@@ -264,6 +264,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy
 def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, h, row, stays) for every row of ``docs``.
 
@@ -307,6 +308,7 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     return some.unionByName(none.select(*out, F.lit(True).alias("stays")))
 
 
+@tidy
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay: one row of each group, columns as they came.
 

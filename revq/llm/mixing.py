@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import WORD, fresh, written
+from revq.llm.common import WORD, fresh, tidy, written
 
 WEIGHTS = (3, 1, 2)  # fixed
 EPOCHS = 2  # fixed: a document is taken at most twice
@@ -85,6 +85,7 @@ def queued(sized: DataFrame, target: DataFrame) -> DataFrame:
     return rows.join(at4, ["src", "p4"]).withColumn("before", F.col("off") + F.col("inner"))
 
 
+@tidy
 def mix(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, taken) of every row; ``row`` names a column that tells rows apart."""
     sized = written(sizes(docs, row), "sizes")
@@ -133,6 +134,7 @@ def mix(docs: DataFrame, row: str | None = None) -> DataFrame:
     )
 
 
+@tidy
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them (0, 1 or 2 times); columns as they came.
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import in_tasks, written
+from revq.llm.common import in_tasks, tidy, written
 
 EVERY, RELABEL, LABELS = 100, 7, 10  # fixed: which rows are anchors, which labels move, how many labels
 SCALE = 256  # fixed
@@ -262,6 +262,7 @@ def is_anchor() -> Column:
     return F.coalesce(F.col("vec_id") % EVERY == 0, F.lit(False))
 
 
+@tidy
 def hard_negatives(embeddings: DataFrame) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of every anchor."""
     rows = written(vectors(embeddings), "vectors")

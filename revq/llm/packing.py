@@ -30,7 +30,6 @@ columns are not read.
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -40,7 +39,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import in_tasks, texts_of
+from revq.llm.common import in_tasks, shipped, texts_of
 
 SIZE = 2048  # fixed: ids a window
 END = 1  # fixed: id after each document
@@ -251,8 +250,8 @@ def _packer(name: str, size: int, spare: int, end: int) -> Callable:
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, spare: int = SPARE, end: int = END) -> DataFrame:
     """A row per piece: doc_id, doc_row, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     path = path or default_path()
-    docs.sparkSession.sparkContext.addFile(path)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_tasks, _packer(os.path.basename(path), size, spare, end), SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.transform(in_tasks, _packer(shipped(docs, path), size, spare, end), SCHEMA)
 
 
 def sequences(packed: DataFrame, size: int = SIZE, pad: int = 0) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import in_tasks, texts_of, written
+from revq.llm.common import in_tasks, texts_of, tidy, written
 from revq.llm.words import blocks, owners, shingles, word_hashes
 
 MIN_WORDS, MAX_REPEAT = 50, 50  # fixed: base rule
@@ -138,6 +138,7 @@ def fences(counts: DataFrame) -> DataFrame:
     return both.select("lang", "source", pick.alias("cut"))
 
 
+@tidy
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, base_failed, kept and the rules that failed (``reasons``) per row."""
     counts = written(text_counts(docs), "counts")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import in_tasks, list_column, texts_of, written
+from revq.llm.common import in_tasks, list_column, texts_of, tidy, written
 
 K = 50  # results an item
 BLOCK_ITEMS, BLOCK_TERMS = 4096, 1 << 18  # items searched together, and their terms
@@ -238,6 +238,7 @@ def _block(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return search(rows, floors).select("item_id", "rank", "doc_id", "score")
 
 
+@tidy
 def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents of each item."""
     asked = items.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long").alias("item_id"), "text")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import fresh, written
+from revq.llm.common import fresh, tidy, written
 
 # fixed: the base kinds, in order
 ASSIGN = (
@@ -162,6 +162,7 @@ def joined_spans(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+@tidy
 def without_secrets(docs: DataFrame) -> DataFrame:
     """The documents that hold no span; columns as they came.
 

@@ -43,10 +43,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import in_tasks, list_column, written
+from revq.llm.common import in_tasks, list_column, shipped, tidy, written
 from revq.llm.tokens import MARK, TOKENIZERS
 
 CHUNK, FAN = 1 << 15, 64
@@ -308,9 +309,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = last
 
 
-def _small(path: str) -> Callable:
+def _small(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(SparkFiles.get(name))
         for part in _slices(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids = m.encode_all([" " + t if t else "" for t in texts])
@@ -347,9 +348,9 @@ def _cut(chunk: int) -> Callable:
     return run
 
 
-def _matrices(path: str) -> Callable:
+def _matrices(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(SparkFiles.get(name))
         for batch in _slices(batches):
             mats = [m.transfer(c, t).tobytes() for c, t in zip(batch.column("context").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -399,11 +400,11 @@ def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "reach": _forward([_matrix(b) for b in pdf["m"]], first)})
 
 
-def _entries(path: str) -> Callable:
+def _entries(name: str) -> Callable:
     """Each chunk's way back: from a state at its right edge to one at its left edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(SparkFiles.get(name))
         for batch in _slices(batches):
             back = [
                 bytes(m.entries(c, t, np.frombuffer(r, np.int64)))
@@ -445,11 +446,11 @@ def _edges(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "enter": enter, "leave": leave})
 
 
-def _trace(path: str) -> Callable:
+def _trace(name: str) -> Callable:
     """Each chunk between its two cuts, on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(SparkFiles.get(name))
         for batch in _slices(batches):
             enter, leave = batch.column("enter").to_pylist(), batch.column("leave").to_pylist()
             texts = [
@@ -466,43 +467,44 @@ def _trace(path: str) -> Callable:
     return run
 
 
-def encode_giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
+def encode_giants(docs: DataFrame, name: str, chunk: int) -> DataFrame:
     """Piece rows of (row, doc_id, text) whose texts are cut into chunks."""
     cut = docs.transform(in_tasks, _cut(chunk), "row long, doc_id long, chunk int, n_chunks int, context string, text string")
     cut = written(cut.repartition("row", "chunk"), "chunks")
-    mats = written(cut.transform(in_tasks, _matrices(path), "row long, chunk int, n_chunks int, m binary"), "matrices")
+    mats = written(cut.transform(in_tasks, _matrices(name), "row long, chunk int, n_chunks int, m binary"), "matrices")
     part = F.expr(f"chunk div {FAN}").cast("long")
     mats = mats.withColumn("part", part)
     products = mats.groupBy("row", "part").applyInPandas(_product, "row long, part long, m binary")
     starts = products.groupBy("row").applyInPandas(_scan, "row long, part long, reach binary")
     reach = mats.join(starts, ["row", "part"]).groupBy("row", "part").applyInPandas(_descend, "row long, chunk int, reach binary")
     back = cut.join(reach, ["row", "chunk"]).select("row", "chunk", "context", "text", "reach")
-    back = written(back.transform(in_tasks, _entries(path), "row long, chunk int, back binary"), "back").withColumn("part", part)
+    back = written(back.transform(in_tasks, _entries(name), "row long, chunk int, back binary"), "back").withColumn("part", part)
     whole = back.groupBy("row", "part").applyInPandas(_ways_back, "row long, part long, back binary")
     ends = whole.groupBy("row").applyInPandas(_leave, "row long, part long, leave int")
     states = back.join(ends, ["row", "part"]).groupBy("row", "part").applyInPandas(_edges, "row long, chunk int, enter int, leave int")
-    return cut.join(states, ["row", "chunk"]).transform(in_tasks, _trace(path), PIECES)
+    return cut.join(states, ["row", "chunk"]).transform(in_tasks, _trace(name), PIECES)
 
 
+@tidy
 def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(row, doc_id, chunk, n_chunks, text, ids): the pieces of every row, a row per chunk.
 
     ``row`` tells input rows apart, ``text`` is what the chunk's ids spell.
     """
-    path = model_path(path)
+    name = shipped(docs, model_path(path))
     giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
     rows = docs.select("doc_id", "text")
-    small = rows.filter(~giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").transform(in_tasks, _small(path), PIECES)
+    small = rows.filter(~giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").transform(in_tasks, _small(name), PIECES)
     large = rows.filter(giant).select((-1 - F.monotonically_increasing_id()).alias("row"), "doc_id", "text")
-    return small.unionByName(encode_giants(large, path, chunk))
+    return small.unionByName(encode_giants(large, name, chunk))
 
 
 def decode(pieces: DataFrame, path: str | None = None) -> DataFrame:
     """``pieces`` with ``decoded``: the text that each chunk's ids spell."""
-    path = model_path(path)
+    name = shipped(pieces, model_path(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(SparkFiles.get(name))
         for batch in _slices(batches):
             ids = batch.column("ids")
             at = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()

@@ -22,9 +22,10 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from revq.llm.common import in_tasks, texts_of
+from revq.llm.common import in_tasks, shipped, texts_of
 
 TOKENIZERS = "/opt/tokenizers"
 MARK = "▁"  # fixed: word start in the vocabulary file
@@ -122,9 +123,9 @@ class _Memo(dict):
         return n
 
 
-def _counter(path: str) -> Callable:
+def _counter(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _Memo(automaton(path)).__getitem__
+        look = _Memo(automaton(SparkFiles.get(name))).__getitem__
         for batch in batches:
             words, tokens = [], []
             for text in texts_of(batch.column("text")):
@@ -142,4 +143,4 @@ def _counter(path: str) -> Callable:
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row."""
     path = path or os.path.join(TOKENIZERS, "piece_bpe_32k.model")
-    return docs.select("doc_id", "text").transform(in_tasks, _counter(path), "doc_id long, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").transform(in_tasks, _counter(shipped(docs, path)), "doc_id long, n_words long, n_tokens long")
