@@ -9,6 +9,11 @@ from revq.functions.text import _c, py_strip
 
 ColumnOrName = Column | str
 
+# --- fixed values: patterns of page texts and product URLs ---------------------
+TITLE_STARS = r"^\d+\.?\d*\s+out of \d+ stars\s*"
+ASIN_RE = r"/dp/([A-Z0-9]{10})"
+# --- end of fixed values --------------------------------------------------------
+
 
 def review_key(
     reviewer_id: ColumnOrName,
@@ -43,9 +48,6 @@ def parse_rating(star_text: ColumnOrName) -> Column:
     return number.try_cast("int")
 
 
-TITLE_STARS = r"^\d+\.?\d*\s+out of \d+ stars\s*"
-
-
 def clean_title(title: ColumnOrName) -> Column:
     """Drop a leading 'N out of M stars' label from a review title."""
     return F.regexp_replace(_c(title), TITLE_STARS, "")
@@ -67,9 +69,6 @@ def url_page_no(url: ColumnOrName) -> Column:
     return F.when(p == "", F.lit(1)).otherwise(p.cast("int"))
 
 
-ASIN_RE = r"/dp/([A-Z0-9]{10})"
-
-
 def asin(url: ColumnOrName) -> Column:
     """Marketplace-A product code from a product URL; NULL when absent."""
     a = F.regexp_extract(_c(url), ASIN_RE, 1)
