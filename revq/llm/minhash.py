@@ -18,6 +18,9 @@ searched breadth-first, so only a spanning forest leaves it. Of a group of
 several blocks, every class outside the group's largest component so far is
 then held against all blocks, until none is left that was not (the classes
 inside it need no further link), so no link between components is missed.
+Where these would be more copies than the group has sets, a set goes only to
+the blocks that hold one of its rarest shingles (``prefixes``), which is exact
+as well: pages that share a template but hardly link stay where they are.
 
 Nulls and odd input: a null or empty text, or one without words, has an empty
 set and is linked with nothing. Rows that repeat a document fall into one
@@ -205,6 +208,32 @@ def _query_links(kind: Callable, name: str) -> Callable:
     return run
 
 
+def prefixes(big: DataFrame) -> DataFrame:
+    """(grp, blk, h, s, short): per set the shingles one of which any linked set must hold too.
+
+    A set's shingles are ordered by how few sets of the group hold them. Two
+    sets at the wanted similarity have their first common shingle among the
+    first quarter of the larger one and the first seventh of the smaller one
+    (``short``), as what follows it must still hold the whole overlap.
+    """
+    x = big.select("grp", "blk", "h", F.size("items").alias("n"), F.explode("items").alias("s"))
+    held = x.groupBy("grp", "s").agg(F.count("*").alias("c"))
+    own = x.join(held, ["grp", "s"]).groupBy("grp", "blk", "h", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
+    quarter = F.expr(f"cast(n - ({SHARE}L * n + 99) div 100 + 1 as int)")
+    seventh = F.expr(f"n - ({2 * SHARE}L * n + {99 + SHARE}) div {100 + SHARE} + 1")
+    rows = own.select("grp", "blk", "h", seventh.alias("least"), F.posexplode(F.slice("o", F.lit(1), quarter)).alias("at", "e"))
+    return rows.select("grp", "blk", "h", F.col("e.s").alias("s"), (F.col("at") < F.col("least")).alias("short"))
+
+
+def routes(asks: DataFrame, held: DataFrame) -> DataFrame:
+    """(grp, h, blk): the blocks that may hold a set linked with an asking one."""
+    own = held.join(asks.select("grp", "h"), ["grp", "h"], "left_semi").select("grp", "h", "s", "short")
+    there = held.select("grp", "s", "blk", "short").distinct()
+    as_smaller = own.filter("short").drop("short").join(there.drop("short"), ["grp", "s"])
+    as_larger = own.drop("short").join(there.filter("short").drop("short"), ["grp", "s"])
+    return as_smaller.unionByName(as_larger).select("grp", "h", "blk").distinct()
+
+
 def link_groups(members: DataFrame, payload: DataFrame, kind: Callable, name: str, limit: int) -> DataFrame:
     """Components within groups -> (node, label) of the linked nodes.
 
@@ -223,7 +252,7 @@ def link_groups(members: DataFrame, payload: DataFrame, kind: Callable, name: st
     if sizes.filter("n_blk > 1").isEmpty():
         return labels
     big = written(dealt.filter("n_blk > 1").join(payload, "h"), "big")
-    asked = None
+    n_big, held, asked = big.count(), None, None
     while True:
         now = big.join(labels, F.col("h") == F.col("node"), "left").select(
             "grp", "n_blk", "blk", "h", name, F.coalesce("label", "h").alias("label")
@@ -239,7 +268,13 @@ def link_groups(members: DataFrame, payload: DataFrame, kind: Callable, name: st
         asks = written(asks.drop("main"), "asks")
         if asks.isEmpty():
             return labels
-        spread = asks.withColumn("blk", F.explode(F.expr("sequence(0, n_blk - 1)"))).withColumn("q", F.lit(True))
+        if kind is Sets and asks.agg(F.sum("n_blk")).first()[0] > n_big:
+            # more copies than sets: each goes only to blocks that may hold a link
+            held = written(prefixes(big), "prefixes") if held is None else held
+            spread = asks.drop("blk").join(written(routes(asks, held), "routes"), ["grp", "h"])
+        else:
+            spread = asks.withColumn("blk", F.explode(F.expr("sequence(0, n_blk - 1)")))
+        spread = spread.withColumn("q", F.lit(True))
         both = now.withColumn("q", F.lit(False)).unionByName(spread).select("grp", "blk", "h", "label", "q", name)
         placed = both.repartition("grp", "blk").sortWithinPartitions("grp", "blk")
         found = written(placed.transform(in_tasks, _query_links(kind, name), "a long, b long").distinct(), "found")

@@ -124,3 +124,52 @@ def test_one_id_with_two_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)
     left = sorted((r.doc_id, r.text) for r in minhash.deduplicate(df).collect())
     assert left == sorted([(1, x), (2, a), (3, c), (3, d)])
+
+
+def pages(n, seed=9, shared=80, own=20, every=3):
+    """Pages of one template with words of their own: rough links, no exact ones; each third has a near copy."""
+    template = prose(seed, shared * 2)
+    rows = [(i + 1, f"{template} {prose(1000 + i, own * 2)}") for i in range(n)]
+    rows += [(10_000 + i, near(rows[i][1], 3, shared * 2 + 7)) for i in range(0, n, every)]
+    return rows
+
+
+def test_template_pages_stay_in_their_blocks(spark, monkeypatch):
+    """Many classes of a rough group ask, but sets are sent only where a link may be."""
+    real, sent = minhash.routes, []
+
+    def counted(asks, held):
+        out = real(asks, held)
+        sent.append((asks.count(), asks.agg({"n_blk": "sum"}).first()[0], out.count(), out))
+        return out
+
+    monkeypatch.setattr(minhash, "routes", counted)
+    # one rough group of all pages, in blocks of few sets
+    monkeypatch.setattr(minhash, "ROUGH", 60)
+    link = minhash.link_groups
+    monkeypatch.setattr(minhash, "link_groups", lambda m, p, k, n, limit: link(m, p, k, n, limit if n == "brief" else 2500))
+    rows = pages(200)
+    want = brute(rows)
+    assert sum(i != c for i, (_, c) in want.items()) == 67
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+    asks, everywhere, routed, _ = sent[0]
+    assert asks > 200 and everywhere > 4 * asks  # each to every block, before
+    assert routed < 1.5 * asks + 200  # now to few blocks beside its own
+
+
+def test_prefixes_meet_for_every_linked_pair():
+    """The first seventh of the smaller set and the first quarter of the larger one share an element, in any order of elements."""
+    r = np.random.default_rng(8)
+    found = 0
+    for _ in range(3000):
+        a = set(r.integers(0, 60, r.integers(1, 40)).tolist())
+        b = {x for x in a if r.random() > 0.1} | set(r.integers(0, 60, r.integers(0, 5)).tolist())
+        small, large = sorted((a, b), key=len)
+        if not small or 100 * len(a & b) < 75 * len(a | b):
+            continue
+        found += 1
+        order = r.permutation(60).tolist()
+        seventh = len(small) - (150 * len(small) + 174) // 175 + 1
+        quarter = len(large) - (75 * len(large) + 99) // 100 + 1
+        assert set(sorted(small, key=order.index)[:seventh]) & set(sorted(large, key=order.index)[:quarter])
+    assert found > 500
