@@ -16,8 +16,8 @@ documents are dealt into doc_id ranges (bounds from Spark's quantiles, a
 number per partition), sorted inside, and the first document of each range is
 also sent to the range before. That is the only shuffle of text.
 
-Order: null doc_id first, then ascending, equal ids by text; the last
-document's next is the first. Nulls and odd input: a null text counts as
+Order: null doc_id first, by a hash of the text, in ranges of that hash; then
+ascending, equal ids by the hash too; the last document's next is the first. Nulls and odd input: a null text counts as
 empty; an empty text, or one without words, has the fingerprint of all zeros,
 like only to another such; a document that is alone is its own next; an empty
 table gives an empty one.
@@ -173,7 +173,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     if cuts:
         split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_id", outputCol="rng", handleInvalid="keep")
         rows = split.transform(rows.drop("rng"))
-    rng = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("rng").cast("int"))
+    # rows without an id come first, in the order of their texts' hashes: ranges of these
+    bits = max(1, n_ranges.bit_length())
+    nameless = F.shiftright(F.xxhash64("text"), 64 - bits).cast("int") - (1 << (bits - 1))
+    rng = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.col("rng").cast("int"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("x"))
     rows = rows.select("doc_id", "text", rng.alias("rng"))
     heads = rows.groupBy("rng").agg(F.min(order).alias("first"))

@@ -160,6 +160,22 @@ def test_fingerprint_odd_rows(spark, odd, empty):
     assert r.near_next == 1.0
 
 
+def test_fingerprints_of_rows_without_id(spark):
+    """Rows without an id are many ranges, in the order of their texts' hashes, before all others."""
+    import hashlib
+
+    from helpers import prose
+
+    rows = [(None, prose(i, 30)) for i in range(60)] + [(i, prose(100 + i, 30)) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = [r.text for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    want = set()
+    for k, t in enumerate(texts):
+        q = len(t) // 4
+        want.add(hashlib.sha256((t[: len(t) - q] + texts[(k + 1) % len(texts)][:q]).encode()).hexdigest())
+    assert {r.edited_sha256 for r in fingerprint.fingerprint(df).collect()} == want
+
+
 def brute_pairs(text, form):
     """Longest common subsequence length, for short notices."""
     table = np.zeros((len(text) + 1, len(form) + 1), int)
