@@ -42,6 +42,7 @@ class KeyRuns:
     table: str | None = None
 
     def __post_init__(self):
+        self.buckets = self._kept_buckets()
         self.table = self.table or "revq_keys_" + hashlib.md5(self.root.encode()).hexdigest()[:12]
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({KEY} STRING, run STRING) USING parquet PARTITIONED BY (run) "
@@ -51,6 +52,16 @@ class KeyRuns:
         if fs.exists(p):  # the catalog entry may be new while the files are not
             self.spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
 
+    def _kept_buckets(self) -> int:
+        """The number of buckets that the files were written with; the first program to come sets it."""
+        fs, p = file_system(self.spark, f"{self.root}/buckets=*")
+        found = fs.globStatus(p)
+        if found:
+            return int(found[0].getPath().getName().split("=")[1])
+        fs, p = file_system(self.spark, f"{self.root}/buckets={self.buckets}")
+        fs.mkdirs(p)
+        return self.buckets
+
     # ------------------------------------------------------------------ marks
     def committed(self) -> list[Run]:
         """Runs with a mark: one listing, a few small files."""

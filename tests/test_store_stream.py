@@ -189,6 +189,22 @@ def test_key_run_merge_interrupted(spark, monkeypatch):
     assert sorted(r.review_id for r in again.keys().collect()) == want and len(again.committed()) == 1
 
 
+def test_bucket_number_stays(spark):
+    """A later program that asks for another number of buckets reads the files by the number they were written with."""
+    from revq.sources.keyruns import KeyRuns
+
+    runs = _runs(spark)
+    runs.add(0, _keys(spark, *(f"k{i}" for i in range(50))))
+    again = KeyRuns(spark, runs.root, 9, table=runs.table + "_c")
+    assert again.buckets == 4
+    batch = _keys(spark, *(f"k{i}" for i in range(60)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert batch.join(again.keys(), "review_id", "left_anti").count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_mark_cut_short_does_not_count(spark):
     runs = _runs(spark)
     runs.add(1, _keys(spark, "a"))
