@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from revq.session import scratch_dir, ship_package
@@ -64,6 +66,19 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that tells its rows apart and is the same in every scan.
+
+    Rows of files are known by file and place in it. Rows that do not come
+    straight from files are written once, numbered.
+    """
+    try:
+        file = F.xxhash64("_metadata.file_path").cast("decimal(20,0)")
+        return docs.withColumn(name, (file * F.lit(1 << 40) + F.col("_metadata.row_index")).cast("decimal(38,0)"))
+    except AnalysisException:
+        return written(docs.withColumn(name, F.monotonically_increasing_id().cast("decimal(38,0)")), "rows")
+
+
 def in_tasks(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
     """``df`` through a function of Arrow batches whose code the executors are sent."""
     ship_package(df.sparkSession)

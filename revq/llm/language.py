@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from revq.llm.common import fresh, in_tasks, tidy, written
+from revq.llm.common import in_tasks
 
 SYMBOLS, DIM, SEED = 48, 512, 7
 PIECE = 1 << 20
@@ -86,26 +85,34 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition: trigram counts of each language, held in arrays of fixed size."""
+    """Per partition: trigram counts of each language, and counts of letters (g under 0), held in arrays of fixed size."""
     sums: dict[str, np.ndarray] = {}
+    seen = np.zeros(sys.maxunicode + 1, np.int64)
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             g, n = trigrams(text)
             if lang not in sums:
                 sums[lang] = np.zeros(SYMBOLS**3, np.int64)
             sums[lang][g] += n
-    for lang, total in sums.items():
-        g = np.flatnonzero(total)
+            for at in range(0, len(text), PIECE):
+                cp = np.bincount(np.frombuffer(text[at : at + PIECE].encode("utf-32-le"), np.uint32))
+                seen[: len(cp)] += cp
+    letters = np.flatnonzero(seen * (_symbol_table() > 0))
+    for lang, g, n in [*((lang, np.flatnonzero(t), t[t > 0]) for lang, t in sums.items()), (None, -1 - letters, seen[letters])]:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int32()), pa.array(total[g], pa.int64())], names=["lang", "g", "n"]
+            [pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int32()), pa.array(n, pa.int64())], names=["lang", "g", "n"]
         )
 
 
-def fit(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes) from the rows where ``training`` holds."""
+def learn(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, prototypes, which code points are known letters) from the rows where ``training`` holds."""
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     made = rows.transform(in_tasks, _count, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     found = made.toPandas()
+    letters, found = found[found["g"] < 0], found[found["g"] >= 0]
+    known = np.zeros(sys.maxunicode + 1, bool)
+    # a letter that is one in a hundred thousand, or rarer, is a stray one
+    known[-1 - letters["g"][letters["n"] * 100_000 > letters["n"].sum()].to_numpy(np.int64)] = True
     langs = sorted(found["lang"].unique())
     proto = np.zeros((len(langs), DIM))
     for i, lang in enumerate(langs):
@@ -115,7 +122,12 @@ def fit(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
     if len(langs) > 1:
         proto = proto - proto.mean(axis=0)
         proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-12)
-    return langs, np.round(proto, 9)
+    return langs, np.round(proto, 9), known
+
+
+def fit(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
+    """(languages, prototypes) from the rows where ``training`` holds."""
+    return learn(docs, training)[:2]
 
 
 def classify(texts: list[str | None], langs: list[str], proto: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -140,28 +152,6 @@ def length_class(n: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
 
 
-def known_letters(docs: DataFrame, training: Column) -> np.ndarray:
-    """Which code points are letters of the training rows: a row a letter reaches the driver."""
-    rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(sys.maxunicode + 1, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for at in range(0, len(text), PIECE):
-                    cp, n = np.unique(np.frombuffer(text[at : at + PIECE].encode("utf-32-le"), np.uint32), return_counts=True)
-                    seen[cp] += n
-        cp = np.flatnonzero(seen * (_symbol_table() > 0))
-        yield pa.RecordBatch.from_arrays([pa.array(cp, pa.int32()), pa.array(seen[cp])], names=["cp", "n"])
-
-    counted = rows.transform(in_tasks, run, "cp int, n long").groupBy("cp").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()
-    known = np.zeros(sys.maxunicode + 1, bool)
-    # a letter that is one in a hundred thousand, or rarer, is a stray one
-    known[found["cp"][found["n"] * 100_000 > found["n"].sum()].to_numpy(np.int64)] = True
-    return known
-
-
 def share_known(text: str | None, known: np.ndarray) -> float:
     """Share of a text's letters that are known ones; 0 without letters."""
     letters = met = 0
@@ -191,33 +181,39 @@ def identify(docs: DataFrame, training: Column) -> DataFrame:
     return docs.select("doc_id", "text").transform(in_tasks, _predictor(langs, proto), "doc_id long, lang_pred string, score double")
 
 
-@tidy
 def keep_identified(docs: DataFrame, training: Column) -> DataFrame:
     """The rows whose language is told; columns as they came.
 
     A text goes if it has no letter, if most of its letters were not met in
     training, or if its score is far under what texts of its length reach: the
     limit of a length class is taken from a quantile sketch over all rows.
-    The scored rows are written once, so that no text is scored twice.
+    Nothing is shuffled but the sketches; a row is judged where it is read.
     """
-    langs, proto = fit(docs, training)
-    known = known_letters(docs, training)
-    score, cls = fresh(docs, "score", "cls")
-    schema = StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(cls, IntegerType())])
+    langs, proto, known = learn(docs, training)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        texts = batch.column("text").to_pylist()
+        _, got = classify(texts, langs, proto)
+        got[np.array([share_known(t, known) for t in texts]) < 0.5] = -1
+        return got, length_class(np.array([trigrams(t)[1].sum() for t in texts], np.int64))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            _, got = classify(texts, langs, proto)
-            got[np.array([share_known(t, known) for t in texts]) < 0.5] = -1
-            n = np.array([trigrams(t)[1].sum() for t in texts], np.int64)
-            columns = [*batch.columns, pa.array(got), pa.array(length_class(n).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, score, cls])
-
-    scored = written(docs.transform(in_tasks, run, schema), "scored")
-    told = scored.filter(F.col(score) > 0).groupBy(cls).agg(F.count(score).alias("n"), F.kll_sketch_agg_double(score).alias("k"))
-    low = told.filter(F.col("n") >= CLASS_ROWS).select(cls, F.kll_sketch_get_quantile_double("k", F.lit(LOW)))
-    least = F.lit(MIN_SCORE)
-    for c, q in low.collect():  # a row a length class: at most as many as a number has bits
-        least = F.when(F.col(cls) == c, F.lit(max(MIN_SCORE, MARGIN * q))).otherwise(least)
-    return scored.filter(F.col(score) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+            got, cls = judged(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(cls.astype(np.int32))], names=["score", "cls"])
+        trigram_vectors.cache_clear()  # a worker that goes on to other work holds no table
+
+    told = docs.select("text").transform(in_tasks, scores, "score double, cls int").filter("score > 0")
+    told = told.groupBy("cls").agg(F.count("score").alias("n"), F.kll_sketch_agg_double("score").alias("k")).filter(F.col("n") >= CLASS_ROWS)
+    low = told.select("cls", F.kll_sketch_get_quantile_double("k", F.lit(LOW)))
+    least = np.full(64, MIN_SCORE)
+    for cls, q in low.collect():  # a row a length class: at most as many as a number has bits
+        least[cls] = max(MIN_SCORE, MARGIN * q)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got, cls = judged(batch)
+            yield batch.filter(pa.array(got >= least[cls]))
+        trigram_vectors.cache_clear()
+
+    return docs.transform(in_tasks, kept, docs.schema)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.llm.common import fresh, group_edges, in_tasks, list_column, runs, texts_of, tidy, written
+from revq.llm.common import fresh, group_edges, in_tasks, list_column, runs, texts_of, tidy, with_row_key, written
 from revq.llm.components import components
 from revq.llm.words import U64, blocks, mix, owners, shingle_sets
 
@@ -120,7 +120,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(row, doc_id, n_shingles, h, brief, bands) of every row; one scan, no shuffle."""
     key = F.lit(None) if row is None else F.col(row)
-    return docs.select(key.cast("long").alias("row"), "doc_id", "text").transform(in_tasks, _signatures, "row long, doc_id long, n_shingles long, h long, brief binary, bands array<long>"
+    return docs.select(key.cast("decimal(38,0)").alias("row"), "doc_id", "text").transform(in_tasks, _signatures, "row decimal(38,0), doc_id long, n_shingles long, h long, brief binary, bands array<long>"
     )
 
 
@@ -353,6 +353,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     words are in no group and all stay.
     """
     (row,) = fresh(docs, "row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = with_row_key(docs, row)
     stays = near_duplicates(rows, row).filter("stays").select(F.col("row").alias(row))
     return rows.join(stays, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revq.llm.common import WORD, fresh, tidy, written
+from revq.llm.common import WORD, fresh, tidy, with_row_key, written
 
 WEIGHTS = (3, 1, 2)  # fixed
 EPOCHS = 2  # fixed: a document is taken at most twice
@@ -43,7 +43,7 @@ def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
     of_text = F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit(""))))
     key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), of_text)))
     ref = F.lit(None) if row is None else F.col(row)
-    return docs.select(ref.cast("long").alias("row"), "doc_id", "source", size.alias("size"), key.alias("key"))
+    return docs.select(ref.cast("decimal(38,0)").alias("row"), "doc_id", "source", size.alias("size"), key.alias("key"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     row, whatever doc_id and text it shares with others.
     """
     row, times, copy = fresh(docs, "row", "times", "copy")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = with_row_key(docs, row)
     taken = mix(rows, row).filter("taken > 0").select(F.col("row").alias(row), F.expr("cast(taken div size as int)").alias(times))
     joined = rows.join(taken, row)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in docs.columns))

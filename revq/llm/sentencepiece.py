@@ -53,7 +53,7 @@ from revq.llm.tokens import MARK, TOKENIZERS
 CHUNK, FAN = 1 << 15, 64
 REACH = 16  # fixed: longest piece of the model file
 FAR = 1 << 60
-MEMO, MEMO_LEN = 80_000, 48
+MEMO, MEMO_LEN = 60_000, 48
 BLOCK, WIDE = 4096, 256  # units segmented in step; longer ones go one by one
 SLICE = 1 << 20  # bytes of text that are Python objects at a time
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -323,6 +323,7 @@ def _small(name: str) -> Callable:
                 ],
                 names=["row", "doc_id", "chunk", "n_chunks", "text", "ids"],
             )
+        m.old = {}  # a worker that goes on to other work holds one table of units
 
     return run
 
