@@ -299,13 +299,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-@tidy
-def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, h, row, stays) for every row of ``docs``.
-
-    ``row`` names a column whose values tell rows apart; ``stays`` then marks
-    one row of each group and every row without words.
-    """
+def _grouped(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Signatures of every row, and (h, component_id, names) of every class; ``names``: the group's name comes from it."""
     sig = written(signatures(docs, row), "signatures")
     classes = sig.filter("n_shingles > 0").groupBy("h").agg(
         F.min("doc_id").alias("rep"), F.first("brief").alias("brief"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n")
@@ -331,16 +326,18 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     name = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("first"))
     of_class = named.join(name, "label").select("h", F.col("first.rep").alias("component_id"), (F.col("h") == F.col("first.h")).alias("names"))
     of_class = written(of_class, "named")
-    some = sig.filter("n_shingles > 0").select("row", "doc_id", "n_shingles", "h").join(of_class, "h")
-    none = sig.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", "h").select("*", F.col("doc_id").alias("component_id"))
+    return sig, of_class
+
+
+@tidy
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, h) for every row of ``docs``."""
+    sig, of_class = _grouped(docs)
+    some = sig.filter("n_shingles > 0").select("doc_id", "n_shingles", "h").join(of_class.drop("names"), "h")
+    none = sig.filter("n_shingles = 0").select("doc_id", "n_shingles", "h").withColumn("component_id", F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull())
-    out = ["doc_id", "n_shingles", "component_id", kept.alias("kept"), "h", "row"]
-    if row is None:
-        never = F.lit(None).cast("boolean").alias("stays")
-        return some.select(*out, never).unionByName(none.select(*out, never))
-    one = some.filter(F.col("names") & kept).groupBy("h").agg(F.min("row").alias("one"))
-    some = some.join(one, "h", "left").select(*out, F.coalesce(F.col("row") == F.col("one"), F.lit(False)).alias("stays"))
-    return some.unionByName(none.select(*out, F.lit(True).alias("stays")))
+    out = ["doc_id", "n_shingles", "component_id", kept.alias("kept"), "h"]
+    return some.select(*out).unionByName(none.select(*out))
 
 
 @tidy
@@ -354,5 +351,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     (row,) = fresh(docs, "row")
     rows = with_row_key(docs, row)
-    stays = near_duplicates(rows, row).filter("stays").select(F.col("row").alias(row))
+    sig, of_class = _grouped(rows, row)
+    # found by class and name together, so that a class of many copies is no hot key
+    names = of_class.filter("names").select(F.col("h").alias("_h"), "component_id")
+    named = sig.filter("n_shingles > 0").join(names, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = named.groupBy("h").agg(F.min("row").alias(row)).select(row)
+    stays = one.unionByName(sig.filter("n_shingles = 0").select(F.col("row").alias(row)))
     return rows.join(stays, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
