@@ -112,6 +112,18 @@ def test_review_error_is_kept_apart(monkeypatch):
     assert [r["pos"] for r in got if r["error"]] == [1] and len(got) == 4
 
 
+def test_elements_that_no_rule_names_are_not_searched(monkeypatch):
+    """A body in 1,000 nested elements: the selectors look at the few that rules name."""
+    from revq.sources import html as H
+
+    visited, real = [], H.Node.iter
+    monkeypatch.setattr(H.Node, "iter", lambda self: (visited.append(n) or n for n in real(self)))
+    page = PAGE_A.replace("Lovely &amp; loud", "<b>" * 1000 + "Lovely &amp; <em>lo</em>ud" + "</b>" * 1000)
+    got = list(H.extract_page(page, H.MARKETPLACE_A))
+    assert [r["text"] for r in got] == ["Lovely &loud", "No stars here", "", "bad stars"]
+    assert len(visited) < 200
+
+
 def test_star_title_cleanup_only_for_marketplace_a(spark):
     page_b = PAGE_B.replace('<p class="z9E0IG">Okay</p>', '<p class="z9E0IG">5 out of 5 stars Okay</p>')
     pages = spark.createDataFrame([(3, "https://b.example/p", page_b, "flipkart")], "page_id long, url string, html string, source string")
