@@ -124,6 +124,38 @@ def test_elements_that_no_rule_names_are_not_searched(monkeypatch):
     assert len(visited) < 200
 
 
+def test_standard_parser_reads_only_other_markup(monkeypatch):
+    """Plain tags and texts never reach it; what does reach it gives the tree
+    that it makes of the whole page."""
+    from revq.sources import html as H
+
+    other = (
+        "<!DOCTYPE html>", "<!-- <p>old</p> -->", '<script>if (a < b) {"</p>"}</script>', "<br/>", "a < b &amp c", "<p class='z9E0IG'>",
+        '<p class="x" title="1 > 0">', '<a href="?a=1&amp;b=2">', "<x-y>", "<![if x]>", "</ p>", "<TEXTAREA><b></TEXTAREA>", "<!--", "<i", "<script>", "&am",
+    )
+
+    def tree(n):
+        return [c if isinstance(c, str) else (c.tag, c.attrs, tree(c)) for c in n.children]
+
+    def fed_whole(page, wanted):
+        b = H._Builder(wanted | H.SKIP_TEXT)
+        b.feed(page)
+        b.close()
+        return b.root
+
+    wanted = H._tags(H.MARKETPLACE_B)
+    at = PAGE_B.index("Fine sound")
+    for o in other:
+        page = PAGE_B[:at] + o + PAGE_B[at:] + o
+        assert tree(H.parse_html(page, wanted)) == tree(fed_whole(page, wanted)), o
+
+    fed, real = [], H._Builder.feed
+    monkeypatch.setattr(H._Builder, "feed", lambda self, data: (fed.append(data), real(self, data)) and None)
+    deep = PAGE_B.replace("Fine sound", "<b>" * 1000 + "Fine sound" + "</b>" * 1000)
+    assert [r["text"] for r in H.extract_page(deep, H.MARKETPLACE_B)] == ["Fine sound"] and fed == []
+    assert [r["text"] for r in H.extract_page("<!DOCTYPE html>" + deep, H.MARKETPLACE_B)] == ["Fine sound"] and fed == ["<!DOCTYPE html>"]
+
+
 def test_star_title_cleanup_only_for_marketplace_a(spark):
     page_b = PAGE_B.replace('<p class="z9E0IG">Okay</p>', '<p class="z9E0IG">5 out of 5 stars Okay</p>')
     pages = spark.createDataFrame([(3, "https://b.example/p", page_b, "flipkart")], "page_id long, url string, html string, source string")
